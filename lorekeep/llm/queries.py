@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from .bpe import op7_bpe
+from .fm_dedup import op10_fm_dedup
 from .minhash import op3_minhash
 from .sharding import op1_sharding
+from .suffix_dedup import op4_suffix_dedup
 
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op3_minhash": op3_minhash,
+    "op4_suffix_dedup": op4_suffix_dedup,
+    "op7_bpe": op7_bpe,
+    "op10_fm_dedup": op10_fm_dedup,
 }
 
 ORACLES: dict[str, str] = {}
