@@ -129,6 +129,8 @@ class Chunk:
     """The minimizer runs of one chunk of documents, computed alike in each pass."""
 
     def __init__(self, table: pa.Table, rule: Rule, buckets: int) -> None:
+        # Rows come in another order each time they are read from a shuffle; runs and pieces need one order.
+        self.table = table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
         self.ids = table["doc_id"].to_numpy()
         self.rule = rule
         self.symbols, self.offsets = rule.symbols(table)
@@ -265,7 +267,7 @@ def earlier_passages(docs: DataFrame, rule: Rule, index: Index, finish: Finish,
         answers = list(zip(right["bucket"].to_pylist(), right["bits"].to_pylist(), right["earliest"].to_pylist(), strict=True))
         chunk.choose({b: x for b, x, _ in answers if x is not None})
         covered = chunk.covered({b: x for b, _, x in answers if x is not None})
-        return finish(left, chunk.offsets, covered)
+        return finish(chunk.table, chunk.offsets, covered)
 
     answer = "chunk int, bucket int, bits binary, earliest binary"
     shared = laid.groupBy("chunk").applyInArrow(ask, "chunk int, bucket int, asked binary").groupBy("bucket").applyInArrow(_shared, answer)
