@@ -3,17 +3,27 @@
 from __future__ import annotations
 
 from .bpe import op7_bpe
+from .chat import OP8_SQL, op8_chat
+from .decontam import op5_decontamination
 from .fm_dedup import op10_fm_dedup
+from .langid import op2_langid
+from .licenses import op9_licenses
 from .minhash import op3_minhash
 from .sharding import op1_sharding
+from .spotsigs import op6_spotsigs
 from .suffix_dedup import op4_suffix_dedup
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_langid": op2_langid,
     "op3_minhash": op3_minhash,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op5_decontamination": op5_decontamination,
+    "op6_spotsigs": op6_spotsigs,
     "op7_bpe": op7_bpe,
+    "op8_chat": op8_chat,
+    "op9_licenses": op9_licenses,
     "op10_fm_dedup": op10_fm_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {"op8_chat": OP8_SQL}

@@ -35,14 +35,23 @@ def signatures(text: Column) -> Column:
     marked = F.regexp_replace(spaced, rf" (?=(?:{_STOP}) )", "#")
     words = F.split(F.rtrim(marked), " ")
 
-    def spots(word: Column, i: Column) -> Column:
-        after = F.concat_ws(" ", F.substring_index(F.get(words_here, i + 1), "#", 1), F.substring_index(F.get(words_here, i + 2), "#", 1))
-        return F.transform(F.filter(F.split(F.substr(word, F.locate("#", word) + 1), "#"), lambda a: a != ""), lambda a: F.xxhash64(a, after))
+    def spots(words: Column) -> Column:
+        """Hashes of all spots; the words are bound once, not split anew for each of them."""
 
-    words_here = words
-    found = F.flatten(F.transform(words, lambda w, i: F.when(F.contains(w, F.lit("#")), spots(w, i)).otherwise(F.array().cast("array<bigint>"))))
-    unique = F.array_sort(F.array_distinct(found))
-    return F.when(F.size(unique) > 0, unique).otherwise(F.array(F.xxhash64(plain)))
+        def behind(word: Column, i: Column) -> Column:
+            after = F.concat_ws(" ", F.substring_index(F.get(words, i + 1), "#", 1), F.substring_index(F.get(words, i + 2), "#", 1))
+            antecedents = F.filter(F.split(F.substr(word, F.locate("#", word) + 1), "#"), lambda a: a != "")
+            return bind(after, lambda c: F.transform(antecedents, lambda a: F.xxhash64(a, c)))
+
+        return F.flatten(F.transform(words, lambda w, i: F.when(F.contains(w, F.lit("#")), behind(w, i)).otherwise(F.array().cast("array<bigint>"))))
+
+    unique = F.array_sort(F.array_distinct(bind(F.split(F.rtrim(marked), " "), spots)))
+    return bind(unique, lambda u: F.when(F.size(u) > 0, u).otherwise(F.array(F.xxhash64(plain))))
+
+
+def bind(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def fingerprint(signed: Column) -> Column:
@@ -52,9 +61,9 @@ def fingerprint(signed: Column) -> Column:
 
 def likeness(a: Column, b: Column, threshold: float = 0.0) -> Column:
     """Jaccard similarity of two signature sets; 0 without comparing them where their lengths rule the threshold out."""
-    common = F.size(F.array_intersect(a, b))
     pruned = F.least(F.size(a), F.size(b)) < F.lit(threshold) * F.greatest(F.size(a), F.size(b))
-    return F.when(pruned, F.lit(0.0)).otherwise(common / (F.size(a) + F.size(b) - common))
+    shared = bind(F.size(F.array_intersect(a, b)), lambda n: n / (F.size(a) + F.size(b) - n))
+    return F.when(pruned, F.lit(0.0)).otherwise(shared)
 
 
 def near_pairs(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -90,7 +99,7 @@ def with_next(rows: DataFrame, key: str, size: Column, columns: list[str]) -> Da
     n = int(max(2 * shuffle_partitions(spark), 64, (total["b"] or 0) // BUCKET_BYTES))
     bounds = rows.agg(F.percentile_approx(key, [i / n for i in range(1, n)], 100 * n).alias("p")).first()["p"] or []
     bounds = sorted(set(bounds))
-    bucket = F.lit(0) if not bounds else F.when(F.col(key).isNull(), F.lit(-1)).otherwise(F.size(F.filter(F.array(*[F.lit(x) for x in bounds]), lambda x: x <= F.col(key))))
+    bucket = F.lit(0)
     if bounds:  # a search by halves instead of a comparison with each bound
         def search(lo: int, hi: int) -> Column:
             if lo == hi:
