@@ -162,12 +162,12 @@ def _loader(spark, path: str, pattern: str) -> Callable[[], Bpe]:
     return load
 
 
-def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+def encode_decode(docs: DataFrame, path: str, pattern: str, keep_text: bool = False) -> DataFrame:
     """(doc_id, ids, decoded): ids as little-endian unsigned 32-bit integers, decoded the bytes that they stand for.
 
     Null texts are empty and have no ids. Texts of any length, ties and repeated rows need nothing
     special; special tokens are ordinary text. The vocabulary is read on the driver and must be a
-    file of at most MOST_BYTES.
+    file of at most MOST_BYTES. keep_text adds the text.
     """
     load = _loader(docs.sparkSession, path, pattern)
 
@@ -177,10 +177,11 @@ def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             _, offsets = text_buffer(batch.column(1))
             for a, b in runs(offsets, 1 << 21):
                 ids = [bpe.encode(t or "") for t in batch.column(1).slice(a, b - a).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(ids, pa.binary()), pa.array([bpe.decode(x) for x in ids], pa.binary())], ["doc_id", "ids", "decoded"])
+                columns = {"doc_id": batch.column(0).slice(a, b - a), "ids": pa.array(ids, pa.binary()), "decoded": pa.array([bpe.decode(x) for x in ids], pa.binary())}
+                yield pa.RecordBatch.from_pydict(columns | ({"text": batch.column(1).slice(a, b - a)} if keep_text else {}))
                 bpe.forget()
 
-    return documents(docs).mapInArrow(work, "doc_id long, ids binary, decoded binary")
+    return documents(docs).mapInArrow(work, "doc_id long, ids binary, decoded binary" + ", text string" * keep_text)
 
 
 def op7_bpe(spark, sf_dir: str) -> DataFrame:

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .arrays import runs, text_buffer
 from .common import read_table
@@ -215,45 +216,52 @@ def fit(labelled: DataFrame, rows: int = ROWS) -> Model:
     return Model(top.select("lang", F.explode("g").alias("g")).select("lang", "g.gram", "g.n").collect())
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, lang_pred, score, spans) for every row: the language with most letters and its share of them, and
-    the labelled spans (lang, first word, end word). `und` with score 0 and no spans where text is null or has
-    no letter, or nothing was learned."""
+def identify(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The carried columns of every row with lang_pred, score and spans: the language with most letters, its share of
+    them, and the labelled spans (lang, first word, end word).
+
+    `und`, score 0 and no spans where text is null or has no letter, or nothing was learned.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    span = pa.struct([("lang", pa.string()), ("first", pa.int64()), ("end", pa.int64())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(sent.value)
-        langs, k = labeller.model.langs, len(labeller.model.langs)
+        k = len(labeller.model.langs)
+        names = pa.array(labeller.model.langs, pa.string())
         for batch in batches:
-            _, offsets = text_buffer(batch.column(1))
+            column = batch.column(0)
+            _, offsets = text_buffer(column)
             for a, b in runs(offsets, max(1 << 20, (96 << 20) // max(k, 4))):
-                texts = batch.column(1).slice(a, b - a).to_pylist()
-                if not k:
-                    kind = pa.list_(pa.struct([("lang", pa.string()), ("first", pa.int64()), ("end", pa.int64())]))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(["und"] * len(texts)), pa.array([0.0] * len(texts)), pa.array([[]] * len(texts), kind)], ["doc_id", "lang_pred", "score", "spans"])
-                    continue
-                path, weight, first = labeller.label(texts)
-                doc = np.repeat(np.arange(len(texts)), np.diff(first))
-                mass = np.bincount(doc * k + path, weights=weight, minlength=len(texts) * k).reshape(len(texts), k)
-                total = mass.sum(axis=1)
-                best = mass.argmax(axis=1)
-                share = mass.max(axis=1) / np.maximum(total, 1)
-                change = np.ones(len(path), bool)
-                change[1:] = (path[1:] != path[:-1]) | (doc[1:] != doc[:-1])
-                at = np.flatnonzero(change)
-                end = np.append(at[1:], len(path))
-                real = total[doc[at]] > 0
-                at, end = at[real], end[real]
-                names = pa.array(langs, pa.string())
-                spans = pa.StructArray.from_arrays([names.take(pa.array(path[at])), pa.array(at - first[doc[at]]), pa.array(end - first[doc[at]])], ["lang", "first", "end"])
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.bincount(doc[at], minlength=len(texts))))).astype(np.int32)), spans)
-                pred = [langs[i] if n else "und" for i, n in zip(best.tolist(), total.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(pred), pa.array(np.where(total > 0, share, 0.0)), lists], ["doc_id", "lang_pred", "score", "spans"])
+                texts = column.slice(a, b - a).to_pylist()
+                pred, share, lists = ["und"] * len(texts), np.zeros(len(texts)), pa.array([[]] * len(texts), pa.list_(span))
+                if k:
+                    path, weight, first = labeller.label(texts)
+                    doc = np.repeat(np.arange(len(texts)), np.diff(first))
+                    mass = np.bincount(doc * k + path, weights=weight, minlength=len(texts) * k).reshape(len(texts), k)
+                    total = mass.sum(axis=1)
+                    share = np.where(total > 0, mass.max(axis=1) / np.maximum(total, 1), 0.0)
+                    pred = [labeller.model.langs[i] if n else "und" for i, n in zip(mass.argmax(axis=1).tolist(), total.tolist(), strict=True)]
+                    change = np.ones(len(path), bool)
+                    change[1:] = (path[1:] != path[:-1]) | (doc[1:] != doc[:-1])
+                    at = np.flatnonzero(change)
+                    end = np.append(at[1:], len(path))
+                    real = total[doc[at]] > 0
+                    at, end = at[real], end[real]
+                    found = pa.StructArray.from_arrays([names.take(pa.array(path[at])), pa.array(at - first[doc[at]]), pa.array(end - first[doc[at]])], fields=list(span))
+                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.bincount(doc[at], minlength=len(texts))))).astype(np.int32)), found)
+                kept = [batch.column(i).slice(a, b - a) for i in range(1, batch.num_columns)]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(pred), pa.array(share), lists], [*batch.schema.names[1:], "lang_pred", "score", "spans"])
                 if len(labeller.known) > REMEMBER:
                     labeller.reset()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(work, "doc_id long, lang_pred string, score double, spans array<struct<lang:string,first:long,end:long>>")
+    rows = docs.select(F.col("text").cast("string").alias("_text"), *carry)
+    schema = StructType([*rows.drop("_text").schema.fields, *_parse("lang_pred string, score double, spans array<struct<lang:string,first:bigint,end:bigint>>")])
+    return rows.mapInArrow(work, schema)
+
+
+def _parse(ddl: str) -> list:
+    return StructType.fromDDL(ddl).fields
 
 
 def held_out():

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import cut, read_table
 from .spotsigs import COMMON
 
 # Short forms of licence statements, by SPDX identifier.
@@ -55,18 +55,18 @@ def scan_licenses(files: DataFrame, templates: dict[str, str] | None = None, cos
     pattern = rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(_key_words(templates))})(?![\p{{L}}\p{{N}}])"
     files = files.select("file_id", F.col("path").cast("string").alias("path"), F.col("text").cast("string").alias("text"))
     lines = files.where(F.lower("text").rlike(pattern)).select("file_id", F.size(words_of(F.col("text"))).alias("all_words"), F.explode(F.filter(F.split("text", "\n"), lambda x: F.lower(x).rlike(pattern))).alias("line"))
+    lines = cut(lines)
+    total = lines.count()
     # Equal statements are scored once, whatever their number.
     statements = lines.groupBy("line").agg(F.count("*").alias("n"))
     known = spark.createDataFrame(sorted(templates.items()), "license string, template string")
     terms = statements.select(F.col("line").alias("unit"), "n", F.explode(words_of(F.col("line"))).alias("word")).groupBy("unit", "word").agg(F.first("n").alias("n"), F.count("*").alias("tf"))
     wanted = known.select("license", F.explode(words_of(F.col("template"))).alias("word")).groupBy("license", "word").agg(F.count("*").alias("tf"))
-    total = statements.agg(F.sum("n").alias("total"))
     df = terms.groupBy("word").agg(F.sum("n").alias("df"))
-    idf = (F.log((F.coalesce("total", F.lit(0)) + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1).alias("idf")
-    weights = df.crossJoin(F.broadcast(total)).select("word", idf)  # one row on the right
+    weights = df.select("word", (F.log(F.lit(total + 1) / (F.col("df") + 1)) + 1).alias("idf"))
     weighed = terms.join(weights, "word").select("unit", "word", (F.col("tf") * F.col("idf")).alias("w"))
-    best_idf = F.broadcast(total).select((F.log(F.coalesce("total", F.lit(0)) + 1) + 1).alias("rare"))
-    models = wanted.join(weights, "word", "left").crossJoin(best_idf).select("license", "word", (F.col("tf") * F.coalesce("idf", "rare")).alias("m"))
+    unseen = F.log(F.lit(float(total + 1))) + 1
+    models = wanted.join(weights, "word", "left").select("license", "word", (F.col("tf") * F.coalesce("idf", unseen)).alias("m"))
     norms = models.groupBy("license").agg(F.sqrt(F.sum(F.col("m") * F.col("m"))).alias("m_norm"))
     own_norm = weighed.groupBy("unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("w_norm"))
     dots = weighed.join(F.broadcast(models), "word").groupBy("unit", "license").agg(F.sum(F.col("w") * F.col("m")).alias("dot"))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import U, mix, runs, text_buffer, words
-from .common import NO_ID, cut, documents, read_table
+from .common import cut, documents, read_table
 from .components import Forest, components
 
 #: Bands of rows: sets of similarity 0.85 miss all bands in 2 of 10^8 cases.
@@ -160,13 +160,12 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, percent: int = 85) ->
 
     Links are exact: Jaccard similarity of whole shingle sets of at least percent/100. Null, empty
     and blank texts have an empty set, link with nothing and are kept. Equal sets (copies, repeated
-    rows) are one class; of rows that repeat a doc_id each is returned. A null doc_id counts as the
-    greatest one.
+    rows) are one class; of rows that repeat a doc_id each is returned. Rows without doc_id link
+    with nothing, have no component and are kept.
     """
-    docs = documents(docs)
-    known = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
+    known = documents(docs)
     signed = cut(signatures(known, shingle))
-    classes = signed.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n"))
+    classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n"))
     classes = cut(classes)
     banded = classes.select("rep", F.explode("bands").alias("band"))
     hubs = banded.groupBy("band").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
@@ -211,10 +210,9 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, percent: int = 85) ->
     links = shipped.groupBy("component", "la", "ka", "lb", "kb").applyInArrow(_verify(percent), "a long, b long")
     labels = components(links).select(F.col("node").alias("rep"), "component")
     named = classes.join(labels, "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component"))
-    out = signed.where("n_shingles > 0").join(named, ["set_a", "set_b"], "left").select("doc_id", "n_shingles", "component")
-    out = out.unionByName(signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component")))
-    plain = lambda c: F.when(F.col(c) == NO_ID, F.lit(None)).otherwise(F.col(c))
-    return out.select(plain("doc_id").alias("doc_id"), "n_shingles", plain("component").alias("component_id"), (F.col("doc_id") == F.col("component")).alias("kept"))
+    linked = signed.where("n_shingles > 0 and doc_id is not null").join(named, ["set_a", "set_b"]).select("doc_id", "n_shingles", "component")
+    alone = signed.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component"))
+    return linked.unionByName(alone).select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("component")).alias("kept"))
 
 
 def op3_minhash(spark, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import _VALUE, U, mix, text_buffer, words
-from .common import NO_ID, documents, text_bytes
+from .common import NO_ID, text_bytes
 
 #: Bytes of text in a chunk, and bytes of text for each bucket of minimizers.
 CHUNK_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
@@ -240,16 +240,17 @@ def _earliest(rule: Rule, index: Index):
     return work
 
 
-def earlier_passages(docs: DataFrame, rule: Rule, index: Index, finish: Finish, schema: str) -> DataFrame:
+def earlier_passages(docs: DataFrame, rule: Rule, index: Index, finish: Finish, schema: str, carry: tuple[str, ...] = ()) -> DataFrame:
     """Applies `finish` (table of doc_id and text, row offsets in symbols, covered symbols) to every chunk.
 
     index(symbols, sizes, ids, span) gets the distinct pieces of a bucket and returns, for each
-    window of each piece, the smallest id of a piece that has the window.
+    window of each piece, the smallest id of a piece that has the window. Carried columns stay in the
+    table that finish gets, packed in `rest`.
     """
-    docs = documents(docs)
     total = text_bytes(docs)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([F.struct(*carry).alias("rest")] if carry else []))
     chunks, buckets = max(8, -(-total // CHUNK_BYTES)), max(8, -(-total // BUCKET_BYTES))
-    laid = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int"))
+    laid = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), *docs.columns[1:]).withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int"))
 
     def ask(key: tuple, table: pa.Table) -> pa.Table:
         rows = list(Chunk(table, rule, buckets).requests())

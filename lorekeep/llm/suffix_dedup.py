@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import read_table
 from .passages import Rule, earlier_passages, plain_ids, spans_of
@@ -59,13 +60,13 @@ def _character_spans(data: bytes, covered: np.ndarray) -> np.ndarray:
     return whole[number]
 
 
-def remove_repeats(docs: DataFrame, span: int = 50, whole_characters: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, span: int = 50, whole_characters: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_bytes, kept, spans) for every row: each byte in a `span`-byte string that also starts in a
     document of smaller doc_id is removed; kept are the other bytes, spans the removed runs (start, end).
 
     Null and empty texts have no bytes. Rows of the same doc_id are one document's, so neither is
     earlier; a null doc_id is later than any. whole_characters keeps a character that is covered
-    only in part, so that kept is valid UTF-8.
+    only in part, so that kept is valid UTF-8. Carried columns follow, whatever their names.
     """
 
     def finish(table: pa.Table, offsets: np.ndarray, covered: np.ndarray) -> pa.Table:
@@ -79,9 +80,14 @@ def remove_repeats(docs: DataFrame, span: int = 50, whole_characters: bool = Fal
             spans.append([{"start": int(s), "end": int(e)} for s, e in zip(starts, ends, strict=True)])
             kept.append(b"".join(data[e:s] for e, s in zip([0, *ends.tolist()], [*starts.tolist(), len(data)], strict=True)))
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        return pa.table({"doc_id": plain_ids(ids), "n_bytes": pa.array(np.diff(offsets), pa.int64()), "kept": pa.array(kept, pa.binary()), "spans": pa.array(spans, kind)})
-
-    return earlier_passages(docs, Rule(span, min(GRAM, span), False), earliest_by_suffix, finish, "doc_id long, n_bytes long, kept binary, spans array<struct<start:long,end:long>>")
+        out = {"doc_id": plain_ids(ids), "n_bytes": pa.array(np.diff(offsets), pa.int64()), "kept": pa.array(kept, pa.binary()), "spans": pa.array(spans, kind)}
+        return pa.table(out | ({"rest": table["rest"]} if carry else {}))
+
+    schema = StructType.fromDDL("doc_id long, n_bytes long, kept binary, spans array<struct<start:long,end:long>>")
+    if carry:
+        schema = schema.add("rest", docs.select(*carry).schema)
+    made = earlier_passages(docs, Rule(span, min(GRAM, span), False), earliest_by_suffix, finish, schema, carry)
+    return made.select("doc_id", "n_bytes", "kept", "spans", "rest.*") if carry else made
 
 
 def op4_suffix_dedup(spark, sf_dir: str) -> DataFrame:
