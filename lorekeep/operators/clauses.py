@@ -1,4 +1,4 @@
-"""Predicates, keys and projections on clause rows (schemas.SCHEMAS["clauses"])."""
+"""Predicates, keys and projections on clause rows (schemas.DDL["clauses"])."""
 
 from __future__ import annotations
 

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
-
 _SENSES = "senses map<string,string>, identities map<string,string>, markers map<string,string>"
-_DDL = {
+DDL = {
     "edges": "subject string, relation string, object string, pos string",
     "derived_edges": "subject string, relation string, object string, pos string, source_id string, source_original string, trust double, method string",
     "rules": "rule_id string, kind string, subject string, predicate string, object string, negated boolean, strength string, source_id string, conds array<struct<predicate:string,object:string>>",
@@ -24,5 +22,3 @@ _DDL = {
     "snapshots": "captured_at timestamp, state string, version string, metrics map<string,double>",
     "posts": "slug string, date timestamp, kind string, title string, body array<string>, published_at timestamp",
 }
-
-SCHEMAS: dict[str, StructType] = {name: StructType.fromDDL(ddl) for name, ddl in _DDL.items()}
