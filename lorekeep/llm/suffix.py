@@ -8,6 +8,11 @@ from __future__ import annotations
 
 import numpy as np
 
+#: Alphabets of fewer symbols are scanned symbol by symbol.
+FEW = 1024
+#: From this share of distinct names on, the recursion ends.
+SETTLED = 0.7
+
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """Suffix array of integers >= 0 whose last is the only 0 (the sentinel)."""
@@ -21,36 +26,68 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     at = np.where(step != 0, np.arange(n - 1), n - 1)
     following = np.minimum.accumulate(at[::-1])[::-1]
     small = np.append(np.append(step, -1)[following] > 0, True)
-    leftmost = np.zeros(n, bool)
-    leftmost[1:] = small[1:] & ~small[:-1]
-    marks = np.flatnonzero(leftmost)
+    marks = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     counts = np.bincount(text, minlength=kinds)
     tails = np.cumsum(counts)
     heads = tails - counts
 
-    sa = _induce(text, small, heads, tails, marks)
-    order = sa[leftmost[sa]]
-    # Names of leftmost-smaller substrings in sorted order.
-    rank_of = np.zeros(n, np.int64)
-    rank_of[marks] = np.arange(len(marks))
-    length = np.append(np.diff(marks) + 1, 1)[rank_of[order]]
-    differs = np.ones(len(order), bool)
-    differs[1:] = length[1:] != length[:-1]
-    live = np.flatnonzero(~differs)
-    offset = 0
-    while len(live):
-        a, b = order[live], order[live - 1]
-        unequal = text[a + offset] != text[b + offset]
-        differs[live[unequal]] = True
-        offset += 1
-        live = live[~unequal & (length[live] > offset)]
-    name = np.zeros(len(marks), np.int32)
-    name[rank_of[order]] = np.cumsum(differs) - 1
-    if differs.all():
-        sorted_marks = order
-    else:
-        sorted_marks = marks[suffix_array(name)]
-    return _induce(text, small, heads, tails, sorted_marks)
+    name = _names(text, kinds, marks, np.append(np.diff(marks) + 1, 1))
+    distinct = int(name.max()) + 1
+    order = _settle(name) if distinct >= SETTLED * len(marks) else suffix_array(name)
+    return _induce(text, small, heads, tails, marks[order])
+
+
+def _names(text: np.ndarray, kinds: int, marks: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Numbers of the leftmost-smaller substrings in sorted order, equal ones alike.
+
+    Symbols are packed into 64-bit keys and sorted, then ties that go on by their next symbols. A
+    substring that ends where another goes on is the greater one: there the other has a larger-type symbol.
+    """
+    m, bits = len(marks), int(kinds).bit_length()
+    per, last = 63 // bits, len(text) - 1
+    rank = np.zeros(m, np.int64)  # number of smaller substrings, so far as seen
+    tied, offset = np.arange(m), 0
+    while len(tied):
+        key = np.zeros(len(tied), np.int64)
+        for j in range(offset, offset + per):
+            symbol = text[np.minimum(marks[tied] + j, last)].astype(np.int64)
+            key = (key << bits) | np.where(j < length[tied], symbol, kinds)
+        tied = _refine(rank, tied, key)
+        offset += per
+        tied = tied[length[tied] >= offset]  # one that ends here has yet to differ from one that goes on
+    seen = np.zeros(m, np.int32)
+    seen[rank] = 1
+    return (np.cumsum(seen, dtype=np.int32) - 1)[rank].astype(np.int32)
+
+
+def _refine(rank: np.ndarray, tied: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Ranks equal entries anew by their keys, in place; those that still have an equal."""
+    old = rank[tied]
+    order = np.lexsort((key, old))
+    group, key = old[order], key[order]
+    new_group = np.ones(len(order), bool)
+    new_group[1:] = group[1:] != group[:-1]
+    new = new_group.copy()
+    new[1:] |= key[1:] != key[:-1]
+    where = np.arange(len(order))
+    begin = np.maximum.accumulate(np.where(new_group, where, 0))
+    first = np.maximum.accumulate(np.where(new, where, 0))
+    rank[tied[order]] = group + first - begin
+    return tied[order[~(new & np.append(new[1:], True))]]
+
+
+def _settle(name: np.ndarray) -> np.ndarray:
+    """Suffix array of names of which few are equal: these are told apart by the ranks 1, 2, 4, ... places on."""
+    m = len(name)
+    counts = np.bincount(name)
+    rank = (np.cumsum(counts) - counts)[name]
+    tied, step = np.flatnonzero(counts[name] > 1), 1
+    while len(tied):
+        tied = _refine(rank, tied, np.where(tied + step < m, rank[np.minimum(tied + step, m - 1)], -1))
+        step *= 2
+    order = np.empty(m, np.int64)
+    order[rank] = np.arange(m)
+    return order
 
 
 def _induce(text: np.ndarray, small: np.ndarray, heads: np.ndarray, tails: np.ndarray, marks: np.ndarray) -> np.ndarray:
@@ -64,9 +101,10 @@ def _induce(text: np.ndarray, small: np.ndarray, heads: np.ndarray, tails: np.nd
     sa[tails[ordered] - (last - np.arange(len(by)))] = marks[by]
     large = ~small
     head = heads.copy()
+    few = len(heads) < FEW  # then a block is a symbol's part, which only the symbol itself fills meanwhile
     a, size = 0, 4096
     while a < n:
-        b = min(n, a + size)
+        b = int(tails[np.searchsorted(tails, a, "right")]) if few else min(n, a + size)
         entry = sa[a:b]
         at = np.flatnonzero(entry > 0)
         left = entry[at] - 1
@@ -81,7 +119,7 @@ def _induce(text: np.ndarray, small: np.ndarray, heads: np.ndarray, tails: np.nd
                 b = first
                 fit = at < b - a
                 left, target, symbol = left[fit], target[fit], symbol[fit]
-                size = max(64, 2 * (b - a))
+                size = max(512, 2 * (b - a))
             sa[target] = left
             np.add.at(head, symbol, 1)
         if b == a + size:
@@ -92,7 +130,7 @@ def _induce(text: np.ndarray, small: np.ndarray, heads: np.ndarray, tails: np.nd
     tail = tails.copy()
     b, size = n, 4096
     while b > 0:
-        a = max(0, b - size)
+        a = int(heads[np.searchsorted(heads, b - 1, "right") - 1]) if few else max(0, b - size)
         entry = sa[a:b][::-1]
         at = np.flatnonzero(entry > 0)
         left = entry[at] - 1
@@ -107,7 +145,7 @@ def _induce(text: np.ndarray, small: np.ndarray, heads: np.ndarray, tails: np.nd
                 fit = at < b - 1 - last
                 a = last + 1
                 left, target, symbol = left[fit], target[fit], symbol[fit]
-                size = max(64, 2 * (b - a))
+                size = max(512, 2 * (b - a))
             sa[target] = left
             np.subtract.at(tail, symbol, 1)
         if a == b - size:
