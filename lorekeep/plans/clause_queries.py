@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lorekeep.operators import clauses as C
@@ -47,6 +48,13 @@ def _verdict(s, d):
     return c.select("stmt_id", "pos", C.verdict_token(status, F.col("truth")).alias("token"))
 
 
+def _op_similarity(s, d):
+    """How like each clause's operator is to the one before it, on average over a statement."""
+    before = F.lag("op").over(Window.partitionBy("stmt_id").orderBy("pos"))
+    pairs = B.clauses(s, d).select("stmt_id", F.col("op").alias("op_b"), before.alias("op_a")).where("op_a is not null")
+    return pairs.join(F.broadcast(C.operator_similarity(s)), ["op_a", "op_b"]).groupBy("stmt_id").agg(F.round(F.avg("similarity"), 6).alias("similarity"))
+
+
 QUERIES = {
     "explode_leaves": _leaves,
     "is_asserted": lambda s, d: C.is_asserted(B.clauses(s, d, conjoined=True)),
@@ -68,7 +76,7 @@ QUERIES = {
     "verdict_token": _verdict,
     "quantifier_of": _quantifier,
     "fold_truth": lambda s, d: C.fold_truth(B.clauses(s, d)).select("stmt_id", F.round("truth", 6).alias("truth")),
-    "operator_similarity": lambda s, d: C.operator_similarity(s),
+    "operator_similarity": _op_similarity,
 }
 
 _IMPLY = lambda a, b: f"(CASE WHEN {a} <= {b} THEN 1.0::DOUBLE ELSE {b} END)"
@@ -111,8 +119,9 @@ UNION ALL SELECT c.stmt_id, CAST(g.part AS INT), c.pos FROM clauses c JOIN w USI
     "fold_truth": f"""{C_SQL}, x AS (SELECT stmt_id, pos, op, CASE WHEN attitude IS NOT NULL THEN 0.5 + (truth - 0.5) * attitude ELSE truth END AS t FROM clauses),
 l AS (SELECT stmt_id, list(struct_pack(op := op, t := CASE WHEN pos = 0 AND op = 'NOT' THEN 1 - t ELSE t END) ORDER BY pos) AS v FROM x GROUP BY 1)
 SELECT stmt_id, round(list_reduce(list_transform(v, lambda x: struct_pack(op := x.op, t := x.t)), lambda p, x: struct_pack(op := x.op, t := {_STEP.replace("least(a", "least(p.t").replace("greatest(a", "greatest(p.t").replace("WHEN a <=", "WHEN p.t <=")})).t, 6) AS truth FROM l""",
-    "operator_similarity": "WITH g AS (SELECT i / 20.0::DOUBLE AS a, j / 20.0::DOUBLE AS b, i, j FROM range(21) x(i), range(21) y(j)), v AS ("
+    "operator_similarity": C_SQL + ", g AS (SELECT i / 20.0::DOUBLE AS a, j / 20.0::DOUBLE AS b, i, j FROM range(21) x(i), range(21) y(j)), v AS ("
     + " UNION ALL ".join(f"SELECT i, j, '{n}' AS op, ({e})::DOUBLE AS v FROM g" for n, e in _FUZZY.items())
-    + """) SELECT x.op AS op_a, y.op AS op_b, round(1 - avg(abs(x.v - y.v)), 6) AS similarity FROM v x JOIN v y USING (i, j) GROUP BY 1, 2
-UNION ALL SELECT DISTINCT op, 'THAT', 0.0 FROM v UNION ALL SELECT DISTINCT 'THAT', op, 0.0 FROM v UNION ALL SELECT 'THAT', 'THAT', 1.0""",
+    + """), m AS (SELECT x.op AS op_a, y.op AS op_b, round(1 - avg(abs(x.v - y.v)), 6) AS similarity FROM v x JOIN v y USING (i, j) GROUP BY 1, 2
+UNION ALL SELECT DISTINCT op, 'THAT', 0.0 FROM v UNION ALL SELECT DISTINCT 'THAT', op, 0.0 FROM v UNION ALL SELECT 'THAT', 'THAT', 1.0),
+p AS (SELECT stmt_id, op AS op_b, lag(op) OVER (PARTITION BY stmt_id ORDER BY pos) AS op_a FROM clauses) SELECT stmt_id, round(avg(similarity), 6) AS similarity FROM p JOIN m USING (op_a, op_b) GROUP BY 1""",
 }

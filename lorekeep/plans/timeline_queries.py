@@ -22,7 +22,7 @@ def _turns(s, d):
 
 
 def _picks(s, d):
-    return B.events(s, d).where("k % 3 = 0").select(F.col("event_id").alias("id"), F.col("user_id").alias("stakeholder"), "us")
+    return B.events(s, d).where("event_type = 'view'").select(F.col("event_id").alias("id"), F.col("user_id").alias("stakeholder"), "us")
 
 
 def _scenes(s, d):
@@ -130,7 +130,7 @@ ORACLES = {
     "open_exchange": f"{L_SQL}, {_OPEN} SELECT id, open FROM o",
     "reply_context": """WITH x AS (SELECT conv_id, turn, role, max(CASE WHEN role = 'assistant' AND turn % 2 = 1 THEN turn END) OVER w AS asked, max(CASE WHEN role = 'user' THEN turn END) OVER w AS spoken FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 SELECT conv_id, turn, CASE WHEN asked > coalesce(spoken, -1) THEN asked END AS question_turn FROM x WHERE role = 'user'""",
-    "episode_near": f"{E_SQL} SELECT event_id AS id FROM ev p WHERE k % 3 = 0 AND EXISTS (SELECT 1 FROM d WHERE d.stakeholder = p.user_id AND delta > 0 AND abs(d.us - p.us) <= 21600000000)",
+    "episode_near": f"{E_SQL} SELECT event_id AS id FROM ev p WHERE event_type = 'view' AND EXISTS (SELECT 1 FROM d WHERE d.stakeholder = p.user_id AND delta > 0 AND abs(d.us - p.us) <= 21600000000)",
     "recent_room": f"{L_SQL} SELECT id, source_id, channel FROM log WHERE us > {START + 4 * 86400}000000 AND us <= {START + 5 * 86400}000000 AND source_id <> 7 ORDER BY us DESC, id LIMIT 1",
     "pending_items": f"{L_SQL} SELECT id FROM log WHERE source_id <> 7 AND channel >= 5 ORDER BY us, id LIMIT 40",
     "sense_overlap": f"{L_SQL}, n AS (SELECT DISTINCT senses[2] AS sense FROM log WHERE id % 100 = 0) SELECT id FROM log WHERE senses[1] IN (SELECT sense FROM n) OR senses[2] IN (SELECT sense FROM n) ORDER BY us DESC, id LIMIT 256",

@@ -43,7 +43,7 @@ def _clause_pairs(s, d):
 
 
 def _statement_pairs(s, d):
-    v = B.vectors(s, d).where("vec_id < 400").select((F.col("vec_id") / 4).cast("long").alias("st"), (F.col("vec_id") % 4).alias("leaf"), "vector")
+    v = B.vectors(s, d).select((F.col("vec_id") / 4).cast("long").alias("st"), (F.col("vec_id") % 4).alias("leaf"), "vector")
     l = v.select(F.col("st").alias("a"), F.col("leaf").alias("i"), F.col("vector").alias("va"))
     r = v.where("leaf < 3").select((F.col("st") - 1).alias("a"), F.col("st").alias("b"), F.col("leaf").alias("j"), F.col("vector").alias("vb"))
     leaves = l.join(r, "a").select("a", "b", "i", "j", V.cosine(F.col("va"), F.col("vb")).alias("sim"))
@@ -52,7 +52,7 @@ def _statement_pairs(s, d):
 
 
 def _soft(s, d):
-    v = B.vectors(s, d).where("vec_id < 600").select((F.col("vec_id") / 6).cast("long").alias("pair"), (F.col("vec_id") % 6).alias("item"), "vector")
+    v = B.vectors(s, d).select((F.col("vec_id") / 6).cast("long").alias("pair"), (F.col("vec_id") % 6).alias("item"), "vector")
     return V.soft_f1(v.where("item < 3"), v.where("item >= 3"), 16).withColumn("f1", F.round("f1", 6))
 
 
@@ -88,12 +88,12 @@ def _templates(s, d):
 
 
 def _axis(s, d):
-    v = B.vectors(s, d).where("vec_id < 64")
+    v = B.vectors(s, d)
     return V.axis_antonyms(v.select(F.col("vec_id").alias("word"), F.col("vec_id").alias("index"), "vector"))
 
 
 def _compose(s, d):
-    p = _pairs(s, d).where("a < 200")
+    p = _pairs(s, d)
     m = F.array(F.struct(F.when(F.col("a") % 2 == 0, F.lit(0.5)).otherwise(F.lit(0.0)).alias("weight"), F.col("vb").alias("vector")))
     return _flat(p.select("a", V.compose_vector(F.col("va"), m).alias("vector")), "a")
 
@@ -146,7 +146,7 @@ QUERIES = {
     "knn": lambda s, d: V.knn(_queries(s, d), B.vectors(s, d), 5, block=4),
     "knn_opposite": lambda s, d: V.knn_opposite(_queries(s, d), B.vectors(s, d), 5),
     "centroid": lambda s, d: _flat(V.centroid(B.vectors(s, d), "label", F.when(F.col("vec_id") % 2 == 0, 1.0).otherwise(0.25)), "label"),
-    "phrase_search": lambda s, d: V.phrase_search(B.vectors(s, d).where("vec_id < 60").select((F.col("vec_id") / 3).cast("long").alias("phrase"), "vec_id"), B.vectors(s, d), 3),
+    "phrase_search": lambda s, d: V.phrase_search(B.vectors(s, d).select((F.col("vec_id") / 3).cast("long").alias("phrase"), "vec_id").where("phrase % 100 = 0"), B.vectors(s, d), 3),
     "label_statement": lambda s, d: V.label_statement(V.centroid(B.vectors(s, d), "label").select(F.col("label").alias("vec_id"), "vector"), B.vectors(s, d)),
     "anchor_classify": lambda s, d: V.anchor_classify(B.vectors(s, d), _anchors(s, d), 0.2, 0.05),
     "axis_antonyms": _axis,
@@ -194,23 +194,23 @@ ORACLES = {
     "role_similarity": f"{_PAIR} SELECT a, b, CASE WHEN a % 6 = 0 THEN NULL WHEN a % 3 = 0 OR a % 2 = 0 THEN 0 ELSE round((list_cosine_similarity(va, vb) + 1) / 2, 6) END AS s FROM p",
     "compare_clause": f"""{_PAIR}, q AS (SELECT a, b, {_S(0, 16)} AS p, CASE WHEN a % 5 = 0 THEN (a % 2 = 0)::INT::DOUBLE ELSE {_S(16, 32)} END AS s, CASE WHEN a % 3 > 0 THEN {_S(32, 48)} END AS d, {_S(48, 64)} AS t FROM p)
 SELECT a, b, round((0.3 * p + 0.25 * s + coalesce(0.2 * d, 0) + 0.05 * t) / (0.6 + CASE WHEN d IS NULL THEN 0 ELSE 0.2 END), 6)::DOUBLE AS similarity FROM q""",
-    "compare_statement": f"""WITH {B.VECTORS}, v AS (SELECT vec_id // 4 AS st, vec_id % 4 AS leaf, vector FROM vecs WHERE vec_id < 400), l AS (SELECT x.st AS a, y.st AS b, x.leaf AS i, y.leaf AS j, (list_cosine_similarity(x.vector, y.vector) + 1) / 2 AS sim FROM v x JOIN v y ON y.st = x.st + 1 AND y.leaf < 3),
+    "compare_statement": f"""WITH {B.VECTORS}, v AS (SELECT vec_id // 4 AS st, vec_id % 4 AS leaf, vector FROM vecs), l AS (SELECT x.st AS a, y.st AS b, x.leaf AS i, y.leaf AS j, (list_cosine_similarity(x.vector, y.vector) + 1) / 2 AS sim FROM v x JOIN v y ON y.st = x.st + 1 AND y.leaf < 3),
 bi AS (SELECT a, b, avg(m) AS r FROM (SELECT a, b, i, max(sim) AS m FROM l GROUP BY 1, 2, 3) GROUP BY 1, 2), bj AS (SELECT a, b, avg(m) AS p FROM (SELECT a, b, j, max(sim) AS m FROM l GROUP BY 1, 2, 3) GROUP BY 1, 2), pl AS (SELECT a, b, sum(CASE WHEN i = j THEN sim ELSE 0 END) / 4 AS placed FROM l GROUP BY 1, 2)
 SELECT a, b, round((0.7 * CASE WHEN a % 2 = 0 THEN placed ELSE 2 * r * p / (r + p) END + 0.1 + CASE WHEN a % 3 = 0 THEN 0.1 ELSE 0 END) / (0.9 + CASE WHEN a % 3 = 0 THEN 0.1 ELSE 0 END), 6)::DOUBLE AS similarity FROM bi JOIN bj USING (a, b) JOIN pl USING (a, b)""",
-    "soft_f1": f"""WITH {B.VECTORS}, v AS (SELECT vec_id // 6 AS pair, vec_id % 6 AS item, vector FROM vecs WHERE vec_id < 600), l AS (SELECT x.pair, x.item AS i, y.item AS j, greatest(0, list_cosine_similarity(x.vector[1:16], y.vector[1:16])) * (list_cosine_similarity(x.vector[17:], y.vector[17:]) + 1) / 2 AS s FROM v x JOIN v y ON x.pair = y.pair AND x.item < 3 AND y.item >= 3),
+    "soft_f1": f"""WITH {B.VECTORS}, v AS (SELECT vec_id // 6 AS pair, vec_id % 6 AS item, vector FROM vecs), l AS (SELECT x.pair, x.item AS i, y.item AS j, greatest(0, list_cosine_similarity(x.vector[1:16], y.vector[1:16])) * (list_cosine_similarity(x.vector[17:], y.vector[17:]) + 1) / 2 AS s FROM v x JOIN v y ON x.pair = y.pair AND x.item < 3 AND y.item >= 3),
 bi AS (SELECT pair, avg(m) AS r FROM (SELECT pair, i, max(s) AS m FROM l GROUP BY 1, 2) GROUP BY 1), bj AS (SELECT pair, avg(m) AS p FROM (SELECT pair, j, max(s) AS m FROM l GROUP BY 1, 2) GROUP BY 1) SELECT pair, CASE WHEN r + p = 0 THEN 0 ELSE round(2 * r * p / (r + p), 6) END::DOUBLE AS f1 FROM bi JOIN bj USING (pair)""",
     "knn": f"WITH {B.VECTORS}, s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.vector, v.vector), 6) AS score FROM vecs q, vecs v WHERE q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id) SELECT * FROM s {_RANK} 5",
     "knn_opposite": f"WITH {B.VECTORS}, s AS (SELECT q.vec_id AS query_id, v.vec_id, round(-list_cosine_similarity(q.vector, v.vector), 6) AS score FROM vecs q, vecs v WHERE q.vec_id % 100 = 0) SELECT * FROM s {_RANK} 5",
     "centroid": f"WITH {B.VECTORS}, e AS (SELECT label, CASE WHEN vec_id % 2 = 0 THEN 1.0 ELSE 0.25 END AS w, unnest(vector) AS x, unnest(range(64)) AS i FROM vecs) SELECT label, i::INT AS i, round(sum(w * x) / sum(w), 6)::DOUBLE AS x FROM e GROUP BY 1, 2",
-    "phrase_search": f"""WITH {B.VECTORS}, e AS (SELECT vec_id // 3 AS query_id, unnest(vector) AS x, unnest(range(64)) AS i FROM vecs WHERE vec_id < 60), m AS (SELECT query_id, i, avg(x) AS x FROM e GROUP BY 1, 2), c AS (SELECT query_id, list(x ORDER BY i) AS v FROM m GROUP BY 1),
+    "phrase_search": f"""WITH {B.VECTORS}, e AS (SELECT vec_id // 3 AS query_id, unnest(vector) AS x, unnest(range(64)) AS i FROM vecs WHERE (vec_id // 3) % 100 = 0), m AS (SELECT query_id, i, avg(x) AS x FROM e GROUP BY 1, 2), c AS (SELECT query_id, list(x ORDER BY i) AS v FROM m GROUP BY 1),
 s AS (SELECT query_id, vec_id, round(list_cosine_similarity(v, vector), 6) AS score FROM c, vecs) SELECT * FROM s {_RANK} 3""",
     "label_statement": f"""WITH {B.VECTORS}, e AS (SELECT label AS query_id, unnest(vector) AS x, unnest(range(64)) AS i FROM vecs), m AS (SELECT query_id, i, avg(x) AS x FROM e GROUP BY 1, 2), c AS (SELECT query_id, list(x ORDER BY i) AS v FROM m GROUP BY 1),
 s AS (SELECT query_id, vec_id, round(list_cosine_similarity(v, vector), 6) AS score FROM c, vecs) SELECT * FROM s {_RANK} 1""",
     "anchor_classify": f"""WITH {B.VECTORS}, f AS (SELECT label, arg_min(vector, vec_id) AS av FROM vecs GROUP BY 1), s AS (SELECT v.vec_id, f.label::VARCHAR AS value, round(list_cosine_similarity(v.vector, av), 6) AS s FROM vecs v, f),
 r AS (SELECT *, row_number() OVER w AS n, lead(s) OVER w AS s2 FROM s WINDOW w AS (PARTITION BY vec_id ORDER BY s DESC, value DESC)) SELECT vec_id, CASE WHEN s >= 0.2 AND s - s2 >= 0.05 THEN value ELSE 'none' END AS value FROM r WHERE n = 1""",
-    "axis_antonyms": f"WITH {B.VECTORS}, e AS (SELECT vec_id AS a, unnest(vector) AS x, unnest(range(64)) AS b FROM vecs WHERE vec_id < 64), p AS (SELECT a, b FROM e WHERE x < 0 AND a <> b) SELECT a, b FROM p UNION SELECT b, a FROM p",
+    "axis_antonyms": f"WITH {B.VECTORS}, e AS (SELECT vec_id AS a, unnest(vector) AS x, unnest(range(64)) AS b FROM vecs), p AS (SELECT a, b FROM e WHERE x < 0 AND a <> b) SELECT a, b FROM p UNION SELECT b, a FROM p",
     "nearest_category": f"WITH {B.EVENTS} SELECT user_id AS item, arg_min(event_type, (-value, event_type)) AS category FROM ev WHERE value / 200 >= 0.85 GROUP BY 1",
-    "compose_vector": f"{_PAIR}, e AS (SELECT a, unnest(va) AS x, unnest(vb) AS y, unnest(range(64)) AS i FROM p WHERE a < 200) SELECT a, i::INT AS i, round(tanh(x + CASE WHEN a % 2 = 0 THEN 0.5 ELSE 0 END * y), 6) AS x FROM e",
+    "compose_vector": f"{_PAIR}, e AS (SELECT a, unnest(va) AS x, unnest(vb) AS y, unnest(range(64)) AS i FROM p) SELECT a, i::INT AS i, round(tanh(x + CASE WHEN a % 2 = 0 THEN 0.5 ELSE 0 END * y), 6) AS x FROM e",
     "gloss_tokens": f"WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents WHERE lang = 'en'), u AS (SELECT DISTINCT doc_id, w FROM w WHERE length(w) > 2 AND w NOT IN {tuple(STOP)!r}) SELECT d.doc_id, coalesce(string_agg(w, ' ' ORDER BY w), '') AS tokens FROM documents d LEFT JOIN u USING (doc_id) WHERE lang = 'en' GROUP BY 1",
     "primary_senses": f"WITH {SENSES} SELECT word, pos, sense FROM senses QUALIFY row_number() OVER (PARTITION BY word, pos ORDER BY nr, sense) <= 3",
     "sibling_senses": f"WITH {SENSES}, r AS (SELECT *, row_number() OVER (PARTITION BY word, pos ORDER BY nr, sense) AS rank FROM senses) SELECT s.sense, r.sense AS sibling, rank FROM senses s JOIN r ON s.word = r.word AND s.pos = r.pos AND s.sense <> r.sense WHERE rank <= 4",
