@@ -25,7 +25,7 @@ ROWS, GRAMS, LANGUAGES = 2000, 30_000, 256
 #: A switch costs as much as a word that is so much likelier in the other language; scores of a word differ by WORD at most.
 SWITCH, WORD = 6.0, 10.0
 #: Words that a worker remembers.
-REMEMBER = 400_000
+REMEMBER = 300_000
 # Unicode ranges of scripts (first and last code point).
 SCRIPTS = {
     "latin": [(0x41, 0x5A), (0x61, 0x7A), (0xAA, 0xAA), (0xBA, 0xBA), (0xC0, 0x24F), (0x1E00, 0x1EFF)],
@@ -232,7 +232,7 @@ def identify(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",)
         for batch in batches:
             column = batch.column(0)
             _, offsets = text_buffer(column)
-            for a, b in runs(offsets, max(1 << 20, (96 << 20) // max(k, 4))):
+            for a, b in runs(offsets, max(1 << 20, (32 << 20) // max(k, 4))):
                 texts = column.slice(a, b - a).to_pylist()
                 pred, share, lists = ["und"] * len(texts), np.zeros(len(texts)), pa.array([[]] * len(texts), pa.list_(span))
                 if k:
