@@ -66,7 +66,7 @@ def remove_repeats(docs: DataFrame, span: int = 50, whole_characters: bool = Fal
 
     Null and empty texts have no bytes. Rows of the same doc_id are one document's, so neither is
     earlier; a null doc_id is later than any. whole_characters keeps a character that is covered
-    only in part, so that kept is valid UTF-8. Carried columns follow, whatever their names.
+    only in part, so that kept is valid UTF-8. Carried columns follow; they must not have one of the names above.
     """
 
     def finish(table: pa.Table, offsets: np.ndarray, covered: np.ndarray) -> pa.Table:
