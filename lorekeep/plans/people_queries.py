@@ -34,10 +34,10 @@ def _refs(s, d):
 def _verdicts(s, d):
     o = B.table(s, d, "orders")
     k = F.col("o_orderkey")
-    return o.select(k.alias("id"), F.col("o_custkey").alias("speaker"), F.array(F.lit("a|is_a|b"), (k % 40).cast("string"), (k % 7).cast("string")).alias("premises"), F.element_at(F.array(F.lit("true"), F.lit("false"), F.lit("unknown")), (k % 3 + 1).cast("int")).alias("token"), F.array(F.when(k % 5 == 0, "chain: x").otherwise("fact")).alias("derivation"), F.concat("o_orderpriority", F.lit("-"), (k % 50).cast("string")).alias("text"))
+    return o.select(k.alias("id"), F.col("o_custkey").alias("speaker"), F.array(F.lit("a|is_a|b"), (k % 40).cast("string"), (k % 7).cast("string")).alias("premises"), F.element_at(F.array(F.lit("true"), F.lit("false"), F.lit("unknown")), (k % 3 + 1).cast("int")).alias("token"), F.array(F.when(k % 5 == 0, "chain: x").otherwise("fact")).alias("derivation"), F.concat("o_orderpriority", F.lit("-"), (k % 20011).cast("string")).alias("text"))
 
 
-VERDICTS = "verd AS (SELECT o_orderkey AS id, o_custkey AS speaker, list_extract(['true', 'false', 'unknown'], (o_orderkey % 3 + 1)::INT) AS token, o_orderkey % 5 = 0 AS chained, o_orderpriority || '-' || (o_orderkey % 50) AS text FROM orders)"
+VERDICTS = "verd AS (SELECT o_orderkey AS id, o_custkey AS speaker, list_extract(['true', 'false', 'unknown'], (o_orderkey % 3 + 1)::INT) AS token, o_orderkey % 5 = 0 AS chained, o_orderpriority || '-' || (o_orderkey % 20011) AS text FROM orders)"
 
 
 def _docs(s, d):
@@ -45,7 +45,7 @@ def _docs(s, d):
 
 
 def _held(s, d):
-    return B.table(s, d, "orders").where("o_orderkey % 11 = 0").select(F.concat("o_orderpriority", F.lit("-"), (F.col("o_orderkey") % 50).cast("string")).alias("text")).distinct()
+    return B.table(s, d, "orders").where("o_orderkey % 11 = 0").select(F.concat("o_orderpriority", F.lit("-"), (F.col("o_orderkey") % 20011).cast("string")).alias("text")).distinct()
 
 
 def _fuzzy(s, d):
@@ -110,7 +110,7 @@ QUERIES = {
 }
 
 _PD = f"{VERDICTS}, prem AS (SELECT id, 1 AS pos, (id % 40)::VARCHAR AS doc FROM verd UNION ALL SELECT id, 2, (id % 7)::VARCHAR FROM verd), pd AS (SELECT id, pos, doc, CASE WHEN n_nationkey % 2 = 0 THEN 'axiom' ELSE 'theorem' END AS kind, n_name AS original FROM prem JOIN nation ON doc = n_nationkey::VARCHAR)"
-_HELD = "held AS (SELECT DISTINCT o_orderpriority || '-' || (o_orderkey % 50) AS text FROM orders WHERE o_orderkey % 11 = 0)"
+_HELD = "held AS (SELECT DISTINCT o_orderpriority || '-' || (o_orderkey % 20011) AS text FROM orders WHERE o_orderkey % 11 = 0)"
 
 ORACLES = {
     "resolve_canonical": f"""WITH {PEOPLE}, refs AS (SELECT DISTINCT CASE o_orderkey % 3 WHEN 0 THEN 'u' || o_custkey WHEN 1 THEN o_custkey::VARCHAR ELSE 'chat:' || o_custkey END AS ref FROM orders), f AS (SELECT ref, coalesce(u.uid, r.uid, k.uid) AS uid FROM refs LEFT JOIN people u ON u.uid = ref LEFT JOIN people r ON r.row_id = ref LEFT JOIN people k ON k.context_key = ref AND k.kind <> 'individual')
