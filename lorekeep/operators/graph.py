@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.runtime import cut
@@ -143,26 +143,55 @@ def charitable_subsumes(pairs: DataFrame, siblings: DataFrame, closure: DataFram
     return pairs.join(best, ["child", "parent"], "left").select("child", "parent", F.col("m.c").alias("child_sense"), F.col("m.p").alias("parent_sense"))
 
 
-def revoke_cascade(theorems: DataFrame, premise_ids: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """(id, round): active theorems that rest on the ids, directly or through others; cycle-safe."""
-    needs = theorems.where("not archived").select("id", F.explode("premises").alias("premise"))
-    frontier = premise_ids.select(F.col("id").alias("premise"))
-    rounds = []
-    for n in range(1, max_rounds + 1):
-        hit = needs.join(frontier, "premise", "left_semi").select("id").distinct()
-        if rounds:
-            hit = hit.join(reduce(DataFrame.unionByName, rounds).select("id"), "id", "left_anti")
-        hit = cut(hit.withColumn("round", F.lit(n)))
-        if hit.isEmpty():
-            break
-        rounds.append(hit)
-        frontier = hit.select(F.col("id").alias("premise"))
-    return reduce(DataFrame.unionByName, rounds) if rounds else premise_ids.select("id", F.lit(0).alias("round")).limit(0)
-
+def _hang(jumps: DataFrame) -> DataFrame:
+    """(id, to, w) of jumps, one an id, followed to a node without a jump of its own, with the steps to it.
 
-def postable_taint(theorems: DataFrame, max_rounds: int = 64) -> DataFrame:
+    Pointer doubling: every round doubles the steps of a jump, so a chain of n takes log2(n) rounds. Jumps still open after as many
+    steps as there are rows run into a cycle and lead nowhere.
+    """
+    more = jumps.select(F.col("id").alias("to"), F.lit(False).alias("done"))
+    jumps = cut(jumps.join(more, "to", "left").select("id", "to", "w", F.coalesce("done", F.lit(True)).alias("done")))
+    ended, running, rows, steps = [jumps.where("done")], jumps.where("not done"), jumps.count(), 1
+    while steps <= rows and not running.isEmpty():
+        ahead = reduce(DataFrame.unionByName, [*ended, running]).select(F.col("id").alias("to"), F.col("to").alias("_to"), F.col("w").alias("_w"), F.col("done").alias("_done"))
+        moved = cut(running.drop("done").join(ahead, "to").select("id", F.col("_to").alias("to"), (F.col("w") + F.col("_w")).alias("w"), F.col("_done").alias("done")))
+        ended.append(moved.where("done"))
+        running, steps = moved.where("not done"), steps * 2
+    return reduce(DataFrame.unionByName, ended).drop("done")
+
+
+def revoke_cascade(theorems: DataFrame, premise_ids: DataFrame) -> DataFrame:
+    """(id, round): active theorems that rest on the ids, directly or through others, however far; round is the least distance. Cycle-safe.
+
+    Theorems that rest on one other theorem jump along it by doubling, so a chain of n takes log2(n) rounds. Those that rest on several
+    are settled in rounds over what is left, as many as there are such theorems on a shortest path.
+    """
+    needs = cut(theorems.where("not archived").select("id", F.explode("premises").alias("premise")).distinct())
+    first = cut(needs.join(premise_ids.select(F.col("id").alias("premise")), "premise", "left_semi").select("id").distinct())
+    known = first.select("id", F.lit(1).cast("long").alias("round"))
+    steps = needs.where("premise <> id").join(first, "id", "left_anti").join(needs.select(F.col("id").alias("premise")), "premise", "left_semi")
+    steps = cut(steps.withColumn("n", F.count("*").over(Window.partitionBy("id"))))
+    hanging = _hang(steps.where("n = 1").select("id", F.col("premise").alias("to"), F.lit(1).cast("long").alias("w")))
+    several = steps.where("n > 1")
+    if not several.isEmpty():
+        arcs = several.join(hanging.select(F.col("id").alias("premise"), "to", "w"), "premise", "left")
+        arcs = cut(arcs.groupBy(F.coalesce("to", "premise").alias("to"), "id").agg((F.min(F.coalesce("w", F.lit(0))) + 1).alias("w")))
+        settled, frontier = known.limit(0), known
+        while True:
+            found = arcs.join(frontier.select(F.col("id").alias("to"), "round"), "to").groupBy("id").agg(F.min(F.col("round") + F.col("w")).alias("round"))
+            better = found.join(settled.withColumnRenamed("round", "_round"), "id", "left").where("_round is null or round < _round")
+            frontier = cut(better.select("id", "round"))
+            if frontier.isEmpty():
+                break
+            settled = cut(settled.unionByName(frontier).groupBy("id").agg(F.min("round").alias("round")))
+        known = known.unionByName(settled)
+    far = hanging.join(known.select(F.col("id").alias("to"), "round"), "to").select("id", (F.col("round") + F.col("w")).alias("round"))
+    return known.unionByName(far).select("id", F.col("round").cast("int").alias("round"))
+
+
+def postable_taint(theorems: DataFrame) -> DataFrame:
     """(id, postable): a conclusion is publishable only if it is itself and every theorem below it is."""
     tainted = theorems.where("not postable").select("id")
-    below = revoke_cascade(theorems.withColumn("archived", F.lit(False)), tainted, max_rounds).select("id")
+    below = revoke_cascade(theorems.withColumn("archived", F.lit(False)), tainted).select("id")
     bad = tainted.unionByName(below).distinct().withColumn("_bad", F.lit(True))
     return theorems.join(bad, "id", "left").select("id", F.col("_bad").isNull().alias("postable"))
