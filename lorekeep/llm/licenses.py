@@ -1,31 +1,86 @@
 """Licences of files: sparse TF-IDF cosine of statements to templates, and inheritance from the nearest ancestor directory.
 
-All on DataFrame functions. A statement is a line (of the whole text) with a word of the templates
-that is not very common; only those lines are exploded into words. Weights come from all statements
-of the corpus. A file's licence is that of its best statement; a file that mostly is a licence
-statement is its directory's licence file, and files without a statement of their own take the
-licence of the nearest directory above them that has one.
+All on DataFrame functions. A text is cut at line ends and sentence ends, long lines at commas too. A
+statement is a window of neighbouring segments that begins at most two before a word of licences, so
+wrapped notices, paragraphs of licences and sentences inside long lines are statements; the whole text
+is one more, scored against the full licence texts. Weights come from the segments where statements
+begin. A file's licence is that of its best statement; a file that mostly is in statements is its
+directory's licence file, and files without a statement of their own take the licence of the nearest
+directory above them that has one.
 """
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, read_table
 from .spotsigs import COMMON
 
-# Short forms of licence statements, by SPDX identifier.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted. BSD 3-Clause License.",
-    "CC-BY-4.0": "This work is licensed under the Creative Commons Attribution 4.0 International License. Licensed under CC BY 4.0.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "LGPL-3.0": "This library is licensed under the GNU Lesser General Public License, version 3.",
-    "MIT": "Released under the MIT License.",
-    "MPL-2.0": "This source code form is subject to the terms of the Mozilla Public License, v. 2.0.",
+# Short forms, standard headers, titles and grants of licences, by SPDX identifier.
+_GNU = "This {what} is free software{mark} you can redistribute it and/or modify it under the terms of the GNU {kind} as published by the Free Software Foundation{mark2} either version {n} of the License, or (at your option) any later version."
+TEMPLATES: dict[str, list[str]] = {
+    "Apache-2.0": [
+        "Licensed under the Apache License, Version 2.0.",
+        "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/",
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
+    ],
+    "BSD-2-Clause": ["BSD 2-Clause License.", "Licensed under the BSD 2-Clause License."],
+    "BSD-3-Clause": [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted. BSD 3-Clause License.",
+        "BSD 3-Clause License.",
+        "Licensed under the BSD 3-Clause License.",
+    ],
+    "CC-BY-4.0": [
+        "This work is licensed under the Creative Commons Attribution 4.0 International License. Licensed under CC BY 4.0.",
+        "This work is licensed under the Creative Commons Attribution 4.0 International License.",
+        "Licensed under CC BY 4.0.",
+        "Creative Commons Attribution 4.0 International Public License",
+    ],
+    "CC-BY-NC-4.0": [
+        "Licensed under CC BY-NC 4.0.",
+        "This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License.",
+        "Creative Commons Attribution-NonCommercial 4.0 International Public License",
+    ],
+    "GPL-2.0": [
+        "This work is licensed under the GNU General Public License, version 2.",
+        "GNU General Public License Version 2, June 1991",
+        _GNU.format(what="program", mark=";", mark2=";", kind="General Public License", n=2),
+    ],
+    "GPL-3.0": [
+        "This work is licensed under the GNU General Public License, version 3.",
+        "GNU General Public License Version 3, 29 June 2007",
+        _GNU.format(what="program", mark=":", mark2=",", kind="General Public License", n=3),
+    ],
+    "LGPL-2.1": [
+        "This library is licensed under the GNU Lesser General Public License, version 2.1.",
+        "GNU Lesser General Public License Version 2.1, February 1999",
+        _GNU.format(what="library", mark=";", mark2=";", kind="Lesser General Public License", n="2.1"),
+    ],
+    "LGPL-3.0": [
+        "This library is licensed under the GNU Lesser General Public License, version 3.",
+        "GNU Lesser General Public License Version 3, 29 June 2007",
+        _GNU.format(what="library", mark=":", mark2=",", kind="Lesser General Public License", n=3),
+    ],
+    "MIT": [
+        "Released under the MIT License.",
+        "Licensed under the MIT License.",
+        "MIT License",
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
+    ],
+    "MPL-2.0": [
+        "This source code form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "Mozilla Public License Version 2.0",
+    ],
 }
+#: Full licence texts, by SPDX identifier.
+TEXTS = {p.stem: p.read_text() for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
+#: Words near which a statement begins; each template has one.
+ANCHORS = r"licen[cs]\w*|redistribut\w*|permission|mozilla|gnu|apache|bsd|creative commons|cc[ -]by"
+#: Segments of a window, words from which on a line is cut at commas too, and how far before an anchor a window begins.
+LENGTHS, LONG, BEFORE = (1, 2, 3, 4, 5, 6, 8, 10, 12, 16), 25, 2
 #: Least cosine of a statement to its template, and least share of a licence file's words that are in statements.
 COSINE, SHARE = 0.7, 0.5
 _WORD = r"[\p{L}\p{N}]+(?:[.-][\p{L}\p{N}]+)*"
@@ -42,42 +97,66 @@ def _key_words(templates: dict[str, str]) -> list[str]:
     return sorted(w for w in found - set(COMMON) if len(w) > 2 and not w[0].isdigit())
 
 
+def segments_of(text: Column) -> Column:
+    """Lines and sentences with a word; lines of more than LONG words are cut at commas, brackets and before `licensed under` too."""
+    clean = lambda x: F.regexp_replace(x, r"([.!?;:])\s+", "$1\n")
+    fine = lambda x: F.regexp_replace(F.regexp_replace(x, r"[,()]\s*", "$0\n"), r"(?i)\s(?=(?:licensed|released|distributed|available) under)", "\n")
+    lines = F.split(text, r"[\r\n]+")
+    cut_up = F.transform(lines, lambda x: F.when(F.size(words_of(x)) > LONG, fine(clean(x))).otherwise(clean(x)))
+    return F.filter(F.split(F.array_join(cut_up, "\n"), "\n+"), lambda x: x.rlike(r"[\p{L}\p{N}]"))
+
+
+def _statements(files: DataFrame, anchors: str, texts: bool) -> DataFrame:
+    """(file_id, all_words, first, unit, sizes, single, whole): windows of segments, and whole texts no longer than twice the longest full text."""
+    most = 2 * max((len(t.split()) for t in TEXTS.values()), default=0)
+    near = files.where(F.lower("text").rlike(anchors)).select("file_id", F.size(words_of(F.col("text"))).alias("all_words"), segments_of(F.col("text")).alias("segs")).where(F.size("segs") > 0)
+    near = near.withColumn("sizes", F.transform("segs", lambda x: F.size(words_of(x))))
+    spots = F.filter(F.sequence(F.lit(1), F.size("segs")), lambda i: F.exists(F.slice("segs", i, BEFORE + 1), lambda x: F.lower(x).rlike(anchors)))
+    lengths = F.array(*[F.lit(n) for n in LENGTHS])
+    window = lambda i, n, single, whole: F.struct(i.alias("first"), F.array_join(F.slice("segs", i, n), " ").alias("unit"), F.slice("sizes", i, n).alias("sizes"), single.alias("single"), F.lit(whole).alias("whole"))
+    some = F.flatten(F.transform(spots, lambda i: F.transform(F.filter(lengths, lambda n: i + n - 1 <= F.size("segs")), lambda n: window(i, n, (n == 1) & F.lower(F.get(F.col("segs"), i - 1)).rlike(anchors), False))))
+    every = F.when(F.col("all_words").between(20, most) & F.lit(texts), F.array(window(F.lit(1), F.size("segs"), F.lit(False), True))).otherwise(F.slice(some, 1, 0))
+    return near.select("file_id", "all_words", F.explode(F.concat(some, every)).alias("w")).select("file_id", "all_words", "w.*")
+
+
 def scan_licenses(files: DataFrame, templates: dict[str, str] | None = None, cosine: float = COSINE) -> DataFrame:
     """(file_id, license, score, how, inherited_from) for each of files (file_id, path, text).
 
     how is `own`, `inherited` or `none`. Null and empty texts have no statements; a null path is in no
     directory. Of equally good statements the first by template name counts; of several licence files
     in a directory the one of highest score, then of first path and smallest id. Repeated rows are
-    files of their own with one id and get one answer each.
+    files of their own with one id and get one answer each. With templates (licence, text) of the
+    caller's own only those are looked for.
     """
     spark = files.sparkSession
-    templates = templates or TEMPLATES
-    pattern = rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(_key_words(templates))})(?![\p{{L}}\p{{N}}])"
+    forms = [(k, f"{k} {i}", False, t) for k, v in (templates or TEMPLATES).items() for i, t in enumerate([v] if isinstance(v, str) else v)]
+    forms += [] if templates else [(k, f"{k} text", True, t) for k, t in TEXTS.items()]
+    pattern = rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(_key_words(templates)) if templates else ANCHORS})(?![\p{{L}}\p{{N}}])"
     files = files.select("file_id", F.col("path").cast("string").alias("path"), F.col("text").cast("string").alias("text"))
-    lines = files.where(F.lower("text").rlike(pattern)).select("file_id", F.size(words_of(F.col("text"))).alias("all_words"), F.explode(F.filter(F.split("text", "\n"), lambda x: F.lower(x).rlike(pattern))).alias("line"))
-    lines = cut(lines)
-    total = lines.count()
-    # Equal statements are scored once, whatever their number.
-    statements = lines.groupBy("line").agg(F.count("*").alias("n"))
-    known = spark.createDataFrame(sorted(templates.items()), "license string, template string")
-    terms = statements.select(F.col("line").alias("unit"), "n", F.explode(words_of(F.col("line"))).alias("word")).groupBy("unit", "word").agg(F.first("n").alias("n"), F.count("*").alias("tf"))
-    wanted = known.select("license", F.explode(words_of(F.col("template"))).alias("word")).groupBy("license", "word").agg(F.count("*").alias("tf"))
+    lines = cut(_statements(files, pattern, not templates).withColumn("key", F.sha2("unit", 256)))
+    total = lines.where("single").count()
+    # Equal statements are scored once, whatever their number; words carry the statement's digest, as whole texts are long.
+    statements = lines.groupBy("key", "whole").agg(F.count_if("single").alias("n"), F.first("unit").alias("unit"))
+    known = spark.createDataFrame(forms, "license string, template string, whole boolean, text string")
+    damped = (F.log(F.count("*")) + 1).alias("tf")
+    terms = statements.select("key", "whole", "n", F.explode(words_of(F.col("unit"))).alias("word")).groupBy("key", "whole", "word").agg(F.first("n").alias("n"), damped)
+    wanted = known.select("license", "template", "whole", F.explode(words_of(F.col("text"))).alias("word")).groupBy("license", "template", "whole", "word").agg(damped)
     df = terms.groupBy("word").agg(F.sum("n").alias("df"))
     weights = df.select("word", (F.log(F.lit(total + 1) / (F.col("df") + 1)) + 1).alias("idf"))
-    weighed = terms.join(weights, "word").select("unit", "word", (F.col("tf") * F.col("idf")).alias("w"))
+    weighed = terms.join(weights, "word").select("key", "whole", "word", (F.col("tf") * F.col("idf")).alias("w"))
     unseen = F.log(F.lit(float(total + 1))) + 1
-    models = wanted.join(weights, "word", "left").select("license", "word", (F.col("tf") * F.coalesce("idf", unseen)).alias("m"))
-    norms = models.groupBy("license").agg(F.sqrt(F.sum(F.col("m") * F.col("m"))).alias("m_norm"))
-    own_norm = weighed.groupBy("unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("w_norm"))
-    dots = weighed.join(F.broadcast(models), "word").groupBy("unit", "license").agg(F.sum(F.col("w") * F.col("m")).alias("dot"))
-    scored = dots.join(own_norm, "unit").join(F.broadcast(norms), "license").select("unit", "license", F.round(F.col("dot") / F.col("w_norm") / F.col("m_norm"), 9).alias("score"))
-    top = scored.groupBy("unit").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b")).select("unit", F.col("b.license").alias("license"), (-F.col("b.s")).alias("score")).where(F.col("score") >= cosine)
-    found = lines.join(top, lines["line"] == top["unit"]).groupBy("file_id").agg(
-        F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b"),
-        F.sum(F.size(words_of(F.col("line")))).alias("in_statements"),
-        F.max("all_words").alias("all_words"),
-    )
-    own = found.select("file_id", F.col("b.license").alias("own"), (-F.col("b.s")).alias("own_score"), (F.col("in_statements") >= SHARE * F.col("all_words")).alias("is_file"))
+    models = wanted.join(weights, "word", "left").select("license", "template", "whole", "word", (F.col("tf") * F.coalesce("idf", unseen)).alias("m"))
+    norms = models.groupBy("template").agg(F.sqrt(F.sum(F.col("m") * F.col("m"))).alias("m_norm"))
+    own_norm = weighed.groupBy("key", "whole").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("w_norm"))
+    dots = weighed.join(F.broadcast(models), ["whole", "word"]).groupBy("key", "whole", "license", "template").agg(F.sum(F.col("w") * F.col("m")).alias("dot"))
+    scored = dots.join(own_norm, ["key", "whole"]).join(F.broadcast(norms), "template").select("key", "whole", "license", F.round(F.col("dot") / F.col("w_norm") / F.col("m_norm"), 9).alias("score"))
+    top = scored.groupBy("key", "whole").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b")).select("key", "whole", F.col("b.license").alias("license"), (-F.col("b.s")).alias("score")).where(F.col("score") >= cosine)
+    found = cut(lines.drop("unit").join(top, ["key", "whole"]))
+    # A whole licence text tells more than a statement in it. Windows overlap: the words of a segment count once.
+    best = found.groupBy("file_id").agg(F.min(F.struct((~F.col("whole")).alias("part"), (-F.col("score")).alias("s"), "license")).alias("b"), F.max("all_words").alias("all_words"))
+    parts = found.select("file_id", "first", F.posexplode("sizes").alias("at", "words")).groupBy("file_id", (F.col("first") + F.col("at")).alias("at")).agg(F.max("words").alias("words"))
+    covered = parts.groupBy("file_id").agg(F.sum("words").alias("in_statements"))
+    own = best.join(covered, "file_id").select("file_id", F.col("b.license").alias("own"), (-F.col("b.s")).alias("own_score"), (F.col("in_statements") >= SHARE * F.col("all_words")).alias("is_file"))
     placed = files.select("file_id", "path").join(own, "file_id", "left")
     directory = F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "")).otherwise(F.when(F.col("path").isNotNull(), F.lit("")))
     placed = placed.withColumn("dir", directory)
