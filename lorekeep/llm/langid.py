@@ -20,8 +20,8 @@ from pyspark.sql.types import StructType
 from .arrays import runs, text_buffer
 from .common import read_table
 
-#: Labelled rows of a language that are learned from, trigrams kept of each, and languages at most.
-ROWS, GRAMS, LANGUAGES = 2000, 30_000, 256
+#: Distinct labelled texts of a language that are learned from, and trigrams kept of each.
+ROWS, GRAMS = 2000, 30_000
 #: A switch costs as much as a word that is so much likelier in the other language; scores of a word differ by WORD at most.
 SWITCH, WORD = 6.0, 10.0
 #: Words that a worker remembers.
@@ -175,11 +175,12 @@ def viterbi(scores: np.ndarray, ids: np.ndarray, first: np.ndarray, switch: floa
     start, length = first[:-1][by], length[by]
     steps = int(length[0]) if len(length) else 0
     alive = np.searchsorted(-length, -np.arange(steps), "left")
-    came = np.zeros((len(ids), k), np.uint8)
-    label = np.zeros(len(ids), np.uint8)
+    small = np.min_scalar_type(max(k - 1, 0))
+    came = np.zeros((len(ids), k), small)
+    label = np.zeros(len(ids), small)
     value = np.zeros((len(by), k), np.float32)
-    own = np.arange(k, dtype=np.uint8)
-    ends = np.zeros(len(by), np.uint8)
+    own = np.arange(k, dtype=small)
+    ends = np.zeros(len(by), small)
     for t in range(steps):
         n = alive[t]
         if n < len(value):
@@ -189,10 +190,10 @@ def viterbi(scores: np.ndarray, ids: np.ndarray, first: np.ndarray, switch: floa
         best = value.argmax(axis=1)
         leap = value[np.arange(n), best][:, None] - switch
         jump = leap > value
-        came[at] = np.where(jump, best[:, None].astype(np.uint8), own)
+        came[at] = np.where(jump, best[:, None].astype(small), own)
         value = np.where(jump, leap, value) + scores[ids[at]]
     ends[: len(value)] = value.argmax(axis=1) if k else 0
-    state = np.zeros(0, np.uint8)
+    state = np.zeros(0, small)
     for t in range(steps - 1, -1, -1):
         n = alive[t]
         if n > len(state):
@@ -204,13 +205,15 @@ def viterbi(scores: np.ndarray, ids: np.ndarray, first: np.ndarray, switch: floa
 
 
 def fit(labelled: DataFrame, rows: int = ROWS) -> Model:
-    """Learns from text and non-null lang, from at most about `rows` rows a language, chosen by a hash of the
-    text, and whole texts. Null, blank and rare languages' rows need no care; no rows give a model without languages."""
+    """Learns from text and non-null lang, from at most about `rows` distinct texts a language and at least one, chosen by
+    a hash of the text, and whole texts. Null, blank and rare languages' rows need no care; no rows give a model without languages."""
     known = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), "text")
-    count = known.groupBy("lang").count()
-    picked = count.orderBy(F.desc("count"), "lang").limit(LANGUAGES)
+    hashed = known.withColumn("h", F.xxhash64("text"))
+    # Copies of a text count once: they are one text to learn from. Only hashes are shuffled.
+    count = hashed.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("count"), F.min("h").alias("least"))
     share = F.least(F.lit(1.0), F.lit(float(rows)) / F.col("count"))
-    sample = known.join(F.broadcast(picked), "lang").where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share * (1 << 20)).select("lang", "text").distinct()
+    chosen = (F.pmod("h", F.lit(1 << 40)) < share * (1 << 40)) | (F.col("h") == F.col("least"))
+    sample = hashed.join(F.broadcast(count), "lang").where(chosen).select("lang", "text").distinct()
     grams = sample.mapInArrow(_counts, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = grams.groupBy("lang").agg(F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("n", "gram")))), 1, GRAMS).alias("g"))
     return Model(top.select("lang", F.explode("g").alias("g")).select("lang", "g.gram", "g.n").collect())
