@@ -2,22 +2,23 @@
 
 All on DataFrame functions. A text is cut at line ends and sentence ends, long lines at commas too. A
 statement is a window of neighbouring segments that begins at most two before a word of licences, so
-wrapped notices, paragraphs of licences and sentences inside long lines are statements; the whole text
-is one more, scored against the full licence texts. Weights come from the segments where statements
-begin. A file's licence is that of its best statement; a file that mostly is in statements is its
-directory's licence file, and files without a statement of their own take the licence of the nearest
-directory above them that has one.
+wrapped notices, paragraphs of licences and sentences inside long lines are statements; in each of its
+segments at least half of the words occur in some template. The whole text is one more, scored against
+those full licence texts of whose words it has at least half. Weights come from the segments where
+statements begin. A file's licence is what its SPDX tag names, else that of its best statement. Files
+that are named as licence files or that are a full licence text are their directory's licence file, and
+files without a licence of their own take that of the nearest directory above them that has one.
 """
 
 from __future__ import annotations
 
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, read_table
-from .spotsigs import COMMON
+from .spotsigs import COMMON, bind
 
 # Short forms, standard headers, titles and grants of licences, by SPDX identifier.
 _GNU = "This {what} is free software{mark} you can redistribute it and/or modify it under the terms of the GNU {kind} as published by the Free Software Foundation{mark2} either version {n} of the License, or (at your option) any later version."
@@ -81,8 +82,11 @@ TEXTS = {p.stem: p.read_text() for p in sorted((Path(__file__).parent / "license
 ANCHORS = r"licen[cs]\w*|redistribut\w*|permission|mozilla|gnu|apache|bsd|creative commons|cc[ -]by"
 #: Segments of a window, words from which on a line is cut at commas too, and how far before an anchor a window begins.
 LENGTHS, LONG, BEFORE = (1, 2, 3, 4, 5, 6, 8, 10, 12, 16), 25, 2
-#: Least cosine of a statement to its template, and least share of a licence file's words that are in statements.
+#: Least cosine of a statement to its template; least share of a segment's words in templates, and of a full text's words in a text.
 COSINE, SHARE = 0.7, 0.5
+# Names of licence files, and the tag that names a licence.
+LICENSE_NAME = r"(?i)^(?:.*/)?(?:un)?(?:licen[cs]e|copying|notice)[^/]*$"
+SPDX = r"SPDX-License-Identifier:\s*\(?([A-Za-z0-9][A-Za-z0-9.+-]*)"
 _WORD = r"[\p{L}\p{N}]+(?:[.-][\p{L}\p{N}]+)*"
 
 
@@ -106,62 +110,90 @@ def segments_of(text: Column) -> Column:
     return F.filter(F.split(F.array_join(cut_up, "\n"), "\n+"), lambda x: x.rlike(r"[\p{L}\p{N}]"))
 
 
-def _statements(files: DataFrame, anchors: str, texts: bool) -> DataFrame:
-    """(file_id, all_words, first, unit, sizes, single, whole): windows of segments, and whole texts no longer than twice the longest full text."""
-    most = 2 * max((len(t.split()) for t in TEXTS.values()), default=0)
-    near = files.where(F.lower("text").rlike(anchors)).select("file_id", F.size(words_of(F.col("text"))).alias("all_words"), segments_of(F.col("text")).alias("segs")).where(F.size("segs") > 0)
+def _vocabulary(texts: list[str]) -> list[str]:
+    import re
+
+    return sorted({w for t in texts for w in re.findall(r"[^\W_]+(?:[.-][^\W_]+)*", t.lower())})
+
+
+def _share(words: Column, known: list[str]) -> Column:
+    return F.size(F.array_intersect(words, F.array(*[F.lit(w) for w in known])))
+
+
+def _near(files: DataFrame, anchors: str, forms: list[str], texts: dict[str, str]) -> DataFrame:
+    """(file, segs, sizes, like, spots, full) of files that have a word of licences: segments, their words, whether each
+    can be part of a statement, where statements begin, and the full licence texts that the whole text is scored against."""
+    near = files.where(F.lower("text").rlike(anchors)).select("file", "text", segments_of(F.col("text")).alias("segs")).where(F.size("segs") > 0)
     near = near.withColumn("sizes", F.transform("segs", lambda x: F.size(words_of(x))))
-    spots = F.filter(F.sequence(F.lit(1), F.size("segs")), lambda i: F.exists(F.slice("segs", i, BEFORE + 1), lambda x: F.lower(x).rlike(anchors)))
+    vocabulary = _vocabulary(forms)
+    like = F.transform("segs", lambda x: bind(F.array_distinct(words_of(x)), lambda w: _share(w, vocabulary) >= SHARE * F.size(w)))
+    every = F.array_distinct(words_of(F.col("text")))
+    full = F.filter(F.array(*[F.when(_share(F.col("every"), v) >= SHARE * len(v), F.lit(k)) for k, t in texts.items() for v in (_vocabulary([t]),)]), lambda x: x.isNotNull()) if texts else F.array().cast("array<string>")
+    marked = F.transform("segs", lambda x: F.lower(x).rlike(anchors))
+    near = near.withColumns({"like": like, "marked": marked, "every": every})
+    spots = F.filter(F.sequence(F.lit(1), F.size("segs")), lambda i: F.get("like", i - 1) & F.exists(F.slice("marked", i, BEFORE + 1), lambda x: x))
+    return near.select("file", "segs", "sizes", "like", "marked", spots.alias("spots"), full.alias("full"))
+
+
+def _statements(near: DataFrame) -> DataFrame:
+    """(file, key, first, unit, sizes, single, whole): windows of segments, and whole texts; key tells units apart."""
     lengths = F.array(*[F.lit(n) for n in LENGTHS])
     window = lambda i, n, single, whole: F.struct(i.alias("first"), F.array_join(F.slice("segs", i, n), " ").alias("unit"), F.slice("sizes", i, n).alias("sizes"), single.alias("single"), F.lit(whole).alias("whole"))
-    some = F.flatten(F.transform(spots, lambda i: F.transform(F.filter(lengths, lambda n: i + n - 1 <= F.size("segs")), lambda n: window(i, n, (n == 1) & F.lower(F.get(F.col("segs"), i - 1)).rlike(anchors), False))))
-    every = F.when(F.col("all_words").between(20, most) & F.lit(texts), F.array(window(F.lit(1), F.size("segs"), F.lit(False), True))).otherwise(F.slice(some, 1, 0))
-    return near.select("file_id", "all_words", F.explode(F.concat(some, every)).alias("w")).select("file_id", "all_words", "w.*")
+    fits = lambda i: lambda n: (i + n - 1 <= F.size("segs")) & F.forall(F.slice("like", i, n), lambda x: x)
+    some = F.flatten(F.transform("spots", lambda i: F.transform(F.filter(lengths, fits(i)), lambda n: window(i, n, (n == 1) & F.get(F.col("marked"), i - 1), False))))
+    every = F.when(F.size("full") > 0, F.array(window(F.lit(1), F.size("segs"), F.lit(False), True))).otherwise(F.slice(some, 1, 0))
+    out = near.select("file", F.explode(F.concat(some, every)).alias("w")).select("file", "w.*")
+    return out.withColumn("key", F.unhex(F.md5("unit")))
 
 
 def scan_licenses(files: DataFrame, templates: dict[str, str] | None = None, cosine: float = COSINE) -> DataFrame:
     """(file_id, license, score, how, inherited_from) for each of files (file_id, path, text).
 
-    how is `own`, `inherited` or `none`. Null and empty texts have no statements; a null path is in no
-    directory. Of equally good statements the first by template name counts; of several licence files
-    in a directory the one of highest score, then of first path and smallest id. Repeated rows are
-    files of their own with one id and get one answer each. With templates (licence, text) of the
-    caller's own only those are looked for.
+    how is `own`, `inherited` or `none`; a tag has score 1. Null and empty texts have no statements; a
+    null path is in no directory; files without id are told apart by path and text. Of equally good
+    statements the first by licence counts; of several licence files in a directory the one of highest
+    score, then of first path and smallest id. Repeated rows get one answer each. Further columns are left out. An
+    empty table gives an empty table. With templates (licence, text) of the caller's own only those are looked for.
     """
     spark = files.sparkSession
     forms = [(k, f"{k} {i}", False, t) for k, v in (templates or TEMPLATES).items() for i, t in enumerate([v] if isinstance(v, str) else v)]
-    forms += [] if templates else [(k, f"{k} text", True, t) for k, t in TEXTS.items()]
+    texts = {} if templates else TEXTS
     pattern = rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(_key_words(templates)) if templates else ANCHORS})(?![\p{{L}}\p{{N}}])"
     files = files.select("file_id", F.col("path").cast("string").alias("path"), F.col("text").cast("string").alias("text"))
-    lines = cut(_statements(files, pattern, not templates).withColumn("key", F.sha2("unit", 256)))
-    total = lines.where("single").count()
-    # Equal statements are scored once, whatever their number; words carry the statement's digest, as whole texts are long.
-    statements = lines.groupBy("key", "whole").agg(F.count_if("single").alias("n"), F.first("unit").alias("unit"))
-    known = spark.createDataFrame(forms, "license string, template string, whole boolean, text string")
+    # Rows are told apart by all they have, as an id can be null or used twice.
+    files = files.withColumn("file", F.unhex(F.md5(F.to_json(F.struct(F.col("file_id").cast("string").alias("i"), "path", F.md5("text").alias("t"))))))
+    near = cut(_near(files, pattern, [t for *_, t in forms], texts).distinct())
+    lines = _statements(near)
+    singles = lines.where("single")
+    total = singles.count()
+    # Words of full texts and of forms: known before any text is read.
+    known = spark.createDataFrame([*forms, *((k, f"{k} text", True, t) for k, t in texts.items())], "license string, template string, whole boolean, text string")
     damped = (F.log(F.count("*")) + 1).alias("tf")
-    terms = statements.select("key", "whole", "n", F.explode(words_of(F.col("unit"))).alias("word")).groupBy("key", "whole", "word").agg(F.first("n").alias("n"), damped)
     wanted = known.select("license", "template", "whole", F.explode(words_of(F.col("text"))).alias("word")).groupBy("license", "template", "whole", "word").agg(damped)
-    df = terms.groupBy("word").agg(F.sum("n").alias("df"))
+    # Equal statements are scored once, whatever their number.
+    statements = lines.groupBy("key", "whole").agg(F.first("unit").alias("unit"))
+    terms = statements.select("key", "whole", F.explode(words_of(F.col("unit"))).alias("word")).groupBy("key", "whole", "word").agg(damped)
+    df = singles.select(F.explode(F.array_distinct(words_of(F.col("unit")))).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
     weights = df.select("word", (F.log(F.lit(total + 1) / (F.col("df") + 1)) + 1).alias("idf"))
-    weighed = terms.join(weights, "word").select("key", "whole", "word", (F.col("tf") * F.col("idf")).alias("w"))
     unseen = F.log(F.lit(float(total + 1))) + 1
+    weighed = terms.join(weights, "word", "left").select("key", "whole", "word", (F.col("tf") * F.coalesce("idf", unseen)).alias("w"))
     models = wanted.join(weights, "word", "left").select("license", "template", "whole", "word", (F.col("tf") * F.coalesce("idf", unseen)).alias("m"))
     norms = models.groupBy("template").agg(F.sqrt(F.sum(F.col("m") * F.col("m"))).alias("m_norm"))
     own_norm = weighed.groupBy("key", "whole").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("w_norm"))
     dots = weighed.join(F.broadcast(models), ["whole", "word"]).groupBy("key", "whole", "license", "template").agg(F.sum(F.col("w") * F.col("m")).alias("dot"))
     scored = dots.join(own_norm, ["key", "whole"]).join(F.broadcast(norms), "template").select("key", "whole", "license", F.round(F.col("dot") / F.col("w_norm") / F.col("m_norm"), 9).alias("score"))
     top = scored.groupBy("key", "whole").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b")).select("key", "whole", F.col("b.license").alias("license"), (-F.col("b.s")).alias("score")).where(F.col("score") >= cosine)
-    found = cut(lines.drop("unit").join(top, ["key", "whole"]))
-    # A whole licence text tells more than a statement in it. Windows overlap: the words of a segment count once.
-    best = found.groupBy("file_id").agg(F.min(F.struct((~F.col("whole")).alias("part"), (-F.col("score")).alias("s"), "license")).alias("b"), F.max("all_words").alias("all_words"))
-    parts = found.select("file_id", "first", F.posexplode("sizes").alias("at", "words")).groupBy("file_id", (F.col("first") + F.col("at")).alias("at")).agg(F.max("words").alias("words"))
-    covered = parts.groupBy("file_id").agg(F.sum("words").alias("in_statements"))
-    own = best.join(covered, "file_id").select("file_id", F.col("b.license").alias("own"), (-F.col("b.s")).alias("own_score"), (F.col("in_statements") >= SHARE * F.col("all_words")).alias("is_file"))
-    placed = files.select("file_id", "path").join(own, "file_id", "left")
+    found = lines.select("file", "key", "whole").join(top, ["key", "whole"])
+    # A whole licence text tells more than a statement in it.
+    best = found.groupBy("file").agg(F.min(F.struct((~F.col("whole")).alias("part"), (-F.col("score")).alias("s"), "license")).alias("b"), F.max("whole").alias("whole"))
+    best = best.select("file", F.col("b.license").alias("found"), (-F.col("b.s")).alias("found_score"), "whole")
+    tag = F.regexp_extract("text", SPDX, 1)
+    placed = files.select("file_id", "file", "path", F.when(tag != "", tag).alias("tag")).join(best, "file", "left")
     directory = F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "")).otherwise(F.when(F.col("path").isNotNull(), F.lit("")))
-    placed = placed.withColumn("dir", directory)
+    own = {"own": F.coalesce("tag", "found"), "own_score": F.when(F.col("tag").isNotNull(), 1.0).otherwise(F.col("found_score")), "dir": directory}
+    placed = placed.withColumns(own).withColumn("is_file", F.coalesce("whole", F.lit(False)) | F.col("path").rlike(LICENSE_NAME))
     first = F.min(F.struct((-F.col("own_score")).alias("s"), "path", "file_id", "own")).alias("b")
-    declared = placed.where("is_file and dir is not null").groupBy("dir").agg(first).select("dir", F.col("b.own").alias("dir_license"), (-F.col("b.s")).alias("dir_score"), F.col("b.path").alias("dir_file"))
+    declared = placed.where("is_file and own is not null and dir is not null").groupBy("dir").agg(first).select("dir", F.col("b.own").alias("dir_license"), (-F.col("b.s")).alias("dir_score"), F.col("b.path").alias("dir_file"))
     # Directories above each directory, nearest first: a path join instead of a walk.
     dirs = placed.where("dir is not null").select("dir").distinct()
     parts = F.split("dir", "/")
