@@ -9,6 +9,7 @@ links' components are the groups. A set travels once for each block it meets, ne
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,13 +21,24 @@ from .arrays import U, mix, runs, text_buffer, words
 from .common import cut, documents, read_table
 from .components import Forest, components
 
-#: Bands of rows: sets of similarity 0.85 miss all bands in 2 of 10^8 cases.
-BANDS, ROWS = 24, 4
-REGISTERS = BANDS * ROWS
+#: Registers of a signature at most, and how often two sets just at the threshold may miss all bands.
+REGISTERS, MISS = 128, 1e-7
 #: Sets in a block of a verification task.
 BLOCK = 256
 
 
+def banding(percent: int) -> tuple[int, int]:
+    """(bands, rows): as many rows a band as leave a chance of at most MISS that sets of that similarity share no band.
+
+    0.85 gives 22 bands of 4, 0.8 gives 31 of 4, 0.5 gives 57 of 2; below 0.12 one row a band and a greater chance is left.
+    """
+    for rows in (8, 7, 6, 5, 4, 3, 2, 1):
+        bands = math.ceil(math.log(MISS) / math.log1p(-((percent / 100) ** rows))) if percent < 100 else 1
+        if bands * rows <= REGISTERS:
+            return bands, rows
+    return REGISTERS, 1
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarray]:
     """For each row the sorted distinct hashes of its n-word shingles (fewer words: all of them as one; no word: none)."""
     h, first = words(data, offsets, lower=True)
@@ -54,7 +66,7 @@ def hash_sequence(h: np.ndarray) -> U:
     return acc
 
 
-def superminhash(sets: list[np.ndarray], m: int = REGISTERS) -> np.ndarray:
+def superminhash(sets: list[np.ndarray], m: int = 96) -> np.ndarray:
     """SuperMinHash signatures (rows x m): element e has the value j + r_j(e) in register p_j(e), p(e) a random permutation.
 
     All elements take step j together; a row is left out as soon as no register can still fall,
@@ -92,7 +104,7 @@ def superminhash(sets: list[np.ndarray], m: int = REGISTERS) -> np.ndarray:
     return out
 
 
-def band_keys(signatures: np.ndarray, bands: int = BANDS) -> np.ndarray:
+def band_keys(signatures: np.ndarray, bands: int) -> np.ndarray:
     parts = signatures.reshape(len(signatures), bands, -1)
     key = np.broadcast_to(np.arange(1, bands + 1, dtype=U) * U(0xE7037ED1A0B428DB), parts.shape[:2]).copy()
     with np.errstate(over="ignore"):
@@ -105,8 +117,9 @@ def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(values))
 
 
-def signatures(docs: DataFrame, shingle: int = 3) -> DataFrame:
+def signatures(docs: DataFrame, shingle: int = 3, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, set_a, set_b, bands): set_a and set_b tell shingle sets apart; empty sets have no bands."""
+    n_bands, n_rows = banding(percent)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,8 +129,8 @@ def signatures(docs: DataFrame, shingle: int = 3) -> DataFrame:
                 sizes = np.array([len(s) for s in sets], np.int64)
                 with np.errstate(over="ignore"):
                     marks = [np.array([mix(s + U(k)).sum() + U(k) for s in sets], U).view(np.int64) for k in (1, 2)]
-                keys = band_keys(superminhash(sets))[sizes > 0]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sizes), *map(pa.array, marks), _lists(keys.reshape(-1), np.where(sizes > 0, BANDS, 0))], ["doc_id", "n_shingles", "set_a", "set_b", "bands"])
+                keys = band_keys(superminhash(sets, n_bands * n_rows), n_bands)[sizes > 0]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sizes), *map(pa.array, marks), _lists(keys.reshape(-1), np.where(sizes > 0, n_bands, 0))], ["doc_id", "n_shingles", "set_a", "set_b", "bands"])
 
     return docs.mapInArrow(work, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
 
@@ -158,13 +171,15 @@ def _verify(percent: int):
 def near_duplicates(docs: DataFrame, *, shingle: int = 3, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs (doc_id, text).
 
-    Links are exact: Jaccard similarity of whole shingle sets of at least percent/100. Null, empty
+    Links are exact: Jaccard similarity of whole shingle sets of at least percent/100, where shingles are
+    64-bit hashes of their words and sets are equal if their sizes and two 64-bit sums over them are. Null, empty
     and blank texts have an empty set, link with nothing and are kept. Equal sets (copies, repeated
-    rows) are one class; of rows that repeat a doc_id each is returned. Rows without doc_id link
-    with nothing, have no component and are kept.
+    rows) are one class; rows of one doc_id are one document, which links what any of its texts links, and
+    each of its rows is returned. Rows without doc_id link with nothing, have no component and are kept.
+    Further columns are left out; an empty table gives an empty table.
     """
     known = documents(docs)
-    signed = cut(signatures(known, shingle))
+    signed = cut(signatures(known, shingle, percent))
     classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n"))
     classes = cut(classes)
     banded = classes.select("rep", F.explode("bands").alias("band"))
@@ -196,7 +211,10 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, percent: int = 85) ->
     )
     plan = sized.withColumn("block", block).select("node", "component", F.explode(meets).alias("m")).select("node", "component", "m.*")
     plan = plan.groupBy("node").agg(F.collect_list(F.struct("component", "la", "ka", "lb", "kb", "side")).alias("tasks"))
+    repeated = cut(known.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    once = repeated.isEmpty()
     wanted = known.join(plan, F.col("doc_id") == F.col("node")).select("node", "text", "tasks")
+    wanted = wanted if once else wanted.dropDuplicates(["node", "text"])
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,6 +226,9 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, percent: int = 85) ->
     shipped = wanted.mapInArrow(sets_of, f"doc long, hashes binary, tasks {plan.schema['tasks'].dataType.simpleString()}").select("doc", "hashes", F.explode("tasks").alias("t"))
     shipped = shipped.select("doc", "hashes", "t.*").withColumn("own", F.col("la") == F.col("lb"))
     links = shipped.groupBy("component", "la", "ka", "lb", "kb").applyInArrow(_verify(percent), "a long, b long")
+    if not once:  # classes that one document has
+        own = signed.where("n_shingles > 0").join(repeated, "doc_id").join(classes.select("set_a", "set_b", "rep"), ["set_a", "set_b"])
+        links = links.unionByName(own.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b").distinct())
     labels = components(links).select(F.col("node").alias("rep"), "component")
     named = classes.join(labels, "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component"))
     linked = signed.where("n_shingles > 0 and doc_id is not null").join(named, ["set_a", "set_b"]).select("doc_id", "n_shingles", "component")
