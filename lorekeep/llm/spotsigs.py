@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, read_table, shuffle_partitions
+from .common import cut, documents, read_table, shuffle_partitions
 
 # Very common words of English, German, French and Spanish.
 COMMON = (
@@ -20,12 +20,10 @@ COMMON = (
     "al con de del el es las lo los no para por se su una y"
 ).split()
 _STOP = "|".join(sorted(COMMON, key=len, reverse=True))
-#: Rows of a bucket of neighbouring documents: bounded by bytes of text.
-BUCKET_BYTES = 8 << 20
 
 
 def signatures(text: Column) -> Column:
-    """Sorted distinct 63-bit hashes of a text's spot signatures (antecedent and the next two content words, as far as there are any).
+    """Sorted distinct 64-bit hashes of a text's spot signatures (antecedent and the next two content words, as far as there are any).
 
     A text without spots has one signature, the hash of the whole text; so has the empty text. A null text is empty.
     """
@@ -55,8 +53,8 @@ def bind(value: Column, f) -> Column:
 
 
 def fingerprint(signed: Column) -> Column:
-    """A signature set as text: hexadecimal hashes, in order."""
-    return F.array_join(F.transform(signed, lambda x: F.hex(x)), "")
+    """A signature set as text: hexadecimal hashes of 16 digits each, in order."""
+    return F.array_join(F.transform(signed, lambda x: F.lpad(F.hex(x), 16, "0")), "")
 
 
 def likeness(a: Column, b: Column, threshold: float = 0.0) -> Column:
@@ -87,42 +85,33 @@ def near_pairs(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     return both.select("a", "b", likeness(F.col("sa"), F.col("sb"), threshold).alias("likeness")).where(F.col("likeness") >= threshold - 1e-12)
 
 
-def with_next(rows: DataFrame, key: str, size: Column, columns: list[str]) -> DataFrame:
-    """Each row with the given columns of the next one in descending order of key, under next_<name>; after the last comes the first.
+def with_next(docs: DataFrame) -> DataFrame:
+    """Rows (doc_id, text) with next_text, the text of the next row in descending order of doc_id; after the last comes the first.
 
-    Rows are dealt into buckets of neighbouring keys, bounded by bytes, and only the first row of each
-    bucket travels once more; nothing is sorted in one task. Rows of equal key (repeated rows) follow
-    each other in the order of the columns; a null key is the last.
+    Only keys (id and digest of the text) are put in order, by range partitions whose first keys the driver
+    links; then each text travels once to its own key and once to the one before it. Rows of equal doc_id follow each other in the
+    order of the digest, repeated rows are each other's next, a null doc_id is the last. An empty table gives an empty table.
     """
-    spark = rows.sparkSession
-    total = rows.agg(F.sum(size).alias("b"), F.count("*").alias("n")).first()
-    n = int(max(2 * shuffle_partitions(spark), 64, (total["b"] or 0) // BUCKET_BYTES))
-    bounds = rows.agg(F.percentile_approx(key, [i / n for i in range(1, n)], 100 * n).alias("p")).first()["p"] or []
-    bounds = sorted(set(bounds))
-    bucket = F.lit(0)
-    if bounds:  # a search by halves instead of a comparison with each bound
-        def search(lo: int, hi: int) -> Column:
-            if lo == hi:
-                return F.lit(lo)
-            mid = (lo + hi) // 2
-            return F.when(F.col(key) < F.lit(bounds[mid]), search(lo, mid)).otherwise(search(mid + 1, hi))
-
-        bucket = F.when(F.col(key).isNull(), F.lit(-1)).otherwise(search(0, len(bounds)))
-    laid = rows.withColumn("_bucket", bucket)
-    used = sorted((r["_bucket"] for r in laid.select("_bucket").distinct().collect()), reverse=True)
-    order = Window.partitionBy("_bucket").orderBy(F.desc_nulls_last(key), *columns)
-    seen = laid.withColumns({f"next_{c}": F.lead(c).over(order) for c in columns} | {"_more": F.lead(F.lit(True)).over(order), "_at": F.row_number().over(order)})
-    inner = seen.where("_more").drop("_bucket", "_more", "_at")
-    follows = spark.createDataFrame([(a, b) for a, b in zip(used, used[1:] + used[:1], strict=True)], "_bucket int, _next int")
-    firsts = seen.where("_at = 1").select(F.col("_bucket").alias("_next"), *[F.col(c).alias(f"next_{c}") for c in columns])
-    last = seen.where("_more is null").drop("_more", "_at", *[f"next_{c}" for c in columns]).join(F.broadcast(follows), "_bucket").join(firsts, "_next").drop("_bucket", "_next")
-    return inner.unionByName(last)
+    spark = docs.sparkSession
+    rows = docs.select("doc_id", "text", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5("text")).alias("key"))
+    keys = rows.groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    laid = cut(keys.repartitionByRange(max(8, shuffle_partitions(spark)), F.desc_nulls_last("doc_id"), "key").sortWithinPartitions(F.desc_nulls_last("doc_id"), "key").select("key", "n", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")))
+    ends = laid.groupBy("part").agg(F.min_by("key", "at").alias("first"), F.max_by("key", "at").alias("last")).orderBy("part").collect()
+    border = spark.createDataFrame([(r["part"], ends[i - 1]["last"]) for i, r in enumerate(ends)], "part int, border string")
+    order = Window.partitionBy("part").orderBy("at")
+    linked = laid.withColumn("lag", F.lag("key").over(order)).join(F.broadcast(border), "part").select("key", "n", F.coalesce("lag", "border").alias("before"))
+    placed = rows.join(linked.hint("shuffle_merge"), "key").withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("key")))
+    ahead = placed.where("place = 1").select(F.col("before").alias("key"), F.col("text").alias("ahead"))
+    return placed.join(ahead.hint("shuffle_merge"), "key").select("doc_id", "text", F.when(F.col("place") < F.col("n"), F.col("text")).otherwise(F.col("ahead")).alias("next_text"))
 
 
 def op6_spotsigs(spark, sf_dir: str) -> DataFrame:
-    """Fingerprints of all texts and of their edited texts, and how like they are to each other and to the next text's."""
+    """Fingerprints of all texts and of their edited texts, and how like they are to each other and to the next text's.
+
+    Null texts are empty; rows without doc_id come last in the order; repeated rows are returned each; of one row only the next is itself.
+    """
     docs = documents(read_table(spark, sf_dir, "documents")).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    pairs = with_next(docs, "doc_id", F.octet_length("text").cast("long"), ["text"])
+    pairs = with_next(docs)
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substr(F.col("text"), F.lit(1), n - half), F.substr(F.col("next_text"), F.lit(1), half))
