@@ -20,8 +20,8 @@ from pyspark.sql.types import StructType
 from .arrays import runs, text_buffer
 from .common import read_table
 
-#: Distinct labelled texts of a language that are learned from, and trigrams kept of each.
-ROWS, GRAMS = 2000, 30_000
+#: Distinct labelled texts of a language that are learned from.
+ROWS = 2000
 #: A switch costs as much as a word that is so much likelier in the other language; scores of a word differ by WORD at most.
 SWITCH, WORD = 6.0, 10.0
 #: Words that a worker remembers.
@@ -206,7 +206,10 @@ def viterbi(scores: np.ndarray, ids: np.ndarray, first: np.ndarray, switch: floa
 
 def fit(labelled: DataFrame, rows: int = ROWS) -> Model:
     """Learns from text and non-null lang, from at most about `rows` distinct texts a language and at least one, chosen by
-    a hash of the text, and whole texts. Null, blank and rare languages' rows need no care; no rows give a model without languages."""
+    a hash of the text, and whole texts. Null, blank and rare languages' rows need no care; no rows give a model without languages.
+
+    The driver gets one count for each trigram and language of the sample: at most as many as the sample has letters, and all
+    of them, whatever the number of languages."""
     known = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), "text")
     hashed = known.withColumn("h", F.xxhash64("text"))
     # Copies of a text count once: they are one text to learn from. Only hashes are shuffled.
@@ -215,15 +218,16 @@ def fit(labelled: DataFrame, rows: int = ROWS) -> Model:
     chosen = (F.pmod("h", F.lit(1 << 40)) < share * (1 << 40)) | (F.col("h") == F.col("least"))
     sample = hashed.join(F.broadcast(count), "lang").where(chosen).select("lang", "text").distinct()
     grams = sample.mapInArrow(_counts, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    top = grams.groupBy("lang").agg(F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("n", "gram")))), 1, GRAMS).alias("g"))
-    return Model(top.select("lang", F.explode("g").alias("g")).select("lang", "g.gram", "g.n").collect())
+    return Model(grams.collect())
 
 
 def identify(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The carried columns of every row with lang_pred, score and spans: the language with most letters, its share of
     them, and the labelled spans (lang, first word, end word).
 
-    `und`, score 0 and no spans where text is null or has no letter, or nothing was learned.
+    `und`, score 0 and no spans where text is null or has no letter, or nothing was learned. Ties go to the first
+    language by name. Texts may be of any length. Carried columns must not be called lang_pred, score or spans: pack
+    columns of any name in one struct.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     span = pa.struct([("lang", pa.string()), ("first", pa.int64()), ("end", pa.int64())])
@@ -273,6 +277,11 @@ def held_out():
 
 
 def op2_langid(spark, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those that are not held out.
+
+    Null and empty texts and texts without a letter are `und` with score 0; rows without doc_id are never held out;
+    repeated rows are returned each; an empty table gives an empty table.
+    """
     docs = read_table(spark, sf_dir, "documents")
     model = fit(docs.where(~held_out()).select("lang", "text"))
     return identify(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
