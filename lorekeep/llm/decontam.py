@@ -66,6 +66,12 @@ def myers(masks: dict[str, int], size: int, text: str) -> tuple[int, int]:
     return best, end
 
 
+def _whole(text: str, start: int, end: int) -> bool:
+    """Whether no ASCII letter or digit goes on beyond either end."""
+    joins = lambda a, b: a.isascii() and b.isascii() and a.isalnum() and b.isalnum()
+    return not (start and joins(text[start - 1], text[start])) and not (end < len(text) and joins(text[end - 1], text[end]))
+
+
 class Matcher:
     def __init__(self, items: list[tuple[int, str]], rate: float) -> None:
         import ahocorasick
@@ -97,10 +103,10 @@ class Matcher:
             item_id, plain, budget, masks, back = self.items[item]
             n = len(plain)
             best = None
-            exact = next((b for b in sorted(begins) if b >= 0 and text.startswith(plain, b)), None)
+            exact = next((b for b in sorted(begins) if b >= 0 and text.startswith(plain, b) and (budget or _whole(text, b, b + n))), None)
             if exact is not None:
                 best = (0, exact, exact + n)
-            else:
+            elif budget:
                 windows: list[list[int]] = []  # of nearby hits together
                 for b in sorted(begins):
                     if windows and b - budget <= windows[-1][1]:
@@ -135,8 +141,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> D
     """(doc_id, item_id, start, end, distance): each item that occurs in a document with at most rate * length edits.
 
     Places are characters of the normalised text (lower case, white space as one blank); of several
-    the one of least distance counts, then the first. Null and empty texts and items match nothing; of
-    repeated rows each is reported.
+    the one of least distance counts, then the first. Items of fewer than 1 / rate characters have no
+    edits and match whole words only. Null and empty texts and items match nothing; of repeated rows
+    each is reported; a null doc_id or item_id stays null; texts may be of any length; further columns
+    are left out. For each BLOCK_BYTES of items the documents are read once.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
@@ -159,7 +167,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> D
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
-    """The rows of docs, all columns, whose text holds no item."""
+    """The rows of docs, all columns of whatever names, whose text holds no item: null and empty texts stay, repeated rows all
+    stay or all go, an empty table gives an empty table."""
     kept = docs
     for items in _blocks(benchmark):
         load = _matcher(docs.sparkSession, items, rate)
@@ -178,4 +187,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) ->
 
 
 def op5_decontamination(spark, sf_dir: str) -> DataFrame:
+    """Every benchmark item in every document, as `contaminated` gives it."""
     return contaminated(read_table(spark, sf_dir, "documents").select("doc_id", "text"), read_table(spark, sf_dir, "benchmark"))
