@@ -185,6 +185,8 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, keep_text: bool = Fa
 
 
 def op7_bpe(spark, sf_dir: str) -> DataFrame:
+    """Token ids of every document and what they decode to, as digests; null and empty texts have no ids, repeated rows are
+    returned each, a null doc_id stays null."""
     import public_tokenizers
 
     made = encode_decode(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)

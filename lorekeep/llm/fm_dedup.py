@@ -118,6 +118,7 @@ def remove_windows(docs: DataFrame, span: int = 50) -> DataFrame:
 
 
 def op10_fm_dedup(spark, sf_dir: str) -> DataFrame:
+    """What `remove_windows` leaves of every document, as digests; null and empty texts have no words."""
     made = remove_windows(read_table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return made.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))

@@ -91,5 +91,6 @@ def remove_repeats(docs: DataFrame, span: int = 50, whole_characters: bool = Fal
 
 
 def op4_suffix_dedup(spark, sf_dir: str) -> DataFrame:
+    """What `remove_repeats` leaves of every document, as digests; null and empty texts have no bytes."""
     made = remove_repeats(read_table(spark, sf_dir, "documents"))
     return made.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
