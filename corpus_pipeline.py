@@ -18,31 +18,45 @@ from lorekeep.llm.suffix_dedup import remove_repeats
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language: those of null text or without a letter go."""
-    labelled = identify(docs, fit(docs), carry=("doc_id", "text", *[c for c in docs.columns if c not in ("doc_id", "text")]))
-    return labelled.where("lang_pred <> 'und'").select(*docs.columns)
+    """Documents with a language, which `lang` tells from now on if it was null. Those of null or empty text, without a letter,
+    or without a language that has at least half of their letters go; repeated rows all stay or all go. Columns may have any names."""
+    labelled = identify(docs.select("text", F.struct(*docs.columns).alias("doc")), fit(docs), carry=("doc",)).where((F.col("lang_pred") != "und") & (F.col("score") >= 0.5))
+    return labelled.select(*[F.coalesce("doc.lang", "lang_pred").alias(c) if c == "lang" else F.col(f"doc.`{c}`") for c in docs.columns])
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of each group of near duplicates (repeated rows: one)."""
+    """The document of smallest doc_id of each group of near duplicates, in one row for each of its texts.
+
+    A document goes with all its rows, for any of its texts that is a copy. Rows without doc_id and documents without words
+    stay; of repeated rows (equal doc_id and text) one stays, but rows without doc_id all stay.
+    """
     groups = near_duplicates(docs, shingle=5, percent=80)
     gone = groups.where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    known = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    return known.unionByName(docs.where("doc_id is null"))
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the strings of 50 bytes that an earlier document has; characters stay whole, n_chars follows."""
-    made = remove_repeats(docs, whole_characters=True, carry=tuple(c for c in docs.columns if c not in ("doc_id", "text")))
-    return made.withColumn("text", F.col("kept").cast("string")).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    """Texts without the strings of 50 bytes that an earlier document has; characters stay whole, n_chars follows.
+
+    Every row stays, of null or empty text too (then empty). Rows without doc_id are later than all others. Columns may have any names.
+    """
+    made = remove_repeats(docs.select("doc_id", "text", F.struct(*[c for c in docs.columns if c != "text"]).alias("doc")), whole_characters=True, carry=("doc",))
+    text = F.col("kept").cast("string")
+    new = {"text": text.alias("text"), "n_chars": F.char_length(text).cast(docs.schema["n_chars"].dataType).alias("n_chars") if "n_chars" in docs.columns else None}
+    return made.select(*[new[c] if c in new else F.col(f"doc.`{c}`") for c in docs.columns])
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; those of null or empty text stay, repeated rows all stay or all go."""
     return decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids, decodes): token ids as little-endian unsigned 32-bit integers, and whether they decode to the text."""
+    """(doc_id, n_tokens, ids, decodes): token ids as little-endian unsigned 32-bit integers, and whether they decode to the text.
+
+    Null and empty texts have no ids; every row is returned.
+    """
     import public_tokenizers
 
     made = encode_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep_text=True)
