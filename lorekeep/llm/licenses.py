@@ -84,6 +84,8 @@ ANCHORS = r"licen[cs]\w*|redistribut\w*|permission|mozilla|gnu|apache|bsd|creati
 LENGTHS, LONG, BEFORE = (1, 2, 3, 4, 5, 6, 8, 10, 12, 16), 25, 2
 #: Least cosine of a statement to its template; least share of a segment's words in templates, and of a full text's words in a text.
 COSINE, SHARE = 0.7, 0.5
+#: Tasks that the files of one directory are dealt to.
+SALT = 32
 # Names of licence files, and the tag that names a licence.
 LICENSE_NAME = r"(?i)^(?:.*/)?(?:un)?(?:licen[cs]e|copying|notice)[^/]*$"
 SPDX = r"SPDX-License-Identifier:\s*\(?([A-Za-z0-9][A-Za-z0-9.+-]*)"
@@ -206,7 +208,9 @@ def scan_licenses(files: DataFrame, templates: dict[str, str] | None = None, cos
         .agg(F.min(F.struct("up", "dir_license", "dir_score", "dir_file")).alias("n"))
         .select("dir", "n.dir_license", "n.dir_score", "n.dir_file")
     )
-    out = placed.join(nearest, "dir", "left")
+    # A directory may hold a third of all files: its few rows are repeated, its files dealt to SALT tasks.
+    salted = nearest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    out = placed.withColumn("salt", F.pmod(F.xxhash64("file"), F.lit(SALT)).cast("int")).join(salted, ["dir", "salt"], "left")
     return out.select(
         "file_id",
         F.coalesce("own", "dir_license").alias("license"),
