@@ -93,16 +93,18 @@ def with_next(docs: DataFrame) -> DataFrame:
     order of the digest, repeated rows are each other's next, a null doc_id is the last. An empty table gives an empty table.
     """
     spark = docs.sparkSession
-    rows = docs.select("doc_id", "text", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5("text")).alias("key"))
-    keys = rows.groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    rows = docs.select(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5("text")).alias("key"), "text")
+    doc_id = F.split_part("key", F.lit(":"), F.lit(1)).try_cast("long").alias("doc_id")
+    keys = rows.groupBy("key").agg(F.count("*").alias("n")).withColumn("doc_id", doc_id)
     laid = cut(keys.repartitionByRange(max(8, shuffle_partitions(spark)), F.desc_nulls_last("doc_id"), "key").sortWithinPartitions(F.desc_nulls_last("doc_id"), "key").select("key", "n", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")))
     ends = laid.groupBy("part").agg(F.min_by("key", "at").alias("first"), F.max_by("key", "at").alias("last")).orderBy("part").collect()
     border = spark.createDataFrame([(r["part"], ends[i - 1]["last"]) for i, r in enumerate(ends)], "part int, border string")
     order = Window.partitionBy("part").orderBy("at")
     linked = laid.withColumn("lag", F.lag("key").over(order)).join(F.broadcast(border), "part").select("key", "n", F.coalesce("lag", "border").alias("before"))
+    # Both uses of the placed rows need key and text alone, so that they share one exchange of the texts.
     placed = rows.join(linked.hint("shuffle_merge"), "key").withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("key")))
     ahead = placed.where("place = 1").select(F.col("before").alias("key"), F.col("text").alias("ahead"))
-    return placed.join(ahead.hint("shuffle_merge"), "key").select("doc_id", "text", F.when(F.col("place") < F.col("n"), F.col("text")).otherwise(F.col("ahead")).alias("next_text"))
+    return placed.join(ahead.hint("shuffle_merge"), "key").select(doc_id, "text", F.when(F.col("place") < F.col("n"), F.col("text")).otherwise(F.col("ahead")).alias("next_text"))
 
 
 def op6_spotsigs(spark, sf_dir: str) -> DataFrame:
