@@ -147,17 +147,28 @@ def verdict_token(status: Column, truth: Column, high: float = 0.85, low: float
 
 # Closed-class words and their quantifiers.
 QUANTIFIERS = {
-    "all": "universal", "every": "universal", "each": "universal", "any": "universal", "always": "universal",
-    "no": "negative", "none": "negative", "never": "negative", "nobody": "negative",
-    "some": "existential", "several": "existential", "many": "existential", "few": "existential", "sometimes": "existential",
-    "a": "indefinite", "an": "indefinite", "the": "definite", "this": "definite", "that": "definite",
-}
+    "universal": ("all", "every", "each", "everything", "everyone", "everybody", "always"),
+    "existential": ("some", "any", "several", "something", "someone", "somebody", "sometimes", "occasionally"),
+    "indefinite": ("a", "an"),
+    "negative": ("no", "none", "neither", "nothing", "nobody", "never"),
+    "definite": ("the", "this", "that", "these", "those"),
+    "generic": ("usually", "often", "normally", "generally", "typically"),
+}
+# What a question word asks for.
+ASKS = {
+    "subject": ("who", "whom", "which", "whose"),
+    "predicate": ("what",),
+    "location": ("where",),
+    "time": ("when",),
+    "manner": ("how",),
+    "cause": ("why",),
+}
 
 
 def quantifier_of(words: DataFrame, column: str = "word") -> DataFrame:
-    """The words with their quantifier, `generic` for those outside the closed class."""
-    table = words.sparkSession.createDataFrame(sorted(QUANTIFIERS.items()), f"{column} string, quantifier string")
-    return words.join(F.broadcast(table), column, "left").withColumn("quantifier", F.coalesce("quantifier", F.lit("generic")))
+    """The words with their quantifier, `generic` for those outside the closed class, and with what they ask for, if anything."""
+    named = lambda table: F.coalesce(*[F.when(F.col(column).isin(*w), F.lit(k)) for k, w in table.items()])
+    return words.withColumns({"quantifier": F.coalesce(named(QUANTIFIERS), F.lit("generic")), "asks": named(ASKS)})
 
 
 def fold_truth(clauses: DataFrame) -> DataFrame:

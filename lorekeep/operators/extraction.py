@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 # Genera that only stand for a name.
 PLACEHOLDERS = ("name", "term", "word", "designation")
-STRENGTH = {"universal": "law", "negative": "law", "generic": "defeasible", "indefinite": "defeasible"}
+LAWS, GENERICS = ("universal", "negative"), ("generic", "indefinite")
 
 
 def noun(c: Column) -> Column:
@@ -72,24 +72,89 @@ def generic_isa_edges(leaves: DataFrame) -> DataFrame:
     return leaves.select("doc_id", "pos", reason.alias("reason"))
 
 
+def question() -> Column:
+    return (F.coalesce("dubitative", F.lit(0.5)) >= 0.75) | F.col("wh_role").isNotNull()
+
+
 def class_rules(leaves: DataFrame) -> DataFrame:
-    """(doc_id, pos, kind, subject, predicate, object, negated, strength): membership and property rules by quantifier.
+    """(doc_id, pos, kind, subject, predicate, object, negated, strength, conds): membership and property rules by quantifier.
 
-    Universal and negative quantifiers are laws, generic and indefinite ones defeasible; a negative one
-    flips the polarity; plain positive copular pairs are edges and no rules.
+    A universal one is always a rule; generic, indefinite and negative ones are if they are about no individual and are no question. A negative
+    one flips the polarity; plain positive pairs of nouns of a defeasible kind are edges and no rules. The subject's modifiers are conditions.
     """
-    rows = asserted(leaves).where(crisp() & F.col("identity").isNull() & F.col("quantifier").isin(*STRENGTH) & F.col("subject").isNotNull() & F.col("predicate").isNotNull())
-    strength = F.when(F.col("quantifier").isin("universal", "negative"), "law").otherwise("defeasible")
-    kind = F.when(noun(F.col("predicate")) & F.col("object").isNull(), "membership").otherwise("property")
-    out = rows.select("doc_id", "pos", kind.alias("kind"), "subject", "predicate", "object", (F.col("negated") != (F.col("quantifier") == "negative")).alias("negated"), strength.alias("strength"), F.size("mods").alias("conds"))
-    return out.where("not (kind = 'membership' and strength = 'defeasible' and not negated and conds = 0)").drop("conds")
+    q = F.col("quantifier")
+    rows = asserted(leaves).where(crisp() & F.col("subject").isNotNull() & F.col("predicate").isNotNull() & q.isin(*LAWS, *GENERICS))
+    rows = rows.where((q == "universal") | (F.col("identity").isNull() & ~question()))
+    rows = rows.select("doc_id", "pos", F.when(noun(F.col("predicate")), "membership").otherwise("property").alias("kind"), "subject", "predicate", "object", (F.col("negated") != (q == "negative")).alias("negated"), F.when(q.isin(*LAWS), "law").otherwise("defeasible").alias("strength"), F.col("mods").alias("conds"), q.alias("q"))
+    edge = (F.col("q") != "universal") & (F.col("kind") == "membership") & F.col("object").isNull() & (F.size("conds") == 0) & ~F.col("negated")
+    return rows.where(~edge).drop("q")
 
 
 def facts(leaves: DataFrame) -> DataFrame:
-    """(doc_id, pos, kind, seed, predicate, object, negated): memberships and properties of named subjects."""
-    rows = asserted(leaves).where(crisp() & F.col("identity").isNotNull() & F.col("predicate").isNotNull() & ~F.col("quantifier").isin("universal", "negative"))
+    """(doc_id, pos, kind, seed, predicate, object, negated, mods): memberships, with the modifiers of their class, and properties of named subjects."""
+    rows = asserted(leaves).where(crisp() & F.col("identity").isNotNull() & F.col("predicate").isNotNull() & ~F.col("quantifier").eqNullSafe("universal"))
     kind = F.when(noun(F.col("predicate")) & F.col("object").isNull(), "membership").otherwise("property")
-    return rows.select("doc_id", "pos", kind.alias("kind"), F.col("identity").alias("seed"), "predicate", "object", "negated")
+    none = F.array().cast("array<string>")
+    return rows.select("doc_id", "pos", kind.alias("kind"), F.col("identity").alias("seed"), "predicate", "object", "negated", F.when(kind == "membership", F.col("mods")).otherwise(none).alias("mods"))
+
+
+def _documents(leaves: DataFrame) -> DataFrame:
+    """(doc_id, l): the leaves of each document in order; a document is a sentence, so its array is small."""
+    names = [c for c in leaves.columns if c not in ("doc_id", "pos")]
+    return leaves.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", *names))).alias("l"))
+
+
+def _asks(x: Column) -> Column:
+    return (F.coalesce(x["dubitative"], F.lit(0.5)) >= 0.75) | x["wh_role"].isNotNull()
+
+
+def _plain(x: Column) -> Column:
+    return F.coalesce(x["modal"], F.lit("")) == ""
+
+
+def class_conditional_rules(leaves: DataFrame) -> DataFrame:
+    """(doc_id, cond_class, cond_pred, cond_obj, cond_extra, concl_pred, concl_obj, concl_negated, strength): an `if` or `because` about one class.
+
+    Either one CONV leaf (the condition) directly behind its conclusion, with nothing but THAT complements behind it, which are further
+    conditions; or two AND leaves of which one has a cause: a `reason` is the condition, a `result` the conclusion. Documents with an
+    individual, a modal or a question give none, nor do a negated condition, two subjects, or quantifiers other than generic, indefinite and universal.
+    """
+    d = _documents(leaves).where(F.size("l") >= 2)
+    d = d.where(F.forall("l", lambda x: x["identity"].isNull() & _plain(x) & ~_asks(x)))
+    ifs, causes = F.filter("l", lambda x: x["op"] == "CONV"), F.filter("l", lambda x: x["cause"].isin("reason", "result"))
+    at = F.array_position(F.transform("l", lambda x: x["op"]), "CONV").cast("int")  # from 1
+    by_if = (F.size(ifs) == 1) & (F.size(causes) == 0) & (at > 1)
+    behind = F.slice("l", at + 1, F.size("l"))
+    by_if = by_if & F.forall(behind, lambda x: x["op"] == "THAT") & ~F.exists(F.slice("l", 1, at - 1), lambda x: x["op"] == "THAT")
+    by_cause = (F.size(causes) == 1) & (F.size(ifs) == 0) & (F.size("l") == 2) & F.forall("l", lambda x: x["op"] == "AND")
+    cause, other = F.get(causes, F.lit(0)), F.get(F.filter("l", lambda x: ~F.coalesce(x["cause"].isin("reason", "result"), F.lit(False))), F.lit(0))
+    reason = cause["cause"] == "reason"
+    cond = F.when(by_if, F.get("l", at - 1)).when(by_cause & reason, cause).when(by_cause, other)
+    concl = F.when(by_if, F.get("l", at - 2)).when(by_cause & reason, other).when(by_cause, cause)
+    extra = F.when(by_if, behind).otherwise(F.slice("l", 1, 0))
+    d = d.select("doc_id", cond.alias("a"), concl.alias("c"), extra.alias("e")).where("a is not null and c is not null")
+    usual = lambda c: F.coalesce(F.col(c)["quantifier"].isin("universal", *GENERICS), F.lit(False))
+    ok = F.col("a.subject").isNotNull() & (F.col("c.subject").isNull() | (F.col("c.subject") == F.col("a.subject"))) & F.col("a.predicate").isNotNull() & F.col("c.predicate").isNotNull() & ~F.col("a.negated") & usual("a") & usual("c")
+    good = F.forall("e", lambda x: (x["subject"].isNull() | (x["subject"] == F.col("a.subject"))) & ~x["negated"] & x["predicate"].isNotNull())
+    further = F.transform("e", lambda x: F.struct(x["predicate"].alias("predicate"), x["object"].alias("object")))
+    strength = F.when(F.col("c.quantifier") == "universal", "law").otherwise("defeasible")
+    names = {"cond_class": F.col("a.subject"), "cond_pred": F.col("a.predicate"), "cond_obj": F.col("a.object"), "cond_extra": further, "concl_pred": F.col("c.predicate"), "concl_obj": F.col("c.object"), "concl_negated": F.col("c.negated"), "strength": strength}
+    return d.where(ok & good).select("doc_id", *[v.alias(k) for k, v in names.items()])
+
+
+def reportative_facts(leaves: DataFrame) -> DataFrame:
+    """(doc_id, pos, seed, predicate, object): what an individual is said to do and to report of itself, all of a document or nothing.
+
+    One leaf without attitude that folds by AND, about an individual, and else only THAT complements of attitude class `reportative` that have no
+    subject of their own but inherit that individual. A modal, negated, universal or asking leaf, or a missing predicate, gives none.
+    """
+    d = _documents(leaves).where(F.size("l") >= 2)
+    matrix = F.filter("l", lambda x: (x["op"] == "AND") & x["attitude"].isNull())
+    d = d.withColumn("m", F.get(matrix, F.lit(0))).where((F.size(matrix) == 1) & (F.size(F.filter("l", lambda x: x["op"] == "THAT")) == F.size("l") - 1))
+    fine = lambda x: _plain(x) & ~x["negated"] & ~x["quantifier"].eqNullSafe("universal") & ~_asks(x) & x["predicate"].isNotNull()
+    own = lambda x: (x["pos"] == F.col("m.pos")) | (x["attitude_class"].eqNullSafe("reportative") & x["subject"].isNull() & x["identity"].eqNullSafe(F.col("m.identity")))
+    d = d.where(F.col("m.identity").isNotNull() & F.forall("l", lambda x: fine(x) & own(x)))
+    return d.select("doc_id", F.col("m.identity").alias("seed"), F.explode("l").alias("x")).select("doc_id", "x.pos", "seed", "x.predicate", "x.object")
 
 
 def conditional_rules(leaves: DataFrame) -> DataFrame:
@@ -110,26 +175,39 @@ def dnf_branches(leaves: DataFrame) -> DataFrame:
     return packed.select("doc_id", F.posexplode(F.when(tainted, F.array(F.lit(None).cast("array<int>"))).otherwise(fold)).alias("branch", "members"))
 
 
+def genera(leaves: DataFrame) -> DataFrame:
+    """(doc_id, klass, genus, pos): the leaf of a definition that says what its class is."""
+    ok = leaves.where(crisp() & noun(F.col("subject")) & noun(F.col("predicate")) & (F.col("subject") != F.col("predicate")))
+    return ok.groupBy("doc_id").agg(F.min(F.struct("pos", "subject", "predicate")).alias("m")).select("doc_id", F.col("m.subject").alias("klass"), F.col("m.predicate").alias("genus"), F.col("m.pos").alias("genus_pos"))
+
+
 def sufficient_rules(branches: DataFrame, leaves: DataFrame, genus: DataFrame) -> DataFrame:
     """(doc_id, branch, verdict, conds): a branch is accepted if each member other than the genus leaf is a usable condition of the
-    defined class; else the first member's fault: taint, no_pred, foreign_subj, negated_cond, noun_cond, circular, bare.
+    defined class; else the first member's fault: taint, no_pred, foreign_subj (about neither the class, the genus nor nothing named),
+    negated_cond, noun_cond, verb_noobj, circular; a branch without a condition is bare. A member that says the genus again is no condition.
 
-    genus: (doc_id, klass, genus).
+    genus: rows of `genera`. conds are distinct, in order.
     """
     flat = branches.select("doc_id", "branch", F.explode_outer("members").alias("pos"))
     rows = flat.join(leaves.select("doc_id", "pos", "subject", "predicate", "object", "negated"), ["doc_id", "pos"], "left").join(genus, "doc_id")
-    own = F.col("predicate") == F.col("genus")
+    own = F.coalesce(F.col("pos") == F.col("genus_pos"), F.lit(False))
+    again = F.coalesce(F.col("predicate") == F.col("genus"), F.lit(False))
+    begin = lambda c: F.substring(lemma(F.col(c)), 1, 4)
     fault = (
         F.when(F.col("pos").isNull(), "taint")
-        .when(F.col("predicate").isNull(), "no_pred")
-        .when(F.col("subject").isNotNull() & (F.col("subject") != F.col("klass")), "foreign_subj")
         .when(own, F.lit(None))
+        .when(F.col("predicate").isNull(), "no_pred")
+        .when(F.col("subject").isNotNull() & ~F.col("subject").isin(F.col("klass"), F.col("genus")), "foreign_subj")
         .when(F.col("negated"), "negated_cond")
+        .when(again, F.lit(None))
         .when(noun(F.col("predicate")), "noun_cond")
-        .when(F.substring(lemma(F.col("predicate")), 1, 4) == F.substring(lemma(F.col("klass")), 1, 4), "circular")
+        .when(F.col("predicate").rlike(r"\.v\.\d+$") & F.col("object").isNull(), "verb_noobj")
+        .when(begin("predicate") == begin("klass"), "circular")
     )
-    marked = rows.withColumn("fault", fault).withColumn("cond", F.when(~own & F.col("predicate").isNotNull(), F.struct("pos", "predicate", "object")))
-    out = marked.groupBy("doc_id", "branch").agg(F.min(F.when(F.col("fault").isNotNull(), F.struct(F.coalesce("pos", F.lit(-1)).alias("p"), F.col("fault").alias("f"))))["f"].alias("first"), F.array_sort(F.collect_list("cond")).alias("conds"))
+    marked = rows.withColumn("fault", fault).withColumn("cond", F.when(~own & ~again & F.col("predicate").isNotNull(), F.struct("pos", "predicate", "object")))
+    first = F.min(F.when(F.col("fault").isNotNull(), F.struct(F.coalesce("pos", F.lit(-1)).alias("p"), F.col("fault").alias("f"))))["f"]
+    listed = F.array_distinct(F.transform(F.array_sort(F.collect_list("cond")), lambda c: F.struct(c["predicate"].alias("predicate"), c["object"].alias("object"))))
+    out = marked.groupBy("doc_id", "branch").agg(first.alias("first"), listed.alias("conds"))
     return out.select("doc_id", "branch", F.coalesce("first", F.when(F.size("conds") == 0, "bare"), F.lit("accept")).alias("verdict"), "conds")
 
 

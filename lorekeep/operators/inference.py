@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorekeep.operators.ledger import conclusion_trust
@@ -54,12 +54,13 @@ def conds_met(rules: DataFrame, properties: DataFrame) -> DataFrame:
     return one.groupBy("seed", "rule_id", "all").agg(F.array_sort(F.collect_set("fact_id")).alias("premises"), F.count("*").alias("n")).where(F.col("n") == F.col("all")).select("seed", "rule_id", "premises")
 
 
-def class_fixpoint(facts: DataFrame, edges: DataFrame, rules: DataFrame, sufficient: DataFrame, properties: DataFrame, max_rounds: int = 24) -> DataFrame:
+def class_fixpoint(facts: DataFrame, edges: DataFrame, rules: DataFrame, sufficient: DataFrame, properties: DataFrame) -> DataFrame:
     """(seed, klass, premises): classes of each seed by its facts, the class edges, membership rules and sufficient rules.
 
     facts (seed, klass, negated, fact_id); edges (child, parent, source); rules (rule_id, kind, subject,
     predicate, object, negated, conds); sufficient (rule_id, genus, klass, conds). Negated memberships
-    never seed; an edge's source (null for bedrock) is a premise.
+    never seed; an edge's source (null for bedrock) is a premise. Rounds go on until nothing is new: a class is found once for a
+    seed, so they end, cycles included.
     """
     member = rules.where("kind = 'membership' and not negated")
     step = edges.select(F.col("child").alias("klass"), F.col("parent").alias("to"), F.col("source").alias("premise"), F.lit(None).cast("string").alias("needs"))
@@ -68,7 +69,7 @@ def class_fixpoint(facts: DataFrame, edges: DataFrame, rules: DataFrame, suffici
     met = cut(conds_met(member.select("rule_id", "conds").unionByName(sufficient.select("rule_id", "conds")), properties)).select("seed", F.col("rule_id").alias("needs"), F.col("premises").alias("met"))
     frontier = cut(_first(facts.where("not negated").select("seed", "klass", F.array("fact_id").alias("premises")), ["seed", "klass"]))
     rounds = [frontier]
-    for _ in range(max_rounds):
+    while True:
         reach = frontier.join(step, "klass")
         free = reach.where("needs is null").select("seed", F.col("to").alias("klass"), _plus(F.col("premises"), F.array("premise")).alias("premises"))
         bound = reach.where("needs is not null").join(met, ["seed", "needs"]).select("seed", F.col("to").alias("klass"), _plus(F.col("premises"), F.array("premise"), F.col("met")).alias("premises"))
@@ -80,10 +81,10 @@ def class_fixpoint(facts: DataFrame, edges: DataFrame, rules: DataFrame, suffici
     return reduce(DataFrame.unionByName, rounds)
 
 
-def membership_fixpoint(facts, edges, rules, properties, max_rounds: int = 24) -> DataFrame:
+def membership_fixpoint(facts: DataFrame, edges: DataFrame, rules: DataFrame, properties: DataFrame) -> DataFrame:
     """Classes by membership rules and edges only."""
     none = rules.select("rule_id", F.col("subject").alias("genus"), F.col("predicate").alias("klass"), "conds").limit(0)
-    return class_fixpoint(facts, edges, rules, none, properties, max_rounds)
+    return class_fixpoint(facts, edges, rules, none, properties)
 
 
 def derive_properties(closure: DataFrame, rules: DataFrame, properties: DataFrame) -> DataFrame:
@@ -95,16 +96,31 @@ def derive_properties(closure: DataFrame, rules: DataFrame, properties: DataFram
     return _first(out.select("seed", "predicate", "object", "negated", _plus(F.col("premises"), F.array("rule_id"), F.coalesce("met", F.array().cast("array<string>"))).alias("premises")), KEY)
 
 
-def derive_conditional(held: DataFrame, rules: DataFrame, closure: DataFrame, max_rounds: int = 24) -> DataFrame:
-    """Conclusions (KEY, premises) of conditional rules (rule_id, cond_class, cond_pred, cond_obj, concl_pred, concl_obj,
-    concl_negated) from the properties held, until nothing is added; only affirmative conclusions are conditions again."""
+def derive_conditional(held: DataFrame, rules: DataFrame, closure: DataFrame) -> DataFrame:
+    """Conclusions (KEY, premises) of conditional rules (rule_id, cond_class, cond_pred, cond_obj, cond_extra, concl_pred, concl_obj,
+    concl_negated) from the properties held, until nothing is added; only affirmative conclusions are conditions again.
+
+    cond_extra array<struct<predicate,object>>: further properties that must hold, given or derived in any round. A rule fires in the round after
+    its last condition is met, so of its conditions one is of the last round and the others are looked up in all rounds.
+    """
+    rules = rules.withColumn("conds", F.concat(F.array(F.struct(F.col("cond_pred").alias("predicate"), F.col("cond_obj").alias("object"))), F.coalesce("cond_extra", F.array().cast("array<struct<predicate:string,object:string>>"))))
+    need = cut(rules.select("rule_id", F.size("conds").alias("all"), F.posexplode("conds").alias("i", "c")).select("rule_id", "all", "i", F.col("c.predicate").alias("predicate"), F.col("c.object").alias("co")))
     known = cut(_first(held.where("not negated").select("seed", "predicate", "object", "negated", "premises"), KEY))
-    frontier, rounds = known, []
+    rounds: list[DataFrame] = []
+    met = None
+    frontier = known
+    heads = rules.select("rule_id", "cond_class", "concl_pred", "concl_obj", "concl_negated")
     classes = closure.select("seed", F.col("klass").alias("cond_class"), F.col("premises").alias("class_premises"))
-    for _ in range(max_rounds):
-        hit = frontier.join(F.broadcast(rules), F.col("predicate") == F.col("cond_pred")).where(F.col("cond_obj").isNull() | (F.col("cond_obj") == F.col("object")))
-        hit = hit.join(classes, ["seed", "cond_class"], "left").where("cond_class is null or class_premises is not null")
-        new = hit.select("seed", F.col("concl_pred").alias("predicate"), F.col("concl_obj").alias("object"), F.col("concl_negated").alias("negated"), _plus(F.col("premises"), F.array("rule_id"), F.coalesce("class_premises", F.array().cast("array<string>"))).alias("premises"))
+    while True:
+        hit = frontier.join(need, "predicate").where(F.col("co").isNull() | (F.col("co") == F.col("object")))
+        hit = _first(hit.select("seed", "rule_id", "all", "i", "premises"), ["seed", "rule_id", "all", "i"])
+        fresh = hit if met is None else hit.join(met, ["seed", "rule_id", "i"], "left_anti")
+        every = cut(fresh if met is None else met.unionByName(fresh.select(*met.columns)))
+        now = every.join(fresh.select("seed", "rule_id").distinct(), ["seed", "rule_id"], "left_semi") if met is not None else every
+        full = now.groupBy("seed", "rule_id", "all").agg(F.count("*").alias("n"), F.flatten(F.collect_list("premises")).alias("premises")).where(F.col("n") == F.col("all"))
+        met = every
+        fired = full.join(heads, "rule_id").join(classes, ["seed", "cond_class"], "left").where("cond_class is null or class_premises is not null")
+        new = fired.select("seed", F.col("concl_pred").alias("predicate"), F.col("concl_obj").alias("object"), F.col("concl_negated").alias("negated"), _plus(F.col("premises"), F.array("rule_id"), F.coalesce("class_premises", F.array().cast("array<string>"))).alias("premises"))
         seen = reduce(DataFrame.unionByName, [known, *rounds]).select(*[F.col(c).alias(f"_{c}") for c in KEY])
         same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in KEY])
         frontier = cut(_first(new, KEY).join(seen, same, "left_anti"))
@@ -118,19 +134,20 @@ def derive_conditional(held: DataFrame, rules: DataFrame, closure: DataFrame, ma
 def mark_conflicts(derived: DataFrame, closure: DataFrame) -> DataFrame:
     """The conclusions with conflict: both polarities of one (seed, predicate, object), or a negated predicate without object
     that is held as a class; premises of the other arm are added."""
-    w = Window.partitionBy("seed", "predicate", "object")
-    both = F.size(F.collect_set("negated").over(w)) == 2
-    every = F.array_sort(F.array_distinct(F.flatten(F.collect_list("premises").over(w))))
+    keys = ["seed", "predicate", "object"]
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys])
+    sides = derived.groupBy(*keys).agg(F.min("negated").alias("lo"), F.max("negated").alias("hi")).where("lo <> hi").select(*[F.col(c).alias(f"_{c}") for c in keys])
+    clashing = derived.join(sides, same).groupBy(*[f"_{c}" for c in keys]).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("premises")))).alias("every"))
     held = closure.select("seed", F.col("klass").alias("predicate"), F.col("premises").alias("held"))
-    rows = derived.withColumns({"both": both, "every": every}).join(held, ["seed", "predicate"], "left")
-    clash = F.col("negated") & F.col("object").isNull() & F.col("held").isNotNull()
-    premises = F.when(F.col("both"), F.col("every")).otherwise(F.col("premises"))
-    return rows.select("seed", "predicate", "object", "negated", F.when(clash, _plus(premises, F.col("held"))).otherwise(premises).alias("premises"), (F.col("both") | F.coalesce(clash, F.lit(False))).alias("conflict"))
+    rows = derived.join(clashing, same, "left").join(held, ["seed", "predicate"], "left")
+    clash = F.coalesce(F.col("negated") & F.col("object").isNull() & F.col("held").isNotNull(), F.lit(False))
+    premises = F.coalesce("every", "premises")
+    return rows.select(*keys, "negated", F.when(clash, _plus(premises, F.col("held"))).otherwise(premises).alias("premises"), (F.col("every").isNotNull() | clash).alias("conflict"))
 
 
-def forward_chain(kb: dict[str, DataFrame]) -> DataFrame:
-    """All conclusions, conflicts marked. kb: facts, properties, edges, rules, sufficient, conditional."""
-    closure = cut(class_fixpoint(kb["facts"], kb["edges"], kb["rules"], kb["sufficient"], kb["properties"]))
+def forward_chain(kb: dict[str, DataFrame], closure: DataFrame | None = None) -> DataFrame:
+    """All conclusions, conflicts marked. kb: facts, properties, edges, rules, sufficient, conditional; closure: the classes, where they are known."""
+    closure = closure if closure is not None else cut(class_fixpoint(kb["facts"], kb["edges"], kb["rules"], kb["sufficient"], kb["properties"]))
     direct = derive_properties(closure, kb["rules"], kb["properties"])
     told = kb["properties"].select("seed", "predicate", "object", "negated", F.array("fact_id").alias("premises"))
     further = derive_conditional(direct.unionByName(told), kb["conditional"], closure)
@@ -210,14 +227,33 @@ def ground_isa(claims: DataFrame, subsumed: DataFrame, apart: DataFrame) -> Data
     return rows.where("_up or _no").select("claim_id", (value != F.col("negated")).alias("holds"))
 
 
-def evaluate(claims: DataFrame, rungs: list[tuple[str, DataFrame]]) -> DataFrame:
-    """(claim_id, truth, status, rung): the first rung (name, (claim_id, holds)) that decides; undecided claims are neutral and insufficient."""
-    rows = claims.select("claim_id")
+def definition_rung(claims: DataFrame, best: DataFrame, floor: float = 0.85) -> DataFrame:
+    """(claim_id, holds): claims that are not negated and are as near as the floor to a definition (claim_id, sim) hold; nothing is refuted."""
+    return claims.where("not negated").join(best.where(F.col("sim") >= floor), "claim_id").select("claim_id", F.lit(True).alias("holds")).distinct()
+
+
+def evaluate(claims: DataFrame, rungs: list[tuple[str, DataFrame]], contradictory: DataFrame | None = None) -> DataFrame:
+    """(claim_id, truth, status, rung, missing): the first rung (name, (claim_id, holds)) that decides.
+
+    Claims in `contradictory` (claim_id) are false and inconsistent before anything else. A claim with a modal is a possibility, which no rung
+    decides. Undecided claims are neutral and insufficient; missing says why: `modal`, `unknown words` or `no ground`. Optional
+    columns of claims: modal, unknown.
+    """
+    has = lambda c, kind: F.col(c) if c in claims.columns else F.lit(None).cast(kind)
+    rows = claims.select("claim_id", has("modal", "string").isNotNull().alias("modal"), F.coalesce(has("unknown", "boolean"), F.lit(False)).alias("unknown"))
     for i, (_, r) in enumerate(rungs):
         rows = rows.join(r.select("claim_id", F.col("holds").alias(f"_{i}")), "claim_id", "left")
-    holds = F.coalesce(*[F.col(f"_{i}") for i in range(len(rungs))])
-    rung = F.coalesce(*[F.when(F.col(f"_{i}").isNotNull(), F.lit(n)) for i, (n, _) in enumerate(rungs)])
-    return rows.select("claim_id", F.when(holds, 1.0).when(~holds, 0.0).otherwise(0.5).alias("truth"), F.when(holds.isNull(), "insufficient").otherwise("resolved").alias("status"), rung.alias("rung"))
+    if contradictory is None:
+        rows = rows.withColumn("_no", F.lit(False))
+    else:
+        rows = rows.join(contradictory.select("claim_id", F.lit(True).alias("_no")).distinct(), "claim_id", "left").withColumn("_no", F.coalesce("_no", F.lit(False)))
+    decided = F.when(~F.col("modal"), F.coalesce(*[F.col(f"_{i}") for i in range(len(rungs))]))
+    rung = F.when(~F.col("modal") & ~F.col("_no"), F.coalesce(*[F.when(F.col(f"_{i}").isNotNull(), F.lit(n)) for i, (n, _) in enumerate(rungs)]))
+    rows = rows.withColumns({"holds": decided, "rung": rung})
+    truth = F.when(F.col("_no"), 0.0).when(F.col("holds"), 1.0).when(~F.col("holds"), 0.0).otherwise(0.5)
+    status = F.when(F.col("_no"), "inconsistent").when(F.col("holds").isNull(), "insufficient").otherwise("resolved")
+    missing = F.when((status == "insufficient"), F.when(F.col("modal"), "modal").when(F.col("unknown"), "unknown words").otherwise("no ground"))
+    return rows.select("claim_id", truth.alias("truth"), status.alias("status"), "rung", missing.alias("missing"))
 
 
 def answer_polar(verdicts: DataFrame, trust: float = 1.0, high: float = 0.85, low: float = 0.15) -> DataFrame:
@@ -258,19 +294,3 @@ def answer_where(questions: DataFrame, parents: DataFrame, properties: DataFrame
     f = properties.where(F.col("object").endswith("@place")).groupBy(F.col("seed").alias("subject")).agg(F.min("object").alias("b"))
     rows = questions.join(p, "subject", "left").join(f, "subject", "left")
     return rows.select("question_id", F.coalesce("a", "b").alias("answer"), F.when(F.col("a").isNotNull(), 0.9).when(F.col("b").isNotNull(), 0.7).otherwise(0.3).alias("confidence"))
-
-
-def contradictions(clauses: DataFrame) -> DataFrame:
-    """(stmt_id): statements of conjoined leaves (stmt_id, subject, predicate, direct, corner, negated) that hold a crisp atom and its
-    negation, or two corners that exclude each other (A with E or O, E with I) on one atom: an aggregate by atom, no pairs."""
-    atom = clauses.groupBy("stmt_id", "subject", "predicate", "direct").agg(F.collect_set(F.when(F.col("corner") == "CRISP", F.concat(F.lit("CRISP"), F.col("negated").cast("string"))).otherwise(F.col("corner"))).alias("c"))
-    has = lambda x: F.array_contains("c", x)
-    return atom.where((has("CRISPtrue") & has("CRISPfalse")) | (has("A") & (has("E") | has("O"))) | (has("E") & has("I"))).select("stmt_id").distinct()
-
-
-def cross_item_conflict(statements: DataFrame, k: int = 25) -> DataFrame:
-    """(id, other): the newest of a speaker's k statements before (id, speaker, us, subject, predicate, negated) that says the opposite."""
-    w = Window.partitionBy("speaker").orderBy("us", "id").rowsBetween(-k, -1)
-    before = F.collect_list(F.struct("us", "id", "subject", "predicate", "negated")).over(w)
-    against = F.filter(before, lambda x: (x["subject"] == F.col("subject")) & (x["predicate"] == F.col("predicate")) & (x["negated"] != F.col("negated")))
-    return statements.select("id", F.array_max(against)["id"].alias("other")).where("other is not null")

@@ -21,18 +21,35 @@ def search_memory(log: DataFrame, frm: float | None = None, to: float | None = N
 
 
 def open_exchange(messages: DataFrame, window: int = 600, floor: float = 0.9, me: int = 0) -> DataFrame:
-    """(id, open): within the window before it, in its channel, the author addressed the agent."""
-    addressed = F.max(F.when(F.col("directedness") >= floor, F.col("us"))).over(Window.partitionBy("channel", "source_id").orderBy("us", "id").rowsBetween(Window.unboundedPreceding, -1))
-    return messages.select("id", F.coalesce(F.col("us") - addressed <= window * SECOND, F.lit(False)).alias("open"))
+    """(id, open): within the window before it, in its channel, the author addressed the agent or the agent spoke to the author.
+
+    messages (id, us, channel, source_id, target_id, directedness). A row counts for its author, and one of the agent's for its target too, so
+    both ways are one window by channel and person.
+    """
+    addressed = F.col("directedness") >= floor
+    own = messages.select("id", "us", "channel", F.col("source_id").alias("person"), addressed.alias("opens"), F.lit(True).alias("asked"))
+    told = messages.where(F.col("source_id") == me).select("id", "us", "channel", F.col("target_id").alias("person"), F.lit(True).alias("opens"), F.lit(False).alias("asked"))
+    before = Window.partitionBy("channel", "person").orderBy("us", "id").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.max(F.when(F.col("opens"), F.col("us"))).over(before)
+    return own.unionByName(told).withColumn("last", last).where("asked").select("id", F.coalesce(F.col("us") - F.col("last") <= window * SECOND, F.lit(False)).alias("open"))
 
 
-def reply_context(turns: DataFrame) -> DataFrame:
-    """(conv_id, turn, question_turn): for each user turn the agent's newest question before it, if that user said nothing between."""
+def reply_context(turns: DataFrame, window: int = 900) -> DataFrame:
+    """(conv_id, turn, question_turn): what each user turn answers: the agent's message that it names, else the agent's newest message before it,
+    if that is a question of the last `window` seconds and the user said nothing between.
+
+    turns (conv_id, turn, role, question); optional us (always within the window without it), message_id and reply_to.
+    """
+    has = lambda c, kind: F.col(c) if c in turns.columns else F.lit(None).cast(kind)
+    rows = turns.select("conv_id", "turn", "role", "question", has("us", "long").alias("us"), has("message_id", "string").alias("message_id"), has("reply_to", "string").alias("reply_to"))
     w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    asked = F.max(F.when((F.col("role") == "assistant") & F.col("question"), F.col("turn"))).over(w)
-    spoken = F.max(F.when(F.col("role") == "user", F.col("turn"))).over(w)
-    rows = turns.select("conv_id", "turn", "role", asked.alias("asked"), spoken.alias("spoken"))
-    return rows.where("role = 'user'").select("conv_id", "turn", F.when(F.col("asked") > F.coalesce("spoken", F.lit(-1)), F.col("asked")).alias("question_turn"))
+    newest = F.max(F.when(F.col("role") == "assistant", F.struct("turn", "question", "us"))).over(w)
+    rows = rows.withColumns({"newest": newest, "spoken": F.max(F.when(F.col("role") == "user", F.col("turn"))).over(w)})
+    named = rows.where("role = 'assistant' and message_id is not null").groupBy("conv_id", F.col("message_id").alias("reply_to")).agg(F.max("turn").alias("named"))
+    rows = rows.where("role = 'user'").join(named, ["conv_id", "reply_to"], "left")
+    near = F.coalesce(F.col("us") - F.col("newest.us") <= window * SECOND, F.lit(True))
+    derived = F.when(F.col("newest.question") & near & (F.col("newest.turn") > F.coalesce("spoken", F.lit(-1))), F.col("newest.turn"))
+    return rows.select("conv_id", "turn", F.coalesce("named", derived).alias("question_turn"))
 
 
 def episode_near(picks: DataFrame, episodes: DataFrame, within: int = 1800) -> DataFrame:

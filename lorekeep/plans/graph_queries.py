@@ -63,12 +63,12 @@ def theorems(s, d):
     c = F.concat(F.lit("C:"), F.col("o_custkey").cast("string"))
     row = o.withColumn("prev", prev)
     premises = F.when(F.col("prev").isNotNull(), F.array(c, F.concat(F.lit("O:"), F.col("prev").cast("string")))).otherwise(F.array(c))
-    return row.select(F.concat(F.lit("O:"), F.col("o_orderkey").cast("string")).alias("id"), (F.col("o_orderstatus") == "F").alias("archived"), (F.col("o_orderkey") % 97 != 0).alias("postable"), premises.alias("premises"), F.least(F.lit(0.9), F.col("o_totalprice") / 500000).alias("trusted"), F.col("o_orderpriority").alias("original"), F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("created"))
+    return row.select(F.concat(F.lit("O:"), F.col("o_orderkey").cast("string")).alias("id"), (F.col("o_orderstatus") == "F").alias("archived"), (F.col("o_orderkey") % 97 != 0).alias("postable"), premises.alias("premises"), F.least(F.lit(0.9), F.floor("o_totalprice") / 500000).alias("trusted"), F.col("o_orderpriority").alias("original"), F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("created"))
 
 
 THEOREMS = """seq AS (SELECT *, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS prev FROM orders),
 theorems AS (SELECT 'O:' || o_orderkey AS id, o_orderstatus = 'F' AS archived, o_orderkey % 97 <> 0 AS postable, CASE WHEN prev IS NULL THEN ['C:' || o_custkey] ELSE ['C:' || o_custkey, 'O:' || prev] END AS premises,
- least(0.9::DOUBLE, o_totalprice / 500000) AS trusted, o_orderpriority AS original, CAST(epoch(o_orderdate) AS BIGINT) AS created FROM seq)"""
+ least(0.9::DOUBLE, floor(o_totalprice) / 500000) AS trusted, o_orderpriority AS original, CAST(epoch(o_orderdate) AS BIGINT) AS created FROM seq)"""
 
 
 def _cascade(s, d):
@@ -95,8 +95,9 @@ def _premises(s, d):
 
 
 def _antonyms(s, d):
-    n = B.table(s, d, "nation")
-    return G.antonyms(n.select(F.lit("antonym").alias("relation"), F.col("n_name").alias("subject"), F.concat(F.lit("anti"), F.col("n_regionkey").cast("string")).alias("object")))
+    p = B.table(s, d, "part")
+    relation = F.when(F.col("p_partkey") % 3 == 0, "similar_to").otherwise("antonym")
+    return G.antonyms(p.select(relation.alias("relation"), F.col("p_name").alias("subject"), F.concat(F.lit("anti "), "p_brand").alias("object")))
 
 
 def _relation_union(s, d):
@@ -105,11 +106,16 @@ def _relation_union(s, d):
 
 
 def _charitable(s, d):
-    n = B.table(s, d, "nation").select(F.concat(F.lit("N:"), F.col("n_nationkey").cast("string")).alias("sense"), "n_nationkey")
-    sib = n.select("sense", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("rank"), "n_nationkey").select("sense", F.concat(F.lit("N:"), ((F.col("n_nationkey") + F.col("rank")) % 25).cast("string")).alias("sibling"), "rank")
-    reg = B.table(s, d, "region").select(F.concat(F.lit("R:"), F.col("r_regionkey").cast("string")).alias("sense"), F.concat(F.lit("R:"), ((F.col("r_regionkey") + 1) % 5).cast("string")).alias("sibling"), F.lit(1).alias("rank"))
-    pairs = n.select(F.col("sense").alias("child"), F.concat(F.lit("R:"), (F.col("n_nationkey") % 3).cast("string")).alias("parent"))
-    return G.charitable_subsumes(pairs, sib.select("sense", "sibling", "rank").unionByName(reg), _closure(s, d))
+    """Customers, with the next three customers as siblings, against nations and their next two."""
+    c = B.table(s, d, "customer").select(F.col("c_custkey").alias("k"))
+    text = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    n = c.agg(F.count("*").alias("n"))
+    near = c.join(F.broadcast(n)).select("k", "n", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("rank"))
+    sib = near.select(text("C:", F.col("k")).alias("sense"), text("C:", (F.col("k") + F.col("rank")) % F.col("n")).alias("sibling"), "rank")
+    z = B.table(s, d, "nation").select(F.col("n_nationkey").alias("k"), F.explode(F.sequence(F.lit(1), F.lit(2))).alias("rank"))
+    sib = sib.unionByName(z.select(text("N:", F.col("k")).alias("sense"), text("N:", (F.col("k") + F.col("rank")) % 25).alias("sibling"), "rank"))
+    pairs = c.select(text("C:", F.col("k")).alias("child"), text("N:", F.col("k") % 25).alias("parent"))
+    return G.charitable_subsumes(pairs, sib, _closure(s, d))
 
 
 QUERIES = {
@@ -153,10 +159,11 @@ SELECT c.node, coalesce(string_agg(key, ',' ORDER BY key), '') AS premises FROM
     "place_contains": f"""WITH {_PLACES}, p AS (SELECT 'C:' || c_custkey AS inner_, 'N:' || (c_custkey % 25) AS outer_ FROM customer UNION ALL SELECT 'N:' || (c_custkey % 25), 'C:' || c_custkey FROM customer UNION ALL SELECT 'C:' || c_custkey, 'atlantis' FROM customer)
 SELECT inner_ AS "inner", outer_ AS "outer", CASE WHEN i.uid IS NULL OR o.uid IS NULL THEN NULL ELSE inner_ = outer_ OR list_contains(i.path_admin, outer_) OR i.parent_admin = outer_ END AS contains FROM p LEFT JOIN places i ON i.uid = inner_ LEFT JOIN places o ON o.uid = outer_""",
     "place_parent": f"WITH {_PLACES} SELECT uid, coalesce(nullif(parent_admin, ''), nullif(parent_geo, '')) AS parent, CASE WHEN parent_admin <> '' THEN 'admin' WHEN parent_geo <> '' THEN 'geo' END AS chain FROM places",
-    "antonyms": "SELECT DISTINCT n_name AS a, 'anti' || n_regionkey AS b FROM nation UNION SELECT 'anti' || n_regionkey, n_name FROM nation",
+    "antonyms": "SELECT p_name AS a, 'anti ' || p_brand AS b FROM part WHERE p_partkey % 3 > 0 UNION SELECT 'anti ' || p_brand, p_name FROM part WHERE p_partkey % 3 > 0",
     "relation_union": f"WITH {B.edges_sql()} SELECT DISTINCT child AS subject, parent AS object FROM edges WHERE child NOT LIKE 'S:%'",
-    "charitable_subsumes": f"""{R_SQL}, sib AS (SELECT 'N:' || n_nationkey AS sense, 'N:' || ((n_nationkey + r) % 25) AS sibling, r AS rank FROM nation, range(0, 4) x(r) UNION ALL SELECT 'R:' || r_regionkey, 'R:' || ((r_regionkey + r) % 5), r FROM region, range(0, 2) y(r)),
-p AS (SELECT 'N:' || n_nationkey AS child, 'R:' || (n_nationkey % 3) AS parent FROM nation),
+    "charitable_subsumes": f"""{R_SQL}, sib AS (SELECT 'C:' || c_custkey AS sense, 'C:' || ((c_custkey + r) % (SELECT count(*) FROM customer)) AS sibling, r AS rank FROM customer, range(0, 4) x(r)
+ UNION ALL SELECT 'N:' || n_nationkey, 'N:' || ((n_nationkey + r) % 25), r FROM nation, range(0, 3) y(r)),
+p AS (SELECT 'C:' || c_custkey AS child, 'N:' || (c_custkey % 25) AS parent FROM customer),
 h AS (SELECT child, parent, a.sibling AS c, b.sibling AS q, row_number() OVER (PARTITION BY child, parent ORDER BY (a.rank + b.rank > 0), a.rank, b.rank) AS n FROM p JOIN sib a ON a.sense = child JOIN sib b ON b.sense = parent JOIN closure ON node = a.sibling AND ancestor = b.sibling)
 SELECT p.child, p.parent, c AS child_sense, q AS parent_sense FROM p LEFT JOIN h ON h.child = p.child AND h.parent = p.parent AND n = 1""",
     "revoke_cascade": f"""WITH RECURSIVE {THEOREMS}, needs AS (SELECT id, unnest(premises) AS premise FROM theorems WHERE NOT archived),

@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lorekeep.operators import clauses as C
+from lorekeep.operators import consistency as K
+from lorekeep.operators import graph as G
 from lorekeep.operators import inference as I
+from lorekeep.operators import people as P
+from lorekeep.operators import revision as R
 from lorekeep.plans import bindings as B
+from lorekeep.runtime import cut
 
 # The class graph above market segments, the rules, and their SQL.
 _EDGES = [("BUILDING", "construction", None), ("FURNITURE", "construction", "FURNITURE|is_a|construction"), ("MACHINERY", "machine", None), ("AUTOMOBILE", "vehicle", None), ("vehicle", "machine", None), ("HOUSEHOLD", "home", None), ("construction", "industry", None), ("machine", "industry", "machine|is_a|industry")]
@@ -15,7 +20,10 @@ _RULES = [
     ("r4", "property", "payer", "pay.v.01", None, False, []), ("r5", "property", "guest", "rest.v.01", None, False, []), ("r6", "property", "vehicle", "rest.v.01", None, True, []), ("r7", "property", "home", "pay.v.01", None, True, [("1-URGENT", "F")]), ("r8", "membership", "machine", "guest", None, False, [("2-HIGH", "O")]),
 ]
 _SUFF = [("s1", "industry", "urgent_payer", [("1-URGENT", "F"), ("2-HIGH", None)]), ("s2", "urgent_payer", "priority", [("3-MEDIUM", None)])]
-_COND = [("c1", None, "1-URGENT", "P", "worry.v.01", None, False), ("c2", "industry", "worry.v.01", None, "pay.v.01", None, True), ("c3", None, "pay.v.01", None, "spend.v.01", None, False)]
+_COND = [
+    ("c1", None, "1-URGENT", "P", [], "worry.v.01", None, False), ("c2", "industry", "worry.v.01", None, [], "pay.v.01", None, True), ("c3", None, "pay.v.01", None, [], "spend.v.01", None, False),
+    ("c4", None, "spend.v.01", None, [("worry.v.01", None), ("2-HIGH", "O")], "regret.v.01", None, False), ("c5", "industry", "5-LOW", "F", [("regret.v.01", None)], "save.v.01", "money.n.01", False),
+]
 
 
 def kb(s, d):
@@ -28,7 +36,7 @@ def kb(s, d):
         "facts": facts, "properties": props, "edges": s.createDataFrame(_EDGES, "child string, parent string, source string"),
         "rules": s.createDataFrame(_RULES, f"rule_id string, kind string, subject string, predicate string, object string, negated boolean, conds {cond}"),
         "sufficient": s.createDataFrame(_SUFF, f"rule_id string, genus string, klass string, conds {cond}"),
-        "conditional": s.createDataFrame(_COND, "rule_id string, cond_class string, cond_pred string, cond_obj string, concl_pred string, concl_obj string, concl_negated boolean"),
+        "conditional": s.createDataFrame(_COND, f"rule_id string, cond_class string, cond_pred string, cond_obj string, cond_extra {cond}, concl_pred string, concl_obj string, concl_negated boolean"),
     }
 
 
@@ -57,11 +65,14 @@ reach AS (SELECT seed, klass FROM facts WHERE NOT negated UNION SELECT r.seed, o
 
 DERIVED = (
     _reach()
-    + f""", direct AS (SELECT DISTINCT r.seed, u.predicate, u.object, u.negated FROM reach r JOIN rules u ON u.subject = r.klass AND (kind = 'property' OR u.negated) WHERE conds::INT = 0 OR EXISTS (SELECT 1 FROM met WHERE met.seed = r.seed AND met.rule_id = u.rule_id)),
-cond AS (SELECT * FROM (VALUES {_values(_COND)}) t(rule_id, cc, cp, co, np, nobj, nn)),
+    + f""", direct AS (SELECT DISTINCT r.seed, u.predicate, u.object::VARCHAR AS object, u.negated FROM reach r JOIN rules u ON u.subject = r.klass AND (kind = 'property' OR u.negated) WHERE conds::INT = 0 OR EXISTS (SELECT 1 FROM met WHERE met.seed = r.seed AND met.rule_id = u.rule_id)),
+cond AS (SELECT * FROM (VALUES {_values([r[:4] + r[5:] for r in _COND])}) t(rule_id, cc, cp, co, np, nobj, nn)),
 told AS (SELECT seed, predicate, object, negated FROM props WHERE NOT negated UNION SELECT seed, predicate, object, negated FROM direct WHERE NOT negated),
-more AS (SELECT seed, predicate, object, negated, 0 AS new FROM told UNION SELECT m.seed, np, nobj, nn, 1 FROM more m JOIN cond ON NOT m.negated AND m.predicate = cp AND (co IS NULL OR co = m.object) WHERE cc IS NULL OR EXISTS (SELECT 1 FROM reach r WHERE r.seed = m.seed AND r.klass = cc)),
-added AS (SELECT DISTINCT m.seed, m.predicate, m.object, m.negated FROM more m WHERE new = 1 AND NOT EXISTS (SELECT 1 FROM told t WHERE t.seed = m.seed AND t.predicate = m.predicate AND t.object IS NOT DISTINCT FROM m.object AND t.negated = m.negated)),
+more AS (SELECT seed, predicate, object, negated, 0 AS new FROM told UNION SELECT m.seed, np, nobj, nn, 1 FROM more m JOIN cond ON rule_id IN ('c1', 'c2', 'c3') AND NOT m.negated AND m.predicate = cp AND (co IS NULL OR co = m.object) WHERE cc IS NULL OR EXISTS (SELECT 1 FROM reach r WHERE r.seed = m.seed AND r.klass = cc)),
+regret AS (SELECT DISTINCT s.seed FROM more s WHERE NOT negated AND predicate = 'spend.v.01' AND EXISTS (SELECT 1 FROM more w WHERE w.seed = s.seed AND NOT w.negated AND w.predicate = 'worry.v.01') AND EXISTS (SELECT 1 FROM more h WHERE h.seed = s.seed AND NOT h.negated AND h.predicate = '2-HIGH' AND h.object = 'O')),
+saving AS (SELECT seed FROM regret g WHERE EXISTS (SELECT 1 FROM more l WHERE l.seed = g.seed AND NOT l.negated AND l.predicate = '5-LOW' AND l.object = 'F') AND EXISTS (SELECT 1 FROM reach r WHERE r.seed = g.seed AND r.klass = 'industry')),
+every AS (SELECT * FROM more UNION ALL SELECT seed, 'regret.v.01', NULL, false, 1 FROM regret UNION ALL SELECT seed, 'save.v.01', 'money.n.01', false, 1 FROM saving),
+added AS (SELECT DISTINCT m.seed, m.predicate, m.object, m.negated FROM every m WHERE new = 1 AND NOT EXISTS (SELECT 1 FROM told t WHERE t.seed = m.seed AND t.predicate = m.predicate AND t.object IS NOT DISTINCT FROM m.object AND t.negated = m.negated)),
 alls AS (SELECT * FROM direct UNION ALL SELECT * FROM added), derived AS (SELECT *, count(DISTINCT negated) OVER (PARTITION BY seed, predicate, object) = 2 OR (negated AND object IS NULL AND EXISTS (SELECT 1 FROM reach r WHERE r.seed = alls.seed AND r.klass = alls.predicate)) AS conflict FROM alls)"""
 )
 
@@ -98,17 +109,39 @@ def claims(s, d):
     c = B.table(s, d, "customer")
     k = F.col("c_custkey")
     pred = F.element_at(F.array(F.lit("pay.v.01"), F.lit("rest.v.01"), F.lit("1-URGENT"), F.lit("industry")), (k % 4 + 1).cast("int"))
-    return c.select(k.alias("claim_id"), F.concat(F.lit("C:"), k.cast("string")).alias("subject"), pred.alias("predicate"), F.when(k % 4 == 2, F.when(k % 3 == 0, "F")).alias("object"), (k % 5 < 2).alias("negated"))
+    return c.select(k.alias("claim_id"), F.concat(F.lit("C:"), k.cast("string")).alias("subject"), pred.alias("predicate"), F.when(k % 4 == 2, F.when(k % 3 == 0, "F")).alias("object"), (k % 5 < 2).alias("negated"), F.when(k % 37 == 0, "can").alias("modal"), (k % 29 == 0).alias("unknown"))
 
 
 CLAIMS = "claims AS (SELECT c_custkey AS claim_id, 'C:' || c_custkey AS subject, list_extract(['pay.v.01', 'rest.v.01', '1-URGENT', 'industry'], (c_custkey % 4 + 1)::INT) AS predicate, CASE WHEN c_custkey % 4 = 2 AND c_custkey % 3 = 0 THEN 'F' END AS object, c_custkey % 5 < 2 AS negated FROM customer)"
 
 
+def _places_of(s, d):
+    """Every 19th claim is about a place, every 23rd about a part: is the customer in that nation?"""
+    c = B.table(s, d, "customer")
+    k = F.col("c_custkey")
+    text = lambda p, x: F.concat(F.lit(p), x.cast("string"))
+    row = lambda n: c.where(k % n == 0).select(k.alias("claim_id"), text("C:", k).alias("subject"), text("N:", k % 25).alias("object"), (k % 5 < 2).alias("negated"))
+    near, part = row(19), row(23)
+    n = B.table(s, d, "nation").select(text("N:", F.col("n_nationkey")).alias("uid"), F.lit("world").alias("parent_admin"), F.array(F.lit("world")).alias("path_admin"))
+    home = text("N:", F.col("c_nationkey"))
+    places = n.unionByName(c.select(text("C:", k).alias("uid"), home.alias("parent_admin"), F.array(F.lit("world"), home).alias("path_admin")))
+    none = F.array().cast("array<string>")
+    places = places.select("*", F.lit("").alias("parent_geo"), none.alias("path_geo"), none.alias("physical_features"))
+    inside = G.place_contains(near.select(F.col("subject").alias("inner"), F.col("object").alias("outer")), places)
+    edges = c.select(text("C:", k).alias("node"), home.alias("ancestor"))
+    whole = G.part_of(part.select(F.col("subject").alias("part"), F.col("object").alias("whole")), edges)
+    return R.ground_place(near, inside), P.ground_part(part, whole)
+
+
 def _rungs(s, d):
     k, c = kb(s, d), claims(s, d)
-    up = _closure(s, d).select(F.col("seed").alias("subject"), F.col("klass").alias("object"))
+    closure = cut(_closure(s, d))
+    up = closure.select(F.col("seed").alias("subject"), F.col("klass").alias("object"))
     apart = k["facts"].where("klass = 'HOUSEHOLD' and not negated").select(F.col("seed").alias("subject"), F.lit("industry").alias("object"))
-    return c, [("is_a", I.ground_isa(c, up, apart)), ("rules", I.chain_ground(c, I.forward_chain(k))), ("fact", I.individual_fact(c, k["facts"], k["properties"]))]
+    place, part = _places_of(s, d)
+    sims = c.select("claim_id", (F.col("claim_id") % 100 / 100).alias("sim"))
+    rungs = [("place", place), ("part_of", part), ("is_a", I.ground_isa(c, up, apart)), ("rules", I.chain_ground(c, I.forward_chain(k, closure))), ("fact", I.individual_fact(c, k["facts"], k["properties"]))]
+    return c, [*rungs, ("direct", _direct_fact(s, d)), ("definition", I.definition_rung(c, sims))]
 
 
 RUNGS = f"""{DERIVED}, {CLAIMS}, isa AS (SELECT claim_id, coalesce(r.klass IS NOT NULL, false) <> c.negated AS holds FROM claims c LEFT JOIN reach r ON r.seed = subject AND r.klass = predicate LEFT JOIN facts f ON f.seed = subject AND f.klass = 'HOUSEHOLD' AND NOT f.negated AND predicate = 'industry' WHERE r.klass IS NOT NULL OR f.klass IS NOT NULL),
@@ -118,7 +151,11 @@ fact AS (SELECT claim_id, arg_min(cn = fn, (p, fact_id)) AS holds FROM hits GROU
 
 
 def _evaluate(s, d):
-    return I.evaluate(*_rungs(s, d))
+    """Every 41st claim contradicts itself."""
+    c, rungs = _rungs(s, d)
+    said = c.where("claim_id % 41 = 0").select(F.col("claim_id").alias("stmt_id"), "subject", "predicate", F.col("object").alias("direct"), F.explode(F.array(F.lit(False), F.lit(True))).alias("negated"))
+    leaves = said.select("*", F.col("negated").cast("int").alias("pos"), F.lit("AND").alias("op"), F.lit(None).cast("double").alias("attitude"), F.lit("CRISP").alias("corner"), F.lit(False).alias("unknown"), F.lit(False).alias("reflexive"))
+    return I.evaluate(c, rungs, K.contradictions(leaves).select(F.col("stmt_id").alias("claim_id")))
 
 
 def _questions(s, d):
@@ -144,14 +181,23 @@ def _direct_fact(s, d):
     return I.direct_fact(claims(s, d).withColumn("object", F.lit("F")), facts)
 
 
-def _contra(s, d):
-    c = B.clauses(s, d, conjoined=True)
-    return I.contradictions(c.select("stmt_id", C.role_key("subject").alias("subject"), F.split_part(F.element_at("senses", "predicate"), F.lit("."), F.lit(1)).alias("predicate"), F.lit(None).cast("string").alias("direct"), C.corner().alias("corner"), "negated"))
+def _contra_leaves(s, d, conjoined):
+    c = B.clauses(s, d, conjoined=conjoined)
+    predicate = F.split_part(F.element_at("senses", "predicate"), F.lit("."), F.lit(1))
+    return c.select("stmt_id", "pos", "op", "attitude", C.role_key("subject").alias("subject"), predicate.alias("predicate"), F.lit(None).cast("string").alias("direct"), C.corner().alias("corner"), "negated", "unknown", (F.col("event_id") % 47 == 0).alias("reflexive"))
+
+
+def _antonyms(s):
+    return s.createDataFrame([("view", "click"), ("error", "purchase")], "a string, b string")
 
 
 def _cross(s, d):
-    e = B.events(s, d)
-    return I.cross_item_conflict(e.select(F.col("event_id").alias("id"), F.col("user_id").alias("speaker"), "us", F.col("event_type").alias("subject"), (F.col("k") % 3).alias("predicate"), (F.col("k") % 2 == 0).alias("negated")))
+    """Two events in a row are one statement of one of 40 speakers."""
+    e, k = B.events(s, d), F.col("k")
+    corner = F.element_at(F.array(*[F.lit(x) for x in ("A", "E", "I", "O", "CRISP", "CRISP", "MODAL")]), (k % 7 + 1).cast("int"))
+    number = F.floor(F.col("event_id") / 2)
+    rows = e.select(number.alias("id"), (number % 40).alias("speaker"), number.alias("us"), F.col("event_type").alias("subject"), F.concat(F.lit("p"), (k % 3).cast("string")).alias("predicate"), F.lit(None).cast("string").alias("direct"), corner.alias("corner"), (k % 2 == 0).alias("negated"), (k % 13 == 0).alias("unknown"))
+    return K.cross_item_conflict(rows, antonyms=s.createDataFrame([("p0", "p1")], "a string, b string"))
 
 
 def _reductio(s, d):
@@ -173,9 +219,9 @@ QUERIES = {
     "saturate": lambda s, d: I.saturate(kb(s, d)).select(*I.KEY, "trust"),
     "tier_ablation": _ablation,
     "reductio_prove": _reductio,
-    "ground_isa": lambda s, d: _rungs(s, d)[1][0][1],
-    "chain_ground": lambda s, d: _rungs(s, d)[1][1][1],
-    "individual_fact": lambda s, d: _rungs(s, d)[1][2][1],
+    "ground_isa": lambda s, d: _rungs(s, d)[1][2][1],
+    "chain_ground": lambda s, d: _rungs(s, d)[1][3][1],
+    "individual_fact": lambda s, d: _rungs(s, d)[1][4][1],
     "direct_fact": _direct_fact,
     "evaluate": _evaluate,
     "answer_polar": lambda s, d: I.answer_polar(_evaluate(s, d), 0.9),
@@ -184,12 +230,39 @@ QUERIES = {
     "answer_object": lambda s, d: I.answer_object(_questions(s, d), kb(s, d)["properties"]),
     "answer_why": lambda s, d: I.answer_why(_questions(s, d), I.forward_chain(kb(s, d))).select("question_id", F.col("answer").isNotNull().alias("answered")),
     "answer_where": _where,
-    "contradictions": _contra,
+    "contradictions": lambda s, d: K.contradictions(_contra_leaves(s, d, True), _antonyms(s)),
+    "contradictions_mixed": lambda s, d: K.contradictions(_contra_leaves(s, d, False), _antonyms(s)),
     "cross_item_conflict": _cross,
 }
 
 _TRUST_OF = "CASE WHEN machine THEN 0.3 ELSE 0.9 END"
-_EVAL = f"{RUNGS}, v AS (SELECT c.claim_id, coalesce(a.holds, b.holds, f.holds) AS holds, CASE WHEN a.holds IS NOT NULL THEN 'is_a' WHEN b.holds IS NOT NULL THEN 'rules' WHEN f.holds IS NOT NULL THEN 'fact' END AS rung FROM claims c LEFT JOIN isa a USING (claim_id) LEFT JOIN chained b USING (claim_id) LEFT JOIN fact f USING (claim_id))"
+_DIRECT = "direct_ AS (SELECT claim_id, arg_min((o_orderkey % 3 = 0) = negated, o_orderkey) AS holds FROM claims JOIN orders ON subject = 'C:' || o_custkey AND predicate = o_orderpriority AND o_orderstatus = 'F' GROUP BY 1)"
+_EVAL = f"""{RUNGS}, {_DIRECT}, v AS (SELECT c.claim_id, c.claim_id % 41 = 0 AS bad, c.claim_id % 37 = 0 AS modal, c.claim_id % 29 = 0 AS unknown, CASE WHEN c.claim_id % 19 = 0 THEN (c_nationkey = c.claim_id % 25) <> c.negated END AS r1,
+ CASE WHEN c.claim_id % 23 = 0 AND c_nationkey = c.claim_id % 25 THEN NOT c.negated END AS r2, a.holds AS r3, b.holds AS r4, f.holds AS r5, d.holds AS r6, CASE WHEN NOT c.negated AND c.claim_id % 100 >= 85 THEN true END AS r7
+ FROM claims c JOIN customer ON c_custkey = c.claim_id LEFT JOIN isa a USING (claim_id) LEFT JOIN chained b USING (claim_id) LEFT JOIN fact f USING (claim_id) LEFT JOIN direct_ d USING (claim_id)),
+w AS (SELECT *, CASE WHEN NOT modal THEN coalesce(r1, r2, r3, r4, r5, r6, r7) END AS holds, CASE WHEN NOT modal AND NOT bad THEN CASE WHEN r1 IS NOT NULL THEN 'place' WHEN r2 IS NOT NULL THEN 'part_of' WHEN r3 IS NOT NULL THEN 'is_a' WHEN r4 IS NOT NULL THEN 'rules' WHEN r5 IS NOT NULL THEN 'fact' WHEN r6 IS NOT NULL THEN 'direct' WHEN r7 IS NOT NULL THEN 'definition' END END AS rung FROM v),
+ev AS (SELECT claim_id, CASE WHEN bad THEN 0.0 WHEN holds THEN 1.0 WHEN NOT holds THEN 0.0 ELSE 0.5 END::DOUBLE AS truth, CASE WHEN bad THEN 'inconsistent' WHEN holds IS NULL THEN 'insufficient' ELSE 'resolved' END AS status, rung, CASE WHEN NOT bad AND holds IS NULL THEN CASE WHEN modal THEN 'modal' WHEN unknown THEN 'unknown words' ELSE 'no ground' END END AS missing FROM w)"""
+_CONTRA = f"""leaf AS (SELECT stmt_id, pos, op, attitude, subject, split_part(s_predicate, '.', 1) AS predicate, negated, event_id % 47 = 0 AS refl, CASE WHEN unknown OR modal IS NOT NULL THEN NULL WHEN quantifier = 'universal' THEN CASE WHEN negated THEN 'O' ELSE 'A' END WHEN quantifier = 'negated_universal' THEN CASE WHEN negated THEN 'I' ELSE 'O' END
+ WHEN quantifier = 'negative' THEN CASE WHEN negated THEN 'I' ELSE 'E' END WHEN quantifier IN ('existential', 'indefinite') THEN CASE WHEN negated THEN 'O' ELSE 'I' END WHEN negated THEN 'F' ELSE 'T' END AS code FROM clauses),
+named AS (SELECT *, CASE WHEN code IS NULL THEN '@' || pos WHEN code IN ('T', 'F') THEN subject || '|' || predicate ELSE subject || '|' || predicate || '#' || code END AS atom FROM leaf),
+few AS (SELECT stmt_id, count(DISTINCT CASE WHEN NOT refl THEN atom END) AS k, bool_and(op = 'AND' AND attitude IS NULL) AS plain FROM named GROUP BY 1),
+clash AS (SELECT a.stmt_id, a.pos AS p, b.pos AS q, a.atom AS a, b.atom AS b FROM named a JOIN named b ON a.stmt_id = b.stmt_id AND a.subject = b.subject AND NOT a.refl AND NOT b.refl WHERE (a.predicate = b.predicate AND a.code || b.code IN ('AO', 'OA', 'AE', 'EA', 'EI', 'IE', 'TF', 'FT'))
+ OR (a.predicate || ' ' || b.predicate IN ('view click', 'click view', 'error purchase', 'purchase error') AND NOT a.negated AND NOT b.negated AND a.code IN ('A', 'E', 'T') AND b.code IN ('A', 'E', 'T')))"""
+
+
+def _contra_sql(conjoined):
+    """Every assignment of 0 and 1 to the atoms of a statement, folded leaf by leaf."""
+    return f"""WITH RECURSIVE {B.clauses_sql(conjoined)}, {_CONTRA}, firsts AS (SELECT stmt_id, atom, min(pos) AS fp FROM named WHERE NOT refl GROUP BY ALL), rep AS (SELECT f.stmt_id, f.atom, fp, negated AS rn, row_number() OVER (PARTITION BY f.stmt_id ORDER BY fp) - 1 AS i FROM firsts f JOIN named n ON n.stmt_id = f.stmt_id AND n.pos = fp),
+mx AS (SELECT DISTINCT c.stmt_id, x.i AS i, y.i AS j FROM clash c JOIN rep x ON x.stmt_id = c.stmt_id AND x.fp = p JOIN rep y ON y.stmt_id = c.stmt_id AND y.fp = q WHERE x.i < y.i),
+mask AS (SELECT stmt_id, unnest(range(1 << k::INT)) AS m FROM few WHERE NOT plain AND k <= 16), good AS (SELECT * FROM mask WHERE NOT EXISTS (SELECT 1 FROM mx WHERE mx.stmt_id = mask.stmt_id AND (m >> i::INT) & 1 = 1 AND (m >> j::INT) & 1 = 1)),
+val AS (SELECT g.stmt_id, g.m, n.pos, n.op, n.attitude, CASE WHEN refl THEN CASE WHEN n.negated THEN 0.0 ELSE 1.0 END WHEN code IN ('T', 'F') AND n.negated <> rn THEN 1.0 - ((m >> i::INT) & 1) ELSE (m >> i::INT) & 1 END::DOUBLE AS raw FROM good g JOIN named n ON n.stmt_id = g.stmt_id LEFT JOIN rep r ON r.stmt_id = n.stmt_id AND r.atom = n.atom AND NOT n.refl),
+v AS (SELECT stmt_id, m, pos, op, CASE WHEN attitude IS NOT NULL THEN 0.5 + (raw - 0.5) * attitude ELSE raw END AS x FROM val),
+walk AS (SELECT stmt_id, m, pos, CASE WHEN op = 'NOT' THEN 1 - x ELSE x END AS t FROM v WHERE pos = 0 UNION ALL
+ SELECT w.stmt_id, w.m, v.pos, CASE v.op WHEN 'OR' THEN greatest(t, x) WHEN 'IMPLY' THEN CASE WHEN t <= x THEN 1.0 ELSE x END WHEN 'NOT' THEN least(t, 1 - x) ELSE least(t, x) END FROM walk w JOIN v ON v.stmt_id = w.stmt_id AND v.m = w.m AND v.pos = w.pos + 1),
+last_ AS (SELECT stmt_id, max(pos) AS n FROM named GROUP BY 1) SELECT f.stmt_id FROM few f WHERE k <= 16 AND NOT plain AND NOT EXISTS (SELECT 1 FROM walk w JOIN last_ l ON l.stmt_id = w.stmt_id AND l.n = w.pos WHERE w.stmt_id = f.stmt_id AND t > 1e-9)
+UNION ALL SELECT stmt_id FROM few WHERE k <= 16 AND plain AND (stmt_id IN (SELECT stmt_id FROM clash) OR stmt_id IN (SELECT stmt_id FROM named WHERE refl AND negated))"""
+
+
 _COLS = "seed, predicate, object, negated"
 
 ORACLES = {
@@ -207,15 +280,17 @@ ORACLES = {
     "ground_isa": f"{RUNGS} SELECT * FROM isa",
     "chain_ground": f"{RUNGS} SELECT * FROM chained",
     "individual_fact": f"{RUNGS} SELECT * FROM fact",
-    "evaluate": f"{_EVAL} SELECT claim_id, CASE WHEN holds THEN 1.0 WHEN NOT holds THEN 0.0 ELSE 0.5 END::DOUBLE AS truth, CASE WHEN holds IS NULL THEN 'insufficient' ELSE 'resolved' END AS status, rung FROM v",
-    "answer_polar": f"{_EVAL} SELECT claim_id, CASE WHEN holds THEN 'yes' WHEN NOT holds THEN 'no' ELSE 'unknown' END AS answer, CASE WHEN holds IS NULL THEN 0.5 ELSE 0.9 END::DOUBLE AS confidence FROM v",
+    "evaluate": f"{_EVAL} SELECT * FROM ev",
+    "answer_polar": f"{_EVAL} SELECT claim_id, CASE WHEN status = 'inconsistent' THEN 'no' WHEN truth > 0.85 THEN 'yes' WHEN truth < 0.15 THEN 'no' ELSE 'unknown' END AS answer, CASE WHEN status = 'inconsistent' THEN 1.0 WHEN status = 'insufficient' THEN 0.5 ELSE 0.9 END::DOUBLE AS confidence FROM ev",
     "answer_what": f"WITH {KB}, {CLAIMS}, e AS (SELECT child, min(parent) AS a FROM edge GROUP BY 1), q AS (SELECT i AS question_id, s AS subject FROM (VALUES {_values([(i, e[0]) for i, e in enumerate(_EDGES)])}) t(i, s) UNION ALL SELECT (claim_id + 100)::VARCHAR, subject FROM claims) SELECT question_id::BIGINT AS question_id, coalesce(a, klass, 'unknown') AS answer, CASE WHEN a IS NOT NULL THEN 0.9 WHEN klass IS NOT NULL THEN 0.7 ELSE 0.3 END::DOUBLE AS confidence FROM q LEFT JOIN e ON child = subject LEFT JOIN facts f ON f.seed = subject AND NOT negated",
     "answer_who": f"WITH {KB}, {CLAIMS}, f AS (SELECT predicate, arg_min(seed, fact_id) AS answer FROM props WHERE NOT negated GROUP BY 1) SELECT claim_id AS question_id, answer FROM claims LEFT JOIN f USING (predicate)",
     "answer_object": f"WITH {KB}, {CLAIMS}, f AS (SELECT seed, predicate, arg_min(object, fact_id) AS answer FROM props WHERE NOT negated GROUP BY 1, 2) SELECT claim_id AS question_id, answer FROM claims c LEFT JOIN f ON f.seed = subject AND f.predicate = c.predicate",
     "answer_why": f"{DERIVED}, {CLAIMS} SELECT claim_id AS question_id, EXISTS (SELECT 1 FROM derived x WHERE x.seed = subject AND x.predicate = c.predicate) AS answered FROM claims c",
     "answer_where": f"WITH {KB}, {CLAIMS}, f AS (SELECT seed, min(object || '@place') AS b FROM props WHERE object = 'F' GROUP BY 1) SELECT claim_id AS question_id, CASE claim_id WHEN 1 THEN 'N:1' WHEN 2 THEN 'N:2' ELSE b END AS answer, CASE WHEN claim_id IN (1, 2) THEN 0.9 WHEN b IS NOT NULL THEN 0.7 ELSE 0.3 END::DOUBLE AS confidence FROM claims LEFT JOIN f ON seed = subject",
-    "contradictions": f"""WITH {B.clauses_sql(conjoined=True)}, a AS (SELECT stmt_id, subject, event_type AS predicate, CASE WHEN modal IS NOT NULL THEN 'MODAL' WHEN quantifier = 'universal' THEN CASE WHEN negated THEN 'O' ELSE 'A' END WHEN quantifier = 'negated_universal' THEN CASE WHEN negated THEN 'I' ELSE 'O' END
- WHEN quantifier = 'negative' THEN CASE WHEN negated THEN 'I' ELSE 'E' END WHEN quantifier IN ('existential', 'indefinite') THEN CASE WHEN negated THEN 'O' ELSE 'I' END ELSE 'CRISP' || negated END AS c FROM (SELECT *, split_part(s_predicate, '.', 1) AS event_type FROM clauses)), g AS (SELECT stmt_id, subject, predicate, list(c) AS c FROM a GROUP BY 1, 2, 3)
-SELECT DISTINCT stmt_id FROM g WHERE (list_contains(c, 'CRISPtrue') AND list_contains(c, 'CRISPfalse')) OR (list_contains(c, 'A') AND (list_contains(c, 'E') OR list_contains(c, 'O'))) OR (list_contains(c, 'E') AND list_contains(c, 'I'))""",
-    "cross_item_conflict": f"""WITH {B.EVENTS}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS n FROM ev) SELECT a.event_id AS id, arg_max(b.event_id, b.n) AS other FROM r a JOIN r b ON a.user_id = b.user_id AND b.n BETWEEN a.n - 25 AND a.n - 1 AND a.event_type = b.event_type AND a.k % 3 = b.k % 3 AND a.k % 2 <> b.k % 2 GROUP BY 1""",
+    "contradictions": _contra_sql(True),
+    "contradictions_mixed": _contra_sql(False),
+    "cross_item_conflict": f"""WITH {B.EVENTS}, r AS (SELECT event_id // 2 AS id, (event_id // 2) % 40 AS speaker, event_type AS subject, k % 3 AS p, k % 2 = 0 AS negated, CASE WHEN k % 13 > 0 THEN CASE k % 7 WHEN 0 THEN 'A' WHEN 1 THEN 'E' WHEN 2 THEN 'I' WHEN 3 THEN 'O' WHEN 6 THEN NULL ELSE CASE WHEN k % 2 = 0 THEN 'F' ELSE 'T' END END END AS code FROM ev),
+hit AS (SELECT DISTINCT a.id, a.speaker, b.id AS other FROM r a JOIN r b ON a.speaker = b.speaker AND a.subject = b.subject AND b.id <= a.id WHERE (a.p = b.p AND a.code || b.code IN ('AO', 'OA', 'AE', 'EA', 'EI', 'IE', 'TF', 'FT')) OR (a.p + b.p = 1 AND NOT a.negated AND NOT b.negated AND a.code IN ('A', 'E', 'T') AND b.code IN ('A', 'E', 'T'))),
+own AS (SELECT id FROM hit WHERE id = other), n AS (SELECT id, row_number() OVER (PARTITION BY speaker ORDER BY id) AS n FROM (SELECT DISTINCT id, speaker FROM r))
+SELECT h.id, max(h.other) AS other FROM hit h JOIN n a ON a.id = h.id JOIN n b ON b.id = h.other WHERE h.other < h.id AND b.n >= a.n - 25 AND h.id NOT IN (SELECT id FROM own) AND h.other NOT IN (SELECT id FROM own) GROUP BY 1""",
 }

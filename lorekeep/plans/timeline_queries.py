@@ -18,7 +18,11 @@ def _ids(df):
 
 
 def _turns(s, d):
-    return B.table(s, d, "conversations").select("conv_id", "turn", "role", (F.col("turn") % 2 == 1).alias("question"))
+    """Turns 400 seconds apart, longer ones every seventh; every third user turn names the message two before it."""
+    t = B.table(s, d, "conversations")
+    turn = F.col("turn")
+    name = lambda k: F.concat(F.lit("m"), k.cast("string"))
+    return t.select("conv_id", "turn", "role", (turn % 2 == 1).alias("question"), ((turn * 400 + F.floor(turn / 7) * 600) * 1000000).alias("us"), name(turn).alias("message_id"), F.when((F.col("role") == "user") & ((turn + F.col("conv_id")) % 3 == 0), name(turn - 3)).alias("reply_to"))
 
 
 def _picks(s, d):
@@ -123,13 +127,15 @@ QUERIES = {
 }
 
 _CAND = "cand AS (SELECT event_id AS id, user_id AS source, event_type AS \"trigger\", k / 100 AS urge, CASE WHEN k % 6 = 0 THEN 'ignore' ELSE 'speak' END AS action, k % 4 > 0 AS ok, us FROM ev)"
-_OPEN = "o AS (SELECT id, channel, coalesce(us - max(CASE WHEN directedness >= 0.9 THEN us END) OVER (PARTITION BY channel, source_id ORDER BY us, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 21600000000, false) AS open FROM log)"
+_OPEN = """o AS (SELECT a.id, a.channel, EXISTS (SELECT 1 FROM log b WHERE b.channel = a.channel AND (b.us, b.id) < (a.us, a.id) AND b.us >= a.us - 21600000000 AND ((b.source_id = a.source_id AND b.directedness >= 0.9) OR (b.source_id = 0 AND b.target_id = a.source_id))) AS open FROM log a)"""
 
 ORACLES = {
     "search_memory": f"{L_SQL} SELECT id FROM log WHERE us BETWEEN {START}000000 AND {START + 20 * 86400}000000 AND target_id = 1 AND channel = 3 ORDER BY us DESC, id LIMIT 50",
     "open_exchange": f"{L_SQL}, {_OPEN} SELECT id, open FROM o",
-    "reply_context": """WITH x AS (SELECT conv_id, turn, role, max(CASE WHEN role = 'assistant' AND turn % 2 = 1 THEN turn END) OVER w AS asked, max(CASE WHEN role = 'user' THEN turn END) OVER w AS spoken FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-SELECT conv_id, turn, CASE WHEN asked > coalesce(spoken, -1) THEN asked END AS question_turn FROM x WHERE role = 'user'""",
+    "reply_context": """WITH t AS (SELECT conv_id, turn, role, (turn * 400 + turn // 7 * 600) AS sec FROM conversations),
+n AS (SELECT u.conv_id, u.turn, max(a.turn) FILTER (a.role = 'assistant') AS asked, max(a.turn) FILTER (a.role = 'user') AS spoken, max(CASE WHEN a.role = 'assistant' AND a.turn = u.turn - 3 AND (u.turn + u.conv_id) % 3 = 0 THEN a.turn END) AS named
+ FROM t u LEFT JOIN t a ON a.conv_id = u.conv_id AND a.turn < u.turn WHERE u.role = 'user' GROUP BY 1, 2)
+SELECT conv_id, turn, CASE WHEN named IS NOT NULL THEN named WHEN asked % 2 = 1 AND asked > coalesce(spoken, -1) AND (turn * 400 + turn // 7 * 600) - (asked * 400 + asked // 7 * 600) <= 900 THEN asked END AS question_turn FROM n""",
     "episode_near": f"{E_SQL} SELECT event_id AS id FROM ev p WHERE event_type = 'view' AND EXISTS (SELECT 1 FROM d WHERE d.stakeholder = p.user_id AND delta > 0 AND abs(d.us - p.us) <= 21600000000)",
     "recent_room": f"{L_SQL} SELECT id, source_id, channel FROM log WHERE us > {START + 4 * 86400}000000 AND us <= {START + 5 * 86400}000000 AND source_id <> 7 ORDER BY us DESC, id LIMIT 1",
     "pending_items": f"{L_SQL} SELECT id FROM log WHERE source_id <> 7 AND channel >= 5 ORDER BY us, id LIMIT 40",

@@ -119,9 +119,24 @@ def _upsert(s, d):
     return S.upsert_latest(rows.where("version % 2 = 0"), rows.where("version % 2 = 1"), ["key"], "version")
 
 
+def _metadata(s, d):
+    """The log with ids of messages in its JSON; a fifth of it is broken."""
+    log = B.log(s, d)
+    told = F.concat(F.lit(', "message_id": "m'), F.col("id").cast("string"), F.lit('"'))
+    k = F.element_at(F.split("original", " "), -1).cast("int")
+    reply = F.when(k % 3 == 0, F.concat(F.lit(', "reply_to": "m'), (F.col("id") - 1).cast("string"), F.lit('"}'))).otherwise(F.lit("}"))
+    return log.withColumn("metadata", F.when(F.col("metadata").endswith("}"), F.concat(F.expr("substr(metadata, 1, length(metadata) - 1)"), told, reply)).otherwise(F.col("metadata")))
+
+
 def _harvest(s, d):
-    n = B.table(s, d, "nation").select(F.col("n_name").alias("sense"), F.lit("n").alias("pos"), F.array(F.concat(F.lit("R"), F.col("n_regionkey").cast("string")), F.lit("place")).alias("is_a"), F.when(F.col("n_nationkey") % 2 == 0, F.array(F.lit("earth"))).alias("part_of"), F.array(F.lit("sea"), F.lit("sea")).alias("antonym"))
-    return S.harvest_relations(n)
+    """Parts as senses, with relations by key."""
+    p, k = B.table(s, d, "part"), F.col("p_partkey")
+    each = lambda n, *objects: F.when(k % n == 0, F.array(*objects))
+    rows = p.select(
+        F.concat("p_name", F.lit("."), k.cast("string")).alias("sense"), F.when(k % 2 == 0, "n").otherwise("a").alias("pos"), F.array("p_brand", "p_type", "p_brand").alias("is_a"), each(2, F.lit("earth")).alias("part_of"),
+        each(3, "p_type").alias("entails"), each(5, "p_name").alias("attribute"), each(7, "p_brand", "p_name").alias("similar_to"), each(4, F.lit("sea"), F.lit("sea")).alias("antonym"),
+    )
+    return S.harvest_relations(rows)
 
 
 def _repair(s, d):
@@ -177,7 +192,7 @@ QUERIES = {
     "harvest_relations": _harvest,
     "resume_anti": lambda s, d: S.resume_anti(B.table(s, d, "orders").select("o_custkey"), B.table(s, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("o_custkey")), "o_custkey"),
     "parse_log": lambda s, d: S.parse_log(_log_lines(s, d)).withColumn("premises", F.array_join("premises", ";")),
-    "meta_json": lambda s, d: S.meta_json(B.log(s, d)),
+    "meta_json": lambda s, d: S.meta_json(_metadata(s, d)),
     "repair_epoch": _repair,
     "mark_addressed": lambda s, d: S.mark_addressed(B.events(s, d).select(F.col("event_id").alias("id"), (F.col("k") % 2 == 0).alias("addressed")), B.events(s, d).where("k % 3 = 0").select(F.col("event_id").alias("id"))),
     "validate_metrics": _validate,
@@ -236,10 +251,12 @@ f AS (SELECT event_id AS request, template, ln({_U.replace("request", "event_id"
     "scan_kb": "SELECT o_orderkey, o_orderstatus FROM orders",
     "active": "SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F'",
     "upsert_latest": "SELECT o_custkey AS key, max(o_orderkey) AS version, arg_max(o_orderpriority, o_orderkey) AS payload FROM orders GROUP BY 1",
-    "harvest_relations": "SELECT n_name AS subject, 'is_a' AS relation, 'R' || n_regionkey AS object, 'n' AS pos FROM nation UNION SELECT n_name, 'is_a', 'place', 'n' FROM nation UNION SELECT n_name, 'part_of', 'earth', 'n' FROM nation WHERE n_nationkey % 2 = 0 UNION SELECT n_name, 'antonym', 'sea', 'n' FROM nation",
+    "harvest_relations": """WITH p AS (SELECT *, p_name || '.' || p_partkey AS sense, CASE WHEN p_partkey % 2 = 0 THEN 'n' ELSE 'a' END AS pos FROM part), e AS (SELECT sense, 'is_a' AS relation, p_brand AS object, pos FROM p UNION SELECT sense, 'is_a', p_type, pos FROM p
+ UNION SELECT sense, 'part_of', 'earth', pos FROM p WHERE p_partkey % 2 = 0 UNION SELECT sense, 'entails', p_type, pos FROM p WHERE p_partkey % 3 = 0 UNION SELECT sense, 'attribute', p_name, pos FROM p WHERE p_partkey % 5 = 0
+ UNION SELECT sense, 'similar_to', unnest([p_brand, p_name]), pos FROM p WHERE p_partkey % 7 = 0 UNION SELECT sense, 'antonym', 'sea', pos FROM p WHERE p_partkey % 4 = 0) SELECT sense AS subject, relation, object, pos FROM e""",
     "resume_anti": "SELECT DISTINCT o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)",
     "parse_log": f"WITH {B.EVENTS} SELECT us // 1000000 * 1000000 + 123000 AS us, event_type AS phase, CASE WHEN k % 9 = 0 THEN 'error' ELSE 'materialise' END AS event, 'p' || k || ';q' AS premises, CASE WHEN k % 9 = 0 THEN 'error' ELSE 'info' END AS level FROM ev",
-    "meta_json": f"WITH {B.EVENTS} SELECT event_id AS id, CASE WHEN k % 5 = 0 THEN '#' || (k % 10) ELSE 'c' || k END AS channel_id FROM ev",
+    "meta_json": f"WITH {B.EVENTS} SELECT event_id AS id, CASE WHEN k % 5 = 0 THEN '#' || (k % 10) ELSE 'c' || k END AS channel_id, CASE WHEN k % 5 > 0 THEN 'm' || event_id END AS message_id, CASE WHEN k % 5 > 0 AND k % 3 = 0 THEN 'm' || (event_id - 1) END AS reply_to FROM ev",
     "repair_epoch": "SELECT o_orderkey, CAST(epoch(o_orderdate) AS BIGINT) AS epoch FROM orders",
     "mark_addressed": f"WITH {B.EVENTS} SELECT event_id AS id, k % 2 = 0 OR k % 3 = 0 AS addressed FROM ev",
     "validate_metrics": f"WITH {B.EVENTS} SELECT event_id, CASE WHEN k % 7 = 0 THEN 'state' WHEN k % 11 = 0 THEN 'metrics' WHEN k % 30 > 24 THEN 'version' END AS reason FROM ev",

@@ -34,7 +34,7 @@ def rebuild_tier(edges: DataFrame, path: str) -> None:
     edges.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("method").parquet(path)
 
 
-def harvest_relations(synsets: DataFrame, relations: tuple[str, ...] = ("is_a", "part_of", "antonym")) -> DataFrame:
+def harvest_relations(synsets: DataFrame, relations: tuple[str, ...] = ("is_a", "part_of", "entails", "attribute", "similar_to", "antonym")) -> DataFrame:
     """(subject, relation, object, pos): distinct edges out of nested sense rows with one array of objects for each relation."""
     def edges(relation: str) -> Column:
         return F.transform(F.coalesce(F.col(relation), F.array().cast("array<string>")), lambda o: F.struct(F.lit(relation).alias("relation"), o.alias("object")))
@@ -57,9 +57,9 @@ def parse_log(lines: DataFrame) -> DataFrame:
 
 
 def meta_json(log: DataFrame) -> DataFrame:
-    """(id, channel_id): the metadata's channel; bad JSON gives null, which falls back to the row's channel."""
+    """(id, channel_id, message_id, reply_to) of the metadata; bad JSON gives null, and a null channel falls back to the row's channel."""
     parsed = F.from_json("metadata", "channel_id string, message_id string, reply_to string", {"mode": "PERMISSIVE"})
-    return log.select("id", F.coalesce(parsed["channel_id"], F.concat(F.lit("#"), F.col("channel").cast("string"))).alias("channel_id"))
+    return log.select("id", F.coalesce(parsed["channel_id"], F.concat(F.lit("#"), F.col("channel").cast("string"))).alias("channel_id"), parsed["message_id"].alias("message_id"), parsed["reply_to"].alias("reply_to"))
 
 
 def repair_epoch(c: Column) -> Column:
