@@ -56,8 +56,11 @@ def isa_edges(candidates: DataFrame, closure: DataFrame, apart: DataFrame) -> Da
     return gate_edges(candidates, closure, apart).where("verdict = 'accept'").groupBy("subject", "object").agg(F.min("doc_id").alias("doc_id"))
 
 
-def generic_isa_edges(leaves: DataFrame) -> DataFrame:
-    """(doc_id, pos, reason): null for generic or indefinite copular noun pairs of plain class statements, else why a leaf is no edge."""
+def generic_isa_edges(leaves: DataFrame, closure: DataFrame | None = None) -> DataFrame:
+    """(doc_id, pos, reason): null for generic or indefinite copular noun pairs of plain class statements, else why a leaf is no edge.
+
+    With a closure (node, ancestor) pairs that it has are `redundant`, and those that it has the other way round a `cycle`.
+    """
     reason = (
         F.when(F.col("op") != "AND", "operator")
         .when(F.col("attitude").isNotNull(), "attitude")
@@ -67,9 +70,15 @@ def generic_isa_edges(leaves: DataFrame) -> DataFrame:
         .when(F.col("identity").isNotNull(), "individual")
         .when(~F.col("quantifier").isin("generic", "indefinite"), "quantifier")
         .when(F.size("mods") > 0, "modified")
-        .when(~(noun(F.col("subject")) & noun(F.col("predicate"))), "not nouns")
+        .when(~F.coalesce(noun(F.col("subject")) & noun(F.col("predicate")), F.lit(False)), "not nouns")
     )
-    return leaves.select("doc_id", "pos", reason.alias("reason"))
+    rows = leaves
+    if closure is not None:
+        up = closure.select(F.col("node").alias("subject"), F.col("ancestor").alias("predicate"), F.lit(True).alias("_up")).distinct()
+        down = up.select(F.col("predicate").alias("subject"), F.col("subject").alias("predicate"), F.lit(True).alias("_down"))
+        rows = leaves.join(up, ["subject", "predicate"], "left").join(down, ["subject", "predicate"], "left")
+        reason = reason.when(F.col("_up"), "redundant").when(F.col("_down"), "cycle")
+    return rows.select("doc_id", "pos", reason.alias("reason"))
 
 
 def question() -> Column:
@@ -241,6 +250,15 @@ def extract_logic(leaves: DataFrame) -> DataFrame:
     return out.groupBy("shape", F.col("kind").alias("verdict")).agg(F.count("*").alias("n"))
 
 
-def definition_profile(leaves: DataFrame) -> DataFrame:
-    """(leaves, n): definitions by their number of leaves."""
-    return leaves.groupBy("doc_id").agg(F.count("*").alias("leaves")).groupBy("leaves").agg(F.count("*").alias("n"))
+def definition_profile(leaves: DataFrame, closure: DataFrame) -> DataFrame:
+    """(what, value, n): definitions by their number of leaves, leaves by quantifier and by word class of the predicate, and definitions'
+    candidate edges by whether the closure (node, ancestor) has them (redundant), has the subject (new) or does not (off the graph)."""
+    counted = lambda df, what, c: df.groupBy(c.cast("string").alias("value")).agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "value", "n")
+    sizes = leaves.groupBy("doc_id").agg(F.count("*").alias("leaves"))
+    have = closure.select(F.col("node").alias("subject"), F.col("ancestor").alias("object"), F.lit(True).alias("_has")).distinct()
+    on = closure.select(F.col("node").alias("subject"), F.lit(True).alias("_on")).distinct()
+    edges = candidate_edges(leaves).join(have, ["subject", "object"], "left").join(on, "subject", "left")
+    state = F.when(F.col("_has"), "redundant").when(F.col("_on"), "new").otherwise("off the graph")
+    word_class = F.nullif(F.regexp_extract("predicate", r"\.([a-z])\.\d+$", 1), F.lit(""))
+    parts = [counted(sizes, "leaves", F.col("leaves")), counted(leaves, "quantifier", F.col("quantifier")), counted(leaves, "class", word_class), counted(edges, "edge", state)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])

@@ -33,6 +33,11 @@ def _first(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.min(F.struct(F.size("premises").alias("n"), "premises")).alias("m")).select(*keys, F.col("m.premises").alias("premises"))
 
 
+def _compact(rounds: list[DataFrame], most: int = 8) -> list[DataFrame]:
+    """The rounds, written as one where there are many, so that plans stay short however many rounds it takes."""
+    return [cut(reduce(DataFrame.unionByName, rounds))] if len(rounds) > most else rounds
+
+
 def _plus(premises: Column, *more: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.concat(premises, *more), lambda x: x.isNotNull())))
 
@@ -77,7 +82,7 @@ def class_fixpoint(facts: DataFrame, edges: DataFrame, rules: DataFrame, suffici
         frontier = cut(_first(free.unionByName(bound), ["seed", "klass"]).join(known, ["seed", "klass"], "left_anti"))
         if frontier.isEmpty():
             break
-        rounds.append(frontier)
+        rounds = _compact([*rounds, frontier])
     return reduce(DataFrame.unionByName, rounds)
 
 
@@ -100,9 +105,11 @@ def derive_conditional(held: DataFrame, rules: DataFrame, closure: DataFrame) ->
     """Conclusions (KEY, premises) of conditional rules (rule_id, cond_class, cond_pred, cond_obj, cond_extra, concl_pred, concl_obj,
     concl_negated) from the properties held, until nothing is added; only affirmative conclusions are conditions again.
 
-    cond_extra array<struct<predicate,object>>: further properties that must hold, given or derived in any round. A rule fires in the round after
+    cond_extra array<struct<predicate,object>>, optional: further properties that must hold, given or derived in any round. A rule fires in the round after
     its last condition is met, so of its conditions one is of the last round and the others are looked up in all rounds.
     """
+    if "cond_extra" not in rules.columns:
+        rules = rules.withColumn("cond_extra", F.array().cast("array<struct<predicate:string,object:string>>"))
     rules = rules.withColumn("conds", F.concat(F.array(F.struct(F.col("cond_pred").alias("predicate"), F.col("cond_obj").alias("object"))), F.coalesce("cond_extra", F.array().cast("array<struct<predicate:string,object:string>>"))))
     need = cut(rules.select("rule_id", F.size("conds").alias("all"), F.posexplode("conds").alias("i", "c")).select("rule_id", "all", "i", F.col("c.predicate").alias("predicate"), F.col("c.object").alias("co")))
     known = cut(_first(held.where("not negated").select("seed", "predicate", "object", "negated", "premises"), KEY))
@@ -126,7 +133,7 @@ def derive_conditional(held: DataFrame, rules: DataFrame, closure: DataFrame) ->
         frontier = cut(_first(new, KEY).join(seen, same, "left_anti"))
         if frontier.isEmpty():
             break
-        rounds.append(frontier)
+        rounds = _compact([*rounds, frontier])
         frontier = frontier.where("not negated")
     return reduce(DataFrame.unionByName, rounds) if rounds else known.limit(0)
 
@@ -210,12 +217,24 @@ def individual_fact(claims: DataFrame, memberships: DataFrame, properties: DataF
     return both.groupBy("claim_id", "negated").agg(F.min(F.struct("p", "fact_id", "fn")).alias("m")).select("claim_id", (F.col("negated") == F.col("m.fn")).alias("holds"))
 
 
-def chain_ground(claims: DataFrame, derived: DataFrame) -> DataFrame:
-    """(claim_id, holds): a derived property decides unless derivations conflict or disagree; objects agree or the rule had none."""
+def chain_ground(claims: DataFrame, derived: DataFrame, siblings: DataFrame | None = None) -> DataFrame:
+    """(claim_id, holds): a derived property decides unless derivations conflict or disagree; objects agree or the rule had none.
+
+    siblings (sense, sibling): of claims that the subject itself does not decide, the siblings do if those that decide all agree.
+    """
     d = derived.select(F.col("seed").alias("subject"), "predicate", F.col("object").alias("do"), F.col("negated").alias("dn"), "conflict")
-    hit = claims.join(d, ["subject", "predicate"]).where("do is null or object = do")
-    g = hit.groupBy("claim_id", "negated").agg(F.bool_or("conflict").alias("clash"), F.min("dn").alias("lo"), F.max("dn").alias("hi"))
-    return g.where((~F.col("clash")) & (F.col("lo") == F.col("hi"))).select("claim_id", (F.col("negated") == F.col("lo")).alias("holds"))
+
+    def decided(rows: DataFrame, *keys: str) -> DataFrame:
+        hit = rows.join(d, ["subject", "predicate"]).where("do is null or object = do")
+        g = hit.groupBy(*keys, "negated").agg(F.bool_or("conflict").alias("clash"), F.min("dn").alias("lo"), F.max("dn").alias("hi"))
+        return g.where((~F.col("clash")) & (F.col("lo") == F.col("hi"))).select(*keys, (F.col("negated") == F.col("lo")).alias("holds"))
+
+    own = decided(claims, "claim_id")
+    if siblings is None:
+        return own
+    others = claims.join(own.select("claim_id"), "claim_id", "left_anti").join(siblings.select(F.col("sense").alias("subject"), "sibling"), "subject").where("subject <> sibling")
+    voted = decided(others.drop("subject").withColumnRenamed("sibling", "subject"), "claim_id", "subject").groupBy("claim_id").agg(F.bool_and("holds").alias("holds"), F.bool_or("holds").alias("any"))
+    return own.unionByName(voted.where("holds = any").select("claim_id", "holds"))
 
 
 def ground_isa(claims: DataFrame, subsumed: DataFrame, apart: DataFrame) -> DataFrame:
@@ -256,10 +275,17 @@ def evaluate(claims: DataFrame, rungs: list[tuple[str, DataFrame]], contradictor
     return rows.select("claim_id", truth.alias("truth"), status.alias("status"), "rung", missing.alias("missing"))
 
 
-def answer_polar(verdicts: DataFrame, trust: float = 1.0, high: float = 0.85, low: float = 0.15) -> DataFrame:
-    """(claim_id, answer, confidence): inconsistent is no; beyond the bands yes or no by premise trust; else unknown."""
-    yes, no = F.col("truth") > high, F.col("truth") < low
-    return verdicts.select("claim_id", F.when(F.col("status") == "inconsistent", "no").when(yes, "yes").when(no, "no").otherwise("unknown").alias("answer"), F.when(F.col("status") == "inconsistent", 1.0).when(yes | no, F.lit(trust)).otherwise(0.5).alias("confidence"))
+def answer_polar(verdicts: DataFrame, trust: float = 1.0, high: float = 0.85, low: float = 0.15, direct: DataFrame | None = None, proved: DataFrame | None = None) -> DataFrame:
+    """(claim_id, answer, confidence): inconsistent is no; beyond the bands yes or no by premise trust; else what a direct fact (claim_id,
+    holds, trust) says, by its trust; else a proof by contradiction (claim_id, proved), by premise trust; else unknown."""
+    rows = verdicts
+    rows = rows.withColumns({"_d": F.lit(None).cast("boolean"), "_t": F.lit(None).cast("double")}) if direct is None else rows.join(direct.select("claim_id", F.col("holds").alias("_d"), F.col("trust").alias("_t")), "claim_id", "left")
+    rows = rows.withColumn("_p", F.lit(None).cast("boolean")) if proved is None else rows.join(proved.select("claim_id", F.col("proved").alias("_p")), "claim_id", "left")
+    bad = F.col("status") == "inconsistent"
+    banded = F.when(F.col("truth") > high, True).when(F.col("truth") < low, False)
+    says = F.coalesce(banded, "_d", "_p")
+    sure = F.when(banded.isNotNull(), F.lit(trust)).when(F.col("_d").isNotNull(), F.col("_t")).when(F.col("_p").isNotNull(), F.lit(trust)).otherwise(0.5)
+    return rows.select("claim_id", F.when(bad, "no").when(says, "yes").when(~says, "no").otherwise("unknown").alias("answer"), F.when(bad, 1.0).otherwise(sure).alias("confidence"))
 
 
 def answer_what(questions: DataFrame, edges: DataFrame, memberships: DataFrame) -> DataFrame:

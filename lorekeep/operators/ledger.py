@@ -17,20 +17,28 @@ def episode_delta(kind: Column, belief_trust: Column) -> Column:
     return F.when(kind == "disagreement", base * F.coalesce(belief_trust, F.lit(0.5))).otherwise(base)
 
 
-def trust_fold(episodes: DataFrame, imprinted: DataFrame | None = None, neutral: float = 0.5) -> DataFrame:
+def trust_fold(episodes: DataFrame, imprinted: DataFrame | None = None, neutral: float = 0.5, span: int = 86400) -> DataFrame:
     """(stakeholder, trust): deltas added in order of (us, id) from neutral, clamped to [0, 1] at each step; imprinted people have 1.
 
-    The clamp makes the fold depend on the order, so a person's episodes are one array; nothing else is gathered.
+    Clamped additions of `span` seconds are again one clamped addition (shift, low, high), so a person's episodes are folded by
+    time and only one row for each stretch is gathered.
     """
+    one = F.struct(F.lit(0.0).alias("shift"), F.lit(0.0).alias("low"), F.lit(1.0).alias("high"))
+    clamp = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+    add = lambda f, e: F.struct((f["shift"] + e["delta"]).alias("shift"), clamp(f["low"] + e["delta"]).alias("low"), clamp(f["high"] + e["delta"]).alias("high"))
     trail = F.array_sort(F.collect_list(F.struct("us", "id", "delta")))
-    folded = episodes.groupBy("stakeholder").agg(F.aggregate(trail, F.lit(neutral), lambda t, e: F.greatest(F.lit(0.0), F.least(F.lit(1.0), t + e["delta"]))).alias("trust"))
+    parts = episodes.groupBy("stakeholder", F.floor(F.col("us") / (span * 1000000)).alias("part")).agg(F.aggregate(trail, one, add).alias("f"))
+    folded = parts.groupBy("stakeholder").agg(F.aggregate(F.array_sort(F.collect_list(F.struct("part", "f"))), F.lit(neutral), lambda t, p: F.greatest(p["f"]["low"], F.least(p["f"]["high"], t + p["f"]["shift"]))).alias("trust"))
     if imprinted is None:
         return folded
     return folded.join(imprinted.select("stakeholder", F.lit(True).alias("_own")), "stakeholder", "left").select("stakeholder", F.when(F.col("_own"), F.lit(1.0)).otherwise(F.col("trust")).alias("trust"))
 
 
-def trust_bands(trust: Column, imprint: Column, me: Column) -> Column:
-    return F.when(me, "self").when(imprint, "maker").when(trust >= 0.65, "trusted").when(trust >= 0.45, "neutral").otherwise("wary")
+def trust_bands(trust: Column, imprint: Column, me: Column, channel: Column | None = None) -> Column:
+    """Band of a person's trust; of those that are neither the agent nor its maker with `@channel`, where one is told."""
+    band = F.when(trust >= 0.65, "trusted").when(trust >= 0.45, "neutral").otherwise("wary")
+    suffix = F.lit("") if channel is None else F.coalesce(F.concat(F.lit("@"), channel), F.lit(""))
+    return F.when(me, "self").when(imprint, "maker").otherwise(F.concat(band, suffix))
 
 
 def trust_echo(token: Column, closes_question: Column, self_inconsistent: Column) -> Column:
@@ -131,10 +139,18 @@ def reductio_ledger(ledger: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def apply_retreat(docs: DataFrame, accepted: DataFrame, weakened: DataFrame) -> DataFrame:
-    """A new version of docs: accepted ones archived (never readonly ones), weakened statements added."""
-    hit = accepted.select("id", F.lit(True).alias("_hit"))
+    """A new version of docs: accepted ones archived (never readonly ones), weakened statements added.
+
+    With a column premises, what rests on an archived document, however far, is archived too, unless it is readonly.
+    """
+    hit = accepted.select("id").distinct().join(docs.where("not readonly").select("id"), "id", "left_semi")
+    if "premises" in docs.columns:
+        from lorekeep.operators.graph import revoke_cascade
+
+        hit = hit.unionByName(revoke_cascade(docs.select("id", "premises", "archived"), hit).select("id")).distinct()
+    hit = hit.withColumn("_hit", F.lit(True))
     kept = docs.join(hit, "id", "left").withColumn("archived", F.col("archived") | (F.coalesce("_hit", F.lit(False)) & ~F.col("readonly"))).drop("_hit")
-    return kept.unionByName(weakened)
+    return kept.unionByName(weakened, allowMissingColumns=True)
 
 
 def conclusion_trust(conclusions: DataFrame, edge_trust: DataFrame, derived: float = 0.9, tier: float = 0.3) -> DataFrame:

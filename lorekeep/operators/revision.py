@@ -11,17 +11,27 @@ from lorekeep.operators.vectors import knn
 
 
 def correction_target(claims: DataFrame, rules: DataFrame, sources: DataFrame) -> DataFrame:
-    """(claim_id, rule_id, belief_trust, docs): exceptions (corner O or E) against a held positive rule on the same subject and
-    predicate that was learned through retractable documents only; sources: (rule_id, doc, trust, readonly)."""
+    """(claim_id, rule_id, belief_trust, docs, weakened): exceptions (corner O or E) against a held positive rule on the same subject and
+    predicate that was learned through retractable documents only; weakened is the rule as `some` (subject, predicate, quantifier).
+    sources: (rule_id, doc, trust, readonly)."""
     learned = sources.groupBy("rule_id").agg(F.min("trust").alias("belief_trust"), F.array_sort(F.collect_set("doc")).alias("docs"), F.bool_or("readonly").alias("fixed")).where("not fixed")
     hit = claims.where(F.col("corner").isin("O", "E")).join(rules.where("not negated"), ["subject", "predicate"])
-    return hit.join(learned, "rule_id").select("claim_id", "rule_id", "belief_trust", "docs")
+    some = F.struct("subject", "predicate", F.lit("existential").alias("quantifier"))
+    return hit.join(learned, "rule_id").select("claim_id", "rule_id", "belief_trust", "docs", some.alias("weakened"))
 
 
-def accept_correction(targets: DataFrame, claims: DataFrame, trust: DataFrame) -> DataFrame:
-    """(claim_id, rule_id): corrections by speakers trusted at least as much as the belief."""
+def accept_correction(targets: DataFrame, claims: DataFrame, trust: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """(claim_id, rule_id): corrections by speakers trusted at least as much as the belief, and denials of a premise that the speaker was asked about.
+
+    asked (rule_id, speaker, subject, predicate, net): a claim (claim_id, speaker, subject, predicate, net) of that speaker with the opposite polarity denies it.
+    """
     who = claims.select("claim_id", "speaker").join(trust, "speaker")
-    return targets.join(who, "claim_id").where(F.col("trust") >= F.col("belief_trust")).select("claim_id", "rule_id")
+    out = targets.join(who, "claim_id").where(F.col("trust") >= F.col("belief_trust")).select("claim_id", "rule_id")
+    if asked is None:
+        return out
+    told = asked.select("rule_id", "speaker", "subject", "predicate", F.col("net").alias("_net"))
+    denied = claims.join(told, ["speaker", "subject", "predicate"]).where(F.col("net") != F.col("_net")).select("claim_id", "rule_id")
+    return out.unionByName(denied).distinct()
 
 
 def differentia_rules(leaves: DataFrame, genus: DataFrame) -> DataFrame:
@@ -41,9 +51,17 @@ def graph_sense_fix(pairs: DataFrame, siblings: DataFrame, closure: DataFrame) -
     return pairs.join(best, ["child", "parent"], "left").withColumn("fixed", F.coalesce("fixed", "parent"))
 
 
-def ground_place(claims: DataFrame, contained: DataFrame) -> DataFrame:
-    """(claim_id, holds): containment claims decided by operators.graph.place_contains rows (inner, outer, contains); complete chains refute."""
+def ground_place(claims: DataFrame, contained: DataFrame, types: DataFrame | None = None, closure: DataFrame | None = None) -> DataFrame:
+    """(claim_id, holds): containment claims decided by operators.graph.place_contains rows (inner, outer, contains); complete chains refute.
+
+    With types (uid, sense) and the closure of classes (node, ancestor), claims that a place is of a class hold if its type's sense is that
+    class or below it; they are not refuted.
+    """
     known = contained.where("contains is not null").select(F.col("inner").alias("subject"), F.col("outer").alias("object"), "contains").distinct()
+    if types is not None:
+        up = closure.select(F.col("node").alias("sense"), F.col("ancestor").alias("object"))
+        up = up.unionByName(types.select("sense", F.col("sense").alias("object"))).distinct()
+        known = known.unionByName(types.select(F.col("uid").alias("subject"), "sense").join(up, "sense").select("subject", "object", F.lit(True).alias("contains"))).distinct()
     return claims.join(known, ["subject", "object"]).select("claim_id", (F.col("contains") != F.col("negated")).alias("holds"))
 
 
@@ -68,11 +86,23 @@ def requeue(log: DataFrame, delta: DataFrame, sample: int = 4, seed: str = "0",
     return sense_overlap(log, delta, cap).select("id", F.lit("sense").alias("why"))
 
 
-def post_rows(theorems: DataFrame) -> DataFrame:
+def post_rows(theorems: DataFrame, people: DataFrame | None = None) -> DataFrame:
     """(slug, kind, multi_hop, proof): public rows of postable theorems (id, original, postable, premises, derived_by): the slug is the id
-    or else a content hash; empty drafts are rejected; the proof numbers its premises."""
+    or else a content hash; empty drafts are rejected; the proof numbers its premises.
+
+    people (name, label): a premise that names a person has the public label instead; of two names the longer goes first. The people
+    of a theorem's premises are looked up by word, so a theorem only meets those it names.
+    """
     ok = theorems.where(F.col("postable") & (F.trim(F.coalesce("original", F.lit(""))) != ""))
-    proof = F.array_join(F.transform("premises", lambda p, i: F.concat((i + 1).cast("string"), F.lit(". "), p)), "\n")
+    premises = F.col("premises")
+    if people is not None:
+        keyed = ok.withColumn("_key", F.sha1(F.to_json(F.struct("id", "original", "premises"))))
+        words = keyed.select("_key", F.explode(F.array_distinct(F.split(F.array_join("premises", " "), r"\W+"))).alias("name"))
+        named = words.join(people.select("name", "label"), "name").groupBy("_key").agg(F.array_sort(F.collect_set(F.struct((-F.length("name")).alias("n"), "name", "label"))).alias("_people"))
+        ok = keyed.join(named, "_key", "left").withColumn("_people", F.coalesce("_people", F.array().cast(named.schema["_people"].dataType)))
+        hide = lambda p: F.aggregate("_people", p, lambda text, x: F.regexp_replace(text, F.concat(F.lit(r"\b"), x["name"], F.lit(r"\b")), x["label"]))
+        premises = F.transform("premises", hide)
+    proof = F.array_join(F.transform(premises, lambda p, i: F.concat((i + 1).cast("string"), F.lit(". "), p)), "\n")
     return ok.select(F.coalesce("id", F.substring(F.sha1("original"), 1, 12)).alias("slug"), F.coalesce("derived_by", F.lit("chain")).alias("kind"), (F.size("premises") > 2).alias("multi_hop"), proof.alias("proof"))
 
 

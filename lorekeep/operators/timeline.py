@@ -94,17 +94,27 @@ def sparkline(snapshots: DataFrame, n: int = 12) -> DataFrame:
     return points.select("hour", "metric", F.collect_list("value").over(Window.partitionBy("metric").orderBy("hour").rowsBetween(1 - n, 0)).alias("values"))
 
 
+def _carry(rows: DataFrame, level: int, block: int) -> DataFrame:
+    """(at, carried): the last value `own` that is not null up to and at each place, by blocks of places and blocks of blocks."""
+    if level == 0:
+        return rows.select("at", F.last("own", ignorenulls=True).over(Window.partitionBy(F.lit(0)).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)).alias("carried"))
+    rows = rows.withColumn("block", F.floor(F.col("at") / block))
+    own = F.last("own", ignorenulls=True).over(Window.partitionBy("block").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    ends = rows.groupBy("block").agg(F.max(F.when(F.col("own").isNotNull(), F.struct("at", "own")))["own"].alias("own"))
+    # What a block ends with counts from the next block on.
+    later = ends.select((F.col("block") + 1).alias("at"), "own").unionByName(ends.select(F.col("block").alias("at"), F.lit(None).cast("string").alias("own")))
+    before = _carry(later.groupBy("at").agg(F.max("own").alias("own")), level - 1, block).select(F.col("at").alias("block"), F.col("carried").alias("before"))
+    return rows.withColumn("carried", own).join(before, "block", "left").select("at", F.coalesce("carried", "before").alias("carried"))
+
+
 def sticky_version(snapshots: DataFrame, block: int = 1000) -> DataFrame:
     """(hour, version): the last non-empty version carried forward.
 
-    Rows are carried inside blocks of hours, and from block to block by one row a block, so no task sorts all rows.
+    Rows are carried inside blocks of hours, and from block to block in the same way, three levels up; only the blocks of the last
+    level, one for block^3 hours, are sorted in one task.
     """
-    rows = snapshots.select("hour", F.floor(F.col("hour") / block).alias("block"), F.when(F.col("version") != "", F.col("version")).alias("own"))
-    lasts = rows.where("own is not null").groupBy("block").agg(F.max(F.struct("hour", "own")).alias("m")).select("block", F.col("m.own").alias("last"))
-    known = rows.select("block").distinct().join(lasts, "block", "left")
-    before = known.select("block", F.last("last", ignorenulls=True).over(Window.partitionBy(F.lit(0)).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
-    own = F.last("own", ignorenulls=True).over(Window.partitionBy("block").orderBy("hour").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("carried", own).join(before, "block").select("hour", F.coalesce("carried", "before").alias("version"))
+    rows = snapshots.select(F.col("hour").alias("at"), F.when(F.col("version") != "", F.col("version")).alias("own"))
+    return _carry(rows, 3, block).select(F.col("at").alias("hour"), F.col("carried").alias("version"))
 
 
 def latency_gaps(events: DataFrame, by: str) -> DataFrame:
@@ -113,19 +123,26 @@ def latency_gaps(events: DataFrame, by: str) -> DataFrame:
     return events.select(by, gap.alias("gap")).where("gap is not null").groupBy(by).agg(F.min("gap").alias("least"), F.round(F.avg("gap"), 4).alias("mean"), F.max("gap").alias("most"))
 
 
+def _ringed(log: DataFrame, seconds: int, *columns: str) -> DataFrame:
+    """Rows of a channel with those of the time before: dealt by channel and time, each row to its own bucket and to the next one, so
+    that a busy channel is many tasks and every row finds what is at most so many seconds older."""
+    own = F.floor(F.col("us") / (seconds * SECOND)).cast("long")
+    return log.select("id", "us", "channel", *columns, own.alias("own"), F.explode(F.array(own, own + 1)).alias("bucket"))
+
+
 def context_ring(log: DataFrame, rows: int = 30, seconds: int = 1800) -> DataFrame:
     """(id, ring): ids of the channel's last rows, this one included, within both caps."""
-    w = Window.partitionBy("channel").orderBy("us", "id").rowsBetween(1 - rows, 0)
-    ring = F.collect_list(F.struct("us", "id")).over(w)
-    return log.select("id", F.transform(F.filter(ring, lambda x: x["us"] >= F.col("us") - seconds * SECOND), lambda x: x["id"]).alias("ring"))
+    w = Window.partitionBy("channel", "bucket").orderBy("us", "id").rowsBetween(1 - rows, 0)
+    seen = _ringed(log, seconds).withColumn("ring", F.collect_list(F.struct("us", "id")).over(w)).where("own = bucket")
+    return seen.select("id", F.transform(F.filter("ring", lambda x: x["us"] >= F.col("us") - seconds * SECOND), lambda x: x["id"]).alias("ring"))
 
 
 def talker_depth(log: DataFrame, rows: int = 30, seconds: int = 1800, momentum: int = 3) -> DataFrame:
     """(id, depth, momentum): earlier rows of the same speaker in the ring."""
-    w = Window.partitionBy("channel").orderBy("us", "id").rowsBetween(1 - rows, -1)
-    ring = F.collect_list(F.struct("us", "source_id")).over(w)
-    depth = F.size(F.filter(ring, lambda x: (x["us"] >= F.col("us") - seconds * SECOND) & (x["source_id"] == F.col("source_id"))))
-    return log.select("id", depth.alias("depth"), (depth >= momentum).alias("momentum"))
+    w = Window.partitionBy("channel", "bucket").orderBy("us", "id").rowsBetween(1 - rows, -1)
+    seen = _ringed(log, seconds, "source_id").withColumn("ring", F.collect_list(F.struct("us", "source_id")).over(w)).where("own = bucket")
+    depth = F.size(F.filter("ring", lambda x: (x["us"] >= F.col("us") - seconds * SECOND) & (x["source_id"] == F.col("source_id"))))
+    return seen.select("id", depth.alias("depth"), (depth >= momentum).alias("momentum"))
 
 
 def awake_ledger(marks: DataFrame) -> DataFrame:
@@ -145,13 +162,20 @@ def scene_normalise(rows: DataFrame) -> DataFrame:
     return rows.select("scene", "id", *[F.when(flat(c) | (span == 0), F.lit(0.0)).otherwise((F.col(c) - mid(c)) * 2 / span).alias(c) for c in "xyz"], F.when(span == 0, F.col("size")).otherwise(F.col("size") * 2 / span).alias("size"))
 
 
-def velocity(track: DataFrame) -> DataFrame:
-    """(scene, entity, t, v): change per time to the next point; values beyond 1 are scaled by the scene's greatest."""
+def velocity(track: DataFrame, axes: tuple[str, ...] = ("x",), routes: DataFrame | None = None) -> DataFrame:
+    """(scene, entity, t, id, v_<axis>...): change per time to the next point, by axis; beyond 1 all are scaled by the scene's greatest.
+
+    routes (scene, entity, d_<axis>...): a stated way from an origin to a destination, which is the entity's velocity at each of its points
+    that has a next one. Points that are grounds (optional column `ground`), not things that move, have none.
+    """
     w = Window.partitionBy("scene", "entity").orderBy("t", "id")
-    raw = (F.lead("x").over(w) - F.col("x")) / F.nullif(F.lead("t").over(w) - F.col("t"), F.lit(0))
-    rows = track.select("scene", "entity", "t", "id", raw.alias("v")).where("v is not null")
-    most = F.max(F.abs("v")).over(Window.partitionBy("scene"))
-    return rows.select("scene", "entity", "t", "id", (F.col("v") / F.greatest(F.lit(1.0), most)).alias("v"))
+    rows = track.where(~F.coalesce("ground", F.lit(False))) if "ground" in track.columns else track
+    span = F.nullif(F.lead("t").over(w) - F.col("t"), F.lit(0))
+    rows = rows.select("scene", "entity", "t", "id", *[((F.lead(a).over(w) - F.col(a)) / span).alias(f"v_{a}") for a in axes]).where(F.col(f"v_{axes[0]}").isNotNull())
+    if routes is not None:
+        rows = rows.join(routes, ["scene", "entity"], "left").select("scene", "entity", "t", "id", *[F.coalesce(f"d_{a}", f"v_{a}").alias(f"v_{a}") for a in axes])
+    most = F.max(F.array_max(F.array(*[F.abs(f"v_{a}") for a in axes]))).over(Window.partitionBy("scene"))
+    return rows.select("scene", "entity", "t", "id", *[(F.col(f"v_{a}") / F.greatest(F.lit(1.0), most)).alias(f"v_{a}") for a in axes])
 
 
 def page_before(posts: DataFrame, before: int | None = None, kind: str | None = None, limit: int = 50) -> DataFrame:
@@ -253,8 +277,35 @@ def rule_fanout(triggers: DataFrame, rules: DataFrame) -> DataFrame:
     return triggers.join(rules.where("enabled"), "trigger").select("id", "trigger", "action", (F.col("urge") * F.col("scale")).alias("urge"), "order")
 
 
+def digest_key(premises: Column, rules: Column, teacher: Column) -> Column:
+    """What makes conclusions alike: the rules among their premises, else who taught them."""
+    shared = F.array_sort(F.array_distinct(F.array_intersect(premises, rules)))
+    return F.when(F.size(shared) > 0, F.sha1(F.array_join(shared, "|"))).when(teacher.isNotNull(), F.sha1(F.concat(F.lit("teacher:"), teacher)))
+
+
 def digest(theorems: DataFrame, cap: int = 40) -> DataFrame:
-    """(id, key, role, chapter): the first conclusion of a key posts, repeats are buffered and flushed in chapters of `cap`."""
-    n = F.row_number().over(Window.partitionBy("key").orderBy("created", "id"))
-    rows = theorems.withColumn("n", n)
-    return rows.select("id", "key", F.when(F.col("n") == 1, "post").otherwise("buffer").alias("role"), F.when(F.col("n") > 1, F.floor((F.col("n") - 2) / cap).cast("int")).alias("chapter"))
+    """(id, key, role, chapter): the first conclusion of a key posts, repeats are buffered and flushed in chapters of `cap`.
+
+    With a column `session` the end of a session flushes too: a chapter never goes on in the next one.
+    """
+    w = Window.partitionBy("key").orderBy("created", "id")
+    rows = theorems.withColumn("n", F.row_number().over(w))
+    role = F.when(F.col("n") == 1, "post").otherwise("buffer")
+    if "session" not in theorems.columns:
+        return rows.select("id", "key", role.alias("role"), F.when(F.col("n") > 1, F.floor((F.col("n") - 2) / cap).cast("int")).alias("chapter"))
+    later = rows.where("n > 1").withColumn("m", F.row_number().over(Window.partitionBy("key", "session").orderBy("created", "id")))
+    full = later.withColumn("part", F.floor((F.col("m") - 1) / cap))
+    chapter = F.dense_rank().over(Window.partitionBy("key").orderBy("session", "part")) - 1
+    return full.select("id", "key", F.lit("buffer").alias("role"), chapter.alias("chapter")).unionByName(rows.where("n = 1").select("id", "key", F.lit("post").alias("role"), F.lit(None).cast("int").alias("chapter")))
+
+
+def new_turns(log: DataFrame, cursors: DataFrame) -> DataFrame:
+    """Rows of the log (id, us, source_id) past the cursor (source_id, us, id) of their speaker; a speaker without one starts at the newest row: nothing is new."""
+    c = cursors.select("source_id", F.col("us").alias("_us"), F.col("id").alias("_id"))
+    return log.join(c, "source_id").where("us > _us or (us = _us and id > _id)").drop("_us", "_id")
+
+
+def next_cursors(log: DataFrame, cursors: DataFrame) -> DataFrame:
+    """(source_id, us, id): every speaker's newest row, or the old cursor of one who is not in the log."""
+    every = log.select("source_id", "us", "id").unionByName(cursors.select("source_id", "us", "id"))
+    return every.groupBy("source_id").agg(F.max(F.struct("us", "id")).alias("m")).select("source_id", "m.us", "m.id")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,21 +73,31 @@ def soft_f1(left: DataFrame, right: DataFrame, marker: int) -> DataFrame:
     return both.select("pair", F.when(F.col("best_i") + F.col("best_j") == 0, 0.0).otherwise(2 * F.col("best_i") * F.col("best_j") / (F.col("best_i") + F.col("best_j"))).alias("f1"))
 
 
-def knn(queries: DataFrame, vectors: DataFrame, k: int = 10, keep_self: bool = False, block: int = 64) -> DataFrame:
+#: Queries of a block, and bytes of query vectors that are sent to the executors at once; more are searched in further passes.
+KNN_BLOCK, KNN_BYTES = 256, 64 << 20
+
+
+def knn(queries: DataFrame, vectors: DataFrame, k: int = 10, keep_self: bool = False) -> DataFrame:
     """(query_id, vec_id, score): the k nearest of all vectors by cosine, ties by id.
 
-    A stated set of queries meets all vectors in blocks: queries are dealt into blocks, and every
-    vector is compared with one block at a time; each task keeps k per query before anything is shuffled.
+    The queries are a stated set. They are packed into blocks and sent to the executors, KNN_BYTES in a pass, so the vectors are
+    read where they lie and never shuffled; the filter on the row number keeps k of a query in each task before anything moves.
     """
     unit = lambda c: F.when(norm(c) > 0, F.transform(c, lambda x: x / norm(c))).otherwise(c)
+    size = queries.agg(F.count("*").alias("n"), F.sum(F.size("vector")).alias("d")).first()
+    blocks, passes = max(1, -(-size["n"] // KNN_BLOCK)), max(1, -(-8 * (size["d"] or 0) // KNN_BYTES))
     q = queries.select(F.col("vec_id").alias("query_id"), unit(F.col("vector")).alias("q"))
-    q = q.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(block)).alias("block")).agg(F.collect_list(F.struct("query_id", "q")).alias("qs"))
-    v = vectors.select("vec_id", unit(F.col("vector")).alias("v")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(block - 1)))).withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(16)))
-    scored = v.join(q, "block").select("vec_id", "v", "salt", F.explode("qs").alias("x")).select("x.query_id", "vec_id", "salt", F.round(dot(F.col("x.q"), F.col("v")), 6).alias("score"))
-    if not keep_self:
-        scored = scored.where("query_id <> vec_id")
-    top = lambda df, *by: df.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "vec_id"))).where(F.col("_r") <= k).drop("_r")
-    return top(top(scored, "query_id", "salt").drop("salt"), "query_id")
+    packed = q.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(max(blocks, passes))).alias("block")).agg(F.collect_list(F.struct("query_id", "q")).alias("qs"))
+    v = vectors.select("vec_id", unit(F.col("vector")).alias("v"), F.lit(0).alias("all"))
+    found = []
+    for p in range(passes):
+        part = packed.where(F.pmod("block", F.lit(passes)) == p).select(F.lit(0).alias("all"), "qs")
+        met = v.join(F.broadcast(part), "all").select("vec_id", "v", F.explode("qs").alias("x"))
+        scored = met.select("x.query_id", "vec_id", F.round(dot(F.col("x.q"), F.col("v")), 6).alias("score"))
+        scored = scored if keep_self else scored.where("query_id <> vec_id")
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        found.append(scored.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).drop("_r"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def knn_opposite(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
@@ -111,18 +123,31 @@ def label_statement(statements: DataFrame, dictionary: DataFrame) -> DataFrame:
     return knn(statements, dictionary, 1, keep_self=True)
 
 
-def anchor_classify(items: DataFrame, anchors: DataFrame, floor: float, margin: float, default: str = "none") -> DataFrame:
-    """(vec_id, value): the value of the nearest anchor at or above the floor, unless one of another value is within the margin.
+def anchor_classify(items: DataFrame, anchors: DataFrame, floor: float, margin: float, default: str = "none", antonyms: DataFrame | None = None) -> DataFrame:
+    """(vec_id, value): the value of the anchor of the item's own word, else of the nearest anchor at or above the floor.
 
-    anchors (anchor_id, value, vector) are a fixed small set: one for each class.
+    The default if an anchor of another value is within the margin, or (antonyms (a, b) of words given) is an antonym of the nearest.
+    anchors (anchor_id, value, vector[, word]) are a fixed small set: a few for each class; items may have a word.
     """
-    packed = anchors.agg(F.collect_list(F.struct("anchor_id", "value", F.col("vector").alias("a"))).alias("anchors")).withColumn("_k", F.lit(1))
-    scored = items.withColumn("_k", F.lit(1)).join(F.broadcast(packed), "_k").select("vec_id", "vector", F.explode("anchors").alias("a")).select("vec_id", "a.value", "a.anchor_id", F.round(cosine(F.col("vector"), F.col("a.a"), rescale=False), 6).alias("s"))
-    best = scored.groupBy("vec_id", "value").agg(F.max("s").alias("s"))
-    r = best.groupBy("vec_id").agg(F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("s", "value")))), 1, 2).alias("t"))
-    first, second = F.get("t", F.lit(0)), F.get("t", F.lit(1))
-    ok = (first["s"] >= floor) & (second["s"].isNull() | (first["s"] - second["s"] >= margin))
-    return r.select("vec_id", F.when(ok, first["value"]).otherwise(F.lit(default)).alias("value"))
+    named = "word" in items.columns and "word" in anchors.columns
+    word = F.col("word") if "word" in anchors.columns else F.lit(None).cast("string")
+    own = F.col("word") if named else F.lit(None).cast("string")
+    packed = anchors.agg(F.collect_list(F.struct("anchor_id", "value", word.alias("word"), F.col("vector").alias("a"))).alias("anchors")).withColumn("_k", F.lit(1))
+    met = items.select("vec_id", own.alias("own"), "vector", F.lit(1).alias("_k")).join(F.broadcast(packed), "_k").select("vec_id", "own", "vector", F.explode("anchors").alias("a"))
+    scored = met.select("vec_id", "own", "a.value", "a.anchor_id", "a.word", F.round(cosine(F.col("vector"), F.col("a.a"), rescale=False), 6).alias("s"))
+    if antonyms is None:
+        scored = scored.withColumn("against", F.array().cast("array<string>"))
+    else:
+        both = antonyms.select("a", "b").unionByName(antonyms.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        scored = scored.join(both.groupBy(F.col("a").alias("word")).agg(F.collect_set("b").alias("against")), "word", "left")
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("d"), "anchor_id", "value", "word", F.coalesce("against", F.array().cast("array<string>")).alias("against"))))
+    r = scored.groupBy("vec_id").agg(ranked.alias("r"), F.min(F.when(F.col("word") == F.col("own"), F.struct("anchor_id", "value"))).alias("exact"))
+    first = F.get("r", F.lit(0))
+    rivals = F.filter("r", lambda x: x["value"] != first["value"])
+    close = F.coalesce(F.get(rivals, F.lit(0))["d"] - first["d"] < margin, F.lit(False))
+    opposed = F.exists(rivals, lambda x: F.array_contains(first["against"], F.coalesce(x["word"], F.lit(""))))
+    ok = (-first["d"] >= floor) & ~close & ~opposed
+    return r.select("vec_id", F.coalesce("exact.value", F.when(ok, first["value"]), F.lit(default)).alias("value"))
 
 
 def axis_antonyms(base: DataFrame) -> DataFrame:
@@ -181,7 +206,15 @@ def set_preferred(dictionary: DataFrame, rulings: DataFrame) -> DataFrame:
 
 
 def pick_template(requests: DataFrame, shelf: DataFrame, seed: str = "0") -> DataFrame:
-    """(request, template): weighted choice, repeatable by seed, of the enabled templates of the category whose slots the request can fill."""
+    """(request, template): weighted choice, repeatable by seed, of the enabled templates of the category whose slots the request can fill.
+
+    Templates of a person's own scope are for that person only. Templates whose bands (optional columns confidence_low, confidence_high,
+    arousal_low, arousal_high; null: open) hold the request's confidence and arousal go first; if none does, all that fit are chosen from.
+    """
     fits = requests.join(shelf.where("enabled"), "category").where((F.size(F.array_except("slots", "data")) == 0) & ((F.col("scope") == "global") | (F.col("scope") == F.col("target"))))
+    banded = F.lit(True)
+    for c in ("confidence", "arousal"):
+        if c in requests.columns and f"{c}_low" in shelf.columns:
+            banded = banded & F.coalesce(F.col(c) >= F.col(f"{c}_low"), F.lit(True)) & F.coalesce(F.col(c) <= F.col(f"{c}_high"), F.lit(True))
     u = (F.conv(F.substring(F.md5(F.concat_ws(":", F.col("request").cast("string"), "template", F.lit(seed))), 1, 8), 16, 10).cast("double") + 1) / 4294967297.0
-    return fits.groupBy("request").agg(F.max(F.struct((F.log(u) / F.col("weight")).alias("key"), "template")).alias("m")).select("request", F.col("m.template").alias("template"))
+    return fits.groupBy("request").agg(F.max(F.struct(banded.alias("banded"), (F.log(u) / F.col("weight")).alias("key"), "template")).alias("m")).select("request", F.col("m.template").alias("template"))

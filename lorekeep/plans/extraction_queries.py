@@ -94,6 +94,10 @@ def _class_conditional(s, d):
     return out.withColumn("cond_extra", F.array_join(F.transform("cond_extra", lambda c: F.concat(c["predicate"], F.lit("("), F.coalesce(c["object"], F.lit("")), F.lit(")"))), ","))
 
 
+def _known(s):
+    return s.createDataFrame(_CLOSURE + _DOWN, "node string, ancestor string")
+
+
 def _joined(df, column):
     return df.withColumn(column, F.array_join(column, ","))
 
@@ -101,7 +105,7 @@ def _joined(df, column):
 _V = lambda rows: ", ".join(f"('{a}', '{b}')" for a, b in rows)
 _GATED = f"""{_CAND}, up AS (SELECT * FROM (VALUES {_V(_CLOSURE + _DOWN)}) t(node, ancestor)), apart AS (SELECT * FROM (VALUES {_V(_APART)}) t(x, y)),
 gated AS (SELECT doc_id, subject, object, CASE WHEN EXISTS (SELECT 1 FROM up WHERE node = subject AND ancestor = object) THEN 'redundant' WHEN EXISTS (SELECT 1 FROM up WHERE node = object AND ancestor = subject) THEN 'cycle' WHEN EXISTS (SELECT 1 FROM apart WHERE x = subject AND y = object) THEN 'disjoint' ELSE 'accept' END AS verdict FROM cand)"""
-_REASON = "CASE WHEN op <> 'AND' THEN 'operator' WHEN attitude IS NOT NULL THEN 'attitude' WHEN modal IS NOT NULL THEN 'modal' WHEN dubitative >= 0.75 OR wh_role IS NOT NULL THEN 'question' WHEN negated THEN 'negated' WHEN identity IS NOT NULL THEN 'individual' WHEN quantifier NOT IN ('generic', 'indefinite') THEN 'quantifier' WHEN modified THEN 'modified' WHEN NOT coalesce(subject LIKE '%.n.%' AND predicate LIKE '%.n.%', false) THEN CASE WHEN subject LIKE '%.n.%' AND predicate LIKE '%.n.%' THEN NULL WHEN (subject IS NULL AND (predicate IS NULL OR predicate LIKE '%.n.%')) OR (predicate IS NULL AND subject LIKE '%.n.%') THEN NULL ELSE 'not nouns' END END"
+_REASON = "CASE WHEN op <> 'AND' THEN 'operator' WHEN attitude IS NOT NULL THEN 'attitude' WHEN modal IS NOT NULL THEN 'modal' WHEN dubitative >= 0.75 OR wh_role IS NOT NULL THEN 'question' WHEN negated THEN 'negated' WHEN identity IS NOT NULL THEN 'individual' WHEN quantifier NOT IN ('generic', 'indefinite') THEN 'quantifier' WHEN modified THEN 'modified' WHEN NOT coalesce(subject LIKE '%.n.%' AND predicate LIKE '%.n.%', false) THEN 'not nouns' END"
 _KIND = "CASE WHEN predicate LIKE '%.n.%' AND object IS NULL THEN 'membership' ELSE 'property' END"
 _RULES = """rules AS (SELECT doc_id, pos, CASE WHEN predicate LIKE '%.n.%' THEN 'membership' ELSE 'property' END AS kind, subject, predicate, object, negated <> (quantifier = 'negative') AS negated, CASE WHEN quantifier IN ('universal', 'negative') THEN 'law' ELSE 'defeasible' END AS strength, CASE WHEN modified THEN 'm' ELSE '' END AS conds, quantifier
  FROM plain WHERE modal IS NULL AND subject IS NOT NULL AND predicate IS NOT NULL AND (quantifier = 'universal' OR (quantifier IN ('negative', 'generic', 'indefinite') AND identity IS NULL AND dubitative < 0.75 AND wh_role IS NULL))),
@@ -113,7 +117,7 @@ QUERIES = {
     "candidate_edges": lambda s, d: X.candidate_edges(leaves(s, d)),
     "gate_edges": lambda s, d: X.gate_edges(*_gate(s, d)),
     "isa_edges": lambda s, d: X.isa_edges(*_gate(s, d)),
-    "generic_isa_edges": lambda s, d: X.generic_isa_edges(leaves(s, d, True)),
+    "generic_isa_edges": lambda s, d: X.generic_isa_edges(leaves(s, d, True), _known(s)),
     "class_rules": lambda s, d: _joined(X.class_rules(leaves(s, d, True)), "conds"),
     "facts": lambda s, d: _joined(X.facts(leaves(s, d, True)), "mods"),
     "class_conditional_rules": _class_conditional,
@@ -123,14 +127,14 @@ QUERIES = {
     "sufficient_rules": _sufficient,
     "leaf_fates": lambda s, d: X.leaf_fates(leaves(s, d)),
     "extract_logic": lambda s, d: X.extract_logic(leaves(s, d, True)),
-    "definition_profile": lambda s, d: X.definition_profile(leaves(s, d)),
+    "definition_profile": lambda s, d: X.definition_profile(leaves(s, d), _known(s)),
 }
 
 ORACLES = {
     "candidate_edges": f"{sql()}, {_CAND} SELECT * FROM cand",
     "gate_edges": f"{sql()}, {_GATED} SELECT * FROM gated",
     "isa_edges": f"{sql()}, {_GATED} SELECT subject, object, min(doc_id) AS doc_id FROM gated WHERE verdict = 'accept' GROUP BY 1, 2",
-    "generic_isa_edges": f"{sql(True)} SELECT doc_id, pos, {_REASON} AS reason FROM leaves",
+    "generic_isa_edges": f"{sql(True)} SELECT doc_id, pos, coalesce({_REASON}, CASE WHEN subject || predicate IN ('s1.n.01purchase.n.01', 's2.n.01signup.n.02') THEN 'redundant' WHEN subject || predicate = 's3.n.01purchase.n.02' THEN 'cycle' END) AS reason FROM leaves",
     "class_rules": f"{sql(True)}, {_RULES} SELECT doc_id, pos, kind, subject, predicate, object, negated, strength, conds FROM rule",
     "facts": f"{sql(True)}, {_FACTS} SELECT * FROM fact",
     "conditional_rules": f"{sql()}, {_COND.replace('FROM leaves WINDOW', 'FROM (SELECT * REPLACE (CASE WHEN pos % 2 = 1 THEN subject END AS subject) FROM leaves) WINDOW')} SELECT * FROM cond",
@@ -149,7 +153,8 @@ out_ AS (SELECT t.doc_id, t.branch, coalesce(f, CASE WHEN conds IS NULL THEN 'ba
 SELECT doc_id, branch, verdict, CASE WHEN verdict = 'accept' THEN conds END AS conds FROM out_""",
     "leaf_fates": f"{sql()} SELECT CASE WHEN predicate IS NULL THEN 'dropped' WHEN op = 'IMPLY' THEN 'conditional' WHEN identity IS NOT NULL THEN 'fact' WHEN quantifier = 'universal' THEN 'law' WHEN quantifier = 'negative' THEN 'disjointness' WHEN quantifier IN ('generic', 'indefinite') AND predicate LIKE '%.n.%' AND NOT negated THEN 'edge' WHEN quantifier IN ('generic', 'indefinite') THEN 'generic' ELSE 'dropped' END AS fate, count(*) AS n FROM leaves GROUP BY 1",
     "extract_logic": f"{sql(True)}, {_RULES}, {_FACTS}, {_COND} SELECT 'rule' AS shape, kind AS verdict, count(*) AS n FROM rule GROUP BY 1, 2 UNION ALL SELECT 'fact', kind, count(*) FROM fact GROUP BY 1, 2 UNION ALL SELECT 'conditional', 'property', count(*) FROM cond HAVING count(*) > 0 UNION ALL SELECT 'edge', coalesce({_REASON}, 'accept'), count(*) FROM leaves GROUP BY 1, 2",
-    "definition_profile": f"{sql()}, c AS (SELECT doc_id, count(*) AS leaves FROM leaves GROUP BY 1) SELECT leaves, count(*) AS n FROM c GROUP BY 1",
+    "definition_profile": f"""{sql()}, {_CAND}, c AS (SELECT doc_id, count(*) AS leaves FROM leaves GROUP BY 1) SELECT 'leaves' AS what, leaves::VARCHAR AS value, count(*) AS n FROM c GROUP BY ALL UNION ALL SELECT 'quantifier', quantifier, count(*) FROM leaves GROUP BY ALL
+ UNION ALL SELECT 'class', split_part(predicate, '.', 2), count(*) FROM leaves GROUP BY ALL UNION ALL SELECT 'edge', CASE WHEN subject || object IN ('s1.n.01purchase.n.01', 's2.n.01signup.n.02') THEN 'redundant' WHEN subject IN ('s1.n.01', 's2.n.01') THEN 'new' ELSE 'off the graph' END, count(*) FROM cand GROUP BY ALL""",
     "dnf_branches": f"""{sql()}, tainted AS (SELECT doc_id, bool_or(pos > 0 AND op NOT IN ('AND', 'OR')) AS t FROM leaves GROUP BY 1), starts AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS branch FROM leaves WHERE pos = 0 OR op = 'OR')
 SELECT s.doc_id, CAST(branch AS INT) AS branch, string_agg(l.pos::VARCHAR, ',' ORDER BY l.pos) AS members FROM starts s JOIN tainted t ON t.doc_id = s.doc_id AND NOT t.t JOIN leaves l ON l.doc_id = s.doc_id AND (l.pos = s.pos OR (l.pos > s.pos AND l.op = 'AND')) GROUP BY 1, 2 UNION ALL SELECT doc_id, 0, NULL FROM tainted WHERE t""",
 }

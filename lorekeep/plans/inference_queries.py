@@ -265,6 +265,8 @@ UNION ALL SELECT stmt_id FROM few WHERE k <= 16 AND plain AND (stmt_id IN (SELEC
 
 _COLS = "seed, predicate, object, negated"
 
+_BEDROCK = DERIVED.replace("SELECT child AS klass, parent AS nxt, NULL::VARCHAR AS needs FROM edge", "SELECT child AS klass, parent AS nxt, NULL::VARCHAR AS needs FROM edge WHERE source IS NULL")
+
 ORACLES = {
     "seeds": f"WITH {KB} SELECT seed, min(p)::INT AS priority FROM (SELECT seed, 0 AS p FROM facts UNION ALL SELECT subject, 1 FROM rules UNION ALL SELECT child, 2 FROM edge) GROUP BY 1",
     "seed_closure": f"{_reach()} SELECT r.seed, f.klass IN ('MACHINERY', 'AUTOMOBILE') AS by_tier FROM reach r JOIN facts f ON f.seed = r.seed WHERE r.klass = 'industry'",
@@ -276,6 +278,9 @@ ORACLES = {
     "mark_conflicts": f"{DERIVED} SELECT {_COLS} FROM derived WHERE conflict",
     "forward_chain": f"{DERIVED} SELECT {_COLS}, conflict FROM derived",
     "novel_conclusions": f"{DERIVED} SELECT {_COLS} FROM derived WHERE NOT conflict",
+    # What the bedrock alone derives is trusted as derived; the rest rests on an edge of a tier.
+    "saturate": f"SELECT a.*, CASE WHEN b.seed IS NULL THEN 0.3 ELSE 0.9 END::DOUBLE AS trust FROM ({DERIVED} SELECT {_COLS} FROM derived WHERE NOT conflict) a LEFT JOIN ({_BEDROCK} SELECT {_COLS} FROM derived) b ON a.seed = b.seed AND a.predicate = b.predicate AND a.object IS NOT DISTINCT FROM b.object AND a.negated = b.negated",
+    "tier_ablation": f"SELECT * FROM ({DERIVED} SELECT {_COLS} FROM derived WHERE NOT conflict) EXCEPT SELECT * FROM ({_BEDROCK} SELECT {_COLS} FROM derived WHERE NOT conflict)",
     "direct_fact": f"WITH {CLAIMS} SELECT claim_id, arg_min((o_orderkey % 3 = 0) = negated, o_orderkey) AS holds FROM claims JOIN orders ON subject = 'C:' || o_custkey AND predicate = o_orderpriority AND o_orderstatus = 'F' GROUP BY 1",
     "ground_isa": f"{RUNGS} SELECT * FROM isa",
     "chain_ground": f"{RUNGS} SELECT * FROM chained",

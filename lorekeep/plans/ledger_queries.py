@@ -105,6 +105,12 @@ def _retreat(s, d):
     return L.apply_retreat(docs, o.where("o_custkey % 4 = 0").select(F.col("o_orderkey").alias("id")), docs.where("id % 50 = 0").select((F.col("id") + 10000000).alias("id"), F.lit(False).alias("archived"), F.lit(False).alias("readonly")))
 
 
+def _retreat_cascade(s, d):
+    docs = theorems(s, d).select("id", "archived", (F.length("id") % 2 == 0).alias("readonly"), "premises")
+    accepted = docs.select("id").where("id like '%7'")
+    return L.apply_retreat(docs, accepted, docs.limit(0)).select("id", "archived")
+
+
 def _concl_trust(s, d):
     t = theorems(s, d)
     known = t.select(F.col("id").alias("key"), F.col("trusted").alias("trust"))
@@ -114,7 +120,7 @@ def _concl_trust(s, d):
 
 def _bands(s, d):
     t = _trust(s, d)
-    return t.select("stakeholder", L.trust_bands(F.col("trust"), F.col("stakeholder") % 40 == 0, F.col("stakeholder") == 7).alias("band"))
+    return t.select("stakeholder", L.trust_bands(F.col("trust"), F.col("stakeholder") % 40 == 0, F.col("stakeholder") == 7, F.when(F.col("stakeholder") % 3 == 0, "chat")).alias("band"))
 
 
 def _confidence(s, d):
@@ -145,6 +151,7 @@ QUERIES = {
     "convict": _convict,
     "reductio_ledger": _ledger,
     "apply_retreat": _retreat,
+    "apply_retreat_cascade": _retreat_cascade,
     "conclusion_trust": _concl_trust,
     "significance": lambda s, d: B.events(s, d).select("event_id", F.round(L.significance(F.col("k") % 2 == 0, F.col("k") % 3 == 0, F.col("k") % 5 == 0), 6).alias("significance")),
     "verdict_confidence": _confidence,
@@ -157,7 +164,7 @@ _CONF = f"CASE {_TOKEN} WHEN 'inconsistent' THEN 1.0 WHEN 'true' THEN value / 10
 ORACLES = {
     "episode_delta": f"{E_SQL} SELECT id, delta FROM d",
     "trust_fold": f"{E_SQL}, {_TRUST} SELECT stakeholder, round(trust, 6) AS trust FROM t",
-    "trust_bands": f"{E_SQL}, {_TRUST} SELECT stakeholder, CASE WHEN stakeholder = 7 THEN 'self' WHEN stakeholder % 40 = 0 THEN 'maker' WHEN trust >= 0.65 THEN 'trusted' WHEN trust >= 0.45 THEN 'neutral' ELSE 'wary' END AS band FROM t",
+    "trust_bands": f"{E_SQL}, {_TRUST} SELECT stakeholder, CASE WHEN stakeholder = 7 THEN 'self' WHEN stakeholder % 40 = 0 THEN 'maker' ELSE CASE WHEN trust >= 0.65 THEN 'trusted' WHEN trust >= 0.45 THEN 'neutral' ELSE 'wary' END || CASE WHEN stakeholder % 3 = 0 THEN '@chat' ELSE '' END END AS band FROM t",
     "trust_echo": f"WITH {B.EVENTS}, t AS (SELECT *, {_TOKEN} AS token FROM ev) SELECT event_id, CASE WHEN k % 31 = 0 THEN 'self_inconsistency' WHEN token = 'inconsistent' THEN 'logic_violation' WHEN token = 'true' AND k % 3 = 0 THEN 'kicker' WHEN token = 'true' THEN 'agreement' WHEN token = 'false' THEN 'disagreement' END AS episode FROM t",
     "kb_fingerprint": f"WITH {THEOREMS} SELECT 'axioms:' || (SELECT count(*) || ':' || max(created) FROM theorems WHERE NOT archived AND postable) || ';theorems:' || (SELECT count(*) || ':' || max(created) FROM theorems WHERE NOT archived) AS fingerprint",
     "snapshot_metrics": "SELECT 'dictionary' AS metric, count(*) AS value FROM part UNION ALL SELECT 'active_theorems', count(*) FILTER (o_orderstatus <> 'F') FROM orders UNION ALL SELECT 'others', count(*) FILTER (c_custkey <> 0) FROM customer UNION ALL SELECT 'episodes', count(*) FROM events",
@@ -180,6 +187,8 @@ SELECT signature, CASE WHEN h > 0 OR s = 1 THEN 'convicted' WHEN s > 1 THEN 'ask
     "reductio_ledger": f"""WITH {GROUPS}, g AS (SELECT signature, count(DISTINCT p) AS n FROM conf GROUP BY 1), o AS (SELECT signature, CASE WHEN length(signature) % 3 = 0 THEN 'resolved' ELSE 'open' END AS status, length(signature) % 4 AS generation FROM g WHERE length(signature) % 2 = 0), w AS (SELECT signature, true AS now FROM g WHERE n > 2)
 SELECT signature, CASE WHEN now THEN 'open' WHEN status = 'open' THEN 'resolved' ELSE status END AS status, CASE WHEN generation IS NULL THEN 0 WHEN now AND status = 'resolved' THEN generation + 1 ELSE generation END AS generation FROM o FULL JOIN w USING (signature)""",
     "apply_retreat": "SELECT o_orderkey AS id, o_orderstatus = 'F' OR (o_custkey % 4 = 0 AND o_orderkey % 3 <> 0) AS archived, o_orderkey % 3 = 0 AS readonly FROM orders UNION ALL SELECT o_orderkey + 10000000, false, false FROM orders WHERE o_orderkey % 50 = 0",
+    "apply_retreat_cascade": f"""WITH RECURSIVE {THEOREMS}, d AS (SELECT id, archived, length(id) % 2 = 0 AS readonly, premises FROM theorems), needs AS (SELECT id, unnest(premises) AS premise FROM d WHERE NOT archived),
+gone AS (SELECT id FROM d WHERE id LIKE '%7' AND NOT readonly UNION SELECT n.id FROM gone g JOIN needs n ON n.premise = g.id) SELECT id, archived OR (NOT readonly AND id IN (SELECT id FROM gone)) AS archived FROM d""",
     "conclusion_trust": f"""WITH {THEOREMS}, p AS (SELECT id, unnest(CASE WHEN archived THEN list_append(premises, 'a|is_a|b') ELSE premises END) AS key FROM theorems)
 SELECT p.id, round(least(0.9, min(coalesce(t.trusted, CASE WHEN contains(key, '|') THEN 0.3 END, 0.9))), 6)::DOUBLE AS trust FROM p LEFT JOIN theorems t ON t.id = key GROUP BY 1""",
     "significance": f"WITH {B.EVENTS} SELECT event_id, round(least(1.0, 0.7 + CASE WHEN k % 2 = 0 THEN 0.1 ELSE 0 END + CASE WHEN k % 3 = 0 THEN 0.2 ELSE 0 END + CASE WHEN k % 5 = 0 THEN 0.1 ELSE 0 END)::DOUBLE, 6) AS significance FROM ev",

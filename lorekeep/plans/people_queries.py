@@ -11,6 +11,7 @@ from lorekeep.operators import clauses as C
 from lorekeep.operators import graph as G
 from lorekeep.operators import people as P
 from lorekeep.plans import bindings as B
+from lorekeep.plans.meaning_queries import ASSOCIATION, association
 from lorekeep.plans.clause_queries import _FUZZY
 from lorekeep.plans.graph_queries import _P, R_SQL, _closure, _cust
 from lorekeep.plans.ledger_queries import GROUPS, _groups
@@ -102,7 +103,7 @@ QUERIES = {
     "dream_digest": lambda s, d: P.dream_digest(_verdicts(s, d).select(F.col("id").cast("string").alias("id"), F.col("text").alias("original"), (F.col("id") % 2 == 0).alias("postable"), F.col("token").alias("reason"))).select("n"),
     "momentum_pick": lambda s, d: P.momentum_pick(B.log(s, d).select("id", "source_id", F.col("channel").alias("depth"), F.col("original").alias("text")), B.log(s, d).select("source_id", (F.col("source_id") % 10 / 10).alias("trust")).distinct(), B.log(s, d).where("id % 5 = 0").select(F.col("original").alias("text")).distinct()),
     "consolidate": lambda s, d: P.consolidate(B.events(s, d).select(F.col("event_id").alias("id"), F.col("user_id").alias("stakeholder"), (F.col("k") % 3 == 0).alias("used")), B.events(s, d).where("k % 4 = 0").select(F.col("event_id").alias("id")), B.events(s, d).select(F.col("user_id").alias("stakeholder")).distinct().withColumn("trust", F.col("stakeholder") % 11 / 10)),
-    "quiet_band": lambda s, d: P.quiet_band(B.log(s, d), F.col("channel") / 10).withColumn("urge", F.round("urge", 6)),
+    "quiet_band": lambda s, d: P.quiet_band(B.log(s, d).join(association(s, d), "channel"), F.col("proximity")).withColumn("urge", F.round("urge", 6)),
     "place_type_sense": lambda s, d: P.place_type_sense(B.table(s, d, "part").select(F.split_part("p_name", F.lit(" "), F.lit(2)).alias("type")), B.table(s, d, "part").where("p_size > 48").select(F.split_part("p_name", F.lit(" "), F.lit(2)).alias("word"), F.lit("n").alias("pos"), F.col("p_partkey").alias("nr"), F.col("p_brand").alias("sense"))),
     "ground_part": _part,
     "best_match": lambda s, d: P.best_match(B.events(s, d).select(F.col("user_id").alias("stmt_id"), (F.col("k") % 20 / 20).alias("score"), F.when(F.col("k") % 2 == 0, "axiom").otherwise("theorem").alias("kind"), F.col("event_id").alias("ordinal"))),
@@ -132,7 +133,7 @@ SELECT stmt_id, string_agg(sense || ': ' || coalesce(definition, '?'), '; ' ORDE
     "dream_digest": f"WITH {VERDICTS} SELECT count(DISTINCT text) AS n FROM verd WHERE id % 2 = 0",
     "momentum_pick": f"WITH {B.LOG}, f AS (SELECT source_id, original AS text, min(id) AS id FROM log WHERE source_id % 10 >= 6 AND channel >= 3 AND original NOT IN (SELECT original FROM log WHERE id % 5 = 0) GROUP BY 1, 2) SELECT source_id, text FROM f QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY id) <= 8",
     "consolidate": f"WITH {B.EVENTS} SELECT event_id AS id, user_id % 11 >= 9 AND (k % 3 = 0 OR k % 4 = 0) AS enabled FROM ev",
-    "quiet_band": f"WITH {B.LOG} SELECT id, round(directedness * (1 + channel / 10) / 2, 6)::DOUBLE AS urge FROM log WHERE directedness < 0.9 AND channel / 10 >= 0.6",
+    "quiet_band": f"WITH {ASSOCIATION} SELECT id, round(directedness * (1 + proximity) / 2, 6)::DOUBLE AS urge FROM log JOIN assoc USING (channel) WHERE directedness < 0.9 AND directedness >= 0.15",
     "place_type_sense": "WITH t AS (SELECT DISTINCT split_part(p_name, ' ', 2) AS type FROM part), d AS (SELECT split_part(p_name, ' ', 2) AS type, arg_min(p_brand, p_partkey) AS sense FROM part WHERE p_size > 48 GROUP BY 1) SELECT type, coalesce(sense, 'location.n.01') AS sense FROM t LEFT JOIN d USING (type)",
     "ground_part": f"{R_SQL} SELECT c_custkey AS claim_id, c_custkey % 2 <> 0 AS holds FROM customer JOIN closure ON node = 'C:' || c_custkey AND ancestor = 'R:' || (c_custkey % 5)",
     "best_match": f"WITH {B.EVENTS}, r AS (SELECT user_id AS stmt_id, CASE WHEN k % 2 = 0 THEN 'axiom' ELSE 'theorem' END AS kind, event_id AS ordinal, k % 20 AS s FROM ev) SELECT stmt_id, kind, ordinal FROM r QUALIFY row_number() OVER (PARTITION BY stmt_id ORDER BY s DESC, kind, ordinal) = 1",

@@ -118,6 +118,9 @@ QUERIES = {
 }
 
 ORACLES = {
+    "nearest_marker": f"""WITH {B.VECTORS}, m AS (SELECT label, min(vec_id) AS mid FROM vecs GROUP BY 1), mk AS (SELECT mid, 'w' || (mid % 150) AS word, vector AS mv FROM m JOIN vecs ON vec_id = mid), q AS (SELECT vec_id, 'w' || (vec_id % 150) AS word, vector FROM vecs WHERE vec_id % 100 = 0),
+e AS (SELECT vec_id, mid FROM q JOIN mk USING (word)), n AS (SELECT vec_id, mid, round(list_cosine_similarity(vector, mv), 6) AS s FROM q, mk WHERE vec_id NOT IN (SELECT vec_id FROM e)), b AS (SELECT vec_id, arg_min(mid, (-s, mid)) AS near, max(s) AS s FROM n GROUP BY 1)
+SELECT vec_id, mid AS marker, 'exact' AS how FROM e UNION ALL SELECT vec_id, CASE WHEN s >= 0.3 THEN near END, CASE WHEN s >= 0.3 THEN 'near' ELSE 'new' END FROM b""",
     "append_log": "SELECT event_id AS id, strftime(ts, '%Y-%m-%d') AS day FROM events",
     "rebuild_tier": f"WITH {B.edges_sql()} SELECT child, CASE WHEN child LIKE 'C:%' THEN 'moved' ELSE parent END AS parent, substr(child, 1, 1) AS method FROM edges",
     "correction_target": f"WITH {_TARGET} SELECT claim_id, rule_id, belief_trust, 1 AS docs FROM target",

@@ -38,6 +38,33 @@ def _track(s, d):
     return B.events(s, d).select((F.col("user_id") % 3).alias("scene"), F.col("user_id").alias("entity"), (F.col("us") / 1000000000).cast("long").alias("t"), F.col("event_id").alias("id"), (F.col("value") / 100).alias("x"))
 
 
+def _velocity(s, d):
+    """Two axes; every seventh entity has a stated way, every eleventh event is a ground."""
+    e = F.col("entity")
+    track = _track(s, d).withColumns({"y": F.col("x") * (F.col("id") % 5), "ground": F.col("id") % 11 == 0})
+    routes = track.where(e % 7 == 0).select("scene", "entity", (e / 100).alias("d_x"), F.lit(None).cast("double").alias("d_y")).distinct()
+    rows = T.velocity(track, ("x", "y"), routes)
+    return rows.select("scene", "entity", "t", "id", F.round("v_x", 6).alias("v_x"), F.round("v_y", 6).alias("v_y"))
+
+
+def _new_turns(s, d):
+    """What a second look at the log finds: the first one saw the first half, in which a fifth of the speakers said nothing."""
+    log = B.log(s, d).select("id", "us", "source_id")
+    seen = log.where((F.col("id") % 10 < 5) & (F.col("source_id") % 5 > 0))
+    none = log.limit(0).select("source_id", "us", "id")
+    return T.new_turns(log, T.next_cursors(seen.where("id < 500"), none)).select("id", "source_id")
+
+
+def _digest_sessions(s, d):
+    o = B.table(s, d, "orders")
+    rules = F.array(*[F.lit(f"r{i}") for i in range(4)])
+    premises = F.array(F.concat(F.lit("r"), (F.col("o_custkey") % 6).cast("string")), F.col("o_orderpriority"))
+    key = T.digest_key(premises, rules, F.when(F.col("o_custkey") % 6 == 4, F.col("o_orderstatus")))
+    created = F.unix_seconds(F.col("o_orderdate").cast("timestamp"))
+    rows = o.select(F.col("o_orderkey").alias("id"), key.alias("key"), created.alias("created"), F.floor(created / 31536000).alias("session")).where("key is not null")
+    return T.digest(rows, 7)
+
+
 def _features(s, d):
     p = B.table(s, d, "part")
     return p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("type"), F.array_join(F.array_repeat(F.lit("n"), F.col("p_size")), ",").alias("alternatives"))
@@ -106,7 +133,9 @@ QUERIES = {
     "talker_depth": lambda s, d: T.talker_depth(B.log(s, d), 30, 86400, 2),
     "awake_ledger": lambda s, d: T.awake_ledger(B.events(s, d).select("user_id", "event_id", "us", (F.col("k") % 2 == 0).alias("opens"))).withColumn("seconds", F.round("seconds", 3)),
     "scene_normalise": lambda s, d: T.scene_normalise(_scenes(s, d)).select("scene", "id", *[F.round(c, 6).alias(c) for c in ("x", "y", "z", "size")]),
-    "velocity": lambda s, d: T.velocity(_track(s, d)).withColumn("v", F.round("v", 6)),
+    "velocity": _velocity,
+    "stream_turns": _new_turns,
+    "digest_sessions": _digest_sessions,
     "page_before": lambda s, d: T.page_before(B.posts(s, d), before=800000000, kind="1-URGENT", limit=20).select("slug", "date", "total"),
     "history_range": lambda s, d: T.history_range(B.snapshots(s, d), START // 3600 + 24, START // 3600 + 240, 100).select("hour", "version"),
     "recent_activity": lambda s, d: T.recent_activity(B.events(s, d).withColumnRenamed("event_type", "type").withColumn("status", F.col("k") % 3), 5),
@@ -151,8 +180,14 @@ SELECT id, depth, depth >= 2 AS momentum FROM j""",
 SELECT user_id, round(sum(CASE WHEN opens THEN greatest(0, coalesce(e, us) - us) ELSE 0 END) / 1000000, 3)::DOUBLE AS seconds FROM m GROUP BY 1""",
     "scene_normalise": """WITH p AS (SELECT p_brand AS scene, p_partkey AS id, p_size::DOUBLE AS x, p_retailprice AS y, (p_partkey % 7)::DOUBLE AS size FROM part), b AS (SELECT scene, min(x) x0, max(x) x1, min(y) y0, max(y) y1, greatest(max(x) - min(x), max(y) - min(y)) AS span FROM p GROUP BY 1)
 SELECT scene, id, round(CASE WHEN x1 = x0 OR span = 0 THEN 0 ELSE (x - (x0 + x1) / 2) * 2 / span END, 6) AS x, round(CASE WHEN y1 = y0 OR span = 0 THEN 0 ELSE (y - (y0 + y1) / 2) * 2 / span END, 6) AS y, 0.0::DOUBLE AS z, round(CASE WHEN span = 0 THEN size ELSE size * 2 / span END, 6) AS size FROM p JOIN b USING (scene)""",
-    "velocity": f"""{V_SQL}, k AS (SELECT user_id % 3 AS scene, user_id AS entity, CAST(floor(us / 1000000000) AS BIGINT) AS t, event_id AS id, value / 100 AS x FROM ev), r AS (SELECT scene, entity, t, id, (lead(x) OVER w - x) / nullif(lead(t) OVER w - t, 0) AS v FROM k WINDOW w AS (PARTITION BY scene, entity ORDER BY t, id)), q AS (SELECT * FROM r WHERE v IS NOT NULL)
-SELECT scene, entity, t, id, round(v / greatest(1.0, max(abs(v)) OVER (PARTITION BY scene)), 6) AS v FROM q""",
+    "velocity": f"""{V_SQL}, k AS (SELECT user_id % 3 AS scene, user_id AS entity, CAST(floor(us / 1000000000) AS BIGINT) AS t, event_id AS id, value / 100 AS x, value / 100 * (event_id % 5) AS y FROM ev WHERE event_id % 11 > 0),
+w AS (SELECT *, lead(x) OVER w AS nx, lead(y) OVER w AS ny, nullif(lead(t) OVER w - t, 0) AS dt FROM k WINDOW w AS (PARTITION BY scene, entity ORDER BY t, id)),
+q AS (SELECT scene, entity, t, id, CASE WHEN entity % 7 = 0 THEN entity / 100 ELSE (nx - x) / dt END AS vx, (ny - y) / dt AS vy FROM w WHERE dt IS NOT NULL), m AS (SELECT scene, greatest(1.0, max(abs(vx)), max(abs(vy))) AS m FROM q GROUP BY 1)
+SELECT scene, entity, t, id, round(vx / m, 6) AS v_x, round(vy / m, 6) AS v_y FROM q JOIN m USING (scene)""",
+    "stream_turns": f"{L_SQL}, c AS (SELECT source_id, max(us) AS us FROM log WHERE id % 10 < 5 AND source_id % 5 > 0 AND id < 500 GROUP BY 1) SELECT id, source_id FROM log JOIN c USING (source_id) WHERE log.us > c.us",
+    "digest_sessions": """WITH o AS (SELECT o_orderkey AS id, CASE WHEN o_custkey % 6 < 4 THEN sha1('r' || (o_custkey % 6)) ELSE sha1('teacher:' || o_orderstatus) END AS key, epoch(o_orderdate)::BIGINT AS c, epoch(o_orderdate)::BIGINT // 31536000 AS s FROM orders WHERE o_custkey % 6 < 5),
+r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY c, id) AS n FROM o), b AS (SELECT *, (row_number() OVER (PARTITION BY key, s ORDER BY c, id) - 1) // 7 AS p FROM r WHERE n > 1)
+SELECT id, key, 'buffer' AS role, (dense_rank() OVER (PARTITION BY key ORDER BY s, p) - 1)::INT AS chapter FROM b UNION ALL SELECT id, key, 'post', NULL FROM r WHERE n = 1""",
     "page_before": f"WITH {B.POSTS} SELECT slug, date, (SELECT count(*) FROM posts WHERE kind = '1-URGENT') AS total FROM posts WHERE date < 800000000 AND kind = '1-URGENT' ORDER BY date DESC, slug LIMIT 20",
     "history_range": f"WITH {B.SNAPSHOTS} SELECT hour, version FROM snaps WHERE hour BETWEEN {START // 3600 + 24} AND {START // 3600 + 240} ORDER BY hour DESC LIMIT 100",
     "recent_activity": f"{V_SQL} SELECT event_id, event_type AS type, k % 3 AS status FROM ev ORDER BY us DESC, event_id LIMIT 5",

@@ -158,7 +158,7 @@ QUERIES = {
     "compare_clause": _clause_pairs,
     "compare_statement": _statement_pairs,
     "soft_f1": _soft,
-    "knn": lambda s, d: V.knn(_queries(s, d), B.vectors(s, d), 5, block=4),
+    "knn": lambda s, d: V.knn(_queries(s, d), B.vectors(s, d), 5),
     "knn_opposite": lambda s, d: V.knn_opposite(_queries(s, d), B.vectors(s, d), 5),
     "centroid": lambda s, d: _flat(V.centroid(B.vectors(s, d), "label", F.when(F.col("vec_id") % 2 == 0, 1.0).otherwise(0.25)), "label"),
     "phrase_search": lambda s, d: V.phrase_search(B.vectors(s, d).select((F.col("vec_id") / 3).cast("long").alias("phrase"), "vec_id").where("phrase % 100 = 0"), B.vectors(s, d), 3),

@@ -28,11 +28,14 @@ def session_windows(log: DataFrame, gap: str = "10 minutes") -> DataFrame:
     return log.groupBy(w, "source_id").agg(F.count("*").alias("n")).select("source_id", F.col("session_window.start").alias("first"), F.col("session_window.end").alias("last"), "n")
 
 
-def open_exchange(messages: DataFrame, log: DataFrame, window: int = 600, floor: float = 0.9) -> DataFrame:
-    """Messages whose author addressed the agent in the channel within the window before: a stream-stream join on event time."""
-    a = log.where(F.col("directedness") >= floor).select(F.col("channel").alias("c"), F.col("source_id").alias("s"), F.col("ts").alias("addressed"))
-    near = (F.col("channel") == F.col("c")) & (F.col("source_id") == F.col("s")) & (F.col("addressed") < F.col("ts")) & (F.col("addressed") >= F.col("ts") - F.expr(f"INTERVAL {window} SECONDS"))
-    return messages.join(a, near, "inner").select("id", "channel", "source_id", "ts")
+def open_exchange(messages: DataFrame, log: DataFrame, window: int = 600, floor: float = 0.9, me: int = 0) -> DataFrame:
+    """(id, channel, source_id, ts, opened): messages with each row of the window before that opens their exchange: the author addressed the agent in
+    the channel, or the agent spoke to the author there. A stream-stream join on event time; a message with several has a row for each."""
+    row = lambda person: F.struct(person.alias("person"))
+    ways = F.filter(F.array(F.when(F.col("directedness") >= floor, row(F.col("source_id"))), F.when(F.col("source_id") == me, row(F.col("target_id")))), lambda x: x.isNotNull())
+    a = log.select(F.col("channel").alias("c"), F.col("ts").alias("opened"), F.explode(ways).alias("w")).select("c", "opened", F.col("w.person").alias("s"))
+    near = (F.col("channel") == F.col("c")) & (F.col("source_id") == F.col("s")) & (F.col("opened") < F.col("ts")) & (F.col("opened") >= F.col("ts") - F.expr(f"INTERVAL {window} SECONDS"))
+    return messages.join(a, near, "inner").select("id", "channel", "source_id", "ts", "opened")
 
 
 def throttle(actions: DataFrame, keys: list[str], seconds: int) -> DataFrame:
@@ -58,10 +61,13 @@ def throttle(actions: DataFrame, keys: list[str], seconds: int) -> DataFrame:
     return actions.select(*keys, "us", "id").groupBy(*keys).applyInPandasWithState(keep, schema, "last bigint", "append", GroupStateTimeout.NoTimeout)
 
 
-def trust_refold(log_batch: DataFrame, trail_path: str, publish) -> None:
-    """For foreachBatch: appends a batch's episodes to the trail and publishes the refolded trust of the people it touches."""
+def trust_refold(log_batch: DataFrame, batch_id: int, trail_path: str, publish) -> None:
+    """For foreachBatch: writes a batch's episodes to the trail and publishes the refolded trust of the people it touches.
+
+    A batch has a folder of its own, which a repeated attempt overwrites, so its episodes count once.
+    """
     from lorekeep.operators.ledger import trust_fold
 
-    log_batch.write.mode("append").parquet(trail_path)
+    log_batch.write.mode("overwrite").parquet(f"{trail_path}/batch={batch_id}")
     trail = log_batch.sparkSession.read.parquet(trail_path)
     publish(trust_fold(trail.join(log_batch.select("stakeholder").distinct(), "stakeholder", "left_semi")))

@@ -51,6 +51,6 @@ def test_refold_of_a_batch(spark, sf, tmp_path):
     rows = with_delta(spark, sf).select("stakeholder", "us", "id", "delta")
     seen = {}
     for k in range(2):
-        S.trust_refold(rows.where(F.col("id") % 2 == k), str(tmp_path / "trail"), lambda df: seen.update({r.stakeholder: r.trust for r in df.collect()}))
+        S.trust_refold(rows.where(F.col("id") % 2 == k), k, str(tmp_path / "trail"), lambda df: seen.update({r.stakeholder: r.trust for r in df.collect()}))
     want = {r.stakeholder: r.trust for r in trust_fold(rows).collect()}
     assert {k: round(v, 6) for k, v in seen.items()} == {k: round(v, 6) for k, v in want.items()}
