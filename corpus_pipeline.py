@@ -18,9 +18,9 @@ from lorekeep.llm.suffix_dedup import remove_repeats
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language, which `lang` tells from now on if it was null. Those of null or empty text, without a letter,
-    or without a language that has at least half of their letters go; repeated rows all stay or all go. Columns may have any names."""
-    labelled = identify(docs.select("text", F.struct(*docs.columns).alias("doc")), fit(docs), carry=("doc",)).where((F.col("lang_pred") != "und") & (F.col("score") >= 0.5))
+    """Documents with a language, which `lang` tells from now on if it was null. Those of null or empty text or without a letter go;
+    documents of several languages stay; repeated rows all stay or all go. Columns may have any names."""
+    labelled = identify(docs.select("text", F.struct(*docs.columns).alias("doc")), fit(docs), carry=("doc",)).where("lang_pred <> 'und'")
     return labelled.select(*[F.coalesce("doc.lang", "lang_pred").alias(c) if c == "lang" else F.col(f"doc.`{c}`") for c in docs.columns])
 
 
