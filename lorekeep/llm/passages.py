@@ -188,7 +188,7 @@ class Chunk:
         self.codes, self.which, self.count = np.unique(code, return_inverse=True, return_counts=True)
         place = (self.codes >> U(32)).astype(np.int64)
         self.asks, self.ask_at = np.unique(place, return_index=True)
-        self.ask_end = np.append(self.ask_at[1:], len(place))
+        self.ask_end = np.append(self.ask_at[1:], len(place))[: len(self.asks)]
 
     def requests(self) -> Iterator[dict]:
         for b, a, e in zip(self.asks.tolist(), self.ask_at, self.ask_end, strict=True):
