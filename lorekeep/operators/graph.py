@@ -18,6 +18,7 @@ def ancestors(edges: DataFrame, max_depth: int = 12) -> DataFrame:
     """
     up = edges.where("child <> parent").select("child", "parent").distinct()
     frontier = cut(up.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.array("child", "parent").alias("path")))
+    up = frontier.select(F.col("node").alias("child"), F.col("ancestor").alias("parent"))  # read again, not computed again
     rounds = [frontier]
     for _ in range(max_depth - 1):
         step = frontier.join(up, frontier["ancestor"] == up["child"]).where("parent <> node")
@@ -46,7 +47,7 @@ def part_of(pairs: DataFrame, closure: DataFrame) -> DataFrame:
 def anchored(closure: DataFrame, tiers: DataFrame) -> DataFrame:
     """(node, tier, anchor): the nearest anchor of each tier above a node, or the node itself."""
     up = closure.select("node", F.col("ancestor").alias("anchor"), "depth").unionByName(tiers.select(F.col("anchor").alias("node"), "anchor", F.lit(0).alias("depth")))
-    near = up.join(F.broadcast(tiers), "anchor")
+    near = up.join(tiers, "anchor")
     return near.groupBy("node", "tier").agg(F.min(F.struct("depth", "anchor")).alias("m")).select("node", "tier", F.col("m.anchor").alias("anchor"))
 
 

@@ -54,7 +54,7 @@ def conds_met(rules: DataFrame, properties: DataFrame) -> DataFrame:
     need = rules.where(F.size("conds") > 0).select("rule_id", F.size("conds").alias("all"), F.posexplode("conds").alias("i", "c")).select("rule_id", "all", "i", F.col("c.predicate").alias("cp"), F.col("c.object").alias("co"))
     block = lambda c: F.substring(_lemma(c), 1, 4)
     have = properties.where("not negated").select("seed", F.col("predicate").alias("hp"), F.col("object").alias("ho"), "fact_id")
-    hit = have.join(F.broadcast(need), block(F.col("hp")) == block(F.col("cp"))).where(cond_match(F.col("cp"), F.col("hp")) & (F.col("co").isNull() | (F.col("co") == F.col("ho"))))
+    hit = have.join(need, block(F.col("hp")) == block(F.col("cp"))).where(cond_match(F.col("cp"), F.col("hp")) & (F.col("co").isNull() | (F.col("co") == F.col("ho"))))
     one = hit.groupBy("seed", "rule_id", "all", "i").agg(F.min("fact_id").alias("fact_id"))
     return one.groupBy("seed", "rule_id", "all").agg(F.array_sort(F.collect_set("fact_id")).alias("premises"), F.count("*").alias("n")).where(F.col("n") == F.col("all")).select("seed", "rule_id", "premises")
 
@@ -95,7 +95,7 @@ def membership_fixpoint(facts: DataFrame, edges: DataFrame, rules: DataFrame, pr
 def derive_properties(closure: DataFrame, rules: DataFrame, properties: DataFrame) -> DataFrame:
     """(seed, predicate, object, negated, premises) by property rules and negated memberships."""
     use = rules.where("kind = 'property' or (kind = 'membership' and negated)")
-    hit = closure.join(F.broadcast(use), F.col("klass") == F.col("subject"))
+    hit = closure.join(use, F.col("klass") == F.col("subject"))
     met = conds_met(use, properties).select("seed", "rule_id", F.col("premises").alias("met"))
     out = hit.join(met, ["seed", "rule_id"], "left").where((F.size("conds") == 0) | F.col("met").isNotNull())
     return _first(out.select("seed", "predicate", "object", "negated", _plus(F.col("premises"), F.array("rule_id"), F.coalesce("met", F.array().cast("array<string>"))).alias("premises")), KEY)

@@ -110,4 +110,4 @@ def route_category(actions: DataFrame, routes: DataFrame) -> DataFrame:
     """(id, category): the template category of (action, trigger), else of the action alone, else `plain`; routes: (action, trigger or null, category)."""
     exact = routes.where("trigger is not null").select("action", "trigger", F.col("category").alias("_a"))
     wide = routes.where("trigger is null").select("action", F.col("category").alias("_b"))
-    return actions.join(F.broadcast(exact), ["action", "trigger"], "left").join(F.broadcast(wide), "action", "left").select("id", F.coalesce("_a", "_b", F.lit("plain")).alias("category"))
+    return actions.join(exact, ["action", "trigger"], "left").join(wide, "action", "left").select("id", F.coalesce("_a", "_b", F.lit("plain")).alias("category"))

@@ -202,7 +202,7 @@ def disambiguate(candidates: DataFrame, floor: float = 0.5, margin: float = 0.1)
 def set_preferred(dictionary: DataFrame, rulings: DataFrame) -> DataFrame:
     """The dictionary with exactly one preferred sense for each ruled (word, pos): the ruling's."""
     r = rulings.select("word", "pos", F.col("sense").alias("_ruled"))
-    return dictionary.join(F.broadcast(r), ["word", "pos"], "left").withColumn("preferred", F.when(F.col("_ruled").isNotNull(), F.col("sense") == F.col("_ruled")).otherwise(F.col("preferred"))).drop("_ruled")
+    return dictionary.join(r, ["word", "pos"], "left").withColumn("preferred", F.when(F.col("_ruled").isNotNull(), F.col("sense") == F.col("_ruled")).otherwise(F.col("preferred"))).drop("_ruled")
 
 
 def pick_template(requests: DataFrame, shelf: DataFrame, seed: str = "0") -> DataFrame:

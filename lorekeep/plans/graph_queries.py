@@ -83,15 +83,15 @@ def _edge_trust(s, d):
 
 
 def _edge_sources(s, d):
-    e = B.edges(s, d).where("child like 'C:%'").withColumn("source_id", F.explode(F.array(F.col("parent"), F.lit("doc"))))
+    e = B.edges(s, d).withColumn("source_id", F.explode(F.array(F.col("parent"), F.lit("doc"))))
     docs = e.select(F.col("source_id").alias("id"), F.lit("axiom").alias("kind"), (F.col("source_id") == "doc").alias("readonly")).distinct()
     return G.edge_sources(e, docs).select("key", F.size("sources").alias("n"), F.col("sources")[0]["id"].alias("first"))
 
 
 def _premises(s, d):
     sources = G.edge_source(G.union_tiers(*_tier_parts(s, d)))
-    paths = _closure(s, d).where("ancestor = 'world'")
-    return G.path_premises(paths, sources).select("node", F.array_join("premises", ",").alias("premises"))
+    paths = _closure(s, d)
+    return G.path_premises(paths, sources).select("node", "ancestor", F.array_join("premises", ",").alias("premises"))
 
 
 def _antonyms(s, d):
@@ -152,10 +152,10 @@ SELECT a, b, coalesce(apart, false) AS disjoint, CASE WHEN apart THEN tier END A
     "union_tiers": f"WITH {TIER_SQL} SELECT * FROM tiered",
     "edge_source": f"WITH {TIER_SQL} SELECT *, CASE WHEN tier > 0 THEN child || '|is_a|' || parent END AS source FROM tiered",
     "edge_trust": f"""WITH {B.edges_sql()} SELECT child || '|is_a|' || parent AS key, CASE WHEN length(child) % 3 = 0 THEN 0.7 WHEN length(child) % 2 = 0 THEN least(0.7, length(child) / 10.0) ELSE length(child) / 10.0 END::DOUBLE AS trust FROM edges""",
-    "edge_sources": f"WITH {B.edges_sql()} SELECT child || '|is_a|' || parent AS key, 2 AS n, least(parent, 'doc') AS first FROM edges WHERE child LIKE 'C:%'",
-    "path_premises": f"""WITH RECURSIVE {B.closure_sql()}, {TIER_SQL.split(", ", 1)[1] if False else TIER_SQL[len(B.edges_sql()) + 2:]}, steps AS (SELECT node, unnest(list_zip(path[1:len(path) - 1], path[2:])) AS e FROM closure WHERE ancestor = 'world'),
-k AS (SELECT DISTINCT node, e[1] || '|is_a|' || e[2] AS key FROM steps JOIN tiered ON child = e[1] AND parent = e[2] AND tier > 0)
-SELECT c.node, coalesce(string_agg(key, ',' ORDER BY key), '') AS premises FROM closure c LEFT JOIN k ON k.node = c.node WHERE c.ancestor = 'world' GROUP BY 1""",
+    "edge_sources": f"WITH {B.edges_sql()} SELECT child || '|is_a|' || parent AS key, 2 AS n, least(parent, 'doc') AS first FROM edges",
+    "path_premises": f"""WITH RECURSIVE {B.closure_sql()}, {TIER_SQL[len(B.edges_sql()) + 2:]}, steps AS (SELECT node, ancestor, unnest(list_zip(path[1:len(path) - 1], path[2:])) AS e FROM closure),
+k AS (SELECT DISTINCT node, ancestor, e[1] || '|is_a|' || e[2] AS key FROM steps JOIN tiered ON child = e[1] AND parent = e[2] AND tier > 0)
+SELECT c.node, c.ancestor, coalesce(string_agg(key, ',' ORDER BY key), '') AS premises FROM closure c LEFT JOIN k ON k.node = c.node AND k.ancestor = c.ancestor GROUP BY 1, 2""",
     "place_contains": f"""WITH {_PLACES}, p AS (SELECT 'C:' || c_custkey AS inner_, 'N:' || (c_custkey % 25) AS outer_ FROM customer UNION ALL SELECT 'N:' || (c_custkey % 25), 'C:' || c_custkey FROM customer UNION ALL SELECT 'C:' || c_custkey, 'atlantis' FROM customer)
 SELECT inner_ AS "inner", outer_ AS "outer", CASE WHEN i.uid IS NULL OR o.uid IS NULL THEN NULL ELSE inner_ = outer_ OR list_contains(i.path_admin, outer_) OR i.parent_admin = outer_ END AS contains FROM p LEFT JOIN places i ON i.uid = inner_ LEFT JOIN places o ON o.uid = outer_""",
     "place_parent": f"WITH {_PLACES} SELECT uid, coalesce(nullif(parent_admin, ''), nullif(parent_geo, '')) AS parent, CASE WHEN parent_admin <> '' THEN 'admin' WHEN parent_geo <> '' THEN 'geo' END AS chain FROM places",

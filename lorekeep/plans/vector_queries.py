@@ -167,7 +167,7 @@ QUERIES = {
     "axis_antonyms": _axis,
     "nearest_category": _nearest_category,
     "compose_vector": _compose,
-    "gloss_tokens": lambda s, d: _docs(s, d).where("lang = 'en'").select("doc_id", F.array_join(F.array_sort(V.gloss_tokens(F.col("text"), STOP)), " ").alias("tokens")),
+    "gloss_tokens": lambda s, d: _docs(s, d).select("doc_id", F.array_join(F.array_sort(V.gloss_tokens(F.col("text"), STOP)), " ").alias("tokens")),
     "primary_senses": lambda s, d: V.primary_senses(_senses(s, d)).select("word", "pos", "sense"),
     "sibling_senses": lambda s, d: V.sibling_senses(_senses(s, d), 4),
     "disambiguate": _disambiguate,
@@ -226,7 +226,7 @@ r AS (SELECT *, row_number() OVER w AS n, lead(s) OVER w AS s2 FROM s WINDOW w A
     "axis_antonyms": f"WITH {B.VECTORS}, e AS (SELECT vec_id AS a, unnest(vector) AS x, unnest(range(64)) AS b FROM vecs), p AS (SELECT a, b FROM e WHERE x < 0 AND a <> b) SELECT a, b FROM p UNION SELECT b, a FROM p",
     "nearest_category": f"WITH {B.EVENTS} SELECT user_id AS item, arg_min(event_type, (-value, event_type)) AS category FROM ev WHERE value / 200 >= 0.85 GROUP BY 1",
     "compose_vector": f"{_PAIR}, e AS (SELECT a, unnest(va) AS x, unnest(vb) AS y, unnest(range(64)) AS i FROM p) SELECT a, i::INT AS i, round(tanh(x + CASE WHEN a % 2 = 0 THEN 0.5 ELSE 0 END * y), 6) AS x FROM e",
-    "gloss_tokens": f"WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents WHERE lang = 'en'), u AS (SELECT DISTINCT doc_id, w FROM w WHERE length(w) > 2 AND w NOT IN {tuple(STOP)!r}) SELECT d.doc_id, coalesce(string_agg(w, ' ' ORDER BY w), '') AS tokens FROM documents d LEFT JOIN u USING (doc_id) WHERE lang = 'en' GROUP BY 1",
+    "gloss_tokens": f"WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents), u AS (SELECT DISTINCT doc_id, w FROM w WHERE length(w) > 2 AND w NOT IN {tuple(STOP)!r}) SELECT d.doc_id, coalesce(string_agg(w, ' ' ORDER BY w), '') AS tokens FROM documents d LEFT JOIN u USING (doc_id) GROUP BY 1",
     "primary_senses": f"WITH {SENSES} SELECT word, pos, sense FROM senses QUALIFY row_number() OVER (PARTITION BY word, pos ORDER BY nr, sense) <= 3",
     "sibling_senses": f"WITH {SENSES}, r AS (SELECT *, row_number() OVER (PARTITION BY word, pos ORDER BY nr, sense) AS rank FROM senses) SELECT s.sense, r.sense AS sibling, rank FROM senses s JOIN r ON s.word = r.word AND s.pos = r.pos AND s.sense <> r.sense WHERE rank <= 4",
     "disambiguate": f"""WITH {B.EVENTS}, c AS (SELECT user_id AS token, 's' || event_id AS sense, event_id AS nr, k % 30 AS overlap, k = 50 AS preferred, value / 100 AS centroid FROM ev), m AS (SELECT token, max(overlap) AS o, max(centroid) AS c1 FROM c GROUP BY 1),
