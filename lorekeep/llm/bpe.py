@@ -71,24 +71,29 @@ class Bpe:
         self.length = {r: len(t) for r, t in self.token.items()}
         self.known: dict[str, bytes] = {}
 
+    def _spine(self, token: int, side: int) -> list[tuple[int, int]]:
+        """The parts of a token that lie at one of its ends (side 0: the left one), each with the rank of the merge that uses it up."""
+        out = [(token, 1 << 62)]
+        while (part := self.halves[token][side]) != token:
+            out.append((part, token))
+            token = part
+        return out
+
     def _compatible(self, a: int, b: int) -> bool:
-        """Whether no merge across the border comes before those that make a and b."""
-        limit = 1 << 62
-        while True:
-            if self.joined.get((a, b), limit) < limit:
-                return False
-            if a > b:
-                limit, a = a, self.halves[a][1]
-                if a == limit:
-                    limit, b = b + 1, self.halves[b][0]
-                    if b + 1 == limit:
-                        return True
-            else:
-                limit, b = b + 1, self.halves[b][0]
-                if b + 1 == limit:
-                    limit, a = a, self.halves[a][1]
-                    if a == limit:
-                        return True
+        """Whether merging the bytes of a and b side by side ends in just these two.
+
+        While a and b are made, the border lies between a part at a's right end and one at b's left end. They are there together from the
+        later one's merge to the first merge that uses one of them up; a merge of both in that time would cross the border. Of
+        merges of equal rank the left one goes first.
+        """
+        left_parts = self._spine(b, 0)
+        for x, x_used in self._spine(a, 1):
+            for y, y_used in left_parts:
+                if max(x, y) < min(x_used, y_used):
+                    crossing = self.joined.get((x, y))
+                    if crossing is not None and crossing < x_used and crossing <= y_used:
+                        return False
+        return True
 
     def _fits(self, a: int, b: int) -> bool:
         fits = self.pairs[a, b] = self._compatible(a, b)
