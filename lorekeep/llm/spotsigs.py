@@ -19,6 +19,8 @@ COMMON = (
     "au avec dans du en est et la le les ou par pas pour que qui sur un une "
     "al con de del el es las lo los no para por se su una y"
 ).split()
+#: Stands in for a null doc_id while rows are put in order.
+LAST = -(1 << 63)
 _STOP = "|".join(sorted(COMMON, key=len, reverse=True))
 
 
@@ -92,23 +94,25 @@ def near_pairs(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 def with_next(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, text) with next_text, the text of the next row in descending order of doc_id; after the last comes the first.
 
-    Only keys (id and digest of the text) are put in order, by range partitions whose first keys the driver
+    Only keys (id and 64-bit hash of the text) are put in order, by range partitions whose first keys the driver
     links; then each text travels once to its own key and once to the one before it. Rows of equal doc_id follow each other in the
-    order of the digest, repeated rows are each other's next, a null doc_id is the last. An empty table gives an empty table.
+    order of the hash, repeated rows are each other's next, a null doc_id is the last (LAST stands in for it and is read as null).
+    An empty table gives an empty table.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5("text")).alias("key"), "text")
-    doc_id = F.split_part("key", F.lit(":"), F.lit(1)).try_cast("long").alias("doc_id")
-    keys = rows.groupBy("key").agg(F.count("*").alias("n")).withColumn("doc_id", doc_id)
-    laid = cut(keys.repartitionByRange(max(8, shuffle_partitions(spark)), F.desc_nulls_last("doc_id"), "key").sortWithinPartitions(F.desc_nulls_last("doc_id"), "key").select("key", "n", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")))
-    ends = laid.groupBy("part").agg(F.min_by("key", "at").alias("first"), F.max_by("key", "at").alias("last")).orderBy("part").collect()
-    border = spark.createDataFrame([(r["part"], ends[i - 1]["last"]) for i, r in enumerate(ends)], "part int, border string")
-    order = Window.partitionBy("part").orderBy("at")
-    linked = laid.withColumn("lag", F.lag("key").over(order)).join(F.broadcast(border), "part").select("key", "n", F.coalesce("lag", "border").alias("before"))
+    rows = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("d"), F.xxhash64("text").alias("h"), "text")
+    keys = rows.groupBy("d", "h").agg(F.count("*").alias("n"))
+    order = F.desc("d"), F.asc("h")
+    laid = cut(keys.repartitionByRange(max(8, shuffle_partitions(spark)), *order).sortWithinPartitions(*order).select("d", "h", "n", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")))
+    ends = laid.groupBy("part").agg(F.max_by(F.struct("d", "h"), "at").alias("last")).orderBy("part").collect()
+    border = spark.createDataFrame([(r["part"], tuple(ends[i - 1]["last"])) for i, r in enumerate(ends)], "part int, border struct<d:bigint,h:bigint>")
+    lag = F.lag(F.struct("d", "h")).over(Window.partitionBy("part").orderBy("at"))
+    linked = laid.withColumn("lag", lag).join(F.broadcast(border), "part").select("d", "h", "n", F.coalesce("lag", "border").alias("before"))
     # Both uses of the placed rows need key and text alone, so that they share one exchange of the texts.
-    placed = rows.join(linked.hint("shuffle_merge"), "key").withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("key")))
-    ahead = placed.where("place = 1").select(F.col("before").alias("key"), F.col("text").alias("ahead"))
-    return placed.join(ahead.hint("shuffle_merge"), "key").select(doc_id, "text", F.when(F.col("place") < F.col("n"), F.col("text")).otherwise(F.col("ahead")).alias("next_text"))
+    placed = rows.join(linked.hint("shuffle_merge"), ["d", "h"]).withColumn("place", F.row_number().over(Window.partitionBy("d", "h").orderBy("d")))
+    ahead = placed.where("place = 1").select("before.d", "before.h", F.col("text").alias("ahead"))
+    met = placed.join(ahead.hint("shuffle_merge"), ["d", "h"])
+    return met.select(F.nullif(F.col("d"), F.lit(LAST)).alias("doc_id"), "text", F.when(F.col("place") < F.col("n"), F.col("text")).otherwise(F.col("ahead")).alias("next_text"))
 
 
 def op6_spotsigs(spark, sf_dir: str) -> DataFrame:
