@@ -8,6 +8,7 @@ from .decontam import op5_decontamination
 from .fm_dedup import op10_fm_dedup
 from .langid import op2_langid
 from .licenses import op9_licenses
+from .merkle import OP11_SQL, op11_merkle
 from .minhash import op3_minhash
 from .sharding import op1_sharding
 from .spotsigs import op6_spotsigs
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_licenses": op9_licenses,
     "op10_fm_dedup": op10_fm_dedup,
+    "op11_merkle": op11_merkle,
 }
 
-ORACLES = {"op8_chat": OP8_SQL}
+ORACLES = {"op8_chat": OP8_SQL, "op11_merkle": OP11_SQL}
