@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op7_bpe
 from .chat import OP8_SQL, op8_chat
+from .collocations import OP12_SQL, op12_collocations
 from .decontam import op5_decontamination
 from .fm_dedup import op10_fm_dedup
 from .langid import op2_langid
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_licenses": op9_licenses,
     "op10_fm_dedup": op10_fm_dedup,
     "op11_merkle": op11_merkle,
+    "op12_collocations": op12_collocations,
 }
 
-ORACLES = {"op8_chat": OP8_SQL, "op11_merkle": OP11_SQL}
+ORACLES = {"op8_chat": OP8_SQL, "op11_merkle": OP11_SQL, "op12_collocations": OP12_SQL}
