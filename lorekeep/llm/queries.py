@@ -14,6 +14,7 @@ from .minhash import op3_minhash
 from .sharding import op1_sharding
 from .spotsigs import op6_spotsigs
 from .suffix_dedup import op4_suffix_dedup
+from .toxicity import op13_toxicity
 
 QUERIES = {
     "op1_sharding": op1_sharding,
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_fm_dedup": op10_fm_dedup,
     "op11_merkle": op11_merkle,
     "op12_collocations": op12_collocations,
+    "op13_toxicity": op13_toxicity,
 }
 
 ORACLES = {"op8_chat": OP8_SQL, "op11_merkle": OP11_SQL, "op12_collocations": OP12_SQL}
