@@ -159,8 +159,8 @@ def manifest(rows: DataFrame, group: str, order: str) -> DataFrame:
     result = leaves.where("n = 1").join(above, "tree")
     if paths is not None:
         result = contained(leaves.where("n > 1"), paths, 1).unionByName(result)
-    first = F.filter("path", lambda run: run["top"])[0]
-    subroot = as_hex(F.filter(first["run"], lambda c: _inside(c, first))[0]["digest"])
+    first = F.get(F.filter("path", lambda run: run["top"]), F.lit(0))
+    subroot = as_hex(F.get(F.filter(first["run"], lambda c: _inside(c, first)), F.lit(0))["digest"])
     root = F.lit(found["root"] if found else None).cast("string")
     return result.withColumn("root", root).withColumn("subroot", F.coalesce(subroot, root)).withColumn("leaf", as_hex(F.col("leaf")))
 
