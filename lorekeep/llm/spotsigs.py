@@ -72,8 +72,11 @@ def near_pairs(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     Equal sets are one class, under its smallest doc_id, so copies are never paired. Lists are kept by
     set length and signature: two sets that reach the threshold share one of the first
     n - ceil(threshold * n) + 1 signatures of each, the rarest first, and their lengths are in the same or neighbouring
-    partitions. Null ids are left out.
+    partitions. Null ids are left out. Rows of an empty table and repeated rows make no pairs, and neither does a threshold of 1, as sets that
+    reach it are equal. The threshold is over 0 and at most 1.
     """
+    if not 0 < threshold <= 1:
+        raise ValueError("the threshold is over 0 and at most 1")
     signed = documents(docs).where(F.col("doc_id").isNotNull()).select("doc_id", signatures(F.col("text")).alias("s"))
     classes = cut(signed.groupBy("s").agg(F.min("doc_id").alias("doc_id")))
     # Rare signatures first: a list then holds few sets, and one that is in most texts is hardly ever among the first.
@@ -81,7 +84,8 @@ def near_pairs(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     often = spread.groupBy("sig").agg(F.count("*").alias("often"))
     ranked = spread.join(often, "sig").groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("often", "sig"))), lambda x: x["sig"]).alias("s"))
     size = F.size("s")
-    listed = ranked.select("doc_id", "s", F.floor(F.log(size) / F.log(F.lit(1 / threshold))).alias("part"), F.explode(F.slice("s", 1, size - F.ceil(F.lit(threshold) * size - 1e-9).cast("int") + 1)).alias("sig"))
+    part = F.floor(F.log(size) / F.log(F.lit(1 / threshold))) if threshold < 1 else size.cast("long")
+    listed = ranked.select("doc_id", "s", part.alias("part"), F.explode(F.slice("s", 1, size - F.ceil(F.lit(threshold) * size - 1e-9).cast("int") + 1)).alias("sig"))
     left = listed.select(F.col("doc_id").alias("a"), F.size("s").alias("na"), "sig", F.explode(F.array(F.col("part"), F.col("part") + 1, F.col("part") - 1)).alias("part"))
     right = listed.select(F.col("doc_id").alias("b"), F.size("s").alias("nb"), "sig", "part")
     pruned = F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - 1e-9

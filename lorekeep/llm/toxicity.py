@@ -29,8 +29,9 @@ from .common import cut, read_table
 SHARE, STRETCH = 0.01, 10
 #: Models that are fitted to what the others leave out, and labelled documents that the curve is fitted to, chosen by a hash.
 FOLDS, SAMPLE = 3, 20_000
+COUNTS = [f"n{i}" for i in range(2 * FOLDS)]
 #: Words of a chunk of the table, and words that a task remembers.
-CHUNK, REMEMBER = 4_000_000, 1_000_000
+CHUNK, REMEMBER = 4_000_000, 300_000
 _INK = np.ones(256, bool)
 _INK[:48] = _INK[58:65] = _INK[91:97] = _INK[123:128] = False
 
@@ -52,45 +53,92 @@ def words_of(column: pa.Array) -> Iterator[tuple[int, int, pa.DictionaryArray, n
         yield a, b, words.dictionary_encode(), np.searchsorted(starts, o)
 
 
+def _keys(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes of words; two words of one hash would count as one."""
+    from xxhash import xxh64_intdigest
+
+    return np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words)).view(np.int64)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, mark, n): in how many rows (text, mark) a word occurs, mark by mark."""
-    held: dict[tuple[int, bytes], int] = {}
+    """(key, n0, n1, ...): in how many rows (packed text, mark) of each mark a word occurs."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    waiting = 0
+
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+        table = np.zeros((len(keys), 2 * FOLDS), np.int64)
+        np.add.at(table, at, np.concatenate([n for _, n in held]))
+        return keys, table
 
-    def emit() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([k[1].decode() for k in held], pa.string()), pa.array([k[0] for k in held], pa.int32()), pa.array(list(held.values()), pa.int64())], ["word", "mark", "n"])
+    def emit(keys: np.ndarray, table: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(c) for c in table.T)], ["key", *COUNTS])
 
     for batch in batches:
         mark = batch.column(1).to_numpy()
-        for a, b, words, first in words_of(batch.column(0)):
+        texts = [_unpack(x) for x in batch.column(0).to_pylist()]
+        for a, b, words, first in words_of(pa.array(texts, pa.large_string())):
             size = max(1, len(words.dictionary))
             row = np.repeat(np.arange(b - a), np.diff(first))
             once = np.unique(row * size + words.indices.to_numpy())
-            both, n = np.unique(mark[a:b][once // size].astype(np.int64) * size + once % size, return_counts=True)
-            own = words.dictionary.to_pylist()
-            for m, w, c in zip((both // size).tolist(), (both % size).tolist(), n.tolist(), strict=True):
-                key = m, own[w]
-                held[key] = held.get(key, 0) + c
-            if len(held) > REMEMBER:
-                yield emit()
-                held = {}
-    yield emit()
+            table = np.zeros((len(words.dictionary), 2 * FOLDS), np.int64)
+            np.add.at(table, (once % size, mark[a:b][once // size]), 1)
+            held.append((_keys(words.dictionary.to_pylist()), table))
+            waiting += len(table)
+            if waiting > 2 * REMEMBER:
+                held = [merged()]
+                waiting = len(held[0][0])
+                if waiting > REMEMBER:
+                    yield emit(*held[0])
+                    held, waiting = [], 0
+    if held:
+        yield emit(*merged())
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts in less room, before they travel to their labels."""
+    import zstandard
+
+    press = zstandard.ZstdCompressor(3)
+    for batch in batches:
+        packed = [press.compress(t.encode()) for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["doc_id", "packed"])
 
 
-def log_ratios(counted: DataFrame) -> DataFrame:
-    """(model, key, value) of counts (model, word, n0, n1): log ratio of a word, toxic to ordinary, less that of an unseen word.
+def _unpack(packed: bytes) -> str:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress(packed).decode()
+
+
+def log_ratios(counted: DataFrame, models: list[tuple[Column, Column]]) -> DataFrame:
+    """(key, v0, v1, ...) of counts by word: for each model (its ordinary and its toxic counts) the log ratio of a word, toxic to
+    ordinary, less that of an unseen word; null where the model lacks the word or a class.
 
     The discount of a class is n1 / (n1 + 2 n2) of its words counted once and twice (0.5 where nothing tells, never under 0.1 nor
-    over 0.95). The key is the word's 64-bit hash."""
-    told = []
-    for y in ("n0", "n1"):
-        ones, twos = F.count_if(F.col(y) == 1), F.count_if(F.col(y) == 2)
-        d = F.when(ones > 0, F.least(F.greatest(ones / (ones + 2 * twos), F.lit(0.1)), F.lit(0.95))).otherwise(0.5)
-        told += [F.sum(y).alias(f"sum_{y}"), (d * F.count_if(F.col(y) > 0) / F.sum(y)).alias(f"left_{y}"), d.alias(f"d_{y}")]
-    whole = counted.groupBy("model").agg(*told, (F.sum(F.col("n0") + F.col("n1")) + 0.5 * F.count("*")).alias("all"))
-    shared = (F.col("n0") + F.col("n1") + 0.5) / F.col("all")
-    p = lambda y: F.greatest(F.col(y) - F.col(f"d_{y}"), F.lit(0.0)) / F.col(f"sum_{y}") + F.col(f"left_{y}") * shared
-    value = F.log(p("n1") / p("n0")) - F.log(F.col("left_n1") / F.col("left_n0"))
-    return counted.join(whole, "model").select("model", F.xxhash64("word").alias("key"), value.cast("float").alias("value"))
+    over 0.95)."""
+    asked = []
+    for k, counts in enumerate(models):
+        for y, c in enumerate(counts):
+            told = [F.sum(c), F.count_if(c > 0), F.count_if(c == 1), F.count_if(c == 2)]
+            asked += [x.cast("double").alias(f"{name}{k}{y}") for name, x in zip(("sum", "seen", "one", "two"), told, strict=True)]
+        asked.append(F.count_if(counts[0] + counts[1] > 0).cast("double").alias(f"kinds{k}"))
+    got = counted.agg(*asked).first()
+    values = []
+    for k, counts in enumerate(models):
+        sums = [got[f"sum{k}{y}"] or 0 for y in (0, 1)]
+        if not all(sums):
+            values.append(F.lit(None).cast("float").alias(f"v{k}"))
+            continue
+        shared = (counts[0] + counts[1] + 0.5) / (sum(sums) + 0.5 * got[f"kinds{k}"])
+        p, left = [], []
+        for y in (0, 1):
+            one, two = got[f"one{k}{y}"], got[f"two{k}{y}"]
+            d = min(max(one / (one + 2 * two), 0.1), 0.95) if one else 0.5
+            left.append(d * got[f"seen{k}{y}"] / sums[y])
+            p.append(F.greatest(counts[y] - d, F.lit(0.0)) / sums[y] + left[y] * shared)
+        values.append(F.when(counts[0] + counts[1] > 0, F.log(p[1] / p[0]) - float(np.log(left[1] / left[0]))).cast("float").alias(f"v{k}"))
+    return counted.select("key", *values)
 
 
 def chunks_of(table: DataFrame) -> list:
@@ -107,9 +155,7 @@ def chunks_of(table: DataFrame) -> list:
 
 def ratios(words: list[bytes], chunks: list) -> np.ndarray:
     """Log ratios of words, 0 for those not in the table."""
-    from xxhash import xxh64_intdigest
-
-    keys = np.fromiter((xxh64_intdigest(w, 42) for w in words), np.uint64, len(words)).view(np.int64)  # as Spark's xxhash64
+    keys = _keys(words)
     value = np.zeros(len(keys))
     for k, sent in enumerate(chunks):
         mine = np.flatnonzero(keys % len(chunks) == k)
@@ -188,30 +234,34 @@ class Scorer:
         self.share, self.chunks, self.weights = share, chunks, weights
 
 
-def fit(labelled: DataFrame, sample: int = SAMPLE) -> Scorer:
-    """Learns from rows (text, toxic), toxic 0 or 1: counts of all of them, the curve from about `sample` at most, chosen by a hash
-    of the text. Null texts and labels are left out. Without rows of both classes there is no model, only the share of
-    toxic rows (0 without rows)."""
-    rows = labelled.where("text is not null").select("text", F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)")
-    rows = rows.withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int"))
-    chosen = F.pmod(F.xxhash64("text", F.lit(1)), F.lit(1 << 40))
-    kinds = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    share = kinds.get(1, 0) / max(1, sum(kinds.values()))
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
+    """Learns from rows (doc_id, text) and labels (doc_id, toxic), toxic 0 or 1: counts of all labelled rows, the curve from
+    about `sample` at most, chosen by a hash of the id. Null ids, texts and labels are left out; a document with several labels is
+    toxic if one says so. Without documents of both classes there is no model, only the share of toxic ones (0 without labels)."""
+    spread = F.xxhash64("doc_id")
+    told = labels.where("doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    kinds = {r["toxic"]: r["n"] for r in known.select("doc_id").join(told, "doc_id").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    total = sum(kinds.values())
+    share = kinds.get(1, 0) / max(1, total)
     if len(kinds) < 2:
         return Scorer(share, [], None)
-    marked = rows.select("text", (F.col("fold") * 2 + F.col("toxic")).cast("int").alias("mark")).mapInArrow(_count, "word string, mark int, n long")
-    counted = marked.groupBy("word", "mark").agg(F.sum("n").alias("n")).withColumn("fold", F.floor(F.col("mark") / 2))
+    packed = known.mapInArrow(_pack, "doc_id long, packed binary")
+    # Both sides are sorted at any size: which texts have labels is known only after they met.
+    marked = packed.join(told.hint("merge"), "doc_id").select("packed", (F.pmod(spread, F.lit(FOLDS)) * 2 + F.col("toxic")).cast("int").alias("mark"))
+    parts = marked.mapInArrow(_count, "key long, " + ", ".join(f"{c} long" for c in COUNTS))
+    counted = cut(parts.groupBy("key").agg(*[F.sum(c).alias(c) for c in COUNTS]))
     # Model k leaves fold k out; the last one has them all.
-    models = F.array(*[F.when(F.col("fold") != k, k) for k in range(FOLDS)], F.lit(FOLDS))
-    each = counted.select("word", F.col("mark") % 2 == 1, "n", F.explode(F.array_compact(models)).alias("model")).toDF("word", "toxic", "n", "model")
-    by_model = cut(each.groupBy("model", "word").agg(F.sum(F.when(~F.col("toxic"), F.col("n")).otherwise(0)).alias("n0"), F.sum(F.when(F.col("toxic"), F.col("n")).otherwise(0)).alias("n1")))
-    table = cut(log_ratios(by_model).where("value is not null"))
-    picked = cut(rows.where(chosen < int(min(1.0, sample / sum(kinds.values())) * (1 << 40))))
-    scored = [features(picked.where(F.col("fold") == k), chunks_of(table.where(F.col("model") == k)), ("toxic",)).where("whole is not null").toArrow() for k in range(FOLDS)]
+    add = lambda y, out: sum((F.col(COUNTS[2 * k + y]) for k in range(FOLDS) if k != out), F.lit(0))
+    table = log_ratios(counted, [(add(0, k), add(1, k)) for k in [*range(FOLDS), None]])
+    model = lambda k: chunks_of(table.select("key", F.col(f"v{k}").alias("value")).where("value is not null"))
+    some = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 40)) < int(min(1.0, sample / total) * (1 << 40))
+    picked = cut(known.where(some).join(told.where(some), "doc_id").select("text", "toxic", F.pmod(spread, F.lit(FOLDS)).alias("fold")))
+    scored = [features(picked.where(F.col("fold") == k), model(k), ("toxic",)).where("whole is not null").toArrow() for k in range(FOLDS)]
     found = pa.concat_tables(scored)
     x, y = np.column_stack([found["whole"].to_numpy(), found["stretch"].to_numpy()]), found["toxic"].to_numpy()
     weights = curve(x, y) if len(np.unique(y)) == 2 else None
-    return Scorer(share, chunks_of(table.where(F.col("model") == FOLDS)) if weights is not None else [], weights)
+    return Scorer(share, model(FOLDS) if weights is not None else [], weights)
 
 
 def score(docs: DataFrame, scorer: Scorer, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -232,12 +282,9 @@ def held_out() -> Column:
 def op13_toxicity(spark, sf_dir: str) -> DataFrame:
     """How likely each document is toxic, learned from the labels of those that are not held out.
 
-    A document with several labels is toxic if one says so; each of its rows is learned from. Rows without doc_id are never held
-    out and have no label. Null and empty texts have the share of toxic documents as their score; repeated rows are
-    returned each; an empty table gives an empty table.
+    Rows without doc_id are never held out and have no label. Null and empty texts have the share of toxic documents as their
+    score; repeated rows are learned from and returned each; an empty table gives an empty table.
     """
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = read_table(spark, sf_dir, "labels").where(~held_out() & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = docs.where(~held_out() & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    made = score(docs, fit(known.join(labels, "doc_id").select("text", "toxic")))
+    made = score(docs, fit(docs.where(~held_out()), read_table(spark, sf_dir, "labels").where(~held_out())))
     return made.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "whole", "stretch")

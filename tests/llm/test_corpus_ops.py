@@ -10,10 +10,11 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lorekeep.llm import merkle
 from lorekeep.llm.collocations import OP12_SQL, collocations, counts
-from lorekeep.llm.toxicity import SHARE, STRETCH, curve, features, fit, log_ratios, score, chunks_of
+from lorekeep.llm.toxicity import SHARE, STRETCH, _keys, chunks_of, curve, features, fit, log_ratios, score
 
 H = lambda text: hashlib.sha256(text.encode()).hexdigest()
 
@@ -184,7 +185,12 @@ def test_ratios_and_features_equal_plain_code(spark):
     n = [Counter(), Counter()]
     for text, toxic in rows:
         n[toxic].update(set(words(text)))
-    table = log_ratios(spark.createDataFrame([(0, w, n[0][w], n[1][w]) for w in set(n[0]) | set(n[1])], "model int, word string, n0 long, n1 long"))
+    every = sorted(set(n[0]) | set(n[1]))
+    keys = _keys([w.encode() for w in every]).tolist()
+    counted = spark.createDataFrame([(k, n[0][w], n[1][w]) for k, w in zip(keys, every, strict=True)], "key long, a long, b long")
+    table = log_ratios(counted, [(F.col("a"), F.col("b")), (F.col("a"), F.lit(0))])
+    assert table.where("v1 is not null").count() == 0  # a model without toxic words
+    table = table.select("key", F.col("v0").alias("value"))
     want = brute_ratios(rows)
     texts = [rows[0][0], "unseen words only", "scum", "", None, " ".join(t for t, _ in rows)]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
@@ -208,8 +214,10 @@ def test_ratios_and_features_equal_plain_code(spark):
 def test_fit_tells_toxic_from_clean_texts_it_has_not_seen(spark):
     rows = toxic_rows(400)
     learned, new = rows[:300], rows[300:]
-    scorer = fit(spark.createDataFrame([*learned, (None, 1), ("text", None), ("text", 7)], "text string, toxic int").repartition(3))
-    assert scorer.share == pytest.approx(sum(y for _, y in learned) / 300)
+    texts = [(i, t) for i, (t, _) in enumerate(learned)] + [(300, None), (301, "text"), (302, "text"), (None, "text"), (0, learned[0][0])]
+    told = [(i, y) for i, (_, y) in enumerate(learned)] + [(300, 1), (301, None), (302, 7), (None, 1), (1, 0), (1, 1), (999, 1)]
+    scorer = fit(spark.createDataFrame(texts, "doc_id long, text string").repartition(3), spark.createDataFrame(told, "doc_id long, toxic int"))
+    assert scorer.share == pytest.approx((sum(y for _, y in learned) + learned[0][1] + (1 - learned[1][1])) / 301)
     docs = spark.createDataFrame([(i, t, "de", 1.0) for i, (t, _) in enumerate(new)] + [(998, "", "", 0.0), (999, None, "", 0.0)], "doc_id long, text string, lang string, z double")
     got = {r["doc_id"]: r["score"] for r in score(docs, scorer).collect()}
     assert got[998] == got[999] == pytest.approx(scorer.share)
@@ -219,9 +227,9 @@ def test_fit_tells_toxic_from_clean_texts_it_has_not_seen(spark):
 
 def test_nothing_or_one_class_to_learn_from(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
-    none = fit(docs.limit(0).selectExpr("text", "1 AS toxic"))
+    none = fit(docs, docs.limit(0).selectExpr("doc_id", "1 AS toxic"))
     assert [r["score"] for r in score(docs, none).collect()] == [0.0, 0.0]
-    assert fit(docs.selectExpr("coalesce(text, 'c') AS text", "1 AS toxic")).share == 1.0
+    assert fit(docs, docs.selectExpr("doc_id", "1 AS toxic")).share == 1.0
     assert score(docs.limit(0), none).count() == 0
 
 

@@ -46,3 +46,16 @@ def test_pipeline_matches_plain_code(spark, sf, real, tmp_path):
     assert set(fourth) == {d for d, t in third.items() if not matcher.match(decontam.normal(t))}
     last = seen["tokens"].collect()
     assert {r.doc_id for r in last} == set(fourth) and all(r.decodes and 4 * r.n_tokens == len(r.ids) for r in last)
+
+
+def test_near_duplicates_keep_every_text_of_a_document(spark, sf):
+    import corpus_pipeline as p
+
+    a, b = " ".join(f"a{i}" for i in range(80)), " ".join(f"b{i}" for i in range(80))
+    rows = [(2, a), (4, a), (4, b), (9, b), (9, b), (7, None), (7, ""), (8, "short"), (None, a), (None, a)]
+    docs = spark.createDataFrame([(d, t, "en", "r", 1, 0.5) for d, t in rows], "doc_id long, text string, lang string, rank string, n_chars long, mark double").repartition(3)
+    made = p.one_of_each_group(spark, docs, sf)
+    assert made.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in made.collect()), key=repr)
+    assert got == sorted([(2, a), (4, b), (7, None), (7, ""), (8, "short"), (None, a), (None, a)], key=repr)
+    assert p.one_of_each_group(spark, docs.limit(0), sf).count() == 0

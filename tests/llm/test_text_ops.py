@@ -216,3 +216,15 @@ def test_sharding_of_documents(spark, sf, real):
         assert (r["size"], r.text_crc32) == (len(text[r.doc_id].encode()) + 8, zlib.crc32(text[r.doc_id].encode()))
     empty = spark.createDataFrame([], "row_id long, group_key string, size long")
     assert sharding.minimax_shards(empty, 3).count() == 0
+
+
+def test_near_pairs_at_and_beyond_the_ends_of_the_threshold(spark):
+    from lorekeep.llm.spotsigs import near_pairs
+
+    docs = spark.createDataFrame([(1, "the cat saw a dog by the bird sang well"), (2, "the cat saw a dog by the fish sang well"), (3, "the cat saw a dog by the bird sang well"), (3, None), (None, "the x")], "doc_id long, text string")
+    assert near_pairs(docs, 1.0).count() == 0
+    assert near_pairs(docs.limit(0), 1.0).count() == near_pairs(docs.limit(0)).count() == 0
+    assert [(r.a, r.b) for r in near_pairs(docs, 0.1).collect()] == [(1, 2)]
+    for bad in (0, 1.5):
+        with pytest.raises(ValueError):
+            near_pairs(docs, bad)
