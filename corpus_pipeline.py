@@ -13,6 +13,7 @@ from lorekeep.llm.bpe import encode_decode
 from lorekeep.llm.common import cut, read_table
 from lorekeep.llm.decontam import decontaminate
 from lorekeep.llm.langid import fit, identify
+from lorekeep.llm.merkle import ranked, with_rank
 from lorekeep.llm.minhash import near_duplicates
 from lorekeep.llm.suffix_dedup import remove_repeats
 
@@ -25,15 +26,22 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of each group of near duplicates, in one row for each of its texts.
+    """One row of each group of near duplicates, that of smallest doc_id; every text that goes is near a chain of texts to one that stays.
 
-    A document goes with all its rows, for any of its texts that is a copy. Rows without doc_id and documents without words
-    stay; of repeated rows (equal doc_id and text) one stays, but rows without doc_id all stay.
+    Where a doc_id has several texts, each of them is grouped as a document of its own, so none goes because of another. Rows without
+    doc_id and documents without words stay; of repeated rows (equal doc_id and text) one stays, but rows without
+    doc_id all stay. Columns may have any names.
     """
-    groups = near_duplicates(docs, shingle=5, percent=80)
-    gone = groups.where("not kept").select("doc_id").distinct()
-    known = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
-    return known.unionByName(docs.where("doc_id is null"))
+    known, unknown = docs.where("doc_id is not null"), docs.where("doc_id is null")
+    if known.groupBy("doc_id").count().where("count > 1").isEmpty():
+        gone = near_duplicates(known, shingle=5, percent=80).where("not kept").select("doc_id")
+        return known.join(gone, "doc_id", "left_anti").select(*docs.columns).unionByName(unknown)
+    packed = known.dropDuplicates(["doc_id", "text"]).select("doc_id", "text", F.xxhash64("text").alias("mark"), F.struct(*docs.columns).alias("doc"))
+    ranks = with_rank(*ranked(packed.select("doc_id", "mark"), [], ["doc_id", "mark"]), []).select(F.col("doc_id").alias("r_id"), F.col("mark").alias("r_mark"), "rank")
+    each = cut(packed.join(ranks, (F.col("doc_id") == F.col("r_id")) & (F.col("mark") == F.col("r_mark"))).select(F.col("rank").alias("doc_id"), "text", "doc"))
+    gone = near_duplicates(each, shingle=5, percent=80).where("not kept").select("doc_id")
+    kept = each.join(gone, "doc_id", "left_anti")
+    return kept.select(*[F.col(f"doc.`{c}`") for c in docs.columns]).unionByName(unknown)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
