@@ -28,9 +28,10 @@ def cond_match(cond: Column, have: Column) -> Column:
     return (cond == have) | ((F.least(F.length(a), F.length(b)) >= 4) & (F.startswith(a, b) | F.startswith(b, a)))
 
 
-def _first(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The route with fewest premises, then the smallest, of each key."""
-    return rows.groupBy(*keys).agg(F.min(F.struct(F.size("premises").alias("n"), "premises")).alias("m")).select(*keys, F.col("m.premises").alias("premises"))
+def _first(rows: DataFrame, keys: list[str], *more: str) -> DataFrame:
+    """The route with fewest premises, then the smallest, of each key, with what it came from (`more`)."""
+    least = F.min(F.struct(F.size("premises").alias("n"), "premises", *more)).alias("m")
+    return rows.groupBy(*keys).agg(least).select(*keys, *[F.col(f"m.{c}").alias(c) for c in ("premises", *more)])
 
 
 def _compact(rounds: list[DataFrame], most: int = 8) -> list[DataFrame]:
@@ -38,6 +39,14 @@ def _compact(rounds: list[DataFrame], most: int = 8) -> list[DataFrame]:
     return [cut(reduce(DataFrame.unionByName, rounds))] if len(rounds) > most else rounds
 
 
+def _none(kind: str) -> Column:
+    return F.lit(None).cast(kind)
+
+
+#: What a conclusion came from: a class of the seed, the rule, and the conditions of the rule that properties met.
+ORIGIN = "struct<klass:string,rule:string,uses:array<struct<predicate:string,object:string>>>"
+
+
 def _plus(premises: Column, *more: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.concat(premises, *more), lambda x: x.isNotNull())))
 
@@ -60,7 +69,8 @@ def conds_met(rules: DataFrame, properties: DataFrame) -> DataFrame:
 
 
 def class_fixpoint(facts: DataFrame, edges: DataFrame, rules: DataFrame, sufficient: DataFrame, properties: DataFrame) -> DataFrame:
-    """(seed, klass, premises): classes of each seed by its facts, the class edges, membership rules and sufficient rules.
+    """(seed, klass, premises, via, step): classes of each seed by its facts, the class edges, membership rules and sufficient
+    rules; via is the class before (null for a fact's own), step the rule that led on from it (null for an edge).
 
     facts (seed, klass, negated, fact_id); edges (child, parent, source); rules (rule_id, kind, subject,
     predicate, object, negated, conds); sufficient (rule_id, genus, klass, conds). Negated memberships
@@ -68,18 +78,21 @@ def class_fixpoint(facts: DataFrame, edges: DataFrame, rules: DataFrame, suffici
     seed, so they end, cycles included.
     """
     member = rules.where("kind = 'membership' and not negated")
-    step = edges.select(F.col("child").alias("klass"), F.col("parent").alias("to"), F.col("source").alias("premise"), F.lit(None).cast("string").alias("needs"))
-    step = step.unionByName(member.select(F.col("subject").alias("klass"), F.col("predicate").alias("to"), F.col("rule_id").alias("premise"), F.when(F.size("conds") > 0, F.col("rule_id")).alias("needs")))
-    step = cut(step.unionByName(sufficient.select(F.col("genus").alias("klass"), F.col("klass").alias("to"), F.col("rule_id").alias("premise"), F.col("rule_id").alias("needs"))))
+    step = edges.select(F.col("child").alias("klass"), F.col("parent").alias("to"), F.col("source").alias("premise"), _none("string").alias("needs"), _none("string").alias("rule"))
+    rule = F.col("rule_id").alias("rule")
+    step = step.unionByName(member.select(F.col("subject").alias("klass"), F.col("predicate").alias("to"), F.col("rule_id").alias("premise"), F.when(F.size("conds") > 0, F.col("rule_id")).alias("needs"), rule))
+    step = cut(step.unionByName(sufficient.select(F.col("genus").alias("klass"), F.col("klass").alias("to"), F.col("rule_id").alias("premise"), F.col("rule_id").alias("needs"), rule)))
     met = cut(conds_met(member.select("rule_id", "conds").unionByName(sufficient.select("rule_id", "conds")), properties)).select("seed", F.col("rule_id").alias("needs"), F.col("premises").alias("met"))
-    frontier = cut(_first(facts.where("not negated").select("seed", "klass", F.array("fact_id").alias("premises")), ["seed", "klass"]))
+    told = facts.where("not negated").select("seed", "klass", F.array_compact(F.array("fact_id")).alias("premises"), _none("string").alias("via"), _none("string").alias("step"))
+    frontier = cut(_first(told, ["seed", "klass"], "via", "step"))
     rounds = [frontier]
     while True:
-        reach = frontier.join(step, "klass")
-        free = reach.where("needs is null").select("seed", F.col("to").alias("klass"), _plus(F.col("premises"), F.array("premise")).alias("premises"))
-        bound = reach.where("needs is not null").join(met, ["seed", "needs"]).select("seed", F.col("to").alias("klass"), _plus(F.col("premises"), F.array("premise"), F.col("met")).alias("premises"))
+        reach = frontier.drop("via", "step").join(step, "klass")
+        on = ["seed", F.col("to").alias("klass"), F.col("klass").alias("via"), F.col("rule").alias("step")]
+        free = reach.where("needs is null").select(*on, _plus(F.col("premises"), F.array("premise")).alias("premises"))
+        bound = reach.where("needs is not null").join(met, ["seed", "needs"]).select(*on, _plus(F.col("premises"), F.array("premise"), F.col("met")).alias("premises"))
         known = reduce(DataFrame.unionByName, rounds).select("seed", "klass")
-        frontier = cut(_first(free.unionByName(bound), ["seed", "klass"]).join(known, ["seed", "klass"], "left_anti"))
+        frontier = cut(_first(free.unionByName(bound), ["seed", "klass"], "via", "step").join(known, ["seed", "klass"], "left_anti"))
         if frontier.isEmpty():
             break
         rounds = _compact([*rounds, frontier])
@@ -93,16 +106,17 @@ def membership_fixpoint(facts: DataFrame, edges: DataFrame, rules: DataFrame, pr
 
 
 def derive_properties(closure: DataFrame, rules: DataFrame, properties: DataFrame) -> DataFrame:
-    """(seed, predicate, object, negated, premises) by property rules and negated memberships."""
+    """(seed, predicate, object, negated, premises, origin) by property rules and negated memberships."""
     use = rules.where("kind = 'property' or (kind = 'membership' and negated)")
     hit = closure.join(use, F.col("klass") == F.col("subject"))
     met = conds_met(use, properties).select("seed", "rule_id", F.col("premises").alias("met"))
     out = hit.join(met, ["seed", "rule_id"], "left").where((F.size("conds") == 0) | F.col("met").isNotNull())
-    return _first(out.select("seed", "predicate", "object", "negated", _plus(F.col("premises"), F.array("rule_id"), F.coalesce("met", F.array().cast("array<string>"))).alias("premises")), KEY)
+    origin = F.struct("klass", F.col("rule_id").alias("rule"), F.array().cast("array<struct<predicate:string,object:string>>").alias("uses")).alias("origin")
+    return _first(out.select(*KEY, _plus(F.col("premises"), F.array("rule_id"), F.coalesce("met", F.array().cast("array<string>"))).alias("premises"), origin), KEY, "origin")
 
 
 def derive_conditional(held: DataFrame, rules: DataFrame, closure: DataFrame) -> DataFrame:
-    """Conclusions (KEY, premises) of conditional rules (rule_id, cond_class, cond_pred, cond_obj, cond_extra, concl_pred, concl_obj,
+    """Conclusions (KEY, premises, origin) of conditional rules (rule_id, cond_class, cond_pred, cond_obj, cond_extra, concl_pred, concl_obj,
     concl_negated) from the properties held, until nothing is added; only affirmative conclusions are conditions again.
 
     cond_extra array<struct<predicate,object>>, optional: further properties that must hold, given or derived in any round. A rule fires in the round after
@@ -120,22 +134,23 @@ def derive_conditional(held: DataFrame, rules: DataFrame, closure: DataFrame) ->
     classes = closure.select("seed", F.col("klass").alias("cond_class"), F.col("premises").alias("class_premises"))
     while True:
         hit = frontier.join(need, "predicate").where(F.col("co").isNull() | (F.col("co") == F.col("object")))
-        hit = _first(hit.select("seed", "rule_id", "all", "i", "premises"), ["seed", "rule_id", "all", "i"])
+        hit = _first(hit.select("seed", "rule_id", "all", "i", "premises", F.struct("predicate", "object").alias("use")), ["seed", "rule_id", "all", "i"], "use")
         fresh = hit if met is None else hit.join(met, ["seed", "rule_id", "i"], "left_anti")
         every = cut(fresh if met is None else met.unionByName(fresh.select(*met.columns)))
         now = every.join(fresh.select("seed", "rule_id").distinct(), ["seed", "rule_id"], "left_semi") if met is not None else every
-        full = now.groupBy("seed", "rule_id", "all").agg(F.count("*").alias("n"), F.flatten(F.collect_list("premises")).alias("premises")).where(F.col("n") == F.col("all"))
+        full = now.groupBy("seed", "rule_id", "all").agg(F.count("*").alias("n"), F.flatten(F.collect_list("premises")).alias("premises"), F.array_sort(F.collect_list(F.struct("i", "use"))).alias("uses")).where(F.col("n") == F.col("all"))
         met = every
         fired = full.join(heads, "rule_id").join(classes, ["seed", "cond_class"], "left").where("cond_class is null or class_premises is not null")
-        new = fired.select("seed", F.col("concl_pred").alias("predicate"), F.col("concl_obj").alias("object"), F.col("concl_negated").alias("negated"), _plus(F.col("premises"), F.array("rule_id"), F.coalesce("class_premises", F.array().cast("array<string>"))).alias("premises"))
-        seen = reduce(DataFrame.unionByName, [known, *rounds]).select(*[F.col(c).alias(f"_{c}") for c in KEY])
+        origin = F.struct(F.col("cond_class").alias("klass"), F.col("rule_id").alias("rule"), F.transform("uses", lambda u: u["use"]).alias("uses")).alias("origin")
+        new = fired.select("seed", F.col("concl_pred").alias("predicate"), F.col("concl_obj").alias("object"), F.col("concl_negated").alias("negated"), _plus(F.col("premises"), F.array("rule_id"), F.coalesce("class_premises", F.array().cast("array<string>"))).alias("premises"), origin)
+        seen = reduce(DataFrame.unionByName, [known, *[r.drop("origin") for r in rounds]]).select(*[F.col(c).alias(f"_{c}") for c in KEY])
         same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in KEY])
-        frontier = cut(_first(new, KEY).join(seen, same, "left_anti"))
+        frontier = cut(_first(new, KEY, "origin").join(seen, same, "left_anti"))
         if frontier.isEmpty():
             break
         rounds = _compact([*rounds, frontier])
         frontier = frontier.where("not negated")
-    return reduce(DataFrame.unionByName, rounds) if rounds else known.limit(0)
+    return reduce(DataFrame.unionByName, rounds) if rounds else known.limit(0).withColumn("origin", _none(ORIGIN))
 
 
 def mark_conflicts(derived: DataFrame, closure: DataFrame) -> DataFrame:
@@ -149,7 +164,8 @@ def mark_conflicts(derived: DataFrame, closure: DataFrame) -> DataFrame:
     rows = derived.join(clashing, same, "left").join(held, ["seed", "predicate"], "left")
     clash = F.coalesce(F.col("negated") & F.col("object").isNull() & F.col("held").isNotNull(), F.lit(False))
     premises = F.coalesce("every", "premises")
-    return rows.select(*keys, "negated", F.when(clash, _plus(premises, F.col("held"))).otherwise(premises).alias("premises"), (F.col("every").isNotNull() | clash).alias("conflict"))
+    origin = ["origin"] if "origin" in derived.columns else []
+    return rows.select(*keys, "negated", F.when(clash, _plus(premises, F.col("held"))).otherwise(premises).alias("premises"), (F.col("every").isNotNull() | clash).alias("conflict"), *origin)
 
 
 def forward_chain(kb: dict[str, DataFrame], closure: DataFrame | None = None) -> DataFrame:
@@ -157,10 +173,58 @@ def forward_chain(kb: dict[str, DataFrame], closure: DataFrame | None = None) ->
     closure = closure if closure is not None else cut(class_fixpoint(kb["facts"], kb["edges"], kb["rules"], kb["sufficient"], kb["properties"]))
     direct = derive_properties(closure, kb["rules"], kb["properties"])
     told = kb["properties"].select("seed", "predicate", "object", "negated", F.array("fact_id").alias("premises"))
-    further = derive_conditional(direct.unionByName(told), kb["conditional"], closure)
+    further = derive_conditional(direct.drop("origin").unionByName(told), kb["conditional"], closure)
     return mark_conflicts(cut(direct.unionByName(further)), closure)
 
 
+def class_chains(asked: DataFrame, closure: DataFrame) -> DataFrame:
+    """(seed, klass, chain): how each seed asked about (seed, klass) came to a class: `x is a —is_a→ b -> all b are c`.
+
+    The rounds of the closure keep a pointer to the class before; chains are walked back from their ends, all at once, one join a step.
+    """
+    back = closure.select("seed", F.col("klass").alias("at"), "via", "step")
+    walk = cut(asked.select("seed", "klass").distinct()).select("seed", "klass", F.col("klass").alias("at"), F.lit("").alias("text"))
+    done: list[DataFrame] = []
+    while True:
+        met = walk.join(back, ["seed", "at"])
+        arrow = F.when(F.col("via").isNull(), F.concat("seed", F.lit(" is "), "at")).when(F.col("step").isNull(), F.concat(F.lit(" —is_a→ "), "at")).otherwise(F.concat(F.lit(" -> all "), "via", F.lit(" are "), "at"))
+        walk = cut(met.select("seed", "klass", F.col("via").alias("at"), F.concat(arrow, "text").alias("text")))
+        done = _compact([*done, walk.where("at is null")])
+        walk = walk.where("at is not null")
+        if walk.isEmpty():
+            return reduce(DataFrame.unionByName, done).select("seed", "klass", F.col("text").alias("chain"))
+
+
+def derivations(asked: DataFrame, derived: DataFrame, closure: DataFrame) -> DataFrame:
+    """(id, derivation): for conclusions asked about (id, KEY) the lines that prove them, what others rest on first.
+
+    Each line is one conclusion of forward_chain: the chain of classes or the conditions it rests on, its rule, and what follows. The
+    conditions' own conclusions are looked up in turn, a round for each level; told facts have no line of their own.
+    """
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in KEY])
+    known = derived.where("origin is not null").select(*[F.col(c).alias(f"_{c}") for c in KEY], "origin")
+    frontier = asked.select("id", *KEY).distinct()
+    levels: list[DataFrame] = []
+    level = 0
+    while True:
+        found = cut(frontier.join(known, same).select("id", *KEY, "origin", F.lit(level).alias("level")))
+        if found.isEmpty():
+            break
+        levels = _compact([*levels, found])
+        level += 1
+        frontier = found.select("id", "seed", F.explode("origin.uses").alias("u")).select("id", "seed", "u.predicate", "u.object", F.lit(False).alias("negated")).distinct()
+    if not levels:
+        return asked.select("id", F.array().cast("array<string>").alias("derivation")).limit(0)
+    every = reduce(DataFrame.unionByName, levels).groupBy("id", *KEY, "origin").agg(F.max("level").alias("level"))
+    chains = class_chains(every.select("seed", F.col("origin.klass").alias("klass")).where("klass is not null"), closure).withColumnRenamed("klass", "k")
+    rows = every.withColumn("k", F.col("origin.klass")).join(chains, ["seed", "k"], "left")
+    said = lambda p, o, n: F.concat_ws(" ", F.when(n, F.lit("not")), p, o)
+    met = F.array_join(F.transform("origin.uses", lambda u: said(u["predicate"], u["object"], F.lit(False))), " and ")
+    ground = F.concat_ws(" and ", "chain", F.when(F.size("origin.uses") > 0, F.concat_ws(" ", "seed", met)))
+    line = F.concat(ground, F.lit(" -> "), F.col("origin.rule"), F.lit(" -> "), F.concat_ws(" ", "seed", said(F.col("predicate"), F.col("object"), F.col("negated"))))
+    return rows.groupBy("id").agg(F.array_sort(F.collect_set(F.struct((-F.col("level")).alias("level"), line.alias("line")))).alias("d")).select("id", F.transform("d", lambda x: x["line"]).alias("derivation"))
+
+
 def novel_conclusions(derived: DataFrame, min_premises: int = 2) -> DataFrame:
     """Conclusions without conflict that rest on at least so many premises, once each."""
     return _first(derived.where((~F.col("conflict")) & (F.size("premises") >= min_premises)), KEY)
@@ -181,78 +245,156 @@ def tier_ablation(kb: dict[str, DataFrame], without: DataFrame) -> DataFrame:
 
 
 def reductio_prove(claims: DataFrame, kb: dict[str, DataFrame]) -> DataFrame:
-    """(claim_id, proved): claims (claim_id, seed, predicate, object) decided by contradiction: false if assuming the claim makes
-    a conflict that rests on the assumption, true if assuming its negation does, null if neither or both."""
-    arms = claims.withColumn("negated", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("arm", F.concat_ws("#", F.col("claim_id").cast("string"), F.col("negated").cast("string")))
-    of = arms.select("arm", "seed").distinct()
-    facts = kb["facts"].join(of, "seed").drop("seed").withColumnRenamed("arm", "seed")
-    told = kb["properties"].join(of, "seed").drop("seed").withColumnRenamed("arm", "seed").select("seed", "predicate", "object", "negated", "fact_id")
-    assumed = arms.select(F.col("arm").alias("seed"), "predicate", "object", "negated", F.lit("hypothesis").alias("fact_id"))
-    closure = cut(class_fixpoint(facts, kb["edges"], kb["rules"], kb["sufficient"], told.unionByName(assumed)))
-    held = told.unionByName(assumed).select("seed", "predicate", "object", "negated", F.array("fact_id").alias("premises"))
-    direct = derive_properties(closure, kb["rules"], told.unionByName(assumed))
-    further = derive_conditional(direct.unionByName(held), kb["conditional"], closure)
-    marked = mark_conflicts(cut(direct.unionByName(further).unionByName(held)), closure)
-    hit = marked.where(F.col("conflict") & F.array_contains("premises", "hypothesis")).select(F.col("seed").alias("arm")).distinct().withColumn("_hit", F.lit(True))
-    both = arms.join(hit, "arm", "left").groupBy("claim_id").agg(F.bool_or((~F.col("negated")) & F.coalesce("_hit", F.lit(False))).alias("yes_fails"), F.bool_or(F.col("negated") & F.coalesce("_hit", F.lit(False))).alias("no_fails"))
-    return both.select("claim_id", F.when(F.col("yes_fails") & ~F.col("no_fails"), False).when(F.col("no_fails") & ~F.col("yes_fails"), True).alias("proved"))
+    """(claim_id, proved, derivation, premises): claims (claim_id, seed, predicate, optional object and negated) decided by
+    contradiction. Assuming a claim and its opposite, each in a context of its own, makes conflicts; those that the knowledge
+    has without the assumption prove nothing, and one must rest on it. False if the claim itself fails, else true if its opposite does,
+    else null.
+
+    A predicate is a class if it is a noun's sense or the knowledge has it as one; the claim is then a membership. Of an individual (a
+    seed with facts or properties) it is assumed as a fact; that it is none would add nothing and is not assumed. Of a class
+    it is assumed as a rule, either way. Other predicates are assumed as properties, either way. A context has the facts of one
+    subject, so the work grows with the claims.
+    """
+    yes = F.coalesce("negated", F.lit(False)) if "negated" in claims.columns else F.lit(False)
+    people = kb["facts"].select("seed").unionByName(kb["properties"].select("seed")).distinct().withColumn("known", F.lit(True))
+    named = [kb["facts"].select("klass"), kb["edges"].select("child"), kb["edges"].select("parent"), kb["rules"].select("subject"), kb["rules"].where("kind = 'membership'").select("predicate"), kb["sufficient"].select("genus"), kb["sufficient"].select("klass")]
+    classes = reduce(DataFrame.union, named).toDF("predicate").distinct().withColumn("listed", F.lit(True))
+    asked = claims.select("claim_id", "seed", "predicate", (F.col("object") if "object" in claims.columns else _none("string")).alias("object"), yes.alias("negated"))
+    asked = asked.join(people, "seed", "left").join(classes, "predicate", "left")
+    member = F.col("object").isNull() & (F.col("listed").isNotNull() | F.contains("predicate", F.lit(".n.")))
+    asked = cut(asked.select("claim_id", "seed", "predicate", "object", "negated", F.col("known").isNotNull().alias("individual"), member.alias("member")))
+    arms = asked.withColumn("assumed", F.explode(F.array(F.col("negated"), ~F.col("negated")))).where("not (individual and member and assumed)")
+    arms = arms.withColumn("context", F.concat_ws("#", F.lit("if"), F.col("claim_id").cast("string"), F.col("assumed").cast("string")))
+    before = F.concat(F.lit("as is#"), F.col("seed"))
+    contexts = cut(arms.select("context", "seed", "individual").unionByName(asked.select(before.alias("context"), "seed", "individual").distinct()))
+    own = lambda df: df.join(contexts.select("seed", "context"), "seed").drop("seed").withColumnRenamed("context", "seed")
+    facts = own(kb["facts"]).select("seed", "klass", "negated", "fact_id")
+    facts = facts.unionByName(contexts.where("not individual").select(F.col("context").alias("seed"), F.col("seed").alias("klass"), F.lit(False).alias("negated"), _none("string").alias("fact_id")))
+    facts = facts.unionByName(arms.where("member and not assumed").select(F.col("context").alias("seed"), F.col("predicate").alias("klass"), F.lit(False).alias("negated"), F.lit("hypothesis").alias("fact_id")))
+    supposed = arms.where("not member").select(F.col("context").alias("seed"), "predicate", "object", F.col("assumed").alias("negated"), F.lit("hypothesis").alias("fact_id"))
+    properties = cut(own(kb["properties"]).select(*KEY, "fact_id").unionByName(supposed))
+    closure = cut(class_fixpoint(facts, kb["edges"], kb["rules"], kb["sufficient"], properties))
+    denied = arms.where("member and assumed").select(F.col("context").alias("seed"), "predicate", _none("string").alias("object"), F.lit(True).alias("negated"), F.array(F.lit("hypothesis")).alias("premises"), _none(ORIGIN).alias("origin"))
+    told = properties.select(*KEY, F.array("fact_id").alias("premises"), _none(ORIGIN).alias("origin"))
+    direct = derive_properties(closure, kb["rules"], properties).unionByName(denied).unionByName(told)
+    direct = cut(direct)
+    marked = cut(mark_conflicts(direct.unionByName(derive_conditional(direct.drop("origin"), kb["conditional"], closure)), closure))
+    sign = ["predicate", "object", "negated"]
+    clashes = marked.where("conflict").select(F.col("seed").alias("context"), *sign, "premises")
+    old = clashes.join(asked.select(before.alias("context"), "seed").distinct(), "context").select(F.col("seed").alias("_seed"), *[F.col(c).alias(f"_{c}") for c in sign]).distinct()
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in sign], F.col("seed") == F.col("_seed"))
+    of_arm = arms.select("context", "claim_id", "seed", F.concat_ws(" ", F.when(F.col("member"), F.lit("is")), F.when(F.col("assumed"), F.lit("not")), "predicate", "object").alias("claimed"), (F.col("assumed") != F.col("negated")).alias("other"))
+    new = clashes.where(F.array_contains("premises", "hypothesis")).join(of_arm, "context").join(old, same, "left_anti")
+    first = cut(new.groupBy("claim_id").agg(F.min(F.struct("other", *sign, "premises", "context", "seed", "claimed")).alias("m")).select("claim_id", "m.*"))
+    sides = F.explode(F.array(F.lit(False), F.lit(True))).alias("negated")
+    lines = derivations(first.select(F.col("claim_id").alias("id"), F.col("context").alias("seed"), "predicate", "object", sides), marked, closure).withColumnRenamed("id", "claim_id")
+    assume = F.concat_ws(" ", F.lit("assume"), "seed", "claimed")
+    shown = F.transform(F.coalesce("derivation", F.array().cast("array<string>")), lambda x: F.replace(x, F.col("context"), F.col("seed")))
+    proof = first.join(lines, "claim_id", "left").select("claim_id", F.col("other").alias("proved"), F.concat(F.array(assume), shown, F.array(F.lit("the assumption is false"))).alias("derivation"), F.array_remove("premises", "hypothesis").alias("premises"))
+    return asked.select("claim_id").distinct().join(proof, "claim_id", "left")
+
+
+#: What a rung says of a claim besides whether it holds: the lines of its proof, and the knowledge it can't do without.
+GROUND = ["derivation", "premises"]
+
+
+def _grounded(rows: DataFrame) -> DataFrame:
+    """Rung rows with both columns of GROUND, empty where the rung has none."""
+    empty = F.array().cast("array<string>")
+    return rows.select("claim_id", "holds", *[(F.coalesce(F.col(c), empty) if c in rows.columns else empty).alias(c) for c in GROUND])
+
+
+def _line(*parts) -> Column:
+    return F.array(F.concat_ws(" ", *parts))
+
+
+def _not(negated: str) -> Column:
+    return F.when(F.col(negated), F.lit("not"))
 
 
 def direct_fact(claims: DataFrame, facts: DataFrame) -> DataFrame:
-    """(claim_id, holds): the first fact (kind, ordinal) with exactly the claim's key; the same polarity confirms."""
+    """(claim_id, holds, derivation): the first fact (kind, ordinal) with exactly the claim's key; the same polarity confirms."""
     key = ["subject", "predicate", "object"]
     on = reduce(lambda a, b: a & b, [claims[k].eqNullSafe(facts[k]) if k == "object" else claims[k] == facts[k] for k in key])
-    hit = claims.join(facts, on).select("claim_id", claims["negated"].alias("cn"), facts["negated"].alias("fn"), "kind", "ordinal")
-    return hit.groupBy("claim_id", "cn").agg(F.min(F.struct("kind", "ordinal", "fn")).alias("m")).select("claim_id", (F.col("cn") == F.col("m.fn")).alias("holds"))
+    hit = claims.join(facts, on).select("claim_id", claims["negated"].alias("cn"), facts["negated"].alias("fn"), "kind", "ordinal", *[claims[k] for k in key])
+    first = hit.groupBy("claim_id", "cn").agg(F.min(F.struct("kind", "ordinal", "fn", *key)).alias("m")).select("claim_id", "cn", "m.*")
+    holds = F.col("cn") == F.col("fn")
+    said = _line(F.when(holds, "direct fact confirms: stored").otherwise("direct fact refutes: stored"), "kind", "subject", _not("fn"), "predicate", "object")
+    return first.select("claim_id", holds.alias("holds"), said.alias("derivation"))
 
 
 def individual_fact(claims: DataFrame, memberships: DataFrame, properties: DataFrame) -> DataFrame:
-    """(claim_id, holds): a membership by exact class, else a property where either object is null or both agree.
+    """(claim_id, holds, derivation, premises): a membership by exact class, else a property where either object is null or both agree.
 
     The null-tolerant comparison is a filter after an equi-join on (subject, predicate).
     """
-    m = claims.join(memberships.select(F.col("seed").alias("subject"), F.col("klass").alias("predicate"), F.col("negated").alias("fn"), "fact_id"), ["subject", "predicate"]).where("object is null")
-    p = claims.join(properties.select(F.col("seed").alias("subject"), "predicate", F.col("object").alias("fo"), F.col("negated").alias("fn"), "fact_id"), ["subject", "predicate"]).where("object is null or fo is null or object = fo")
-    both = m.select("claim_id", "negated", "fn", "fact_id", F.lit(0).alias("p")).unionByName(p.select("claim_id", "negated", "fn", "fact_id", F.lit(1).alias("p")))
-    return both.groupBy("claim_id", "negated").agg(F.min(F.struct("p", "fact_id", "fn")).alias("m")).select("claim_id", (F.col("negated") == F.col("m.fn")).alias("holds"))
+    key = ["subject", "predicate"]
+    m = claims.join(memberships.select(F.col("seed").alias("subject"), F.col("klass").alias("predicate"), F.col("negated").alias("fn"), "fact_id"), key).where("object is null")
+    p = claims.join(properties.select(F.col("seed").alias("subject"), "predicate", F.col("object").alias("fo"), F.col("negated").alias("fn"), "fact_id"), key).where("object is null or fo is null or object = fo")
+    both = m.select("claim_id", "negated", "fn", "fact_id", F.lit(0).alias("p"), *key, _none("string").alias("fo")).unionByName(p.select("claim_id", "negated", "fn", "fact_id", F.lit(1).alias("p"), *key, "fo"))
+    first = both.groupBy("claim_id", "negated").agg(F.min(F.struct("p", "fact_id", "fn", *key, "fo")).alias("m")).select("claim_id", "negated", "m.*")
+    said = _line(F.lit("fact:"), "subject", F.when(F.col("p") == 0, "is"), _not("fn"), "predicate", "fo")
+    return first.select("claim_id", (F.col("negated") == F.col("fn")).alias("holds"), said.alias("derivation"), F.array("fact_id").alias("premises"))
 
 
-def chain_ground(claims: DataFrame, derived: DataFrame, siblings: DataFrame | None = None) -> DataFrame:
-    """(claim_id, holds): a derived property decides unless derivations conflict or disagree; objects agree or the rule had none.
+def chain_ground(claims: DataFrame, derived: DataFrame, siblings: DataFrame | None = None, closure: DataFrame | None = None) -> DataFrame:
+    """(claim_id, holds, derivation, premises): a derived property decides unless derivations conflict or disagree; objects agree
+    or the rule had none. Of several that decide the one of fewest premises is told; its lines need the closure of classes.
 
-    siblings (sense, sibling): of claims that the subject itself does not decide, the siblings do if those that decide all agree.
+    siblings (sense, sibling): of claims that the subject itself does not decide, the siblings do if those that decide all agree; the
+    first sibling by name is told.
     """
-    d = derived.select(F.col("seed").alias("subject"), "predicate", F.col("object").alias("do"), F.col("negated").alias("dn"), "conflict")
+    premises = F.col("premises") if "premises" in derived.columns else F.array().cast("array<string>")
+    d = derived.select(F.col("seed").alias("subject"), "predicate", F.col("object").alias("do"), F.col("negated").alias("dn"), "conflict", premises.alias("premises"))
 
     def decided(rows: DataFrame, *keys: str) -> DataFrame:
         hit = rows.join(d, ["subject", "predicate"]).where("do is null or object = do")
-        g = hit.groupBy(*keys, "negated").agg(F.bool_or("conflict").alias("clash"), F.min("dn").alias("lo"), F.max("dn").alias("hi"))
-        return g.where((~F.col("clash")) & (F.col("lo") == F.col("hi"))).select(*keys, (F.col("negated") == F.col("lo")).alias("holds"))
-
-    own = decided(claims, "claim_id")
-    if siblings is None:
-        return own
-    others = claims.join(own.select("claim_id"), "claim_id", "left_anti").join(siblings.select(F.col("sense").alias("subject"), "sibling"), "subject").where("subject <> sibling")
-    voted = decided(others.drop("subject").withColumnRenamed("sibling", "subject"), "claim_id", "subject").groupBy("claim_id").agg(F.bool_and("holds").alias("holds"), F.bool_or("holds").alias("any"))
-    return own.unionByName(voted.where("holds = any").select("claim_id", "holds"))
-
-
-def ground_isa(claims: DataFrame, subsumed: DataFrame, apart: DataFrame) -> DataFrame:
-    """(claim_id, holds): true if subsumed, false if disjoint, else undecided; flipped by a negation. subsumed and apart: (subject, object)."""
-    up = subsumed.select("subject", F.col("object").alias("predicate"), F.lit(True).alias("_up"))
+        told = F.min(F.struct(F.size("premises").alias("n"), "premises", "subject", "predicate", "do", "dn")).alias("m")
+        g = hit.groupBy(*keys, "negated").agg(F.bool_or("conflict").alias("clash"), F.min("dn").alias("lo"), F.max("dn").alias("hi"), told)
+        return g.where((~F.col("clash")) & (F.col("lo") == F.col("hi"))).select(*keys, (F.col("negated") == F.col("lo")).alias("holds"), F.col("m").alias("told"))
+
+    found = decided(claims, "claim_id")
+    if siblings is not None:
+        others = claims.join(found.select("claim_id"), "claim_id", "left_anti").join(siblings.select(F.col("sense").alias("subject"), "sibling"), "subject").where("subject <> sibling")
+        each = decided(others.drop("subject").withColumnRenamed("sibling", "subject"), "claim_id", "subject")
+        voted = each.groupBy("claim_id").agg(F.bool_and("holds").alias("holds"), F.bool_or("holds").alias("any"), F.min_by("told", "subject").alias("told"))
+        found = found.unionByName(voted.where("holds = any").select("claim_id", "holds", "told"))
+    if closure is None or "origin" not in derived.columns:
+        return found.select("claim_id", "holds", F.col("told.premises").alias("premises"))
+    found = cut(found)
+    asked = found.select(F.col("claim_id").alias("id"), F.col("told.subject").alias("seed"), F.col("told.predicate").alias("predicate"), F.col("told.do").alias("object"), F.col("told.dn").alias("negated"))
+    lines = derivations(asked, derived, closure).withColumnRenamed("id", "claim_id")
+    return found.join(lines, "claim_id", "left").select("claim_id", "holds", "derivation", F.col("told.premises").alias("premises"))
+
+
+def ground_isa(claims: DataFrame, subsumed: DataFrame, apart: DataFrame, closure: DataFrame | None = None) -> DataFrame:
+    """(claim_id, holds, derivation, premises): true if subsumed, false if disjoint, else undecided; flipped by a negation. subsumed
+    (subject, object, optional premises) and apart (subject, object); chains of classes need the closure."""
+    more = ["premises"] if "premises" in subsumed.columns else []
+    up = subsumed.select("subject", F.col("object").alias("predicate"), F.lit(True).alias("_up"), *more)
     no = apart.select("subject", F.col("object").alias("predicate"), F.lit(True).alias("_no"))
-    rows = claims.join(up, ["subject", "predicate"], "left").join(no, ["subject", "predicate"], "left")
-    value = F.when(F.col("_up"), True).when(F.col("_no"), False)
-    return rows.where("_up or _no").select("claim_id", (value != F.col("negated")).alias("holds"))
+    rows = claims.join(up, ["subject", "predicate"], "left").join(no, ["subject", "predicate"], "left").where("_up or _no")
+    chain = F.concat_ws(" is below ", "subject", "predicate")
+    if closure is not None:
+        rows = cut(rows)
+        chains = class_chains(rows.where("_up").select(F.col("subject").alias("seed"), F.col("predicate").alias("klass")), closure)
+        rows = rows.join(chains.select(F.col("seed").alias("subject"), F.col("klass").alias("predicate"), "chain"), ["subject", "predicate"], "left")
+        chain = F.coalesce(F.col("chain"), chain)
+    value = F.when(F.col("_up"), True).otherwise(False)
+    said = F.when(F.col("_up"), _line(F.lit("subsumed:"), chain)).otherwise(_line(F.lit("refuted:"), "subject", F.lit("is disjoint from"), "predicate"))
+    return rows.select("claim_id", (value != F.col("negated")).alias("holds"), said.alias("derivation"), *more)
 
 
 def definition_rung(claims: DataFrame, best: DataFrame, floor: float = 0.85) -> DataFrame:
-    """(claim_id, holds): claims that are not negated and are as near as the floor to a definition (claim_id, sim) hold; nothing is refuted."""
-    return claims.where("not negated").join(best.where(F.col("sim") >= floor), "claim_id").select("claim_id", F.lit(True).alias("holds")).distinct()
+    """(claim_id, holds, derivation): claims that are not negated and are as near as the floor to a definition (claim_id, sim) hold;
+    nothing is refuted."""
+    near = best.groupBy("claim_id").agg(F.max("sim").alias("sim")).where(F.col("sim") >= floor)
+    return claims.where("not negated").join(near, "claim_id").select("claim_id", F.lit(True).alias("holds"), _line(F.lit("as near as"), F.round("sim", 2).cast("string"), F.lit("to a definition")).alias("derivation"))
 
 
 def evaluate(claims: DataFrame, rungs: list[tuple[str, DataFrame]], contradictory: DataFrame | None = None) -> DataFrame:
-    """(claim_id, truth, status, rung, missing): the first rung (name, (claim_id, holds)) that decides.
+    """(claim_id, truth, status, rung, missing, derivation, premises): the first rung (name, (claim_id, holds, optional derivation
+    and premises)) that decides, with the lines of its proof and the sorted ids of what it rests on.
 
     Claims in `contradictory` (claim_id) are false and inconsistent before anything else. A claim with a modal is a possibility, which no rung
     decides. Undecided claims are neutral and insufficient; missing says why: `modal`, `unknown words` or `no ground`. Optional
@@ -261,18 +403,20 @@ def evaluate(claims: DataFrame, rungs: list[tuple[str, DataFrame]], contradictor
     has = lambda c, kind: F.col(c) if c in claims.columns else F.lit(None).cast(kind)
     rows = claims.select("claim_id", has("modal", "string").isNotNull().alias("modal"), F.coalesce(has("unknown", "boolean"), F.lit(False)).alias("unknown"))
     for i, (_, r) in enumerate(rungs):
-        rows = rows.join(r.select("claim_id", F.col("holds").alias(f"_{i}")), "claim_id", "left")
+        rows = rows.join(_grounded(r).select("claim_id", F.col("holds").alias(f"_{i}"), F.struct(*GROUND).alias(f"_g{i}")), "claim_id", "left")
     if contradictory is None:
         rows = rows.withColumn("_no", F.lit(False))
     else:
         rows = rows.join(contradictory.select("claim_id", F.lit(True).alias("_no")).distinct(), "claim_id", "left").withColumn("_no", F.coalesce("_no", F.lit(False)))
     decided = F.when(~F.col("modal"), F.coalesce(*[F.col(f"_{i}") for i in range(len(rungs))]))
     rung = F.when(~F.col("modal") & ~F.col("_no"), F.coalesce(*[F.when(F.col(f"_{i}").isNotNull(), F.lit(n)) for i, (n, _) in enumerate(rungs)]))
-    rows = rows.withColumns({"holds": decided, "rung": rung})
+    ground = F.coalesce(*[F.when(F.col(f"_{i}").isNotNull(), F.col(f"_g{i}")) for i in range(len(rungs))])
+    rows = rows.withColumns({"holds": decided, "rung": rung, "ground": ground})
     truth = F.when(F.col("_no"), 0.0).when(F.col("holds"), 1.0).when(~F.col("holds"), 0.0).otherwise(0.5)
     status = F.when(F.col("_no"), "inconsistent").when(F.col("holds").isNull(), "insufficient").otherwise("resolved")
     missing = F.when((status == "insufficient"), F.when(F.col("modal"), "modal").when(F.col("unknown"), "unknown words").otherwise("no ground"))
-    return rows.select("claim_id", truth.alias("truth"), status.alias("status"), "rung", missing.alias("missing"))
+    lines = lambda c: F.when(F.col("rung").isNotNull(), F.col(f"ground.{c}")).otherwise(F.array().cast("array<string>"))
+    return rows.select("claim_id", truth.alias("truth"), status.alias("status"), "rung", missing.alias("missing"), lines("derivation").alias("derivation"), F.array_sort(lines("premises")).alias("premises"))
 
 
 def answer_polar(verdicts: DataFrame, trust: float = 1.0, high: float = 0.85, low: float = 0.15, direct: DataFrame | None = None, proved: DataFrame | None = None) -> DataFrame:

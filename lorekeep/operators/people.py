@@ -127,9 +127,10 @@ def place_type_sense(types: DataFrame, dictionary: DataFrame) -> DataFrame:
 
 
 def ground_part(claims: DataFrame, forward: DataFrame) -> DataFrame:
-    """(claim_id, holds): part_of claims from operators.graph.part_of rows (part, whole, holds); a negated claim is flipped."""
+    """(claim_id, holds, derivation): part_of claims from operators.graph.part_of rows (part, whole, holds); a negated claim is flipped."""
     known = forward.where("holds is not null").select(F.col("part").alias("subject"), F.col("whole").alias("object"), F.col("holds").alias("_h")).distinct()
-    return claims.join(known, ["subject", "object"]).select("claim_id", (F.col("_h") != F.col("negated")).alias("holds"))
+    said = F.when(F.col("_h"), F.concat_ws(" is part of ", "subject", "object")).otherwise(F.concat_ws(" is part of ", "object", "subject"))
+    return claims.join(known, ["subject", "object"]).select("claim_id", (F.col("_h") != F.col("negated")).alias("holds"), F.array(said).alias("derivation"))
 
 
 def best_match(scores: DataFrame) -> DataFrame:

@@ -52,17 +52,24 @@ def graph_sense_fix(pairs: DataFrame, siblings: DataFrame, closure: DataFrame) -
 
 
 def ground_place(claims: DataFrame, contained: DataFrame, types: DataFrame | None = None, closure: DataFrame | None = None) -> DataFrame:
-    """(claim_id, holds): containment claims decided by operators.graph.place_contains rows (inner, outer, contains); complete chains refute.
+    """(claim_id, holds, derivation), one row a claim: containment claims decided by operators.graph.place_contains rows (inner, outer,
+    contains); complete chains refute. Of contradictory rows of one pair the one that contains counts.
 
-    With types (uid, sense) and the closure of classes (node, ancestor), claims that a place is of a class hold if its type's sense is that
-    class or below it; they are not refuted.
+    With types (uid, sense) and the closure of classes (node, ancestor), claims that containment does not decide, that a place is of a
+    class, hold if its type's sense is that class or below it; they are not refuted.
     """
-    known = contained.where("contains is not null").select(F.col("inner").alias("subject"), F.col("outer").alias("object"), "contains").distinct()
+    pair = ["subject", "object"]
+    known = contained.where("contains is not null").groupBy(F.col("inner").alias("subject"), F.col("outer").alias("object")).agg(F.max("contains").alias("contains"))
+    rows = claims.join(known, pair, "left").withColumn("sense", F.lit(None).cast("string"))
     if types is not None:
         up = closure.select(F.col("node").alias("sense"), F.col("ancestor").alias("object"))
         up = up.unionByName(types.select("sense", F.col("sense").alias("object"))).distinct()
-        known = known.unionByName(types.select(F.col("uid").alias("subject"), "sense").join(up, "sense").select("subject", "object", F.lit(True).alias("contains"))).distinct()
-    return claims.join(known, ["subject", "object"]).select("claim_id", (F.col("contains") != F.col("negated")).alias("holds"))
+        kinds = types.select(F.col("uid").alias("subject"), "sense").join(up, "sense").groupBy(*pair).agg(F.min("sense").alias("sense"))
+        rows = rows.drop("sense").join(kinds, pair, "left")
+    value = F.coalesce("contains", F.when(F.col("sense").isNotNull(), True))
+    by_place = F.concat_ws(" ", "subject", F.when(F.col("contains"), "is in").otherwise("is not in"), "object")
+    said = F.when(F.col("contains").isNotNull(), by_place).otherwise(F.concat_ws(" ", "subject", F.lit("is of the type"), "sense", F.lit("and so"), "object"))
+    return rows.where(value.isNotNull()).select("claim_id", (value != F.col("negated")).alias("holds"), F.array(said).alias("derivation"))
 
 
 def ground_definition(scores: DataFrame) -> DataFrame:

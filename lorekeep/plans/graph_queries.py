@@ -167,7 +167,7 @@ p AS (SELECT 'C:' || c_custkey AS child, 'N:' || (c_custkey % 25) AS parent FROM
 h AS (SELECT child, parent, a.sibling AS c, b.sibling AS q, row_number() OVER (PARTITION BY child, parent ORDER BY (a.rank + b.rank > 0), a.rank, b.rank) AS n FROM p JOIN sib a ON a.sense = child JOIN sib b ON b.sense = parent JOIN closure ON node = a.sibling AND ancestor = b.sibling)
 SELECT p.child, p.parent, c AS child_sense, q AS parent_sense FROM p LEFT JOIN h ON h.child = p.child AND h.parent = p.parent AND n = 1""",
     "revoke_cascade": f"""WITH RECURSIVE {THEOREMS}, needs AS (SELECT id, unnest(premises) AS premise FROM theorems WHERE NOT archived),
-casc AS (SELECT id, 1 AS round FROM needs JOIN customer ON premise = 'C:' || c_custkey AND c_custkey % 10 = 3 UNION SELECT n.id, round + 1 FROM casc JOIN needs n ON n.premise = casc.id WHERE round < 64)
+casc AS (SELECT DISTINCT id, 1 AS round, [id] AS path FROM needs JOIN customer ON premise = 'C:' || c_custkey AND c_custkey % 10 = 3 UNION SELECT n.id, round + 1, list_append(path, n.id) FROM casc JOIN needs n ON n.premise = casc.id WHERE NOT list_contains(path, n.id))
 SELECT id, min(round)::INT AS round FROM casc GROUP BY 1""",
     "postable_taint": f"""WITH RECURSIVE {THEOREMS}, needs AS (SELECT id, unnest(premises) AS premise FROM theorems), bad AS (SELECT id FROM theorems WHERE NOT postable UNION SELECT n.id FROM bad JOIN needs n ON n.premise = bad.id)
 SELECT id, id NOT IN (SELECT id FROM bad) AS postable FROM theorems""",

@@ -136,11 +136,11 @@ def _places_of(s, d):
 def _rungs(s, d):
     k, c = kb(s, d), claims(s, d)
     closure = cut(_closure(s, d))
-    up = closure.select(F.col("seed").alias("subject"), F.col("klass").alias("object"))
+    up = closure.select(F.col("seed").alias("subject"), F.col("klass").alias("object"), "premises")
     apart = k["facts"].where("klass = 'HOUSEHOLD' and not negated").select(F.col("seed").alias("subject"), F.lit("industry").alias("object"))
     place, part = _places_of(s, d)
     sims = c.select("claim_id", (F.col("claim_id") % 100 / 100).alias("sim"))
-    rungs = [("place", place), ("part_of", part), ("is_a", I.ground_isa(c, up, apart)), ("rules", I.chain_ground(c, I.forward_chain(k, closure))), ("fact", I.individual_fact(c, k["facts"], k["properties"]))]
+    rungs = [("place", place), ("part_of", part), ("is_a", I.ground_isa(c, up, apart, closure)), ("rules", I.chain_ground(c, cut(I.forward_chain(k, closure)), closure=closure)), ("fact", I.individual_fact(c, k["facts"], k["properties"]))]
     return c, [*rungs, ("direct", _direct_fact(s, d)), ("definition", I.definition_rung(c, sims))]
 
 
@@ -181,6 +181,13 @@ def _direct_fact(s, d):
     return I.direct_fact(claims(s, d).withColumn("object", F.lit("F")), facts)
 
 
+def _verdicts(s, d):
+    """Verdicts with what they rest on and, for those that a stored fact decides, the fact."""
+    v = _evaluate(s, d)
+    fact = F.when(F.col("rung").isin("fact", "direct", "place", "part_of"), F.array_join("derivation", "; "))
+    return v.select("claim_id", "truth", "status", "rung", "missing", F.array_join("premises", "; ").alias("premises"), fact.alias("derivation"))
+
+
 def _contra_leaves(s, d, conjoined):
     c = B.clauses(s, d, conjoined=conjoined)
     predicate = F.split_part(F.element_at("senses", "predicate"), F.lit("."), F.lit(1))
@@ -201,8 +208,14 @@ def _cross(s, d):
 
 
 def _reductio(s, d):
-    c = claims(s, d).where("predicate in ('pay.v.01', 'rest.v.01')").select("claim_id", F.col("subject").alias("seed"), "predicate", F.lit(None).cast("string").alias("object"))
-    return I.reductio_prove(c, kb(s, d))
+    """Is each customer of a class of the graph, or not? Every third claim is a denial."""
+    c, k = B.table(s, d, "customer"), F.col("c_custkey")
+    klass = F.element_at(F.array(*[F.lit(x) for x in _ASSUMED]), (k % len(_ASSUMED) + 1).cast("int"))
+    claimed = c.select(k.alias("claim_id"), F.concat(F.lit("C:"), k.cast("string")).alias("seed"), klass.alias("predicate"), (k % 3 == 0).alias("negated"))
+    return I.reductio_prove(claimed, kb(s, d)).select("claim_id", "proved")
+
+
+_ASSUMED = ["vehicle", "home", "construction", "guest", "machine"]
 
 
 QUERIES = {
@@ -219,16 +232,16 @@ QUERIES = {
     "saturate": lambda s, d: I.saturate(kb(s, d)).select(*I.KEY, "trust"),
     "tier_ablation": _ablation,
     "reductio_prove": _reductio,
-    "ground_isa": lambda s, d: _rungs(s, d)[1][2][1],
-    "chain_ground": lambda s, d: _rungs(s, d)[1][3][1],
-    "individual_fact": lambda s, d: _rungs(s, d)[1][4][1],
-    "direct_fact": _direct_fact,
-    "evaluate": _evaluate,
+    "ground_isa": lambda s, d: _rungs(s, d)[1][2][1].select("claim_id", "holds"),
+    "chain_ground": lambda s, d: _rungs(s, d)[1][3][1].select("claim_id", "holds"),
+    "individual_fact": lambda s, d: _rungs(s, d)[1][4][1].select("claim_id", "holds"),
+    "direct_fact": lambda s, d: _direct_fact(s, d).select("claim_id", "holds"),
+    "evaluate": _verdicts,
     "answer_polar": lambda s, d: I.answer_polar(_evaluate(s, d), 0.9),
     "answer_what": _what,
     "answer_who": lambda s, d: I.answer_who(_questions(s, d), kb(s, d)["properties"]),
     "answer_object": lambda s, d: I.answer_object(_questions(s, d), kb(s, d)["properties"]),
-    "answer_why": lambda s, d: I.answer_why(_questions(s, d), I.forward_chain(kb(s, d))).select("question_id", F.col("answer").isNotNull().alias("answered")),
+    "answer_why": lambda s, d: I.answer_why(_questions(s, d), I.forward_chain(kb(s, d))),
     "answer_where": _where,
     "contradictions": lambda s, d: K.contradictions(_contra_leaves(s, d, True), _antonyms(s)),
     "contradictions_mixed": lambda s, d: K.contradictions(_contra_leaves(s, d, False), _antonyms(s)),
@@ -267,6 +280,50 @@ _COLS = "seed, predicate, object, negated"
 
 _BEDROCK = DERIVED.replace("SELECT child AS klass, parent AS nxt, NULL::VARCHAR AS needs FROM edge", "SELECT child AS klass, parent AS nxt, NULL::VARCHAR AS needs FROM edge WHERE source IS NULL")
 
+# Everything again in two contexts for each customer: as is ("a"), and with the membership assumed ("b").
+_CONTEXT = (
+    DERIVED.replace("WITH RECURSIVE facts AS (", "WITH RECURSIVE facts0 AS (").replace("props AS (SELECT 'C:'", "props0 AS (SELECT 'C:'")
+    .replace("edge AS (SELECT * FROM (VALUES", f"""context AS (SELECT c_custkey AS claim_id, p || ':' || c_custkey AS ctx, p, list_extract({_ASSUMED!r}, (c_custkey % {len(_ASSUMED)} + 1)::INT) AS claimed FROM customer, (VALUES ('a'), ('b')) t(p)),
+facts AS (SELECT ctx AS seed, klass, negated, fact_id FROM facts0 JOIN context ON seed = 'C:' || claim_id UNION ALL SELECT ctx, claimed, false, 'hypothesis' FROM context WHERE p = 'b'),
+props AS (SELECT ctx AS seed, predicate, object, negated, fact_id FROM props0 JOIN context ON seed = 'C:' || claim_id),
+edge AS (SELECT * FROM (VALUES""", 1)
+)
+_REDUCTIO = f"""{_CONTEXT}, both_ AS (SELECT seed, predicate, object, negated FROM alls UNION SELECT seed, predicate, object, negated FROM props),
+clash AS (SELECT seed, predicate, object, negated FROM (SELECT *, count(DISTINCT negated) OVER (PARTITION BY seed, predicate, object) AS n FROM both_) x WHERE n = 2 OR (negated AND object IS NULL AND EXISTS (SELECT 1 FROM reach r WHERE r.seed = x.seed AND r.klass = x.predicate))),
+fresh AS (SELECT DISTINCT substr(seed, 3)::BIGINT AS claim_id FROM clash b WHERE seed LIKE 'b:%' AND NOT EXISTS (SELECT 1 FROM clash a WHERE a.seed = 'a:' || substr(b.seed, 3) AND a.predicate = b.predicate AND a.object IS NOT DISTINCT FROM b.object AND a.negated = b.negated))
+SELECT c_custkey AS claim_id, CASE WHEN f.claim_id IS NOT NULL THEN c_custkey % 3 = 0 END AS proved FROM customer LEFT JOIN fresh f ON f.claim_id = c_custkey"""
+
+
+def _sorted_set(*lists):
+    return f"list_sort(list_distinct(list_concat({', '.join(lists)})))" if len(lists) > 1 else f"list_sort(list_distinct({lists[0]}))"
+
+
+# Premises: of the routes to a class those of the first round, of these the shortest list and then the smallest; a rule's
+# conditions rest on the smallest fact each; conditional rules fire in the round after their last condition, c1 and c3 in the
+# first, c4 in the second, c5 in the third (c2 concludes a denial, which is no condition).
+_WHY = (
+    DERIVED
+    + f""", prem AS (SELECT seed, rule_id, list_sort(list(DISTINCT f)) AS ps FROM (SELECT seed, n.rule_id, i, min(fact_id) AS f FROM needs n JOIN props p ON NOT negated AND p.predicate = cp AND (co IS NULL OR co = p.object) GROUP BY ALL) GROUP BY ALL),
+hop AS (SELECT child AS klass, parent AS nxt, source AS premise, NULL::VARCHAR AS rule_id FROM edge UNION ALL SELECT subject, predicate, rule_id, CASE WHEN conds::INT > 0 THEN rule_id END FROM rules WHERE kind = 'membership' AND NOT negated UNION ALL SELECT a, b, c, c FROM (VALUES {_values([(r[1], r[2], r[0]) for r in _SUFF])}) t(a, b, c)),
+route AS (SELECT seed, klass, 0 AS round, [fact_id] AS ps FROM facts WHERE NOT negated UNION ALL
+ SELECT r.seed, h.nxt, round + 1, {_sorted_set("r.ps", "CASE WHEN premise IS NULL THEN [] ELSE [premise] END", "coalesce(m.ps, [])")} FROM route r JOIN hop h ON h.klass = r.klass LEFT JOIN prem m ON m.seed = r.seed AND m.rule_id = h.rule_id WHERE h.rule_id IS NULL OR m.ps IS NOT NULL),
+held AS (SELECT seed, klass, arg_min(ps, (round, len(ps), ps)) AS ps FROM route GROUP BY ALL),
+straight AS (SELECT seed, predicate, object, negated, arg_min(ps, (len(ps), ps)) AS ps FROM (SELECT h.seed, u.predicate, u.object::VARCHAR AS object, u.negated, {_sorted_set("h.ps", "[u.rule_id]", "coalesce(m.ps, [])")} AS ps FROM held h JOIN rules u ON u.subject = h.klass AND (kind = 'property' OR u.negated) LEFT JOIN prem m ON m.seed = h.seed AND m.rule_id = u.rule_id WHERE conds::INT = 0 OR m.ps IS NOT NULL) GROUP BY ALL),
+now_ AS (SELECT seed, predicate, object, ps FROM straight WHERE NOT negated UNION ALL SELECT seed, predicate, object, [fact_id] FROM props WHERE NOT negated),
+best AS (SELECT seed, predicate, object, arg_min(ps, (len(ps), ps)) AS ps FROM now_ GROUP BY ALL),
+w1 AS (SELECT seed, 'worry.v.01' AS predicate, NULL::VARCHAR AS object, false AS negated, {_sorted_set("ps", "['c1']")} AS ps FROM best WHERE predicate = '1-URGENT' AND object = 'P'),
+w2 AS (SELECT w.seed, 'pay.v.01', NULL::VARCHAR, true, {_sorted_set("w.ps", "['c2']", "h.ps")} FROM w1 w JOIN held h ON h.seed = w.seed AND h.klass = 'industry'),
+w3 AS (SELECT seed, 'spend.v.01' AS predicate, NULL::VARCHAR AS object, false AS negated, {_sorted_set("ps", "['c3']")} AS ps FROM best WHERE predicate = 'pay.v.01'),
+w4 AS (SELECT s.seed, 'regret.v.01' AS predicate, NULL::VARCHAR AS object, false AS negated, {_sorted_set("s.ps", "w.ps", "h.ps", "['c4']")} AS ps FROM w3 s JOIN w1 w USING (seed) JOIN best h ON h.seed = s.seed AND h.predicate = '2-HIGH' AND h.object = 'O'),
+w5 AS (SELECT g.seed, 'save.v.01', 'money.n.01', false, {_sorted_set("g.ps", "l.ps", "h.ps", "['c5']")} FROM w4 g JOIN best l ON l.seed = g.seed AND l.predicate = '5-LOW' AND l.object = 'F' JOIN held h ON h.seed = g.seed AND h.klass = 'industry'),
+why0 AS (SELECT * FROM straight UNION ALL (SELECT * FROM w1 UNION ALL SELECT * FROM w2 UNION ALL SELECT * FROM w3 UNION ALL SELECT * FROM w4 UNION ALL SELECT * FROM w5)),
+why1 AS (SELECT seed, predicate, object, negated, arg_min(ps, (len(ps), ps)) AS ps FROM why0 w WHERE EXISTS (SELECT 1 FROM derived d WHERE d.seed = w.seed AND d.predicate = w.predicate AND d.object IS NOT DISTINCT FROM w.object AND d.negated = w.negated) GROUP BY ALL),
+why2 AS (SELECT *, count(DISTINCT negated) OVER (PARTITION BY seed, predicate, object) AS sides FROM why1),
+why3 AS (SELECT w.seed, w.predicate, w.object, w.negated, CASE WHEN sides = 2 THEN list_sort(list_distinct(flatten(list(ps) OVER (PARTITION BY seed, predicate, object)))) ELSE ps END AS ps FROM why2 w),
+why AS (SELECT w.seed, w.predicate, w.object, w.negated, CASE WHEN w.negated AND w.object IS NULL AND h.ps IS NOT NULL THEN {_sorted_set("w.ps", "h.ps")} ELSE w.ps END AS ps FROM why3 w LEFT JOIN held h ON h.seed = w.seed AND h.klass = w.predicate)"""
+)
+
+
 ORACLES = {
     "seeds": f"WITH {KB} SELECT seed, min(p)::INT AS priority FROM (SELECT seed, 0 AS p FROM facts UNION ALL SELECT subject, 1 FROM rules UNION ALL SELECT child, 2 FROM edge) GROUP BY 1",
     "seed_closure": f"{_reach()} SELECT r.seed, f.klass IN ('MACHINERY', 'AUTOMOBILE') AS by_tier FROM reach r JOIN facts f ON f.seed = r.seed WHERE r.klass = 'industry'",
@@ -285,12 +342,21 @@ ORACLES = {
     "ground_isa": f"{RUNGS} SELECT * FROM isa",
     "chain_ground": f"{RUNGS} SELECT * FROM chained",
     "individual_fact": f"{RUNGS} SELECT * FROM fact",
-    "evaluate": f"{_EVAL} SELECT * FROM ev",
+    "evaluate": f"""{_EVAL.replace(DERIVED, _WHY)},
+by_rule AS (SELECT c.claim_id, arg_min(ps, (len(ps), ps)) AS ps FROM claims c JOIN why x ON x.seed = c.subject AND x.predicate = c.predicate AND (x.object IS NULL OR x.object = c.object) GROUP BY 1),
+by_fact AS (SELECT claim_id, arg_min(fact_id, (p, fact_id)) AS id, arg_min(CASE WHEN p = 0 THEN 'is ' ELSE '' END || CASE WHEN fn THEN 'not ' ELSE '' END, (p, fact_id)) AS how, arg_min(fo, (p, fact_id)) AS fo FROM (
+ SELECT h.*, o.object AS fo FROM hits h LEFT JOIN props o ON h.p = 1 AND o.fact_id = h.fact_id) GROUP BY 1),
+by_order AS (SELECT claim_id, arg_min(o_orderkey % 3 = 0, o_orderkey) AS fn FROM claims JOIN orders ON subject = 'C:' || o_custkey AND predicate = o_orderpriority AND o_orderstatus = 'F' GROUP BY 1)
+SELECT e.claim_id, truth, status, rung, missing, CASE rung WHEN 'is_a' THEN coalesce(array_to_string(h.ps, '; '), '') WHEN 'rules' THEN array_to_string(r.ps, '; ') WHEN 'fact' THEN f.id ELSE '' END AS premises,
+ CASE rung WHEN 'place' THEN c.subject || CASE WHEN c_nationkey = e.claim_id % 25 THEN ' is in ' ELSE ' is not in ' END || 'N:' || e.claim_id % 25 WHEN 'part_of' THEN c.subject || ' is part of N:' || e.claim_id % 25
+  WHEN 'fact' THEN 'fact: ' || c.subject || ' ' || f.how || c.predicate || coalesce(' ' || f.fo, '') WHEN 'direct' THEN 'direct fact ' || CASE WHEN truth = 1 THEN 'confirms' ELSE 'refutes' END || ': stored axiom ' || c.subject || CASE WHEN o.fn THEN ' not ' ELSE ' ' END || c.predicate || ' F' END AS derivation
+FROM ev e JOIN claims c USING (claim_id) JOIN customer ON c_custkey = claim_id LEFT JOIN held h ON h.seed = c.subject AND h.klass = c.predicate LEFT JOIN by_rule r USING (claim_id) LEFT JOIN by_fact f USING (claim_id) LEFT JOIN by_order o USING (claim_id)""",
     "answer_polar": f"{_EVAL} SELECT claim_id, CASE WHEN status = 'inconsistent' THEN 'no' WHEN truth > 0.85 THEN 'yes' WHEN truth < 0.15 THEN 'no' ELSE 'unknown' END AS answer, CASE WHEN status = 'inconsistent' THEN 1.0 WHEN status = 'insufficient' THEN 0.5 ELSE 0.9 END::DOUBLE AS confidence FROM ev",
     "answer_what": f"WITH {KB}, {CLAIMS}, e AS (SELECT child, min(parent) AS a FROM edge GROUP BY 1), q AS (SELECT i AS question_id, s AS subject FROM (VALUES {_values([(i, e[0]) for i, e in enumerate(_EDGES)])}) t(i, s) UNION ALL SELECT (claim_id + 100)::VARCHAR, subject FROM claims) SELECT question_id::BIGINT AS question_id, coalesce(a, klass, 'unknown') AS answer, CASE WHEN a IS NOT NULL THEN 0.9 WHEN klass IS NOT NULL THEN 0.7 ELSE 0.3 END::DOUBLE AS confidence FROM q LEFT JOIN e ON child = subject LEFT JOIN facts f ON f.seed = subject AND NOT negated",
     "answer_who": f"WITH {KB}, {CLAIMS}, f AS (SELECT predicate, arg_min(seed, fact_id) AS answer FROM props WHERE NOT negated GROUP BY 1) SELECT claim_id AS question_id, answer FROM claims LEFT JOIN f USING (predicate)",
     "answer_object": f"WITH {KB}, {CLAIMS}, f AS (SELECT seed, predicate, arg_min(object, fact_id) AS answer FROM props WHERE NOT negated GROUP BY 1, 2) SELECT claim_id AS question_id, answer FROM claims c LEFT JOIN f ON f.seed = subject AND f.predicate = c.predicate",
-    "answer_why": f"{DERIVED}, {CLAIMS} SELECT claim_id AS question_id, EXISTS (SELECT 1 FROM derived x WHERE x.seed = subject AND x.predicate = c.predicate) AS answered FROM claims c",
+    "answer_why": f"{_WHY}, {CLAIMS} SELECT claim_id AS question_id, min(array_to_string(ps, '; ')) AS answer FROM claims c LEFT JOIN why x ON x.seed = subject AND x.predicate = c.predicate GROUP BY 1",
+    "reductio_prove": _REDUCTIO,
     "answer_where": f"WITH {KB}, {CLAIMS}, f AS (SELECT seed, min(object || '@place') AS b FROM props WHERE object = 'F' GROUP BY 1) SELECT claim_id AS question_id, CASE claim_id WHEN 1 THEN 'N:1' WHEN 2 THEN 'N:2' ELSE b END AS answer, CASE WHEN claim_id IN (1, 2) THEN 0.9 WHEN b IS NOT NULL THEN 0.7 ELSE 0.3 END::DOUBLE AS confidence FROM claims LEFT JOIN f ON seed = subject",
     "contradictions": _contra_sql(True),
     "contradictions_mixed": _contra_sql(False),
