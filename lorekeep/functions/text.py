@@ -82,11 +82,35 @@ def conjunct_topics(text: Column, n: Column) -> Column:
     return F.when(F.size(parts) == n, parts).otherwise(F.array_repeat(F.lit(None).cast("string"), n))
 
 
+def quoted(literal: Column) -> Column:
+    """A pattern that is this text and nothing else."""
+    return F.concat(F.lit(r"\Q"), F.replace(literal, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+
+
+def name_pattern(name: Column) -> Column:
+    """The name in any case, not as a part of a longer word."""
+    return F.concat(F.lit(r"(?iuU)(?<!\w)"), quoted(name), F.lit(r"(?!\w)"))
+
+
+def uid_pattern(uid: Column) -> Column:
+    """The uid in any case, inside other text too."""
+    return F.concat(F.lit("(?iu)"), quoted(uid))
+
+
+def replacement(label: Column) -> Column:
+    """A replacement that is this text, whatever signs it has."""
+    return F.replace(F.replace(label, F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit(r"\$"))
+
+
 def scrub_names(text: Column, people: list[tuple[str, str, str]]) -> Column:
-    """Uids (longest first), then names replaced by labels; lines that still hold an @ are dropped. people: (uid, name, label)."""
-    swaps = sorted(((u, label) for u, _, label in people), key=lambda x: (-len(x[0]), x)) + sorted((n, label) for _, n, label in people)
-    out = reduce(lambda c, kv: F.replace(c, F.lit(kv[0]), F.lit(kv[1])), swaps, text)
-    return F.array_join(F.filter(F.split(out, "\n"), lambda x: ~F.contains(x, F.lit("@"))), "\n")
+    """Uids, then names replaced by labels, the longest first and in any case; uids inside other text, names between word borders.
+    Lines that still hold one of them or an @ are dropped. people: (uid, name, label), a few; operators.anonymity takes a table."""
+    swaps = [(uid_pattern(F.lit(u)), u, label) for u, _, label in sorted(people, key=lambda x: (-len(x[0]), x))]
+    swaps += [(name_pattern(F.lit(n)), n, label) for _, n, label in sorted(people, key=lambda x: (-len(x[1]), x[1], x))]
+    swaps = [(pattern, label) for pattern, literal, label in swaps if len(literal) >= 2]
+    out = reduce(lambda c, x: F.regexp_replace(c, x[0], replacement(F.lit(x[1]))), swaps, text)
+    leaks = lambda line: reduce(lambda a, x: a | (F.regexp_count(line, x[0]) > 0), swaps, F.contains(line, F.lit("@")))
+    return F.array_join(F.filter(F.split(out, "\n"), lambda x: ~leaks(x)), "\n")
 
 
 def read_min(body: Column) -> Column:

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lorekeep.operators.anonymity import hide_people
 from lorekeep.operators.extraction import lemma, noun
 from lorekeep.operators.timeline import drift_sample, sense_overlap
 from lorekeep.operators.vectors import knn
+from lorekeep.runtime import cut
 
 
 def correction_target(claims: DataFrame, rules: DataFrame, sources: DataFrame) -> DataFrame:
@@ -97,20 +99,20 @@ def post_rows(theorems: DataFrame, people: DataFrame | None = None) -> DataFrame
     """(slug, kind, multi_hop, proof): public rows of postable theorems (id, original, postable, premises, derived_by): the slug is the id
     or else a content hash; empty drafts are rejected; the proof numbers its premises.
 
-    people (name, label): a premise that names a person has the public label instead; of two names the longer goes first. The people
-    of a theorem's premises are looked up by word, so a theorem only meets those it names.
+    people (name, label, optional uid, is_me): premises have labels for people as in anonymity.hide_people; a premise that still names
+    somebody is left out of the proof, which counts on without it.
     """
     ok = theorems.where(F.col("postable") & (F.trim(F.coalesce("original", F.lit(""))) != ""))
-    premises = F.col("premises")
+    slug = F.coalesce("id", F.substring(F.sha1("original"), 1, 12)).alias("slug")
+    rows = ok.select(slug, F.coalesce("derived_by", F.lit("chain")).alias("kind"), (F.size("premises") > 2).alias("multi_hop"), "premises")
     if people is not None:
-        keyed = ok.withColumn("_key", F.sha1(F.to_json(F.struct("id", "original", "premises"))))
-        words = keyed.select("_key", F.explode(F.array_distinct(F.split(F.array_join("premises", " "), r"\W+"))).alias("name"))
-        named = words.join(people.select("name", "label"), "name").groupBy("_key").agg(F.array_sort(F.collect_set(F.struct((-F.length("name")).alias("n"), "name", "label"))).alias("_people"))
-        ok = keyed.join(named, "_key", "left").withColumn("_people", F.coalesce("_people", F.array().cast(named.schema["_people"].dataType)))
-        hide = lambda p: F.aggregate("_people", p, lambda text, x: F.regexp_replace(text, F.concat(F.lit(r"\b"), x["name"], F.lit(r"\b")), x["label"]))
-        premises = F.transform("premises", hide)
-    proof = F.array_join(F.transform(premises, lambda p, i: F.concat((i + 1).cast("string"), F.lit(". "), p)), "\n")
-    return ok.select(F.coalesce("id", F.substring(F.sha1("original"), 1, 12)).alias("slug"), F.coalesce("derived_by", F.lit("chain")).alias("kind"), (F.size("premises") > 2).alias("multi_hop"), proof.alias("proof"))
+        rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))
+        lines = rows.select(F.posexplode("premises").alias("pos", "text"), "row").select(F.concat_ws(":", "row", "pos").alias("id"), "row", "pos", "text")
+        shown = hide_people(lines.select("id", "text"), people).join(lines.select("id", "row", "pos"), "id").where("text is not null")
+        kept = shown.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("lines"))
+        rows = rows.join(kept, "row", "left").withColumn("premises", F.transform(F.coalesce("lines", F.array().cast("array<struct<pos:int,text:string>>")), lambda x: x["text"]))
+    proof = F.array_join(F.transform("premises", lambda p, i: F.concat((i + 1).cast("string"), F.lit(". "), p)), "\n")
+    return rows.select("slug", "kind", "multi_hop", proof.alias("proof"))
 
 
 def route_category(actions: DataFrame, routes: DataFrame) -> DataFrame:

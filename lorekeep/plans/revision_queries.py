@@ -93,8 +93,17 @@ def _requeue(s, d):
 
 
 def _posts(s, d):
-    t = theorems(s, d)
-    return R.post_rows(t.withColumn("id", F.when(F.length("id") % 2 == 0, F.col("id"))).withColumn("original", F.when(F.size("premises") > 1, F.col("original"))).withColumn("derived_by", F.when(F.col("archived"), "taught")))
+    """Theorems about customers, who have names of one and of two words; the label of every 50th gives somebody away."""
+    t, k = theorems(s, d), F.col("c_custkey")
+    text = lambda *x: F.concat(*[F.lit(c) if isinstance(c, str) else c.cast("string") for c in x])
+    label = F.when(k % 50 == 0, "a pal of ann 2").when(k % 3 == 0, "somebody $1").otherwise("a friend")
+    people = B.table(s, d, "customer").select(text("C:", k, ";").alias("uid"), F.when(k % 2 == 0, text("Ann ", k)).otherwise(text("C++", k)).alias("name"), label.alias("label"), (k % 7 == 0).alias("is_me"))
+    number = F.substring(F.col("premises")[0], 3, 20).cast("long")
+    name = F.when(number % 2 == 0, text("aNN ", number)).otherwise(text("c++", number))
+    said = text("said by ", name, " (c:", number, ";) to Annabel")
+    t = t.withColumn("premises", F.concat(F.array(said), F.slice("premises", 2, F.greatest(F.size("premises") - 1, F.lit(0)))))
+    t = t.withColumn("id", F.when(F.length("id") % 2 == 0, F.col("id"))).withColumn("original", F.when(F.size("premises") > 1, F.col("original"))).withColumn("derived_by", F.when(F.col("archived"), "taught"))
+    return R.post_rows(t, people)
 
 
 def _routes(s, d):
@@ -131,6 +140,8 @@ SELECT vec_id, mid AS marker, 'exact' AS how FROM e UNION ALL SELECT vec_id, CAS
 SELECT i_ || '>' || o_ AS claim_id, (list_contains(i.path_admin, o_) OR i.parent_admin = o_) <> (o_ LIKE '%1') AS holds FROM p JOIN places i ON i.uid = i_ JOIN places o ON o.uid = o_""",
     "ground_definition": f"WITH {B.EVENTS}, b AS (SELECT user_id, arg_max(value / 1000, (abs(value / 1000 - 0.5), value)) AS s FROM ev GROUP BY 1) SELECT user_id AS claim_id, round(CASE WHEN user_id % 7 = 0 THEN 0.5 WHEN user_id % 2 = 0 THEN 1 - s ELSE s END, 6) AS truth FROM b",
     "requeue": f"WITH {B.LOG}, n AS (SELECT DISTINCT senses[2] AS sense FROM log WHERE id % 100 = 0) SELECT id, 'sense' AS why FROM log WHERE senses[1] IN (SELECT sense FROM n) OR senses[2] IN (SELECT sense FROM n) ORDER BY us DESC, id LIMIT 256",
-    "post_rows": f"WITH {THEOREMS} SELECT CASE WHEN length(id) % 2 = 0 THEN id ELSE substr(sha1(original), 1, 12) END AS slug, CASE WHEN archived THEN 'taught' ELSE 'chain' END AS kind, false AS multi_hop, '1. ' || premises[1] || chr(10) || '2. ' || premises[2] AS proof FROM theorems WHERE postable AND len(premises) > 1",
+    "post_rows": f"""WITH {THEOREMS}, said AS (SELECT *, substr(premises[1], 3)::BIGINT AS k FROM theorems WHERE postable AND len(premises) > 1),
+shown AS (SELECT *, CASE WHEN k % 7 = 0 THEN 'said by ' || CASE WHEN k % 2 = 0 THEN 'aNN ' ELSE 'c++' END || k || ' (c:' || k || ';) to Annabel' WHEN k % 50 > 0 THEN 'said by ' || CASE WHEN k % 3 = 0 THEN 'somebody $1' ELSE 'a friend' END || ' to Annabel' END AS line FROM said)
+SELECT CASE WHEN length(id) % 2 = 0 THEN id ELSE substr(sha1(original), 1, 12) END AS slug, CASE WHEN archived THEN 'taught' ELSE 'chain' END AS kind, false AS multi_hop, CASE WHEN line IS NULL THEN '1. ' ELSE '1. ' || line || chr(10) || '2. ' END || premises[2] AS proof FROM shown""",
     "route_category": f"WITH {B.EVENTS} SELECT event_id AS id, CASE k % 3 WHEN 0 THEN CASE WHEN event_type = 'error' THEN 'apology' ELSE 'remark' END WHEN 1 THEN 'gesture' ELSE 'plain' END AS category FROM ev",
 }
