@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorekeep.runtime import cut
+
 SECOND = 1_000_000
 
 
@@ -154,12 +158,17 @@ def awake_ledger(marks: DataFrame) -> DataFrame:
 
 
 def scene_normalise(rows: DataFrame) -> DataFrame:
-    """Points (scene, id, x, y, z, size) mapped to [-1, 1] by the scene's widest axis; a flat axis is 0, sizes are scaled only."""
-    w = Window.partitionBy("scene")
-    span = F.greatest(*[F.max(c).over(w) - F.min(c).over(w) for c in "xyz"])
-    mid = lambda c: (F.max(c).over(w) + F.min(c).over(w)) / 2
-    flat = lambda c: F.max(c).over(w) == F.min(c).over(w)
-    return rows.select("scene", "id", *[F.when(flat(c) | (span == 0), F.lit(0.0)).otherwise((F.col(c) - mid(c)) * 2 / span).alias(c) for c in "xyz"], F.when(span == 0, F.col("size")).otherwise(F.col("size") * 2 / span).alias("size"))
+    """Points (scene, id, x, y, z, size) mapped to [-1, 1] by the scene's widest axis; a flat axis is 0, sizes are scaled only.
+
+    Extents are one row a scene, aggregated before they are shuffled, so a scene of any size is many tasks.
+    """
+    extent = rows.groupBy(F.col("scene").alias("_scene")).agg(*[f(c).alias(f"_{c}{i}") for c in "xyz" for i, f in enumerate((F.min, F.max))])
+    span = F.greatest(*[F.col(f"_{c}1") - F.col(f"_{c}0") for c in "xyz"])
+    mid = lambda c: (F.col(f"_{c}1") + F.col(f"_{c}0")) / 2
+    flat = lambda c: F.col(f"_{c}1") == F.col(f"_{c}0")
+    placed = rows.join(extent, F.col("scene").eqNullSafe(F.col("_scene"))).withColumn("_span", span)
+    axes = [F.when(flat(c) | (F.col("_span") == 0), F.lit(0.0)).otherwise((F.col(c) - mid(c)) * 2 / F.col("_span")).alias(c) for c in "xyz"]
+    return placed.select("scene", "id", *axes, F.when(F.col("_span") == 0, F.col("size")).otherwise(F.col("size") * 2 / F.col("_span")).alias("size"))
 
 
 def velocity(track: DataFrame, axes: tuple[str, ...] = ("x",), routes: DataFrame | None = None) -> DataFrame:
@@ -174,8 +183,10 @@ def velocity(track: DataFrame, axes: tuple[str, ...] = ("x",), routes: DataFrame
     rows = rows.select("scene", "entity", "t", "id", *[((F.lead(a).over(w) - F.col(a)) / span).alias(f"v_{a}") for a in axes]).where(F.col(f"v_{axes[0]}").isNotNull())
     if routes is not None:
         rows = rows.join(routes, ["scene", "entity"], "left").select("scene", "entity", "t", "id", *[F.coalesce(f"d_{a}", f"v_{a}").alias(f"v_{a}") for a in axes])
-    most = F.max(F.array_max(F.array(*[F.abs(f"v_{a}") for a in axes]))).over(Window.partitionBy("scene"))
-    return rows.select("scene", "entity", "t", "id", *[(F.col(f"v_{a}") / F.greatest(F.lit(1.0), most)).alias(f"v_{a}") for a in axes])
+    greatest = F.array_max(F.array(*[F.abs(f"v_{a}") for a in axes]))
+    most = rows.groupBy(F.col("scene").alias("_scene")).agg(F.max(greatest).alias("_most"))
+    scaled = rows.join(most, F.col("scene").eqNullSafe(F.col("_scene")))
+    return scaled.select("scene", "entity", "t", "id", *[(F.col(f"v_{a}") / F.greatest(F.lit(1.0), F.col("_most"))).alias(f"v_{a}") for a in axes])
 
 
 def page_before(posts: DataFrame, before: int | None = None, kind: str | None = None, limit: int = 50) -> DataFrame:
@@ -231,15 +242,52 @@ def top_candidate(candidates: DataFrame) -> DataFrame:
     return candidates.withColumn("status", F.when(r == 1, "kept").otherwise("superseded"))
 
 
+def _at_or_after(actions: DataFrame, keys: list[str], seconds: int) -> tuple[DataFrame, DataFrame]:
+    """(node, to) and (node): each action's first one of its key so many seconds later, and the first action of each key.
+
+    actions: (keys, us, id, node). Actions and the times asked for are sorted together in ranges, so a key is as many tasks as it
+    fills; what a range does not answer is looked up among the first actions that the key has in later ranges.
+    """
+    n = int(actions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    action = F.struct("us", "id", "node").alias("action")
+    none = F.lit(None)
+    both = actions.select(*keys, F.col("us").alias("at"), F.lit(1).alias("kind"), "id", action, none.cast("long").alias("asked"))
+    both = both.unionByName(actions.select(*keys, (F.col("us") + seconds * SECOND).alias("at"), F.lit(0).alias("kind"), "id", none.cast(both.schema["action"].dataType).alias("action"), F.col("node").alias("asked")))
+    order = ["at", "kind", "id"]
+    spread = cut(both.repartitionByRange(n, *keys, *order).withColumn("part", F.spark_partition_id()))
+    back = Window.partitionBy("part", *keys).orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, 0)
+    seen = spread.withColumn("to", F.last("action", ignorenulls=True).over(back)).where("asked is not null").select("part", *keys, F.col("asked").alias("node"), F.col("to.node").alias("to"))
+    seen = cut(seen)
+    firsts = cut(spread.where("action is not null").groupBy("part", *keys).agg(F.min("action").alias("action")))
+    later = firsts.select(F.col("part").alias("p"), *[F.col(k).alias(f"_{k}") for k in keys], F.col("action.node").alias("found"))
+    open_ = seen.where("to is null").drop("to")
+    same = reduce(lambda x, y: x & y, [open_[k].eqNullSafe(later[f"_{k}"]) for k in keys], F.col("p") > F.col("part"))
+    answered = open_.join(later, same).groupBy("node").agg(F.min_by("found", "p").alias("to"))
+    heads = firsts.groupBy(*keys).agg(F.min("action")["node"].alias("node")).select("node")
+    return seen.where("to is not null").select("node", "to").unionByName(answered), heads
+
+
 def throttle(actions: DataFrame, keys: list[str], seconds: int) -> DataFrame:
-    """The actions that stay when each must be so many seconds after the last one kept of its key.
+    """The actions (keys, id) that stay when each must be so many seconds after the last one kept of its key.
 
-    What is kept depends on what was kept before, so a key's actions are folded in order as one array.
+    Every action points to the first one of its key that may follow it; what is kept is the chain from each key's first action. Chains are
+    followed by pointer doubling: after k rounds their first 2^k actions are known and pointers reach 2^k further, so
+    rounds are few however long a chain is, and a key of any size is spread over many tasks. Repeated rows (equal keys, us and id) are one
+    action; actions without time are all kept; without a wait all are.
     """
-    trail = F.array_sort(F.collect_list(F.struct("us", "id")))
-    zero = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<bigint>").alias("kept"))
-    fold = F.aggregate(trail, zero, lambda s, a: F.when(s["last"].isNull() | (a["us"] - s["last"] >= seconds * SECOND), F.struct(a["us"].alias("last"), F.concat(s["kept"], F.array(a["id"])).alias("kept"))).otherwise(s))
-    return actions.groupBy(*keys).agg(fold["kept"].alias("kept")).select(*keys, F.explode("kept").alias("id"))
+    if seconds <= 0:
+        return actions.select(*keys, "id")
+    timed = cut(actions.where("us is not null").select(*keys, "us", "id").distinct().withColumn("node", F.monotonically_increasing_id()))
+    links, heads = _at_or_after(timed, keys, seconds)
+    jump, chain = cut(links), heads
+    while True:
+        new = cut(chain.join(jump, "node").select(F.col("to").alias("node")))
+        if new.isEmpty():
+            break
+        chain = chain.unionByName(new)
+        jump = cut(jump.join(jump.select(F.col("node").alias("to"), F.col("to").alias("next")), "to").select("node", F.col("next").alias("to")))
+    kept = timed.join(chain, "node", "left_semi").select(*keys, "id")
+    return kept.unionByName(actions.where("us is null").select(*keys, "id"))
 
 
 def session_state(events: DataFrame, tired: int = 7200, quiet: int = 60, fruitless: int = 600) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from lorekeep.operators.timeline import SECOND
 
@@ -38,27 +38,129 @@ def open_exchange(messages: DataFrame, log: DataFrame, window: int = 600, floor:
     return messages.join(a, near, "inner").select("id", "channel", "source_id", "ts", "opened")
 
 
-def throttle(actions: DataFrame, keys: list[str], seconds: int) -> DataFrame:
-    """The actions (keys, us, id) kept when each must be so many seconds after the last one kept of its key.
+#: Streams with timers keep their state in this store; set it as spark.sql.streaming.stateStore.providerClass.
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-    A key's state is one number, the time of its last kept action; a batch's actions of a key are taken in order of (us, id).
-    """
 
-    def keep(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(frames)).sort_values(["us", "id"])
+def _with_state(rows: DataFrame, keys: list[str], processor: StatefulProcessor, schema: str) -> DataFrame:
+    return rows.groupBy(*keys).transformWithStateInPandas(processor, schema, "append", "EventTime")
+
+
+def _forget_timers(handle: StatefulProcessorHandle) -> None:
+    for at in list(handle.listTimers()):
+        handle.deleteTimer(at)
+
+
+def _schema(rows: DataFrame, keys: list[str], *more: str) -> str:
+    kinds = dict(rows.dtypes)
+    return ", ".join([f"`{k}` {kinds[k]}" for k in keys] + list(more))
+
+
+class Throttle(StatefulProcessor):
+    """Keeps the time of a key's last kept action, until the watermark says that any further action may follow it."""
+
+    def __init__(self, keys: list[str], seconds: int) -> None:
+        self.keys, self.wait = keys, seconds * SECOND
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "us bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        last = self.last.get()[0] if self.last.exists() else None
+        frame = pd.concat(list(rows)).sort_values(["us", "id"])
         kept = []
-        for us, i in zip(rows["us"], rows["id"], strict=True):
-            if last is None or us - last >= seconds * SECOND:
-                last = int(us)
-                kept.append((*key, int(us), int(i)))
-        if last is not None:
-            state.update((last,))
-        yield pd.DataFrame(kept, columns=[*keys, "us", "id"])
-
-    kinds = dict(actions.dtypes)
-    schema = ", ".join([f"`{k}` {kinds[k]}" for k in keys] + ["us bigint", "id bigint"])
-    return actions.select(*keys, "us", "id").groupBy(*keys).applyInPandasWithState(keep, schema, "last bigint", "append", GroupStateTimeout.NoTimeout)
+        for us, i in zip(frame["us"].tolist(), frame["id"].tolist(), strict=True):
+            if last is None or us - last >= self.wait:
+                last = us
+                kept.append((*key, us, i))
+        if kept:
+            self.last.update((last,))
+            _forget_timers(self.handle)
+            self.handle.registerTimer((last + self.wait) // 1000 + 1)
+        yield pd.DataFrame(kept, columns=[*self.keys, "us", "id"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.last.clear()
+        yield pd.DataFrame([], columns=[*self.keys, "us", "id"])
+
+    def close(self) -> None:
+        pass
+
+
+def throttle(actions: DataFrame, keys: list[str], seconds: int) -> DataFrame:
+    """The actions (keys, us, id, ts) kept when each must be so many seconds after the last one kept of its key: (keys, us, id).
+
+    A key's state is one number, the time of its last kept action, and goes when the watermark on `ts` is past its wait; a batch's
+    actions of a key are taken in order of (us, id). Needs STORE.
+    """
+    return _with_state(actions.select(*keys, "us", "id", "ts"), keys, Throttle(keys, seconds), _schema(actions, keys, "us bigint", "id bigint"))
+
+
+class Digest(StatefulProcessor):
+    """Keeps whether a key has posted, its next chapter, the time of its last conclusion, and what waits for the chapter to fill."""
+
+    def __init__(self, cap: int, seconds: int) -> None:
+        self.cap, self.gap = cap, seconds * SECOND
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.head = handle.getValueState("head", "chapter int, last bigint")
+        self.waiting = handle.getListState("waiting", "id bigint")
+
+    def _flush(self, key: tuple, waiting: list[int], chapter: int) -> list[tuple]:
+        return [(i, key[0], "buffer", chapter) for i in waiting]
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        chapter, last = self.head.get() if self.head.exists() else (None, None)
+        waiting = [r[0] for r in self.waiting.get()] if self.waiting.exists() else []
+        frame = pd.concat(list(rows)).sort_values(["us", "id"])
+        out = []
+        for us, i in zip(frame["us"].tolist(), frame["id"].tolist(), strict=True):
+            if chapter is None:
+                chapter = 0
+                out.append((i, key[0], "post", None))
+            else:
+                if waiting and us - last > self.gap:
+                    out += self._flush(key, waiting, chapter)
+                    waiting, chapter = [], chapter + 1
+                waiting.append(i)
+                if len(waiting) == self.cap:
+                    out += self._flush(key, waiting, chapter)
+                    waiting, chapter = [], chapter + 1
+            last = us
+        self.head.update((chapter, last))
+        self.waiting.put([(i,) for i in waiting]) if waiting else self.waiting.clear()
+        _forget_timers(self.handle)
+        if waiting:
+            self.handle.registerTimer((last + self.gap) // 1000 + 1)
+        yield self._frame(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        out = []
+        if self.waiting.exists():
+            chapter, last = self.head.get()
+            out = self._flush(key, [r[0] for r in self.waiting.get()], chapter)
+            self.waiting.clear()
+            self.head.update((chapter + 1, last))
+        yield self._frame(out)
+
+    def _frame(self, out: list[tuple]) -> pd.DataFrame:
+        frame = pd.DataFrame(out, columns=["id", "key", "role", "chapter"])
+        return frame.astype({"chapter": "Int32"})
+
+    def close(self) -> None:
+        pass
+
+
+def digest(theorems: DataFrame, cap: int = 40, seconds: int = 3600) -> DataFrame:
+    """(id, key, role, chapter) of conclusions (key, us, id, ts): the first of a key posts, repeats wait and are flushed in chapters of
+    `cap`, or when the key's session ends: that is when nothing came for so many seconds, told by a timer on the watermark.
+
+    What waits is at most `cap` ids a key and is empty after each flush; of a key its next chapter and last time stay, as a key posts
+    once for ever. Rows as operators.timeline.digest gives them for sessions with that gap. Needs STORE.
+    """
+    return _with_state(theorems.select("key", "us", "id", "ts"), ["key"], Digest(cap, seconds), f"id bigint, {_schema(theorems, ['key'])}, role string, chapter int")
 
 
 def trust_refold(log_batch: DataFrame, batch_id: int, trail_path: str, publish) -> None:

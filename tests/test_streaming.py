@@ -29,6 +29,7 @@ def run(stream, tmp_path, name):
 
 def test_stream_reads_each_row_once_and_throttles_like_the_batch(spark, sf, tmp_path):
     log, path = source(spark, sf, tmp_path)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", S.STORE)
     stream = S.stream_turns(spark, path, DDL)
     assert run(stream.select("id"), tmp_path, "rows").count() == log.count()
     kept = run(S.throttle(stream, ["source_id"], 86400), tmp_path, "kept")
@@ -54,3 +55,65 @@ def test_refold_of_a_batch(spark, sf, tmp_path):
         S.trust_refold(rows.where(F.col("id") % 2 == k), k, str(tmp_path / "trail"), lambda df: seen.update({r.stakeholder: r.trust for r in df.collect()}))
     want = {r.stakeholder: r.trust for r in trust_fold(rows).collect()}
     assert {k: round(v, 6) for k, v in seen.items()} == {k: round(v, 6) for k, v in want.items()}
+
+
+def feed(spark, batches):
+    """A stream that gets one list of rows (key, us, id) a batch."""
+    from pyspark.sql.types import StructType
+
+    schema = StructType.fromDDL("key string, us bigint, id bigint")
+    return schema, [spark.createDataFrame(b, schema).coalesce(1) for b in batches]
+
+
+def drive(spark, tmp_path, batches, make):
+    """Rows that each batch adds, in turn, and how many rows of state there are after it."""
+    schema, frames = feed(spark, batches)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", S.STORE)
+    path, out = str(tmp_path / "feed"), str(tmp_path / "out")
+    frames[0].limit(0).write.parquet(path)
+    seen, added, states = set(), [], []
+    for frame in frames:
+        frame.write.mode("append").parquet(path)
+        stream = make(spark.readStream.schema(schema).parquet(path).withColumn("ts", F.timestamp_micros("us")).withWatermark("ts", "0 seconds"))
+        query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "ck")).outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+        states.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+        now = {tuple(r) for r in spark.read.schema(stream.schema).parquet(out).collect()}
+        added.append(sorted(now - seen, key=repr))
+        seen |= now
+    return added, states
+
+
+def at(seconds):
+    return int(seconds * T.SECOND)
+
+
+def test_digest_flushes_at_the_cap_and_at_the_end_of_a_session(spark, tmp_path):
+    batches = [
+        [("a", at(10), 1), ("a", at(11), 2), ("a", at(12), 3), ("b", at(12), 4)],
+        [("a", at(13), 5), ("a", at(14), 6), ("b", at(13), 7), ("c", at(14), 8)],  # a's chapter of three is full
+        [("c", at(500), 9)],  # the sessions of a and b are over
+        [("a", at(600), 10), ("a", at(601), 11), ("d", at(900), 12)],
+        [("d", at(2000), 13)],
+    ]
+    added, _ = drive(spark, tmp_path, batches, lambda df: S.digest(df, cap=3, seconds=100))
+    assert added[0] == [(1, "a", "post", None), (4, "b", "post", None)]
+    assert added[1] == [(2, "a", "buffer", 0), (3, "a", "buffer", 0), (5, "a", "buffer", 0), (8, "c", "post", None)]
+    assert set(added[2]) | set(added[3]) | set(added[4]) == {(6, "a", "buffer", 1), (7, "b", "buffer", 0), (9, "c", "buffer", 0), (10, "a", "buffer", 2), (11, "a", "buffer", 2), (12, "d", "post", None)}
+    assert {(6, "a", "buffer", 1), (7, "b", "buffer", 0)} <= set(added[2])  # by the timer: a and b sent nothing
+    rows = spark.createDataFrame([(k, us, us, i) for b in batches for k, us, i in b], "key string, us long, created long, id long")
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("key").orderBy("us", "id")
+    rows = rows.withColumn("new", (F.col("us") - F.lag("us").over(w) > at(100)).cast("int")).withColumn("session", F.sum(F.coalesce("new", F.lit(0))).over(w))
+    want = {(r.id, r.key, r.role, r.chapter) for r in T.digest(rows, cap=3).collect()}
+    assert want - {x for b in added for x in b} == {(13, "d", "buffer", 0)}  # d's last session is still open
+
+
+def test_throttle_forgets_keys_whose_wait_is_over(spark, tmp_path):
+    batches = [[(f"k{i}", at(i + 1), i) for i in range(20)], [("k1", at(5), 100), ("k2", at(60), 101)], [("z", at(500), 102)], [("k3", at(501), 103), ("z", at(502), 104)]]
+    added, states = drive(spark, tmp_path, batches, lambda df: S.throttle(df, ["key"], 50))
+    every = spark.createDataFrame([r for b in batches for r in b], "key string, us long, id long")
+    kept = {x[2] for b in added for x in b}
+    assert kept == {r.id for r in T.throttle(every, ["key"], 50).collect()}
+    assert states[2] < states[0]
