@@ -19,7 +19,7 @@ from .arrays import LOWER, runs, text_buffer
 from .common import cut, read_table, text_bytes
 
 #: Words of text that a task sorts at once, and bytes of text whose counts are merged at once.
-WORDS, MERGED = 1 << 21, 16 << 20
+WORDS, MERGED = 1 << 20, 8 << 20
 #: What follows the last word of a piece.
 END = b""
 BLANK, BREAK = np.zeros(256, bool), np.zeros(256, bool)
