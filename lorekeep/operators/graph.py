@@ -190,6 +190,34 @@ def revoke_cascade(theorems: DataFrame, premise_ids: DataFrame) -> DataFrame:
     return known.unionByName(far).select("id", F.col("round").cast("int").alias("round"))
 
 
+def dependents(theorems: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, id): active theorems that rest on any of a root's ids, directly or through others, for all roots (root, id) at once.
+
+    Theorems that no root hits and that rest on one other theorem hang on the first one below that is hit or rests on several, found once
+    for all roots by doubling; only pairs of a root and one of the others go through rounds, until none is new. Cycle-safe; an id
+    is not its own root's dependent.
+    """
+    needs = cut(theorems.where("not archived").select("id", F.explode("premises").alias("premise")).distinct())
+    known = cut(needs.join(roots.select("root", F.col("id").alias("premise")).distinct(), "premise").select("root", "id").distinct())
+    inner = needs.where("premise <> id").join(needs.select(F.col("id").alias("premise")).distinct(), "premise", "left_semi")
+    inner = inner.withColumn("n", F.count("*").over(Window.partitionBy("id"))).join(known.select("id", F.lit(True).alias("hit")).distinct(), "id", "left")
+    inner = cut(inner)
+    hanging = _hang(inner.where("n = 1 and hit is null").select("id", F.col("premise").alias("to"), F.lit(1).cast("long").alias("w")))
+    rest = inner.where("n > 1 or hit").join(hanging.select(F.col("id").alias("premise"), "to"), "premise", "left")
+    arcs = cut(rest.select(F.coalesce("to", "premise").alias("to"), "id").distinct())
+    frontier, rounds = known, [known]
+    while True:
+        found = frontier.withColumnRenamed("id", "to").join(arcs, "to").select("root", "id").distinct()
+        frontier = cut(found.join(reduce(DataFrame.unionByName, rounds), ["root", "id"], "left_anti"))
+        if frontier.isEmpty():
+            break
+        rounds = [cut(reduce(DataFrame.unionByName, [*rounds, frontier]))] if len(rounds) > 8 else [*rounds, frontier]
+    held = reduce(DataFrame.unionByName, rounds)
+    far = hanging.join(held.withColumnRenamed("id", "to"), "to").select("root", "id")
+    own = roots.select("root", "id").distinct()
+    return held.unionByName(far).distinct().join(own, ["root", "id"], "left_anti")
+
+
 def postable_taint(theorems: DataFrame) -> DataFrame:
     """(id, postable): a conclusion is publishable only if it is itself and every theorem below it is."""
     tainted = theorems.where("not postable").select("id")

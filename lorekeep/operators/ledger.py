@@ -129,6 +129,15 @@ def convict(groups: DataFrame, docs: DataFrame) -> DataFrame:
     return seen.select("signature", verdict.alias("verdict"), F.when(F.size("hyp") > 0, F.col("hyp")).when(F.size("soft") == 1, F.col("soft")).otherwise(F.array().cast("array<string>")).alias("convicted"))
 
 
+def convict_dependents(verdicts: DataFrame, theorems: DataFrame) -> DataFrame:
+    """(signature, id): what falls with the convicted of each group (signature, convicted): active theorems (id, archived, premises) that rest
+    on one of them, however far."""
+    from lorekeep.operators.graph import dependents
+
+    roots = verdicts.select(F.col("signature").alias("root"), F.explode("convicted").alias("id"))
+    return dependents(theorems, roots).select(F.col("root").alias("signature"), "id")
+
+
 def reductio_ledger(ledger: DataFrame, groups: DataFrame) -> DataFrame:
     """(signature, status, generation): open rows whose signature is gone are resolved, new ones opened, resolved ones that return reopened."""
     both = ledger.join(groups.select("signature", F.lit(True).alias("_now")), "signature", "full")

@@ -93,6 +93,13 @@ def _convict(s, d):
     return L.convict(_groups(s, d), _docs(s)).withColumn("convicted", F.array_join("convicted", ","))
 
 
+def _fallen(s, d):
+    """Each customer's first order rests on the customer, later ones on the one before; convicted documents are customers."""
+    verdicts = L.convict(_groups(s, d), _docs(s)).withColumn("convicted", F.transform("convicted", lambda x: F.concat(F.lit("C:"), x)))
+    chains = theorems(s, d).withColumn("archived", F.col("archived") & F.endswith("id", F.lit("7"))).withColumn("premises", F.slice("premises", -1, 1))
+    return L.convict_dependents(verdicts, chains)
+
+
 def _ledger(s, d):
     g = _groups(s, d)
     old = g.where("length(signature) % 2 = 0").select("signature", F.when(F.length("signature") % 3 == 0, "resolved").otherwise("open").alias("status"), (F.length("signature") % 4).alias("generation"))
@@ -149,6 +156,7 @@ QUERIES = {
     "spawn_dedup": _spawn,
     "conflict_groups": lambda s, d: _groups(s, d).withColumn("premises", F.array_join("premises", ",")),
     "convict": _convict,
+    "convict_dependents": _fallen,
     "reductio_ledger": _ledger,
     "apply_retreat": _retreat,
     "apply_retreat_cascade": _retreat_cascade,
@@ -161,6 +169,14 @@ _TRUST = f"t AS (SELECT stakeholder, CASE WHEN stakeholder % 40 = 0 THEN 1.0::DO
 _TOKEN = "CASE WHEN k % 13 = 0 THEN 'inconsistent' WHEN value / 100 > 0.85 THEN 'true' WHEN value / 100 < 0.15 THEN 'false' END"
 _CONF = f"CASE {_TOKEN} WHEN 'inconsistent' THEN 1.0 WHEN 'true' THEN value / 100 * 0.7 WHEN 'false' THEN (1 - value / 100) * 0.7 END::DOUBLE"
 
+_CONVICT = f"""WITH {GROUPS}, u AS (SELECT DISTINCT * FROM conf), docs AS (SELECT i::VARCHAR AS id, CASE WHEN i % 17 = 0 THEN 'hypothesis' ELSE 'theorem' END AS kind, i % 4 > 0 AS readonly FROM range(60) x(i) WHERE i % 5 > 0),
+j AS (SELECT signature, id, kind, readonly FROM u LEFT JOIN docs ON id = p), g AS (SELECT signature, count(*) FILTER (kind = 'hypothesis') AS h, string_agg(CASE WHEN kind = 'hypothesis' THEN id END, ',' ORDER BY id) AS hyp, count(*) FILTER (kind <> 'hypothesis' AND NOT readonly) AS s, string_agg(CASE WHEN kind <> 'hypothesis' AND NOT readonly THEN id END, ',' ORDER BY id) AS soft, count(kind) AS docs FROM j GROUP BY 1)
+SELECT signature, CASE WHEN h > 0 OR s = 1 THEN 'convicted' WHEN s > 1 THEN 'asked' WHEN docs = 0 THEN 'unresolvable' ELSE 'constitution' END AS verdict, CASE WHEN h > 0 THEN hyp WHEN s = 1 THEN soft ELSE '' END AS convicted FROM g"""
+_FALLEN = f"""WITH RECURSIVE {THEOREMS}, verdict AS ({_CONVICT}),
+root AS (SELECT DISTINCT signature, 'C:' || unnest(string_split(convicted, ',')) AS premise FROM verdict WHERE convicted <> ''),
+needs AS (SELECT id, premises[-1] AS premise FROM theorems WHERE NOT (archived AND id LIKE '%7')),
+dep AS (SELECT signature, id FROM needs JOIN root USING (premise) UNION SELECT signature, n.id FROM dep JOIN needs n ON n.premise = dep.id) SELECT * FROM dep"""
+
 ORACLES = {
     "episode_delta": f"{E_SQL} SELECT id, delta FROM d",
     "trust_fold": f"{E_SQL}, {_TRUST} SELECT stakeholder, round(trust, 6) AS trust FROM t",
@@ -181,9 +197,8 @@ SELECT count(*) AS total, count(*) FILTER (od <> nd) AS changed, count(*) FILTER
     "spawn_dedup": f"""WITH {B.EVENTS}, c AS (SELECT event_id AS id, CASE WHEN k % 5 > 0 THEN user_id END AS source, event_type AS "trigger", k % 3 AS action FROM ev), n AS (SELECT *, row_number() OVER (PARTITION BY source, "trigger", action ORDER BY id) AS r FROM c WHERE id % 2 = 0)
 SELECT id, source, "trigger", action FROM n WHERE source IS NULL OR (r = 1 AND NOT EXISTS (SELECT 1 FROM c x WHERE x.id % 2 = 1 AND x.source = n.source AND x."trigger" = n."trigger" AND x.action = n.action))""",
     "conflict_groups": f"WITH {GROUPS}, u AS (SELECT DISTINCT * FROM conf) SELECT signature, string_agg(p, ',' ORDER BY p) AS premises FROM u GROUP BY 1",
-    "convict": f"""WITH {GROUPS}, u AS (SELECT DISTINCT * FROM conf), docs AS (SELECT i::VARCHAR AS id, CASE WHEN i % 17 = 0 THEN 'hypothesis' ELSE 'theorem' END AS kind, i % 4 > 0 AS readonly FROM range(60) x(i) WHERE i % 5 > 0),
-j AS (SELECT signature, id, kind, readonly FROM u LEFT JOIN docs ON id = p), g AS (SELECT signature, count(*) FILTER (kind = 'hypothesis') AS h, string_agg(CASE WHEN kind = 'hypothesis' THEN id END, ',' ORDER BY id) AS hyp, count(*) FILTER (kind <> 'hypothesis' AND NOT readonly) AS s, string_agg(CASE WHEN kind <> 'hypothesis' AND NOT readonly THEN id END, ',' ORDER BY id) AS soft, count(kind) AS docs FROM j GROUP BY 1)
-SELECT signature, CASE WHEN h > 0 OR s = 1 THEN 'convicted' WHEN s > 1 THEN 'asked' WHEN docs = 0 THEN 'unresolvable' ELSE 'constitution' END AS verdict, CASE WHEN h > 0 THEN hyp WHEN s = 1 THEN soft ELSE '' END AS convicted FROM g""",
+    "convict": _CONVICT,
+    "convict_dependents": _FALLEN,
     "reductio_ledger": f"""WITH {GROUPS}, g AS (SELECT signature, count(DISTINCT p) AS n FROM conf GROUP BY 1), o AS (SELECT signature, CASE WHEN length(signature) % 3 = 0 THEN 'resolved' ELSE 'open' END AS status, length(signature) % 4 AS generation FROM g WHERE length(signature) % 2 = 0), w AS (SELECT signature, true AS now FROM g WHERE n > 2)
 SELECT signature, CASE WHEN now THEN 'open' WHEN status = 'open' THEN 'resolved' ELSE status END AS status, CASE WHEN generation IS NULL THEN 0 WHEN now AND status = 'resolved' THEN generation + 1 ELSE generation END AS generation FROM o FULL JOIN w USING (signature)""",
     "apply_retreat": "SELECT o_orderkey AS id, o_orderstatus = 'F' OR (o_custkey % 4 = 0 AND o_orderkey % 3 <> 0) AS archived, o_orderkey % 3 = 0 AS readonly FROM orders UNION ALL SELECT o_orderkey + 10000000, false, false FROM orders WHERE o_orderkey % 50 = 0",

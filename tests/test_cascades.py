@@ -34,3 +34,32 @@ def test_cycles_joins_and_archived_theorems_give_least_distances(spark):
     theorems += [("a", False, True, ["b"]), ("b", False, True, ["a"]), ("c", False, True, ["b", "t0"]), ("s", False, True, ["s"])]
     for seeds in (["x"], ["t3", "t4"], ["a"], ["nothing"]):
         assert cascade(spark, theorems, seeds) == walk(theorems, seeds)
+
+
+def test_dependents_of_many_roots_equal_a_walk(spark):
+
+    r = random.Random(4)
+    rows = [(f"t{i}", r.random() < 0.1, sorted({f"t{r.randrange(200)}" if r.random() < 0.7 else f"x{r.randrange(12)}" for _ in range(r.choice([1, 1, 1, 2, 3]))})) for i in range(200)]
+    rows += [(f"c{i}", False, [f"c{i - 1}" if i else "x0"]) for i in range(100)] + [("loop", False, ["loop"]), ("a", False, ["b"]), ("b", False, ["a", "x1"])]
+    roots = [(f"g{i}", f"x{r.randrange(12)}") for i in range(6)] + [("g0", "t3"), ("g1", "x1"), ("g7", "nothing"), ("g8", "a"), ("g1", "x1")]
+    got = {tuple(x) for x in G.dependents(spark.createDataFrame(rows, "id string, archived boolean, premises array<string>"), spark.createDataFrame(roots, "root string, id string")).collect()}
+    want = set()
+    for g in {g for g, _ in roots}:
+        start = {i for h, i in roots if h == g}
+        held = set(start)
+        while True:
+            new = {i for i, archived, ps in rows if not archived and i not in held and held & set(ps)}
+            if not new:
+                break
+            held |= new
+        want |= {(g, i) for i in held - start}
+    assert got == want and len(want) > 300
+
+
+def test_what_falls_with_the_convicted(spark):
+    from lorekeep.operators import ledger as L
+
+    v = spark.createDataFrame([("s1", ["h"]), ("s2", []), ("s3", ["h", "k"])], "signature string, convicted array<string>")
+    t = spark.createDataFrame([("t1", False, ["h"]), ("t2", False, ["t1"]), ("t3", True, ["t1"]), ("t4", False, ["t3", "k"])], "id string, archived boolean, premises array<string>")
+    assert sorted(tuple(r) for r in L.convict_dependents(v, t).collect()) == [("s1", "t1"), ("s1", "t2"), ("s3", "t1"), ("s3", "t2"), ("s3", "t4")]
+    assert L.convict_dependents(v.limit(0), t).count() == L.convict_dependents(v, t.limit(0)).count() == 0
