@@ -115,8 +115,8 @@ def log_ratios(counted: DataFrame, models: list[tuple[Column, Column]]) -> DataF
     """(key, v0, v1, ...) of counts by word: for each model (its ordinary and its toxic counts) the log ratio of a word, toxic to
     ordinary, less that of an unseen word; null where the model lacks the word or a class.
 
-    The discount of a class is n1 / (n1 + 2 n2) of its words counted once and twice (0.5 where nothing tells, never under 0.1 nor
-    over 0.95)."""
+    The discount of a class is n1 / (n1 + 2 n2) of its words counted once and twice in the first model (0.5 where nothing tells, never
+    under 0.1 nor over 0.95); all models take the same, so that their ratios are on one scale."""
     asked = []
     for k, counts in enumerate(models):
         for y, c in enumerate(counts):
@@ -133,7 +133,7 @@ def log_ratios(counted: DataFrame, models: list[tuple[Column, Column]]) -> DataF
         shared = (counts[0] + counts[1] + 0.5) / (sum(sums) + 0.5 * got[f"kinds{k}"])
         p, left = [], []
         for y in (0, 1):
-            one, two = got[f"one{k}{y}"], got[f"two{k}{y}"]
+            one, two = got[f"one0{y}"], got[f"two0{y}"]
             d = min(max(one / (one + 2 * two), 0.1), 0.95) if one else 0.5
             left.append(d * got[f"seen{k}{y}"] / sums[y])
             p.append(F.greatest(counts[y] - d, F.lit(0.0)) / sums[y] + left[y] * shared)
@@ -205,18 +205,26 @@ def features(docs: DataFrame, chunks: list, carry: tuple[str, ...]) -> DataFrame
 
 
 def curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Offset and weights, none below 0, of a logistic regression with a slight penalty, by Newton's steps."""
+    """Offset and weights, none below 0, of a logistic regression with a slight penalty, by Newton's steps, each halved until it helps."""
     scale = np.maximum(x.std(axis=0), 1e-9)
     used = np.ones(x.shape[1], bool)
     while True:
         z = np.column_stack([np.ones(len(x)), x[:, used] / scale[used]])
-        w = np.zeros(z.shape[1])
-        penalty = np.full(len(w), 0.01)
-        for _ in range(50):
-            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-            step = np.linalg.solve((z * (p * (1 - p) + 1e-9)[:, None]).T @ z + np.diag(penalty), z.T @ (p - y) + penalty * w)
-            w -= step
-            if np.abs(step).max() < 1e-8:
+        w, penalty = np.zeros(z.shape[1]), 0.01
+
+        def loss(v: np.ndarray, z: np.ndarray = z, penalty: float = penalty) -> float:
+            return float(np.logaddexp(0, np.where(y == 1, -1, 1) * (z @ v)).sum() + penalty / 2 * v @ v)
+
+        now = loss(w)
+        for _ in range(200):
+            p = 1 / (1 + np.exp(-np.clip(z @ w, -500, 500)))
+            step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + penalty * np.eye(len(w)), z.T @ (p - y) + penalty * w)
+            size = 1.0
+            while size > 1e-6 and loss(w - size * step) > now:
+                size /= 2
+            w = w - size * step
+            before, now = now, loss(w)
+            if before - now < 1e-9 * (1 + abs(now)):
                 break
         if (w[1:] >= 0).all():
             break
@@ -251,17 +259,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
     marked = packed.join(told.hint("merge"), "doc_id").select("packed", (F.pmod(spread, F.lit(FOLDS)) * 2 + F.col("toxic")).cast("int").alias("mark"))
     parts = marked.mapInArrow(_count, "key long, " + ", ".join(f"{c} long" for c in COUNTS))
     counted = cut(parts.groupBy("key").agg(*[F.sum(c).alias(c) for c in COUNTS]))
-    # Model k leaves fold k out; the last one has them all.
+    # The first model has all folds, each other one leaves one out.
     add = lambda y, out: sum((F.col(COUNTS[2 * k + y]) for k in range(FOLDS) if k != out), F.lit(0))
-    table = log_ratios(counted, [(add(0, k), add(1, k)) for k in [*range(FOLDS), None]])
+    table = log_ratios(counted, [(add(0, k), add(1, k)) for k in [None, *range(FOLDS)]])
     model = lambda k: chunks_of(table.select("key", F.col(f"v{k}").alias("value")).where("value is not null"))
     some = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 40)) < int(min(1.0, sample / total) * (1 << 40))
     picked = cut(known.where(some).join(told.where(some), "doc_id").select("text", "toxic", F.pmod(spread, F.lit(FOLDS)).alias("fold")))
-    scored = [features(picked.where(F.col("fold") == k), model(k), ("toxic",)).where("whole is not null").toArrow() for k in range(FOLDS)]
+    scored = [features(picked.where(F.col("fold") == k), model(k + 1), ("toxic",)).where("whole is not null").toArrow() for k in range(FOLDS)]
     found = pa.concat_tables(scored)
     x, y = np.column_stack([found["whole"].to_numpy(), found["stretch"].to_numpy()]), found["toxic"].to_numpy()
     weights = curve(x, y) if len(np.unique(y)) == 2 else None
-    return Scorer(share, model(FOLDS) if weights is not None else [], weights)
+    return Scorer(share, model(0) if weights is not None else [], weights)
 
 
 def score(docs: DataFrame, scorer: Scorer, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -239,3 +239,11 @@ def test_curve_is_a_logistic_regression_without_negative_weights():
     y = (r.random(4000) < 1 / (1 + np.exp(-(1 + 2 * x[:, 0])))).astype(int)
     w = curve(np.column_stack([x[:, 0], -x[:, 0] + x[:, 1]]), y)
     assert w[0] == pytest.approx(1, abs=0.2) and w[1] == pytest.approx(2, abs=0.3) and w[2] >= 0
+
+
+def test_curve_converges_where_the_classes_are_apart():
+    x = np.concatenate([np.full((90, 2), -0.005), np.full((10, 2), 0.04)]) + np.random.default_rng(1).normal(size=(100, 2)) / 1000
+    y = np.repeat([0, 1], [90, 10])
+    w = curve(x, y)
+    p = 1 / (1 + np.exp(-(w[0] + x @ w[1:])))
+    assert p[y == 1].min() > 0.9 and p[y == 0].max() < 0.1
