@@ -105,7 +105,7 @@ QUERIES = {
     "consolidate": lambda s, d: P.consolidate(B.events(s, d).select(F.col("event_id").alias("id"), F.col("user_id").alias("stakeholder"), (F.col("k") % 3 == 0).alias("used")), B.events(s, d).where("k % 4 = 0").select(F.col("event_id").alias("id")), B.events(s, d).select(F.col("user_id").alias("stakeholder")).distinct().withColumn("trust", F.col("stakeholder") % 11 / 10)),
     "quiet_band": lambda s, d: P.quiet_band(B.log(s, d).join(association(s, d), "channel"), F.col("proximity")).withColumn("urge", F.round("urge", 6)),
     "place_type_sense": lambda s, d: P.place_type_sense(B.table(s, d, "part").select(F.split_part("p_name", F.lit(" "), F.lit(2)).alias("type")), B.table(s, d, "part").where("p_size > 48").select(F.split_part("p_name", F.lit(" "), F.lit(2)).alias("word"), F.lit("n").alias("pos"), F.col("p_partkey").alias("nr"), F.col("p_brand").alias("sense"))),
-    "ground_part": _part,
+    "ground_part": lambda s, d: _part(s, d).select("claim_id", "holds"),
     "best_match": lambda s, d: P.best_match(B.events(s, d).select(F.col("user_id").alias("stmt_id"), (F.col("k") % 20 / 20).alias("score"), F.when(F.col("k") % 2 == 0, "axiom").otherwise("theorem").alias("kind"), F.col("event_id").alias("ordinal"))),
     "fuzzy_ops": _fuzzy,
 }

@@ -118,7 +118,7 @@ QUERIES = {
     "accept_correction": _accept,
     "differentia_rules": _differentia,
     "graph_sense_fix": _sense_fix,
-    "ground_place": _place,
+    "ground_place": lambda s, d: _place(s, d).select("claim_id", "holds"),
     "ground_definition": _definition,
     "nearest_marker": _marker,
     "requeue": _requeue,
