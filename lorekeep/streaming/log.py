@@ -163,6 +163,63 @@ def digest(theorems: DataFrame, cap: int = 40, seconds: int = 3600) -> DataFrame
     return _with_state(theorems.select("key", "us", "id", "ts"), ["key"], Digest(cap, seconds), f"id bigint, {_schema(theorems, ['key'])}, role string, chapter int")
 
 
+class SessionState(StatefulProcessor):
+    """Keeps the time of a user's last event and of the first one of its day; timers tell what the user's silence turns into."""
+
+    COLUMNS = ["user_id", "us", "event_id", "state"]
+
+    def __init__(self, tired: int, quiet: int, fruitless: int) -> None:
+        self.tired, self.quiet, self.fruitless = tired * SECOND, quiet * SECOND, fruitless * SECOND
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getValueState("seen", "last bigint, first bigint")
+
+    def _turns(self, last: int, first: int) -> dict[str, int]:
+        """When silence after the last event becomes which state; a day that is over tires nobody."""
+        asleep, awake = max(last + self.quiet, first + self.tired) + 1, last + self.fruitless + 1
+        if asleep // (86400 * SECOND) != first // (86400 * SECOND):
+            return {"wondering": awake}
+        return {"sleeping": asleep} | ({"wondering": awake} if awake < asleep else {})
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        last, first = self.seen.get() if self.seen.exists() else (None, None)
+        frame = pd.concat(list(rows)).sort_values(["us", "event_id"])
+        out = []
+        for us, i in zip(frame["us"].tolist(), frame["event_id"].tolist(), strict=True):
+            if first is None or us // (86400 * SECOND) != first // (86400 * SECOND):
+                first = us
+            gap = None if last is None else us - last
+            asleep = gap is not None and us - first > self.tired and gap > self.quiet
+            out.append((key[0], us, i, "sleeping" if asleep else "wondering" if gap is not None and gap > self.fruitless else "thinking"))
+            last = us
+        self.seen.update((last, first))
+        _forget_timers(self.handle)
+        for at in set(self._turns(last, first).values()):
+            self.handle.registerTimer(at // 1000 + 1)
+        yield self._frame(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        due = expiredTimerInfo.getExpiryTimeInMs()
+        turns = self._turns(*self.seen.get())
+        yield self._frame([(key[0], at, None, state) for state, at in turns.items() if at // 1000 + 1 == due])
+
+    def _frame(self, out: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=self.COLUMNS).astype({"us": "int64", "event_id": "Int64"})
+
+    def close(self) -> None:
+        pass
+
+
+def session_state(events: DataFrame, tired: int = 7200, quiet: int = 60, fruitless: int = 600) -> DataFrame:
+    """(user_id, us, event_id, state) of events (user_id, us, event_id, ts): a row for each event as operators.timeline.session_state
+    gives it, and one without event_id when the watermark shows that a silent user fell asleep or began to wonder, at that time.
+
+    A user's state is two numbers, which stay: the next event asks how long ago the last one was. Timers are at most two a user. Needs STORE.
+    """
+    return _with_state(events.select("user_id", "us", "event_id", "ts"), ["user_id"], SessionState(tired, quiet, fruitless), f"{_schema(events, ['user_id'])}, us bigint, event_id bigint, state string")
+
+
 def trust_refold(log_batch: DataFrame, batch_id: int, trail_path: str, publish) -> None:
     """For foreachBatch: writes a batch's episodes to the trail and publishes the refolded trust of the people it touches.
 

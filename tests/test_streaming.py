@@ -117,3 +117,23 @@ def test_throttle_forgets_keys_whose_wait_is_over(spark, tmp_path):
     kept = {x[2] for b in added for x in b}
     assert kept == {r.id for r in T.throttle(every, ["key"], 50).collect()}
     assert states[2] < states[0]
+
+
+def test_session_states_and_what_silence_becomes(spark, tmp_path):
+    day = 86400
+    batches = [
+        [("a", at(10), 1), ("a", at(400), 2), ("b", at(20), 3)],
+        [("a", at(700), 4), ("a", at(701), 5), ("c", at(705), 6)],  # b is silent
+        [("a", at(1400), 7), ("z", at(5000), 8)],  # a is tired from 1010 on
+        [("b", at(day + 5), 9), ("b", at(day + 1200), 10), ("z", at(2 * day), 11)],
+    ]
+    make = lambda df: S.session_state(df.select(F.col("key").alias("user_id"), "us", F.col("id").alias("event_id"), "ts"), 1000, 60, 500)
+    added, _ = drive(spark, tmp_path, batches, make)
+    rows = [x for b in added for x in b]
+    events = spark.createDataFrame([r for b in batches for r in b], "user_id string, us long, event_id long")
+    want = {tuple(r) for r in T.session_state(events, 1000, 60, 500).collect()}
+    assert {(u, i, s) for u, _, i, s in rows if i is not None} == want
+    assert {"sleeping", "wondering", "thinking"} == {s for _, _, s in want}
+    silent = {(u, us - 1, s) for u, us, i, s in rows if i is None}
+    assert {("b", at(520), "wondering"), ("b", at(1020), "sleeping"), ("a", at(1460), "sleeping"), ("c", at(1205), "wondering"), ("c", at(1705), "sleeping")} <= silent
+    assert not any(u == "a" and s == "wondering" for u, _, s in silent)
