@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions.text import clean_gloss
+from lorekeep.operators.neighbours import knn
 from lorekeep.operators.timeline import SECOND
-from lorekeep.operators.vectors import centroid, cosine, dot, norm
+from lorekeep.operators.vectors import centroid, cosine, norm
+from lorekeep.runtime import cut
 
 # Words that set the time of a clause (days from now), that move it on, and tenses.
 ANCHORS = {"now": 0.0, "today": 0.0, "tonight": 0.0, "yesterday": -1.0, "tomorrow": 1.0}
@@ -36,22 +38,21 @@ def topic_centroid(log: DataFrame, me: int = 0, rows: int = 30, within: int = 18
     return centroid(ring.where((F.col("source_id") != me) & F.col("vector").isNotNull()), "channel")
 
 
-def association(topics: DataFrame, notions: DataFrame, mentioned: DataFrame, cooling: DataFrame, floor: float = 0.6, block: int = 16) -> DataFrame:
+def association(topics: DataFrame, notions: DataFrame, mentioned: DataFrame, cooling: DataFrame, floor: float = 0.6) -> DataFrame:
     """(channel, notion_id, proximity): the nearest notion to each channel's topic, at or above the floor; ties by id.
 
-    Channels in `cooling` get none, a notion in `mentioned` (channel, notion_id) is passed over. Topics, a stated query set,
-    are dealt into blocks; each notion meets a block at a time and a block keeps its best before anything is shuffled.
+    Channels in `cooling` get none, a notion in `mentioned` (channel, notion_id) is passed over: a channel that mentioned m notions needs
+    its m + 1 nearest at most. Channels are asked by powers of two of m, so one with many mentions makes no work for the others.
     """
-    unit = lambda c: F.transform(c, lambda x: x / norm(c))
-    told = mentioned.groupBy("channel").agg(F.collect_set("notion_id").alias("told"))
-    t = topics.join(cooling.select("channel").distinct(), "channel", "left_anti").join(told, "channel", "left").where(norm(F.col("vector")) > 0)
-    t = t.select("channel", unit(F.col("vector")).alias("t"), F.coalesce("told", F.array().cast(told.schema["told"].dataType)).alias("told"))
-    t = t.groupBy(F.pmod(F.xxhash64("channel"), F.lit(block)).alias("block")).agg(F.collect_list(F.struct("channel", "t", "told")).alias("ts"))
-    n = notions.where(norm(F.col("vector")) > 0).select("notion_id", unit(F.col("vector")).alias("v")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(block - 1))))
-    met = n.join(t, "block").select("notion_id", "v", F.explode("ts").alias("x")).where(~F.array_contains("x.told", F.col("notion_id")))
-    scored = met.select("x.channel", "notion_id", F.round(dot(F.col("x.t"), F.col("v")), 6).alias("s"))
-    best = scored.groupBy("channel").agg(F.min(F.struct((-F.col("s")).alias("s"), "notion_id")).alias("m"))
-    return best.select("channel", F.col("m.notion_id").alias("notion_id"), (-F.col("m.s")).alias("proximity")).where(F.col("proximity") >= floor)
+    told = mentioned.select("channel", "notion_id").distinct()
+    t = topics.join(cooling.select("channel").distinct(), "channel", "left_anti").join(told.groupBy("channel").agg(F.count("*").alias("m")), "channel", "left")
+    t = cut(t.where(norm(F.col("vector")) > 0).select(F.col("channel").alias("vec_id"), "vector", F.ceil(F.log2(F.coalesce("m", F.lit(0)) + 1)).cast("int").alias("bits")))
+    n = notions.where(norm(F.col("vector")) > 0).select(F.col("notion_id").alias("vec_id"), "vector")
+    classes = [r.bits for r in t.select("bits").distinct().collect()]
+    near = [knn(t.where(F.col("bits") == b), n, 1 << b, keep_self=True) for b in classes] or [knn(t, n, 1, keep_self=True)]
+    near = reduce(DataFrame.unionByName, near).select(F.col("query_id").alias("channel"), F.col("vec_id").alias("notion_id"), "score").where(F.col("score") >= floor)
+    best = near.join(told, ["channel", "notion_id"], "left_anti").groupBy("channel").agg(F.min(F.struct((-F.col("score")).alias("s"), "notion_id")).alias("m"))
+    return best.select("channel", F.col("m.notion_id").alias("notion_id"), (-F.col("m.s")).alias("proximity"))
 
 
 def _wu_palmer(targets: DataFrame, base: DataFrame, closure: DataFrame, least: float) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lorekeep.operators.anonymity import hide_people
 from lorekeep.operators.extraction import lemma, noun
 from lorekeep.operators.timeline import drift_sample, sense_overlap
-from lorekeep.operators.vectors import knn
+from lorekeep.operators.neighbours import knn
 from lorekeep.runtime import cut
 
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorekeep.operators.neighbours import knn
+
 # Weights of a clause's parts, and of a statement's.
 CLAUSE = {"predicate": 0.30, "subject": 0.25, "direct": 0.20, "indirects": 0.15, "sentiment": 0.05, "modality": 0.05}
 STATEMENT = {"content": 0.70, "operator": 0.20, "attitude": 0.10}
@@ -73,33 +73,6 @@ def soft_f1(left: DataFrame, right: DataFrame, marker: int) -> DataFrame:
     return both.select("pair", F.when(F.col("best_i") + F.col("best_j") == 0, 0.0).otherwise(2 * F.col("best_i") * F.col("best_j") / (F.col("best_i") + F.col("best_j"))).alias("f1"))
 
 
-#: Queries of a block, and bytes of query vectors that are sent to the executors at once; more are searched in further passes.
-KNN_BLOCK, KNN_BYTES = 256, 64 << 20
-
-
-def knn(queries: DataFrame, vectors: DataFrame, k: int = 10, keep_self: bool = False) -> DataFrame:
-    """(query_id, vec_id, score): the k nearest of all vectors by cosine, ties by id.
-
-    The queries are a stated set. They are packed into blocks and sent to the executors, KNN_BYTES in a pass, so the vectors are
-    read where they lie and never shuffled; the filter on the row number keeps k of a query in each task before anything moves.
-    """
-    unit = lambda c: F.when(norm(c) > 0, F.transform(c, lambda x: x / norm(c))).otherwise(c)
-    size = queries.agg(F.count("*").alias("n"), F.sum(F.size("vector")).alias("d")).first()
-    blocks, passes = max(1, -(-size["n"] // KNN_BLOCK)), max(1, -(-8 * (size["d"] or 0) // KNN_BYTES))
-    q = queries.select(F.col("vec_id").alias("query_id"), unit(F.col("vector")).alias("q"))
-    packed = q.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(max(blocks, passes))).alias("block")).agg(F.collect_list(F.struct("query_id", "q")).alias("qs"))
-    v = vectors.select("vec_id", unit(F.col("vector")).alias("v"), F.lit(0).alias("all"))
-    found = []
-    for p in range(passes):
-        part = packed.where(F.pmod("block", F.lit(passes)) == p).select(F.lit(0).alias("all"), "qs")
-        met = v.join(F.broadcast(part), "all").select("vec_id", "v", F.explode("qs").alias("x"))
-        scored = met.select("x.query_id", "vec_id", F.round(dot(F.col("x.q"), F.col("v")), 6).alias("score"))
-        scored = scored if keep_self else scored.where("query_id <> vec_id")
-        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-        found.append(scored.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).drop("_r"))
-    return reduce(DataFrame.unionByName, found)
-
-
 def knn_opposite(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
     """Neighbours of the negated vector, itself included."""
     return knn(queries.withColumn("vector", F.transform("vector", lambda x: -x)), vectors, k, keep_self=True)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lorekeep.functions import text as X
+from lorekeep.operators import neighbours as N
 from lorekeep.operators import vectors as V
 from lorekeep.plans import bindings as B
 from lorekeep.sources import tables as S
@@ -22,6 +23,12 @@ def _queries(s, d):
     return B.vectors(s, d).where("vec_id % 100 = 0")
 
 
+def _cells(s, d):
+    v = B.vectors(s, d)
+    around = N.pivots(v)
+    return N.knn_cells(_queries(s, d), N.vector_index(v, around), around, 5)
+
+
 def _anchors(s, d):
     v = B.vectors(s, d)
     first = v.groupBy("label").agg(F.min("vec_id").alias("vec_id"))
@@ -159,6 +166,7 @@ QUERIES = {
     "compare_statement": _statement_pairs,
     "soft_f1": _soft,
     "knn": lambda s, d: V.knn(_queries(s, d), B.vectors(s, d), 5),
+    "knn_cells": _cells,
     "knn_opposite": lambda s, d: V.knn_opposite(_queries(s, d), B.vectors(s, d), 5),
     "centroid": lambda s, d: _flat(V.centroid(B.vectors(s, d), "label", F.when(F.col("vec_id") % 2 == 0, 1.0).otherwise(0.25)), "label"),
     "phrase_search": lambda s, d: V.phrase_search(B.vectors(s, d).select((F.col("vec_id") / 3).cast("long").alias("phrase"), "vec_id").where("phrase % 100 = 0"), B.vectors(s, d), 3),
@@ -262,3 +270,4 @@ f AS (SELECT event_id AS request, template, ln({_U.replace("request", "event_id"
     "validate_metrics": f"WITH {B.EVENTS} SELECT event_id, CASE WHEN k % 7 = 0 THEN 'state' WHEN k % 11 = 0 THEN 'metrics' WHEN k % 30 > 24 THEN 'version' END AS reason FROM ev",
     "rehome": "SELECT o_orderkey FROM orders WHERE o_orderkey % 30 NOT IN (1, 2, 3) AND o_custkey % 3 <> 0",
 }
+ORACLES["knn_cells"] = ORACLES["knn"].replace("SELECT * FROM s", "SELECT *, true AS proved FROM s")
