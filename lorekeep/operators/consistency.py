@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions.fuzzy import fold_step
+from lorekeep.runtime import cut
 
 # What cannot hold together on one claim (T and F: a crisp claim and its denial), and statements of more atoms abstain.
 CLASHES = {"A": ("O", "E"), "E": ("I", "A"), "I": ("E",), "O": ("A",), "T": ("F",), "F": ("T",)}
@@ -45,46 +46,108 @@ def coded(leaves: DataFrame, antonyms: DataFrame | None = None) -> DataFrame:
     return rows.withColumns({"says": says, "clashes": clashes}).drop("others")
 
 
-def contradictions(leaves: DataFrame, antonyms: DataFrame | None = None) -> DataFrame:
-    """(stmt_id): statements that are false whatever their atoms are.
+def _atoms(rows: DataFrame, unknown: Column) -> DataFrame:
+    """Coded leaves with `atom`: a claim at one corner; what is unknown is an atom of its own, named so."""
+    claim = F.when(F.col("code").isin("T", "F"), F.col("key")).otherwise(F.concat_ws("#", "key", "code"))
+    return rows.withColumn("atom", F.when(F.col("code").isNull(), F.concat(F.lit("@"), unknown)).otherwise(claim))
 
-    leaves (stmt_id, pos, op, attitude, subject, predicate, direct, corner, negated, unknown, reflexive). An atom is a claim at one corner;
-    an unknown word or a possibility is an atom of its own; a thing's identity with itself is true. If all fold by AND without attitudes, a
-    clash of two leaves or a denied identity does it; else the statement is folded for every 0/1 assignment that no clash rules out.
-    Statements of more than 16 atoms abstain.
-    """
-    rows = coded(leaves, antonyms).withColumn("atom", F.when(F.col("code").isNull(), F.concat(F.lit("@"), F.col("pos").cast("string"))).when(F.col("code").isin("T", "F"), F.col("key")).otherwise(F.concat_ws("#", "key", "code")))
+
+def _leaves(rows: DataFrame, by: str) -> DataFrame:
+    """(by, l): the leaves of each statement in order."""
     leaf = F.struct("pos", "op", "attitude", "negated", "reflexive", "atom", "says", "clashes")
-    packed = rows.groupBy("stmt_id").agg(F.array_sort(F.collect_list(leaf)).alias("l"))
+    return rows.groupBy(by).agg(F.array_sort(F.collect_list(leaf)).alias("l"))
+
+
+def _never_true(packed: DataFrame, keys: list[str]) -> DataFrame:
+    """The keys whose `statements` (arrays of leaves) cannot all be true at once.
+
+    If all fold by AND without attitudes, a clash of two leaves or a denied identity does it; else they are folded for every 0/1 assignment
+    that no clash rules out. More than 16 atoms abstain.
+    """
+    packed = packed.withColumn("l", F.flatten("statements"))
     free = F.filter("l", lambda x: ~x["reflexive"])
     packed = packed.withColumn("free", free).withColumn("atoms", F.array_distinct(F.transform("free", lambda x: x["atom"]))).where(F.size("atoms") <= MOST_ATOMS)
     plain = F.forall("l", lambda x: (x["op"] == "AND") & x["attitude"].isNull())
     denied = F.exists("l", lambda x: x["reflexive"] & x["negated"])
     listed = lambda c: F.flatten(F.transform("free", lambda x: x[c]))
-    clash = denied | F.arrays_overlap(listed("says"), listed("clashes"))
-    simple = packed.where(plain & clash).select("stmt_id")
+    simple = packed.where(plain & (denied | F.arrays_overlap(listed("says"), listed("clashes")))).select(*keys)
     # Mixed operators: the first leaf of each atom stands for it; two that clash are not true together.
     first = lambda a: F.get(F.filter("free", lambda x: x["atom"] == a), F.lit(0))
     mixed = packed.where(~plain).withColumn("reps", F.transform("atoms", first))
-    pair = lambda r, i: F.transform(F.filter(F.transform("reps", lambda s, j: F.struct(i.alias("i"), j.alias("j"), F.arrays_overlap(r["says"], s["clashes"]).alias("c"))), lambda p: p["c"] & (p["i"] < p["j"])), lambda p: F.struct(p["i"].alias("i"), p["j"].alias("j")))
-    place = lambda x: (F.array_position("atoms", x["atom"]) - 1).cast("int")
-    told = F.transform("l", lambda x: F.struct(x["op"].alias("op"), x["attitude"].alias("attitude"), F.when(x["reflexive"], F.when(x["negated"], 0.0).otherwise(1.0)).alias("fixed"), place(x).alias("at"), (F.startswith(x["atom"], F.lit("@")) | F.contains(x["atom"], F.lit("#")) | (x["negated"] == F.get("reps", place(x))["negated"])).alias("same")))
-    mixed = mixed.select("stmt_id", F.size("atoms").alias("k"), F.flatten(F.transform("reps", pair)).alias("mutex"), told.alias("told"))
+
+    def pairs(r: Column, i: Column) -> Column:
+        each = F.transform("reps", lambda s, j: F.struct(i.alias("i"), j.alias("j"), F.arrays_overlap(r["says"], s["clashes"]).alias("c")))
+        return F.transform(F.filter(each, lambda p: p["c"] & (p["i"] < p["j"])), lambda p: F.struct(p["i"].alias("i"), p["j"].alias("j")))
+
+    def told(x: Column) -> Column:
+        at = (F.array_position("atoms", x["atom"]) - 1).cast("int")
+        same = F.startswith(x["atom"], F.lit("@")) | F.contains(x["atom"], F.lit("#")) | (x["negated"] == F.get("reps", at)["negated"])
+        fixed = F.when(x["reflexive"], F.when(x["negated"], 0.0).otherwise(1.0))
+        return F.struct(x["op"].alias("op"), x["attitude"].alias("attitude"), fixed.alias("fixed"), at.alias("at"), same.alias("same"))
+
+    every_told = F.transform("statements", lambda st: F.transform(st, told))
+    mixed = mixed.select(*keys, F.size("atoms").alias("k"), F.flatten(F.transform("reps", pairs)).alias("mutex"), every_told.alias("told"))
+    mixed = cut(mixed)  # else the optimizer writes these columns into the filter below, which would compute them anew for every assignment
     bit = lambda m, i: F.bit_get(m, i) == 1
 
     def truth(m: Column, x: Column) -> Column:
         t = F.coalesce(x["fixed"], F.when(bit(m, x["at"]) == x["same"], 1.0).otherwise(0.0))
         return F.when(x["attitude"].isNotNull(), 0.5 + (t - 0.5) * x["attitude"]).otherwise(t)
 
-    def folded(m: Column) -> Column:
-        head = F.get("told", F.lit(0))
+    def folded(m: Column, st: Column) -> Column:
+        head = F.get(st, F.lit(0))
         start = F.when(head["op"] == "NOT", 1.0 - truth(m, head)).otherwise(truth(m, head))
-        return F.aggregate(F.slice("told", 2, F.size("told")), start, lambda acc, x: fold_step(x["op"], acc, truth(m, x)))
+        return F.aggregate(F.slice(st, 2, F.size(st)), start, lambda acc, x: fold_step(x["op"], acc, truth(m, x)))
 
     allowed = lambda m: F.forall("mutex", lambda p: ~(bit(m, p["i"]) & bit(m, p["j"])))
     every = F.sequence(F.lit(0), (F.pow(F.lit(2.0), F.col("k")) - 1).cast("int"))
-    hard = mixed.where(~F.exists(every, lambda m: allowed(m) & (folded(m) > 1e-9))).select("stmt_id")
-    return simple.unionByName(hard)
+    holds = lambda m: allowed(m) & F.forall("told", lambda st: folded(m, st) > 1e-9)
+    return simple.unionByName(mixed.where(~F.exists(every, holds)).select(*keys))
+
+
+def contradictions(leaves: DataFrame, antonyms: DataFrame | None = None) -> DataFrame:
+    """(stmt_id): statements that are false whatever their atoms are.
+
+    leaves (stmt_id, pos, op, attitude, subject, predicate, direct, corner, negated, unknown, reflexive). An atom is a claim at one corner;
+    an unknown word or a possibility is an atom of its own; a thing's identity with itself is true. If all fold by AND without attitudes, a
+    clash of two leaves or a denied identity does it; else the statement is folded for every 0/1 assignment that no clash rules out.
+    Statements of more than 16 atoms abstain.
+    """
+    packed = _leaves(_atoms(coded(leaves, antonyms), F.col("pos").cast("string")), "stmt_id")
+    return _never_true(packed.select("stmt_id", F.array("l").alias("statements")), ["stmt_id"])
+
+
+def _numbered(statements: DataFrame) -> DataFrame:
+    """(id, speaker, n): statements (id, speaker, us) numbered from 1 by time. Sorted in ranges, so a speaker is as many tasks as they fill."""
+    parts = int(statements.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = cut(statements.where("speaker is not null").repartitionByRange(parts, "speaker", "us", "id").withColumn("part", F.spark_partition_id()))
+    before = Window.partitionBy("speaker").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = spread.groupBy("speaker", "part").agg(F.count("*").alias("c")).select("speaker", "part", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("off"))
+    here = F.row_number().over(Window.partitionBy("part", "speaker").orderBy("us", "id"))
+    return spread.withColumn("n", here).join(counts, ["speaker", "part"]).select("id", "speaker", (F.col("n") + F.col("off")).alias("n"))
+
+
+def cross_item_mixed(leaves: DataFrame, k: int = 25, antonyms: DataFrame | None = None) -> DataFrame:
+    """(id, other): the newest of a speaker's k statements before one that cannot be true together with it; neither contradicts itself.
+
+    leaves (id, speaker, us, pos, op, attitude, subject, predicate, direct, corner, negated, unknown, reflexive); any operators. Only two
+    statements that name a claim in common or say what the other clashes with can be at odds; these meet by equi-joins within blocks of k
+    statements, at most k a statement, and are decided over the union of their atoms, each folded by itself. Unions of more than 16
+    atoms abstain, as do statements without speaker.
+    """
+    rows = cut(_atoms(coded(leaves, antonyms), F.concat_ws("-", F.col("id").cast("string"), F.col("pos").cast("string"))))
+    packed = _leaves(rows, "id")
+    own = _never_true(packed.select("id", F.array("l").alias("statements")), ["id"])
+    numbered = _numbered(rows.select("id", "speaker", "us").distinct()).join(own, "id", "left_anti").withColumn("block", F.floor(F.col("n") / k))
+    numbered = cut(numbered)
+    free = rows.where(~F.col("reflexive"))
+    tokens = lambda c: free.select("id", F.explode(F.array_append(c, F.concat("key", F.lit("#key")))).alias("token")).distinct()
+    new = numbered.withColumn("block", F.explode(F.array("block", F.col("block") - 1))).join(tokens("says"), "id")
+    old = numbered.select(F.col("id").alias("other"), "speaker", F.col("n").alias("m"), "block").join(tokens("clashes").withColumnRenamed("id", "other"), "other")
+    met = new.join(old, ["speaker", "block", "token"]).where((F.col("m") < F.col("n")) & (F.col("m") >= F.col("n") - k)).select("id", "other", "m").distinct()
+    both = met.join(packed, "id").join(packed.select(F.col("id").alias("other"), F.col("l").alias("_l")), "other")
+    odd = _never_true(both.select("id", "other", "m", F.array("l", "_l").alias("statements")), ["id", "other", "m"])
+    return odd.groupBy("id").agg(F.max(F.struct("m", "other"))["other"].alias("other"))
 
 
 def cross_item_conflict(leaves: DataFrame, k: int = 25, antonyms: DataFrame | None = None) -> DataFrame:
@@ -95,7 +158,7 @@ def cross_item_conflict(leaves: DataFrame, k: int = 25, antonyms: DataFrame | No
     """
     rows = coded(leaves, antonyms)
     own = rows.groupBy("id").agg(F.flatten(F.collect_list("says")).alias("s"), F.flatten(F.collect_list("clashes")).alias("c")).where(F.arrays_overlap("s", "c")).select("id")
-    numbered = rows.select("id", "speaker", "us").distinct().withColumn("n", F.row_number().over(Window.partitionBy("speaker").orderBy("us", "id")))
+    numbered = _numbered(rows.select("id", "speaker", "us").distinct())
     sound = rows.join(own, "id", "left_anti").select("id", "says", "clashes").join(numbered.select("id", "speaker", "n"), "id").withColumn("block", F.floor(F.col("n") / k))
     near = sound.withColumn("block", F.explode(F.array("block", F.col("block") - 1)))
     new = near.select("id", "speaker", "n", "block", F.explode("clashes").alias("token"))

@@ -207,6 +207,44 @@ def _cross(s, d):
     return K.cross_item_conflict(rows, antonyms=s.createDataFrame([("p0", "p1")], "a string, b string"))
 
 
+def _cross_mixed(s, d):
+    """Two events in a row are one statement of one of 40 speakers, of any operators."""
+    e, k = B.events(s, d), F.col("k")
+    pick = lambda values, i: F.element_at(F.array(*[F.lit(x) for x in values]), i.cast("int"))
+    number = F.floor(F.col("event_id") / 2)
+    rows = e.select(
+        number.alias("id"), (number % 40).alias("speaker"), number.alias("us"), (F.col("event_id") % 2).cast("int").alias("pos"), pick(_MIXED, F.floor(k / 2) % 5 + 1).alias("op"),
+        F.when(k % 23 == 0, (k % 10) / 10.0).alias("attitude"), F.col("event_type").alias("subject"), F.concat(F.lit("p"), (k % 3).cast("string")).alias("predicate"), F.lit(None).cast("string").alias("direct"),
+        pick(("A", "E", "I", "O", "CRISP", "CRISP", "MODAL"), k % 7 + 1).alias("corner"), (k % 2 == 0).alias("negated"), (k % 13 == 0).alias("unknown"), (k % 47 == 0).alias("reflexive"),
+    )
+    return K.cross_item_mixed(rows, antonyms=s.createDataFrame([("p0", "p1")], "a string, b string"))
+
+
+_MIXED = ["AND", "OR", "AND", "NOT", "IMPLY"]
+
+# All pairs of a speaker's statements within reach, and every assignment of 0 and 1 to the atoms of both; -1: a statement alone.
+_CROSS_MIXED = f"""WITH {B.EVENTS}, r AS (SELECT event_id // 2 AS id, (event_id // 2) % 40 AS speaker, event_id % 2 AS pos, list_extract({_MIXED!r}, ((k // 2) % 5 + 1)::INT) AS op, CASE WHEN k % 23 = 0 THEN (k % 10) / 10.0::DOUBLE END AS attitude,
+ event_type AS subject, k % 3 AS p, k % 2 = 0 AS negated, k % 47 = 0 AS refl, CASE WHEN k % 13 > 0 THEN CASE k % 7 WHEN 0 THEN 'A' WHEN 1 THEN 'E' WHEN 2 THEN 'I' WHEN 3 THEN 'O' WHEN 6 THEN NULL ELSE CASE WHEN k % 2 = 0 THEN 'F' ELSE 'T' END END END AS code FROM ev),
+named AS (SELECT *, CASE WHEN code IS NULL THEN '@' || id || '-' || pos WHEN code IN ('T', 'F') THEN subject || p ELSE subject || p || code END AS atom FROM r),
+num AS (SELECT id, speaker, row_number() OVER (PARTITION BY speaker ORDER BY id) AS n FROM (SELECT DISTINCT id, speaker FROM r)),
+pair AS (SELECT x.id AS a, y.id AS b, y.n FROM num x JOIN num y ON x.speaker = y.speaker AND y.n < x.n AND y.n >= x.n - 25 UNION ALL SELECT id, -1, 0 FROM num),
+l AS (SELECT a, b, part, part * 2 + pos AS at, pos, op, attitude, subject, p, negated, refl, code, atom FROM (SELECT a, b, a AS id, 0 AS part FROM pair UNION ALL SELECT a, b, b, 1 FROM pair WHERE b >= 0) JOIN named USING (id)),
+shape AS (SELECT a, b, bool_and(op = 'AND' AND attitude IS NULL) AS plain, bool_or(refl AND negated) AS denied FROM l GROUP BY ALL),
+rep AS (SELECT a, b, atom, min(at) AS fp, arg_min(negated, at) AS rn, row_number() OVER (PARTITION BY a, b ORDER BY min(at)) - 1 AS i FROM l WHERE NOT refl GROUP BY a, b, atom),
+clash AS (SELECT x.a, x.b, x.at AS f, y.at AS g FROM l x JOIN l y ON x.a = y.a AND x.b = y.b AND x.subject = y.subject AND NOT x.refl AND NOT y.refl
+ WHERE (x.p = y.p AND x.code || y.code IN ('AO', 'OA', 'AE', 'EA', 'EI', 'IE', 'TF', 'FT')) OR (x.p + y.p = 1 AND NOT x.negated AND NOT y.negated AND x.code IN ('A', 'E', 'T') AND y.code IN ('A', 'E', 'T'))),
+mutex AS (SELECT DISTINCT c.a, c.b, ((1 << x.i::INT) | (1 << y.i::INT)) AS both_ FROM clash c JOIN rep x ON x.a = c.a AND x.b = c.b AND x.fp = f JOIN rep y ON y.a = c.a AND y.b = c.b AND y.fp = g WHERE x.i < y.i),
+mask AS (SELECT a, b, m FROM shape JOIN (SELECT unnest(range(16)) AS m) ON NOT plain LEFT JOIN mutex x USING (a, b) GROUP BY ALL HAVING coalesce(bool_and((m & both_) <> both_), true)),
+told AS (SELECT l.a, l.b, m, part, pos, op, CASE WHEN refl THEN CASE WHEN negated THEN 0.0 ELSE 1.0 END WHEN code IN ('T', 'F') AND negated <> rn THEN 1.0 - ((m >> i::INT) & 1) ELSE (m >> i::INT) & 1 END::DOUBLE AS raw, attitude
+ FROM mask JOIN l USING (a, b) LEFT JOIN rep ON rep.a = l.a AND rep.b = l.b AND rep.atom = l.atom AND NOT refl),
+leaf AS (SELECT a, b, m, part, pos, op, CASE WHEN attitude IS NULL THEN raw ELSE 0.5 + (raw - 0.5) * attitude END AS x FROM told),
+two AS (SELECT a, b, m, part, max(CASE WHEN pos = 0 THEN CASE WHEN op = 'NOT' THEN 1 - x ELSE x END END) AS t, max(CASE WHEN pos = 1 THEN x END) AS x, max(CASE WHEN pos = 1 THEN op END) AS op FROM leaf GROUP BY ALL),
+fold AS (SELECT a, b, m, bool_and(CASE WHEN op IS NULL THEN t WHEN t IS NULL THEN CASE WHEN op = 'NOT' THEN 1 - x ELSE x END WHEN op = 'OR' THEN greatest(t, x) WHEN op = 'IMPLY' THEN CASE WHEN t <= x THEN 1.0 ELSE x END WHEN op = 'NOT' THEN least(t, 1 - x) ELSE least(t, x) END > 1e-9) AS true_ FROM two GROUP BY ALL),
+bad AS (SELECT a, b FROM shape WHERE plain AND (denied OR EXISTS (SELECT 1 FROM clash c WHERE c.a = shape.a AND c.b = shape.b)) UNION ALL SELECT a, b FROM shape s WHERE NOT plain AND NOT EXISTS (SELECT 1 FROM fold f WHERE f.a = s.a AND f.b = s.b AND true_)),
+own AS (SELECT a FROM bad WHERE b = -1)
+SELECT a AS id, max(b) AS other FROM bad WHERE b >= 0 AND a NOT IN (SELECT a FROM own) AND b NOT IN (SELECT a FROM own) GROUP BY 1"""
+
+
 def _reductio(s, d):
     """Is each customer of a class of the graph, or not? Every third claim is a denial."""
     c, k = B.table(s, d, "customer"), F.col("c_custkey")
@@ -246,6 +284,7 @@ QUERIES = {
     "contradictions": lambda s, d: K.contradictions(_contra_leaves(s, d, True), _antonyms(s)),
     "contradictions_mixed": lambda s, d: K.contradictions(_contra_leaves(s, d, False), _antonyms(s)),
     "cross_item_conflict": _cross,
+    "cross_item_mixed": _cross_mixed,
 }
 
 _TRUST_OF = "CASE WHEN machine THEN 0.3 ELSE 0.9 END"
@@ -360,6 +399,7 @@ FROM ev e JOIN claims c USING (claim_id) JOIN customer ON c_custkey = claim_id L
     "answer_where": f"WITH {KB}, {CLAIMS}, f AS (SELECT seed, min(object || '@place') AS b FROM props WHERE object = 'F' GROUP BY 1) SELECT claim_id AS question_id, CASE claim_id WHEN 1 THEN 'N:1' WHEN 2 THEN 'N:2' ELSE b END AS answer, CASE WHEN claim_id IN (1, 2) THEN 0.9 WHEN b IS NOT NULL THEN 0.7 ELSE 0.3 END::DOUBLE AS confidence FROM claims LEFT JOIN f ON seed = subject",
     "contradictions": _contra_sql(True),
     "contradictions_mixed": _contra_sql(False),
+    "cross_item_mixed": _CROSS_MIXED,
     "cross_item_conflict": f"""WITH {B.EVENTS}, r AS (SELECT event_id // 2 AS id, (event_id // 2) % 40 AS speaker, event_type AS subject, k % 3 AS p, k % 2 = 0 AS negated, CASE WHEN k % 13 > 0 THEN CASE k % 7 WHEN 0 THEN 'A' WHEN 1 THEN 'E' WHEN 2 THEN 'I' WHEN 3 THEN 'O' WHEN 6 THEN NULL ELSE CASE WHEN k % 2 = 0 THEN 'F' ELSE 'T' END END END AS code FROM ev),
 hit AS (SELECT DISTINCT a.id, a.speaker, b.id AS other FROM r a JOIN r b ON a.speaker = b.speaker AND a.subject = b.subject AND b.id <= a.id WHERE (a.p = b.p AND a.code || b.code IN ('AO', 'OA', 'AE', 'EA', 'EI', 'IE', 'TF', 'FT')) OR (a.p + b.p = 1 AND NOT a.negated AND NOT b.negated AND a.code IN ('A', 'E', 'T') AND b.code IN ('A', 'E', 'T'))),
 own AS (SELECT id FROM hit WHERE id = other), n AS (SELECT id, row_number() OVER (PARTITION BY speaker ORDER BY id) AS n FROM (SELECT DISTINCT id, speaker FROM r))

@@ -87,6 +87,23 @@ def test_contradictions_of_each_source(spark):
     assert sorted(r.stmt_id for r in found.collect()) == [1, 3, 5, 7, 9, 10]
 
 
+def test_statements_of_one_speaker_at_odds(spark):
+    leaf = lambda i, p, pred, neg=False, op="AND", who="me", unknown=False: (i, who, i, p, op, None, "x", pred, None, "CRISP", neg, unknown, False)
+    rows = [
+        leaf(1, 0, "a"), leaf(1, 1, "b", op="OR"), leaf(2, 0, "a", True), leaf(3, 0, "b", True), leaf(3, 1, "a", True),  # a or b; not a (fits); neither (at odds with the first)
+        leaf(4, 0, "c"), leaf(4, 1, "d", op="IMPLY"), leaf(5, 0, "c"), leaf(5, 1, "d", True),  # c implies d; c and not d
+        leaf(6, 0, "e", op="NOT"), leaf(7, 0, "e"), leaf(8, 0, "e"), leaf(8, 1, "e", True), leaf(9, 0, "e", True),  # not e; e; both; not e again
+        leaf(10, 0, "f", unknown=True), leaf(11, 0, "f", True, unknown=True), leaf(12, 0, "a", True, who="you"), leaf(13, 0, "a", who=None), leaf(14, 0, "a", True, who=None),
+        leaf(15, 0, "dead"), leaf(15, 1, "q", op="ANDNOT"), leaf(16, 0, "alive"), leaf(16, 1, "r", op="THAT"),  # antonyms
+    ] + [leaf(20, i, f"p{i}", op="OR") for i in range(17)] + [leaf(21, i, f"p{i}", True) for i in range(17)]
+    df = spark.createDataFrame(rows, "id long, speaker string, us long, pos int, op string, attitude double, subject string, predicate string, direct string, corner string, negated boolean, unknown boolean, reflexive boolean")
+    opposite = spark.createDataFrame([("dead", "alive")], "a string, b string")
+    got = {r.id: r.other for r in K.cross_item_mixed(df, antonyms=opposite).collect()}
+    assert got == {3: 1, 5: 4, 7: 6, 9: 7, 16: 15}
+    assert {r.id: r.other for r in K.cross_item_mixed(df, k=1, antonyms=opposite).collect()} == {5: 4, 7: 6, 16: 15}
+    assert K.cross_item_mixed(df.limit(0)).count() == 0
+
+
 def test_sufficient_rules_of_each_fault(spark):
     def leaf(doc, pos, subject, predicate, obj=None, negated=False, op="AND"):
         return (doc, pos, op, None, None, negated, subject, predicate, obj)
