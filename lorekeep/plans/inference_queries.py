@@ -228,10 +228,10 @@ _CROSS_MIXED = f"""WITH {B.EVENTS}, r AS (SELECT event_id // 2 AS id, (event_id
 named AS (SELECT *, CASE WHEN code IS NULL THEN '@' || id || '-' || pos WHEN code IN ('T', 'F') THEN subject || p ELSE subject || p || code END AS atom FROM r),
 num AS (SELECT id, speaker, row_number() OVER (PARTITION BY speaker ORDER BY id) AS n FROM (SELECT DISTINCT id, speaker FROM r)),
 pair AS (SELECT x.id AS a, y.id AS b, y.n FROM num x JOIN num y ON x.speaker = y.speaker AND y.n < x.n AND y.n >= x.n - 25 UNION ALL SELECT id, -1, 0 FROM num),
-l AS (SELECT a, b, part, part * 2 + pos AS at, pos, op, attitude, subject, p, negated, refl, code, atom FROM (SELECT a, b, a AS id, 0 AS part FROM pair UNION ALL SELECT a, b, b, 1 FROM pair WHERE b >= 0) JOIN named USING (id)),
+l AS (SELECT a, b, part, part * 2 + pos AS seq, pos, op, attitude, subject, p, negated, refl, code, atom FROM (SELECT a, b, a AS id, 0 AS part FROM pair UNION ALL SELECT a, b, b, 1 FROM pair WHERE b >= 0) JOIN named USING (id)),
 shape AS (SELECT a, b, bool_and(op = 'AND' AND attitude IS NULL) AS plain, bool_or(refl AND negated) AS denied FROM l GROUP BY ALL),
-rep AS (SELECT a, b, atom, min(at) AS fp, arg_min(negated, at) AS rn, row_number() OVER (PARTITION BY a, b ORDER BY min(at)) - 1 AS i FROM l WHERE NOT refl GROUP BY a, b, atom),
-clash AS (SELECT x.a, x.b, x.at AS f, y.at AS g FROM l x JOIN l y ON x.a = y.a AND x.b = y.b AND x.subject = y.subject AND NOT x.refl AND NOT y.refl
+rep AS (SELECT a, b, atom, min(seq) AS fp, arg_min(negated, seq) AS rn, row_number() OVER (PARTITION BY a, b ORDER BY min(seq)) - 1 AS i FROM l WHERE NOT refl GROUP BY a, b, atom),
+clash AS (SELECT x.a, x.b, x.seq AS f, y.seq AS g FROM l x JOIN l y ON x.a = y.a AND x.b = y.b AND x.subject = y.subject AND NOT x.refl AND NOT y.refl
  WHERE (x.p = y.p AND x.code || y.code IN ('AO', 'OA', 'AE', 'EA', 'EI', 'IE', 'TF', 'FT')) OR (x.p + y.p = 1 AND NOT x.negated AND NOT y.negated AND x.code IN ('A', 'E', 'T') AND y.code IN ('A', 'E', 'T'))),
 mutex AS (SELECT DISTINCT c.a, c.b, ((1 << x.i::INT) | (1 << y.i::INT)) AS both_ FROM clash c JOIN rep x ON x.a = c.a AND x.b = c.b AND x.fp = f JOIN rep y ON y.a = c.a AND y.b = c.b AND y.fp = g WHERE x.i < y.i),
 mask AS (SELECT a, b, m FROM shape JOIN (SELECT unnest(range(16)) AS m) ON NOT plain LEFT JOIN mutex x USING (a, b) GROUP BY ALL HAVING coalesce(bool_and((m & both_) <> both_), true)),
