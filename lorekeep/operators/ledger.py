@@ -35,8 +35,12 @@ def trust_fold(episodes: DataFrame, imprinted: DataFrame | None = None, neutral:
 
 
 def trust_bands(trust: Column, imprint: Column, me: Column, channel: Column | None = None) -> Column:
-    """Band of a person's trust; of those that are neither the agent nor its maker with `@channel`, where one is told."""
-    band = F.when(trust >= 0.65, "trusted").when(trust >= 0.45, "neutral").otherwise("wary")
+    """Band of a person's trust to six places; of those that are neither the agent nor its maker with `@channel`, where one is told.
+
+    Trust is a sum of fractions, so one that is just at a border is told by its rounded value and not by the order of additions.
+    """
+    told = F.round(trust, 6)
+    band = F.when(told >= 0.65, "trusted").when(told >= 0.45, "neutral").otherwise("wary")
     suffix = F.lit("") if channel is None else F.coalesce(F.concat(F.lit("@"), channel), F.lit(""))
     return F.when(me, "self").when(imprint, "maker").otherwise(F.concat(band, suffix))
 

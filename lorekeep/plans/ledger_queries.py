@@ -180,7 +180,7 @@ dep AS (SELECT signature, id FROM needs JOIN root USING (premise) UNION SELECT s
 ORACLES = {
     "episode_delta": f"{E_SQL} SELECT id, delta FROM d",
     "trust_fold": f"{E_SQL}, {_TRUST} SELECT stakeholder, round(trust, 6) AS trust FROM t",
-    "trust_bands": f"{E_SQL}, {_TRUST} SELECT stakeholder, CASE WHEN stakeholder = 7 THEN 'self' WHEN stakeholder % 40 = 0 THEN 'maker' ELSE CASE WHEN trust >= 0.65 THEN 'trusted' WHEN trust >= 0.45 THEN 'neutral' ELSE 'wary' END || CASE WHEN stakeholder % 3 = 0 THEN '@chat' ELSE '' END END AS band FROM t",
+    "trust_bands": f"{E_SQL}, {_TRUST} SELECT stakeholder, CASE WHEN stakeholder = 7 THEN 'self' WHEN stakeholder % 40 = 0 THEN 'maker' ELSE CASE WHEN round(trust, 6) >= 0.65 THEN 'trusted' WHEN round(trust, 6) >= 0.45 THEN 'neutral' ELSE 'wary' END || CASE WHEN stakeholder % 3 = 0 THEN '@chat' ELSE '' END END AS band FROM t",
     "trust_echo": f"WITH {B.EVENTS}, t AS (SELECT *, {_TOKEN} AS token FROM ev) SELECT event_id, CASE WHEN k % 31 = 0 THEN 'self_inconsistency' WHEN token = 'inconsistent' THEN 'logic_violation' WHEN token = 'true' AND k % 3 = 0 THEN 'kicker' WHEN token = 'true' THEN 'agreement' WHEN token = 'false' THEN 'disagreement' END AS episode FROM t",
     "kb_fingerprint": f"WITH {THEOREMS} SELECT 'axioms:' || (SELECT count(*) || ':' || max(created) FROM theorems WHERE NOT archived AND postable) || ';theorems:' || (SELECT count(*) || ':' || max(created) FROM theorems WHERE NOT archived) AS fingerprint",
     "snapshot_metrics": "SELECT 'dictionary' AS metric, count(*) AS value FROM part UNION ALL SELECT 'active_theorems', count(*) FILTER (o_orderstatus <> 'F') FROM orders UNION ALL SELECT 'others', count(*) FILTER (c_custkey <> 0) FROM customer UNION ALL SELECT 'episodes', count(*) FROM events",
