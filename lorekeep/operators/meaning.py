@@ -105,7 +105,7 @@ def preserves(before: DataFrame, after: DataFrame, strict: bool = False, floor:
 
     Leaves (doc_id, pos, sound, subject, predicate, direct, negated, quantifier, modal, question, vector). Reasons: `raw` (strict
     only: the text has an unsound leaf or none), `unsound` (the rewrite has, or no leaf), `balloons` (over two leaves more), `mood` (a question
-    became none), `drifts` (cosine of the sums of sound vectors below the floor), `dropped` and `flag` (of the first sound leaf that has
+    became none), `drifts` (cosine of the sums of sound vectors, to six places, below the floor), `dropped` and `flag` (of the first sound leaf that has
     no leaf of its key, or one of another quantifier or modal), `count` (strict only: another number of leaves).
     """
     key = ["subject", "predicate", "direct", "negated"]
@@ -122,7 +122,7 @@ def preserves(before: DataFrame, after: DataFrame, strict: bool = False, floor:
     changed = ~(F.col("quantifier").eqNullSafe(F.col("m.quantifier")) & F.col("modal").eqNullSafe(F.col("m.modal")))
     fault = kept.groupBy("doc_id").agg(F.min(F.when(F.col("m").isNull(), F.struct("pos", F.lit("dropped").alias("why"))).when(changed, F.struct("pos", F.lit("flag").alias("why")))).alias("f"))
     rows = summary(before, "b").join(summary(after, "a"), "doc_id", "left").join(fault, "doc_id", "left")
-    near = cosine(F.col("v_b"), F.col("v_a"), rescale=False)
+    near = F.round(cosine(F.col("v_b"), F.col("v_a"), rescale=False), 6)
     reason = F.when(F.lit(strict) & ~F.col("sound_b"), "raw")
     reason = reason.when(F.col("n_a").isNull() | ~F.col("sound_a"), "unsound").when(F.col("n_a") > F.col("n_b") + 2, "balloons").when(F.col("asks_b") & ~F.col("asks_a"), "mood")
     reason = reason.when(F.col("v_a").isNotNull() & F.col("v_b").isNotNull() & (near < floor), "drifts").when(F.col("f").isNotNull(), F.col("f.why"))

@@ -120,7 +120,7 @@ m AS (SELECT doc_id, subject, predicate, direct, negated, arg_max(coalesce(quant
 f AS (SELECT bef.doc_id, arg_min(CASE WHEN m.doc_id IS NULL THEN 'dropped' ELSE 'flag' END, pos) AS why FROM bef LEFT JOIN m ON m.doc_id = bef.doc_id AND m.subject IS NOT DISTINCT FROM bef.subject AND m.predicate IS NOT DISTINCT FROM bef.predicate AND m.direct IS NOT DISTINCT FROM bef.direct AND m.negated = bef.negated
  WHERE sound AND (m.doc_id IS NULL OR m.flags <> coalesce(quantifier, '') || '/' || coalesce(modal, '')) GROUP BY 1),
 r AS (SELECT b.doc_id, CASE {raw} WHEN a.n IS NULL OR NOT a.sound THEN 'unsound' WHEN a.n > b.n + 2 THEN 'balloons' WHEN b.asks AND NOT a.asks THEN 'mood'
- WHEN (a.s0 * b.s0 + a.s1 * b.s1 + a.s2 * b.s2) / sqrt(a.s0 ** 2 + a.s1 ** 2 + a.s2 ** 2) / sqrt(b.s0 ** 2 + b.s1 ** 2 + b.s2 ** 2) < 0.6 THEN 'drifts' WHEN why IS NOT NULL THEN why {count} END AS reason FROM b LEFT JOIN a ON a.doc_id = b.doc_id LEFT JOIN f ON f.doc_id = b.doc_id)
+ WHEN round((a.s0 * b.s0 + a.s1 * b.s1 + a.s2 * b.s2) / sqrt(a.s0 ** 2 + a.s1 ** 2 + a.s2 ** 2) / sqrt(b.s0 ** 2 + b.s1 ** 2 + b.s2 ** 2), 6) < 0.6 THEN 'drifts' WHEN why IS NOT NULL THEN why {count} END AS reason FROM b LEFT JOIN a ON a.doc_id = b.doc_id LEFT JOIN f ON f.doc_id = b.doc_id)
 SELECT doc_id, reason IS NULL AS ok, reason FROM r"""
 
 
