@@ -103,25 +103,33 @@ def spatial_enrich(places: DataFrame, polygons: DataFrame, cell: float = 1.0) ->
 
     A geographical place gets the polygons' names before the last element of its path and the smallest one as parent; an
     administrative one gets them in the sorted set of its features; a place of the polygon's own name is left alone. Points meet
-    polygons by cells of so many degrees, an equi-join, so no point is tried with a polygon that is not near.
+    polygons by cells of so many degrees, an equi-join, so no point is tried with a polygon that is not near. Points and rings that are
+    told several times meet once; a point's list of polygons is sorted once and goes to all places there.
     """
     low, high = lambda c: F.floor(F.array_min(c) / cell), lambda c: F.floor(F.array_max(c) / cell)
     xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
-    p = polygons.select(F.col("name").alias("polygon"), "ring", area(F.col("ring")).alias("area"), F.explode(F.sequence(low(xs), high(xs))).alias("cx"), F.sequence(low(ys), high(ys)).alias("cys"))
-    p = p.select("polygon", "ring", "area", "cx", F.explode("cys").alias("cy"))
-    at = places.select("uid", "name", "lon", "lat", F.floor(F.col("lon") / cell).alias("cx"), F.floor(F.col("lat") / cell).alias("cy"))
-    hits = at.join(p, ["cx", "cy"]).where((F.col("name") != F.col("polygon")) & inside(F.col("lon"), F.col("lat"), F.col("ring")))
-    order = F.array_sort(F.collect_list(F.struct((-F.col("area")).alias("a"), F.col("polygon").alias("p"))))
-    found = hits.groupBy("uid").agg(F.transform(order, lambda s: s["p"]).alias("found"))
-    rows = places.join(found, "uid", "left").withColumn("found", F.coalesce("found", F.array().cast("array<string>")))
-    geo = F.col("category") == "geographical"
+    p = polygons.where("name is not null").groupBy("ring").agg(F.collect_list("name").alias("polygons"))
+    p = p.select("polygons", "ring", area(F.col("ring")).alias("area"), F.explode(F.sequence(low(xs), high(xs))).alias("cx"), F.sequence(low(ys), high(ys)).alias("cys"))
+    p = p.select("polygons", "ring", "area", "cx", F.explode("cys").alias("cy"))
+    at = places.select("lon", "lat").distinct().withColumns({"cx": F.floor(F.col("lon") / cell), "cy": F.floor(F.col("lat") / cell)})
+    hits = at.join(p, ["cx", "cy"]).where(inside(F.col("lon"), F.col("lat"), F.col("ring")))
+    each = F.transform("polygons", lambda n: F.struct((-F.col("area")).alias("a"), n.alias("p")))
+    found = hits.select("lon", "lat", each.alias("each")).groupBy("lon", "lat").agg(F.array_sort(F.flatten(F.collect_list("each"))).alias("s")).select("lon", "lat", F.transform("s", lambda s: s["p"]).alias("found"))
+    none = F.array().cast("array<string>")
+    rows = places.withColumn("geo", F.coalesce(F.col("category") == "geographical", F.lit(False))).withColumn("features", F.coalesce("physical_features", none))
+    # One list for each kind of place at a point; a place of a polygon's own name leaves it out below.
+    kinds = rows.select("lon", "lat", "geo", F.when(~F.col("geo"), F.col("features")).otherwise(none).alias("kind"))
+    lists = kinds.distinct().join(found, ["lon", "lat"]).withColumn("found", F.when(F.col("geo"), F.col("found")).otherwise(F.array_sort(F.array_distinct(F.concat("kind", "found")))))
+    rows = rows.withColumn("kind", F.when(~F.col("geo"), F.col("features")).otherwise(none)).join(lists, ["lon", "lat", "geo", "kind"], "left")
+    geo = F.col("geo")
+    kept = F.when(~geo & F.array_contains("features", F.col("name")), F.col("found")).otherwise(F.array_remove("found", F.col("name")))
+    rows = rows.withColumn("found", F.coalesce(kept, F.when(geo, none).otherwise(F.array_sort(F.array_distinct("features")))))
     path = F.concat(F.slice("path_geo", 1, F.greatest(F.size("path_geo") - 1, F.lit(0))), F.col("found"), F.slice("path_geo", F.greatest(F.size("path_geo"), F.lit(1)), 1))
-    features = F.coalesce("physical_features", F.array().cast("array<string>"))
     return rows.select(
         "uid",
         "name",
         "category",
         F.when(geo & (F.size("found") > 0), F.element_at("found", -1)).otherwise(F.col("parent_geo")).alias("parent_geo"),
         F.when(geo, path).otherwise(F.col("path_geo")).alias("path_geo"),
-        F.when(geo, features).otherwise(F.array_sort(F.array_distinct(F.concat(features, "found")))).alias("physical_features"),
+        F.when(geo, F.col("features")).otherwise(F.col("found")).alias("physical_features"),
     )
