@@ -6,27 +6,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorekeep.functions.text import name_pattern, replacement, uid_pattern
-from lorekeep.runtime import cut
+from lorekeep.runtime import store
 
-#: Words of a name that are looked up, and characters of a uid; the whole of either is compared afterwards.
-WORDS, CHARS = 8, 4
+#: Words of a name that are looked up, and last characters of a uid; the whole of either is compared afterwards.
+WORDS, CHARS = 8, 64
+#: Last characters of a uid that are looked at first, and cells that they, and first words of names, are hashed to.
+GRAM, CELLS = 4, 1 << 18
 
 
 def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"(?U)(\w+)"), 1)
 
 
+def _cell(text: Column) -> Column:
+    return F.pmod(F.xxhash64(text), F.lit(CELLS)).cast("int")
+
+
 def _wanted(people: DataFrame) -> DataFrame:
-    """(key, kind, n, turn, length, literal, label): what to look for; uids have the first turn, names the second, longest first."""
+    """(key, kind, n, cell, turn, length, literal, label): what to look for; uids have the first turn, names the second, longest first."""
     has = lambda c, kind: F.col(c).cast(kind) if c in people.columns else F.lit(None).cast(kind)
     known = people.select(F.trim(has("uid", "string")).alias("uid"), F.trim("name").alias("name"), "label", F.coalesce(has("is_me", "boolean"), F.lit(False)).alias("is_me")).where("not is_me and label is not null")
     both = known.select(F.explode(F.array(F.struct(F.lit(0).alias("turn"), F.col("uid").alias("literal")), F.struct(F.lit(1).alias("turn"), F.col("name").alias("literal")))).alias("x"), "label").select("x.*", "label")
     rows = both.where(F.char_length("literal") >= 2).groupBy("turn", "literal").agg(F.min("label").alias("label"))
     words = F.slice(_words(F.col("literal")), 1, WORDS)
     by_word = (F.col("turn") == 1) & (F.size(words) > 0)
-    key = F.when(by_word, F.array_join(words, " ")).otherwise(F.lower(F.right("literal", F.lit(CHARS))))
-    n = F.when(by_word, F.size(words)).otherwise(F.char_length(F.right("literal", F.lit(CHARS))))
-    return rows.select(key.alias("key"), F.when(by_word, "words").otherwise("chars").alias("kind"), n.alias("n"), "turn", F.char_length("literal").alias("length"), "literal", "label")
+    end = F.lower(F.right("literal", F.lit(CHARS)))
+    key = F.when(by_word, F.array_join(words, " ")).otherwise(end)
+    n = F.when(by_word, F.size(words)).otherwise(F.char_length(end))
+    first = F.when(by_word, F.get(words, F.lit(0))).otherwise(F.right(end, F.lit(GRAM)))
+    return rows.select(key.alias("key"), F.when(by_word, "words").otherwise("chars").alias("kind"), n.alias("n"), _cell(first).alias("cell"), "turn", F.char_length("literal").alias("length"), "literal", "label")
 
 
 def _pattern(turn: Column, literal: Column) -> Column:
@@ -34,29 +42,28 @@ def _pattern(turn: Column, literal: Column) -> Column:
 
 
 def mentions(lines: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, turn, length, literal, label): who is named in lines (id, text).
+    """(id, named): who may be named in lines (id, text), as an array of (turn, shorter, literal, label) in order; whole words and ends agree.
 
-    Every run of as many words, or characters, as some key has is looked up by an equi-join; what has the key is compared as a whole.
+    A word, or an end of a run of characters, whose cell has no key goes no further; the cells are a table of bounded size that tasks hold.
+    What is left makes one key for each size that its cell has, and keys meet by an equi-join, so who only ends like another is never met.
     """
-    sizes: dict[str, list[int]] = {"words": [], "chars": []}
-    for r in wanted.select("kind", "n").distinct().collect():  # at most WORDS + CHARS rows
-        sizes[r["kind"]].append(r["n"])
-    words, low = _words(F.col("text")), F.lower("text")
-
-    def cuts(kind: str, n: int) -> Column:
-        size = F.size("words") if kind == "words" else F.char_length("low")
-        piece = (lambda i: F.array_join(F.slice("words", i, n), " ")) if kind == "words" else (lambda i: F.substr(F.col("low"), i, F.lit(n)))
-        return F.when(size >= n, F.transform(F.sequence(F.lit(1), size - n + 1), piece)).otherwise(F.array().cast("array<string>"))
-
-    def keys(kind: str, n: int) -> Column:
-        return F.transform(F.array_distinct(cuts(kind, n)), lambda key: F.struct(F.lit(kind).alias("kind"), key.alias("key")))
-
-    asked = [keys(kind, n) for kind, all_n in sizes.items() for n in sorted(all_n)]
-    if not asked:
-        return lines.select("id").join(wanted.select("turn", "length", "literal", "label").limit(0))
-    parts = lines.select("id", "text", words.alias("words"), low.alias("low")).select("id", F.explode(F.concat(*asked)).alias("k")).select("id", "k.*")
-    met = parts.join(wanted, ["kind", "key"]).select("id", "turn", "length", "literal", "label").distinct()
-    return met.join(lines, "id").where(F.regexp_count("text", _pattern(F.col("turn"), F.col("literal"))) > 0).drop("text")
+    grams = [r.g for r in wanted.where("kind = 'chars'").select(F.least("n", F.lit(GRAM)).alias("g")).distinct().collect()]  # at most GRAM rows
+    cells = F.broadcast(wanted.groupBy("kind", "cell").agg(F.collect_set("n").alias("sizes")))
+    words, low = F.col("words"), F.col("low")
+    upto = lambda size: F.when(size > 0, F.sequence(F.lit(1), size)).otherwise(F.array().cast("array<int>"))
+    runs = F.transform(upto(F.size(words)), lambda i: F.slice(words, i, WORDS))
+    run = lambda kind, cell, run, end: F.struct(F.lit(kind).alias("kind"), cell.alias("cell"), run.alias("run"), end.alias("end"))
+    begun = F.transform(runs, lambda r: run("words", _cell(F.get(r, F.lit(0))), r, F.lit(None).cast("string")))
+    ends = F.transform(upto(F.char_length(low)), lambda i: F.substr(low, F.greatest(i - (CHARS - 1), F.lit(1)), F.least(i, F.lit(CHARS))))
+    ended = [F.transform(F.filter(F.col("ends"), lambda e: F.char_length(e) >= g), lambda e: run("chars", _cell(F.right(e, F.lit(g))), F.lit(None).cast("array<string>"), e)) for g in grams]
+    texts = lines.where("text is not null").select("id", _words(F.col("text")).alias("words"), F.lower("text").alias("low"))
+    parts = texts.select("id", begun.alias("begun"), (ends if grams else F.array().cast("array<string>")).alias("ends"))
+    parts = parts.select("id", F.explode(F.concat("begun", *ended)).alias("p")).select("id", "p.*").join(cells, ["kind", "cell"])
+    parts = parts.select("id", "kind", "run", "end", F.explode("sizes").alias("n"))
+    whole = F.coalesce(F.size("run"), F.lit(0)) >= F.col("n")
+    key = F.when(F.col("kind") == "chars", F.when(F.char_length("end") >= F.col("n"), F.right("end", F.col("n")))).when(whole, F.array_join(F.slice("run", F.lit(1), F.col("n")), " "))
+    met = parts.select("id", "kind", key.alias("key")).where("key is not null").join(wanted, ["kind", "key"])
+    return met.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("turn", (-F.col("length")).alias("shorter"), "literal", "label"))).alias("named"))
 
 
 def hide_people(lines: DataFrame, people: DataFrame) -> DataFrame:
@@ -68,17 +75,15 @@ def hide_people(lines: DataFrame, people: DataFrame) -> DataFrame:
     without label are left as they are; of people who share a name the smallest label is taken. A line only meets those it names, so
     neither side is held whole anywhere; ids are unique.
     """
-    wanted = cut(_wanted(people))
-    found = mentions(lines, wanted)
-    order = F.array_sort(F.collect_set(F.struct("turn", (-F.col("length")).alias("shorter"), "literal", "label")))
-    of_line = found.groupBy("id").agg(order.alias("named"))
+    wanted = store(_wanted(people))
+    in_text = lambda text, x: F.regexp_count(text, _pattern(x["turn"], x["literal"])) > 0
     swap = lambda text, x: F.regexp_replace(text, _pattern(x["turn"], x["literal"]), replacement(x["label"]))
-    touched = cut(lines.join(of_line, "id"))
+    met = lines.join(mentions(lines, wanted), "id", "left").select("id", "text", F.filter("named", lambda x: in_text(F.col("text"), x)).alias("named"))
     hidden = F.aggregate("named", F.col("text"), swap)
     once = F.regexp_replace(hidden, r"(?iu)\b(.{2,40}?) \(\1\)", "$1")
-    changed = cut(touched.select("id", once.alias("new")))
-    leaking = mentions(changed.select("id", F.col("new").alias("text")), wanted).select("id").distinct().withColumn("leaks", F.lit(True))
-    safe = changed.join(leaking, "id", "left")
-    out = lines.join(safe, "id", "left")
-    named = F.col("new").isNotNull()
-    return out.select("id", F.when(F.col("leaks"), F.lit(None).cast("string")).otherwise(F.coalesce("new", "text")).alias("text"), named.alias("named"))
+    named = F.coalesce(F.size("named") > 0, F.lit(False))
+    touched = store(met.select("id", F.when(named, once).otherwise(F.col("text")).alias("text"), named.alias("named")))
+    changed = touched.where("named").select("id", "text")
+    leaking = changed.join(mentions(changed, wanted), "id").where(F.exists("named", lambda x: in_text(F.col("text"), x)))
+    out = touched.join(store(leaking.select("id", F.lit(True).alias("leaks"))), "id", "left")
+    return out.select("id", F.when(F.col("leaks"), F.lit(None).cast("string")).otherwise(F.col("text")).alias("text"), "named")
