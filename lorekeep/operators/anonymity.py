@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from lorekeep.runtime import store
 WORDS, CHARS = 8, 64
 #: Last characters of a uid that are looked at first, and cells that they, and first words of names, are hashed to.
 GRAM, CELLS = 4, 1 << 18
+#: Characters of a line that are looked at as one piece.
+PIECE = 512
 
 
 def _words(text: Column) -> Column:
@@ -49,20 +53,24 @@ def mentions(lines: DataFrame, wanted: DataFrame) -> DataFrame:
     """
     grams = [r.g for r in wanted.where("kind = 'chars'").select(F.least("n", F.lit(GRAM)).alias("g")).distinct().collect()]  # at most GRAM rows
     cells = F.broadcast(wanted.groupBy("kind", "cell").agg(F.collect_set("n").alias("sizes")))
-    words, low = F.col("words"), F.col("low")
+    words, low, piece = F.col("words"), F.col("low"), F.col("piece")
     upto = lambda size: F.when(size > 0, F.sequence(F.lit(1), size)).otherwise(F.array().cast("array<int>"))
-    runs = F.transform(upto(F.size(words)), lambda i: F.slice(words, i, WORDS))
-    run = lambda kind, cell, run, end: F.struct(F.lit(kind).alias("kind"), cell.alias("cell"), run.alias("run"), end.alias("end"))
-    begun = F.transform(runs, lambda r: run("words", _cell(F.get(r, F.lit(0))), r, F.lit(None).cast("string")))
-    ends = F.transform(upto(F.char_length(low)), lambda i: F.substr(low, F.greatest(i - (CHARS - 1), F.lit(1)), F.least(i, F.lit(CHARS))))
-    ended = [F.transform(F.filter(F.col("ends"), lambda e: F.char_length(e) >= g), lambda e: run("chars", _cell(F.right(e, F.lit(g))), F.lit(None).cast("array<string>"), e)) for g in grams]
+    near = lambda rows, kind: rows.join(cells.where(F.col("kind") == kind).drop("kind"), "cell").withColumn("n", F.explode("sizes"))
     texts = lines.where("text is not null").select("id", _words(F.col("text")).alias("words"), F.lower("text").alias("low"))
-    parts = texts.select("id", begun.alias("begun"), (ends if grams else F.array().cast("array<string>")).alias("ends"))
-    parts = parts.select("id", F.explode(F.concat("begun", *ended)).alias("p")).select("id", "p.*").join(cells, ["kind", "cell"])
-    parts = parts.select("id", "kind", "run", "end", F.explode("sizes").alias("n"))
-    whole = F.coalesce(F.size("run"), F.lit(0)) >= F.col("n")
-    key = F.when(F.col("kind") == "chars", F.when(F.char_length("end") >= F.col("n"), F.right("end", F.col("n")))).when(whole, F.array_join(F.slice("run", F.lit(1), F.col("n")), " "))
-    met = parts.select("id", "kind", key.alias("key")).where("key is not null").join(wanted, ["kind", "key"])
+    runs = F.transform(upto(F.size(words)), lambda i: F.slice(words, i, WORDS))
+    begun = near(texts.select("id", F.explode(runs).alias("run")).select("id", "run", _cell(F.get("run", F.lit(0))).alias("cell")), "words")
+    parts = [begun.where(F.size("run") >= F.col("n")).select("id", F.lit("words").alias("kind"), F.array_join(F.slice("run", F.lit(1), F.col("n")), " ").alias("key"))]
+    # A piece of a line begins with the characters before it that a key can reach back to.
+    starts = F.sequence(F.lit(1), F.greatest(F.char_length(low), F.lit(1)), F.lit(PIECE))
+    pieces = F.transform(starts, lambda i: F.struct(F.substr(low, F.greatest(i - CHARS, F.lit(1)), F.least(i - 1, F.lit(CHARS)) + PIECE).alias("piece"), F.least(i, F.lit(CHARS + 1)).alias("new")))
+    cut = texts.select("id", F.explode(pieces).alias("p")).select("id", "p.*")
+    for g in grams:
+        ends = F.when(F.char_length(piece) >= F.greatest("new", F.lit(g)), F.sequence(F.greatest("new", F.lit(g)), F.char_length(piece)))
+        ended = F.transform(ends, lambda i: F.struct(i.alias("i"), _cell(F.substr(piece, i - (g - 1), F.lit(g))).alias("cell")))  # noqa: B023
+        ended = near(cut.select("id", "piece", F.explode(ended).alias("e")).select("id", "piece", "e.*"), "chars").where(F.col("i") >= F.col("n"))
+        parts.append(ended.select("id", F.lit("chars").alias("kind"), F.substr(piece, F.col("i") - F.col("n") + 1, F.col("n")).alias("key")))
+    parts = reduce(DataFrame.unionByName, parts)
+    met = parts.join(wanted, ["kind", "key"])
     return met.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("turn", (-F.col("length")).alias("shorter"), "literal", "label"))).alias("named"))
 
 
