@@ -41,18 +41,15 @@ def topic_centroid(log: DataFrame, me: int = 0, rows: int = 30, within: int = 18
 def association(topics: DataFrame, notions: DataFrame, mentioned: DataFrame, cooling: DataFrame, floor: float = 0.6) -> DataFrame:
     """(channel, notion_id, proximity): the nearest notion to each channel's topic, at or above the floor; ties by id.
 
-    Channels in `cooling` get none, a notion in `mentioned` (channel, notion_id) is passed over: a channel that mentioned m notions needs
-    its m + 1 nearest at most. Channels are asked by powers of two of m, so one with many mentions makes no work for the others.
+    Channels in `cooling` get none, a notion in `mentioned` (channel, notion_id) is passed over. A notion takes along who mentioned it, so a
+    task holds one notion a channel, however many were mentioned.
     """
-    told = mentioned.select("channel", "notion_id").distinct()
-    t = topics.join(cooling.select("channel").distinct(), "channel", "left_anti").join(told.groupBy("channel").agg(F.count("*").alias("m")), "channel", "left")
-    t = cut(t.where(norm(F.col("vector")) > 0).select(F.col("channel").alias("vec_id"), "vector", F.ceil(F.log2(F.coalesce("m", F.lit(0)) + 1)).cast("int").alias("bits")))
-    n = notions.where(norm(F.col("vector")) > 0).select(F.col("notion_id").alias("vec_id"), "vector")
-    classes = [r.bits for r in t.select("bits").distinct().collect()]
-    near = [knn(t.where(F.col("bits") == b), n, 1 << b, keep_self=True) for b in classes] or [knn(t, n, 1, keep_self=True)]
-    near = reduce(DataFrame.unionByName, near).select(F.col("query_id").alias("channel"), F.col("vec_id").alias("notion_id"), "score").where(F.col("score") >= floor)
-    best = near.join(told, ["channel", "notion_id"], "left_anti").groupBy("channel").agg(F.min(F.struct((-F.col("score")).alias("s"), "notion_id")).alias("m"))
-    return best.select("channel", F.col("m.notion_id").alias("notion_id"), (-F.col("m.s")).alias("proximity"))
+    t = topics.join(cooling.select("channel").distinct(), "channel", "left_anti")
+    t = cut(t.where(norm(F.col("vector")) > 0).select(F.col("channel").alias("vec_id"), "vector"))
+    told = mentioned.join(t.select(F.col("vec_id").alias("channel")), "channel", "left_semi").groupBy(F.col("notion_id").alias("vec_id")).agg(F.collect_set("channel").alias("barred"))
+    n = notions.where(norm(F.col("vector")) > 0).select(F.col("notion_id").alias("vec_id"), "vector").join(told, "vec_id", "left")
+    near = knn(t, n, 1, keep_self=True).where(F.col("score") >= floor)
+    return near.select(F.col("query_id").alias("channel"), F.col("vec_id").alias("notion_id"), F.col("score").alias("proximity"))
 
 
 def _wu_palmer(targets: DataFrame, base: DataFrame, closure: DataFrame, least: float) -> DataFrame:

@@ -7,6 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,8 +42,8 @@ class _Best:
         self.least = np.full(len(ids), -np.inf)
         self.held: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
-    def add(self, found: np.ndarray, vectors: np.ndarray, asks: np.ndarray | None = None) -> None:
-        """asks: the queries that these vectors are for, in order; none: all."""
+    def add(self, found: np.ndarray, vectors: np.ndarray, asks: np.ndarray | None = None, barred: tuple[np.ndarray, np.ndarray] | None = None) -> None:
+        """asks: the queries that these vectors are for, in order; none: all. barred: rows of vectors, and ids of queries that pass them over."""
         asks = np.arange(len(self.ids)) if asks is None else asks
         for tile in np.unique(asks // TILE).tolist() if len(found) else []:
             mine = asks[asks // TILE == tile]
@@ -51,6 +52,11 @@ class _Best:
             if not self.keep_self:
                 for row in np.flatnonzero(np.isin(found, self.ids[mine])).tolist():
                     scores[row, self.ids[mine] == found[row]] = -np.inf
+            if barred is not None:
+                order = np.argsort(self.ids[mine], kind="stable")
+                at = np.minimum(np.searchsorted(self.ids[mine], barred[1], sorter=order), len(order) - 1)
+                hit = self.ids[mine][order[at]] == barred[1]
+                scores[barred[0][hit], order[at][hit]] = -np.inf
             least = self.least[mine]
             if len(found) > self.k:
                 least = np.maximum(least, np.partition(scores, len(found) - self.k, axis=0)[len(found) - self.k])
@@ -116,13 +122,19 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int = 10, keep_self: bool = F
     The queries (vec_id, vector) are a stated set, sent to the executors PASS_BYTES at a time, so the vectors are read where they lie and
     never shuffled. A task multiplies a batch of vectors with TILE queries at once and holds k of each query; only these move. Rows
     without id or vector, vectors of another length than the query's and ones with NaN are not found; a zero vector scores 0.
+    Vectors may have `barred`, ids of queries, which are unique then, that pass them over.
     """
-    rows = vectors.where("vec_id is not null and vector is not null").select("vec_id", F.col("vector").cast("array<double>").alias("vector"))
+    barred = ["barred"] if "barred" in vectors.columns else []
+    rows = vectors.where("vec_id is not null and vector is not null").select("vec_id", F.col("vector").cast("array<double>").alias("vector"), *barred)
     kind, found = dict(queries.dtypes)["vec_id"], []
 
     def add(best: _Best, batch: pa.RecordBatch) -> None:
         at, values = _matrix(batch.column("vector"), best.vectors.shape[1])
-        best.add(batch.column("vec_id").to_numpy(zero_copy_only=False)[at], values)
+        over = None
+        if barred:
+            lists = batch.column("barred").take(pa.array(at))
+            over = pa.compute.list_parent_indices(lists).to_numpy(), pa.compute.list_flatten(lists).to_numpy(zero_copy_only=False)
+        best.add(batch.column("vec_id").to_numpy(zero_copy_only=False)[at], values, barred=over)
 
     for ids, asked in _passes(queries):
         found.append(_scan(rows, ids, asked, k, keep_self, kind, add))
