@@ -11,7 +11,7 @@ from lorekeep.functions.text import clean_gloss
 from lorekeep.operators.neighbours import knn
 from lorekeep.operators.timeline import SECOND
 from lorekeep.operators.vectors import centroid, cosine, norm
-from lorekeep.runtime import cut
+from lorekeep.runtime import cut, store
 
 # Words that set the time of a clause (days from now), that move it on, and tenses.
 ANCHORS = {"now": 0.0, "today": 0.0, "tonight": 0.0, "yesterday": -1.0, "tomorrow": 1.0}
@@ -52,19 +52,58 @@ def association(topics: DataFrame, notions: DataFrame, mentioned: DataFrame, coo
     return near.select(F.col("query_id").alias("channel"), F.col("vec_id").alias("notion_id"), F.col("score").alias("proximity"))
 
 
-def _wu_palmer(targets: DataFrame, base: DataFrame, closure: DataFrame, least: float) -> DataFrame:
-    """(target, base, sim) above `least`: twice the depth of a common ancestor over the depths by way of it, the best of all.
+def _classes(df: DataFrame, c: str, number: str) -> DataFrame:
+    """(c, number): the distinct values of a column, numbered and stored."""
+    return store(df.select(c).distinct().withColumn(number, F.monotonically_increasing_id()))
 
-    closure (node, ancestor, depth) without a node itself. A pair can only pass by ancestors that are near for their depth
-    from the root, so others never meet.
+
+def _wu_palmer(targets: DataFrame, base: DataFrame, closure: DataFrame, least: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(word, synset, tc), (base, bc) and (tc, bc, sim): classes of senses and of base words, and what is above `least` between them.
+
+    The similarity is twice the depth of a common ancestor over the depths by way of it, the best of all. closure (node, ancestor,
+    depth) without a node itself. What lies below the same ancestors at the same depths is one class. An ancestor counts only if it is
+    near enough, for its depth from the root, to what the other side has below it; a sense that both have is left to the rule for that.
     """
     level = closure.groupBy("node").agg((F.max("depth") + 1).alias("d")).select(F.col("node").alias("ancestor"), "d")
-    up = closure.select("node", "ancestor", "depth").unionByName(closure.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth")).distinct())
+    nodes = closure.select("node").union(closure.select("ancestor")).distinct()
+    up = closure.select("node", "ancestor", "depth").unionByName(nodes.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth")))
     up = up.join(level, "ancestor", "left").withColumn("d", F.coalesce("d", F.lit(1))).where(2 * F.col("d") > least * (2 * F.col("d") + F.col("depth")))
     a = targets.join(up, F.col("synset") == F.col("node")).select("word", "synset", "pos", "ancestor", "d", F.col("depth").alias("a"))
-    b = base.join(up, F.col("synset") == F.col("node")).select(F.col("word").alias("base"), "pos", "ancestor", F.col("depth").alias("b"))
-    sim = 2 * F.col("d") / (2 * F.col("d") + F.col("a") + F.col("b"))
-    return a.join(b, ["ancestor", "pos"]).groupBy("word", "synset", "base").agg(F.round(F.max(sim), 3).alias("v"), F.max(sim).alias("s")).where(F.col("s") > least).drop("s")
+    b = base.join(up, F.col("synset") == F.col("node")).select(F.col("word").alias("base"), "pos", "ancestor", "d", F.col("depth").alias("b"))
+    sim = lambda x, y: 2 * F.col("d") / (2 * F.col("d") + x + y)
+
+    def near(df: DataFrame, c: str, others: DataFrame, o: str) -> DataFrame:
+        low = others.groupBy("ancestor", "pos").agg(F.min(o).alias("low"), F.min(F.when(F.col(o) > 0, F.col(o))).alias("below"))
+        return df.join(low, ["ancestor", "pos"]).where(sim(F.col(c), F.when(F.col(c) == 0, F.col("below")).otherwise(F.col("low"))) > least)
+
+    profile = lambda df, keys, c: store(df.groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct("pos", "ancestor", "d", c))).alias("profile")))
+    senses, words = profile(near(a, "a", b, "b"), ["word", "synset"], "a"), profile(near(b, "b", a, "a"), ["base"], "b")
+    x, y = _classes(senses, "profile", "tc"), _classes(words, "profile", "bc")
+    met = x.select("tc", F.inline("profile")).join(y.select("bc", F.inline("profile")).drop("d"), ["ancestor", "pos"])
+    sims = store(met.groupBy("tc", "bc").agg(F.max(sim(F.col("a"), F.col("b"))).alias("sim")).where(F.col("sim") > least))
+    return senses.join(x, "profile").drop("profile"), words.join(y, "profile").drop("profile"), sims
+
+
+def _overlaps(synsets: DataFrame, words: DataFrame, glosses: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, gc) and (gc, wc, v): classes of equal sets of words, and the overlap of a sense's class with a base word's.
+
+    Two words must be in common, so the first common one, from the rarest on, is never the last of either set: sets meet by the others, and
+    a pair counts where its first common word is met.
+    """
+    synsets, words = synsets.toDF("key").distinct(), words.toDF("key").distinct()
+    used = glosses.join(synsets.union(words).distinct(), "key", "left_semi")
+    sets = store(used.groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("tokens")))).alias("tokens")))
+    classes = _classes(sets, "tokens", "gc")
+    of = store(sets.join(classes, "tokens").select("key", "gc"))
+    told = classes.select("gc", F.size("tokens").alias("n"), F.explode("tokens").alias("token")).where("token is not null")
+    rank = store(told.groupBy("token").agg(F.count("*").alias("f")).orderBy("f", "token").select("token", F.monotonically_increasing_id().alias("r")))
+    coded = store(told.join(rank, "token").groupBy("gc", "n").agg(F.array_sort(F.collect_list("r")).alias("rs")).where(F.size("rs") >= 2))
+    side = lambda keys, gc, n, rs: coded.join(of.join(keys, "key", "left_semi").select("gc"), "gc", "left_semi").select(F.col("gc").alias(gc), F.col("n").alias(n), F.col("rs").alias(rs), F.explode(F.slice("rs", 1, F.size("rs") - 1)).alias("r"))
+    met = side(synsets, "gc", "n", "rs").join(side(words, "wc", "m", "ws"), "r").withColumn("both", F.array_intersect("rs", "ws"))
+    met = met.where((F.get("both", F.lit(0)) == F.col("r")) & (F.size("both") >= 2))
+    c = F.size("both")
+    v = F.least(F.round(5 * c / (F.col("n") + F.col("m") - c), 3), F.lit(0.5))
+    return of, store(met.select("gc", "wc", v.alias("v")).where("v > 0.1"))
 
 
 def semantic_matrix(targets: DataFrame, base: DataFrame, antonyms: DataFrame, derived: DataFrame, closure: DataFrame, glosses: DataFrame, least: float = 0.65) -> DataFrame:
@@ -72,29 +111,35 @@ def semantic_matrix(targets: DataFrame, base: DataFrame, antonyms: DataFrame, de
 
     1 the same word (1); 2 a sense in common (1); 3 an antonym (-1); 4 a derivation (0.9); 5 taxonomic similarity above
     `least`, same part of speech, of at most three senses of each part of speech of a base word; 6 at least two words of the
-    glosses in common: five times their Jaccard similarity, at most 0.5, above 0.1. targets and base (word, synset, pos, rank);
-    antonyms and derived (synset, other), read as given; glosses (key, tokens) with a synset or a base word as key. Every rule is an equi-join.
+    glosses in common: five times their Jaccard similarity, at most 0.5, above 0.1. targets and base (word, synset, pos, rank; no nulls in word
+    and synset); antonyms and derived (synset, other), read as given; glosses (key, tokens) with a synset or a base word as key, several of a key count
+    as one. Every rule is an equi-join. Rules 5 and 6 are decided between classes of senses and of base words that have the same
+    ancestors, or the same gloss; their pairs are only listed, neither shuffled nor grouped: a sense takes along the base words that earlier rules gave it.
     """
     t, b = targets.select("word", "synset", "pos"), base.select("word", "synset", "pos", "rank")
     words = b.select(F.col("word").alias("base")).distinct()
     senses = b.select(F.col("word").alias("base"), F.col("synset").alias("other"))
-    pair = t.select("word", "synset")
+    pair = t.select("word", "synset").distinct()
     rule = lambda df, k, v: df.select("word", "synset", "base", F.lit(k).alias("rule"), v.cast("double").alias("value"))
     linked = lambda links: pair.join(links.select("synset", "other").distinct(), "synset").join(senses, "other")
     primary = b.withColumn("r", F.row_number().over(Window.partitionBy("word", "pos").orderBy("rank", "synset"))).where("r <= 3").select("word", "synset", "pos")
-    g = glosses.select("key", F.array_distinct("tokens").alias("tokens"))
-    words_of = lambda df, key: df.join(g, F.col(key) == F.col("key")).select(*df.columns, F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    shared = words_of(pair, "synset").withColumnRenamed("n", "m").join(words_of(words, "base"), "token").groupBy("word", "synset", "base").agg(F.count("*").alias("c"), F.first("m").alias("m"), F.first("n").alias("n"))
-    overlap = F.least(F.round(5 * F.col("c") / (F.col("m") + F.col("n") - F.col("c")), 3), F.lit(0.5))
     parts = [
         rule(pair.join(words, F.col("word") == F.col("base")), 1, F.lit(1.0)),
         rule(pair.join(senses, F.col("synset") == F.col("other")), 2, F.lit(1.0)),
         rule(linked(antonyms), 3, F.lit(-1.0)),
         rule(linked(derived), 4, F.lit(0.9)),
-        rule(_wu_palmer(t, primary, closure, least), 5, F.col("v")),
-        rule(shared.where("c >= 2").withColumn("v", overlap).where("v > 0.1"), 6, F.col("v")),
     ]
-    return reduce(DataFrame.unionByName, parts).groupBy("word", "synset", "base").agg(F.min(F.struct("rule", "value")).alias("m")).select("word", "synset", "base", "m.rule", "m.value")
+    first = store(reduce(DataFrame.unionByName, parts).groupBy("word", "synset", "base").agg(F.min(F.struct("rule", "value")).alias("m")).select("word", "synset", "base", "m.rule", "m.value"))
+    tax, tax_words, sims = _wu_palmer(t, primary, closure, least)
+    gloss, overlaps = _overlaps(pair.select("synset"), words, glosses)
+    told = first.where("rule > 1").groupBy("word", "synset").agg(F.collect_set("base").alias("told"))
+    pair = pair.join(tax, ["word", "synset"], "left").join(gloss.withColumnRenamed("key", "synset"), "synset", "left").join(told, ["word", "synset"], "left")
+    pair = store(pair.where("tc is not null or gc is not null"))
+    words = store(words.join(tax_words, "base", "left").join(gloss.select(F.col("key").alias("base"), F.col("gc").alias("wc")), "base", "left"))
+    later = lambda df: df.where((F.col("word") != F.col("base")) & ~F.coalesce(F.array_contains("told", F.col("base")), F.lit(False)))
+    by_tree = later(pair.join(sims.join(words, "bc"), "tc"))
+    by_gloss = later(pair.join(overlaps, "gc").join(words.select("base", "wc", "bc"), "wc").join(sims.select("tc", "bc"), ["tc", "bc"], "left_anti"))
+    return first.unionByName(rule(by_tree, 5, F.round("sim", 3))).unionByName(rule(by_gloss, 6, F.col("v")))
 
 
 def preserves(before: DataFrame, after: DataFrame, strict: bool = False, floor: float = 0.6) -> DataFrame:
