@@ -11,7 +11,8 @@ Documents lie in chunks of bounded size:
 2. shared halves are sent to the bucket of their minimizer as pieces, once for each different text in a
    chunk; where a bucket counts too many of them around a few minimizers, each window is a piece of its
    own and goes to the bucket of its own hash, so no bucket gathers all surroundings of a common phrase;
-3. a bucket indexes its pieces and answers, for each window of each piece, the smallest doc_id;
+3. a bucket indexes what its pieces may have in common (a window whose hash comes up once is its piece's own) and
+   answers, for each window of each piece, the smallest doc_id;
 4. the chunk marks the symbols of windows that an earlier document has.
 
 Hashes choose what meets where; pieces of equal hash are compared before they count as one, and the index
@@ -117,7 +118,7 @@ def minimizer_runs(symbols: np.ndarray, offsets: np.ndarray, rule: Rule) -> Runs
         if len(near):
             np.add.at(edge, np.maximum(near - span + 1 - s, 0), 1)
             np.add.at(edge, np.minimum(near - s, e - s), -1)
-            valid = np.cumsum(edge[:-1]) == 0
+            valid = np.cumsum(edge[:-1], dtype=np.int32) == 0
             new[1:] |= ~valid[:-1]
             new &= valid
             last[:-1] |= ~valid[1:]
@@ -141,15 +142,26 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(total)
 
 
+_BASE = 0x9E3779B97F4A7C15
+
+
 def _piece_hashes(symbols: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Hashes of pieces in order of their starts, as differences of sums over the text that are moved back to where a piece begins."""
     out = np.zeros(len(starts), U)
-    for a in range(0, len(starts), 1 << 14):
-        size = sizes[a : a + (1 << 14)]
-        if len(size):
-            v = mix(_values(symbols[_ranges(starts[a : a + (1 << 14)], size)]))
-            place = _ranges(np.zeros(len(size), np.int64), size)
-            power = np.multiply.accumulate(np.concatenate((np.ones(1, U), np.full(int(size.max()), 0x9E3779B97F4A7C15, U))))
-            out[a : a + (1 << 14)] = mix(np.add.reduceat(v * power[place], np.cumsum(size) - size) + size.astype(U))
+    if not len(starts):
+        return out
+    most = WINDOWS + int(sizes.max())
+    power = np.multiply.accumulate(np.concatenate((np.ones(1, U), np.full(most, _BASE, U))))
+    back = np.multiply.accumulate(np.concatenate((np.ones(1, U), np.full(WINDOWS, pow(_BASE, -1, 1 << 64), U))))
+    edges = np.searchsorted(starts, np.arange(0, int(starts[-1]) + WINDOWS + 1, WINDOWS))
+    for s, (a, e) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
+        if a < e:
+            v = mix(_values(symbols[s * WINDOWS : s * WINDOWS + most]))
+            v *= power[: len(v)]
+            sums = np.zeros(len(v) + 1, U)
+            np.cumsum(v, out=sums[1:])
+            first = starts[a:e] - s * WINDOWS
+            out[a:e] = mix((sums[first + sizes[a:e]] - sums[first]) * back[first] + sizes[a:e].astype(U))
     return out
 
 
@@ -163,6 +175,24 @@ def _same(symbols: np.ndarray, a: np.ndarray, b: np.ndarray, sizes: np.ndarray)
     return out
 
 
+def _repeated(symbols: np.ndarray, sizes: np.ndarray, span: int) -> np.ndarray:
+    """Whether the hash of each window of the pieces comes up again among them."""
+    ends, windows = np.cumsum(sizes), sizes - span + 1
+    starts, hashes = ends - sizes, np.empty(int(windows.sum()), U)
+    k = 0
+    for a in range(0, len(sizes), 1 << 10):
+        b = min(a + (1 << 10), len(sizes))
+        found = _grams(_values(symbols[starts[a] : ends[b - 1]]), span)[_ranges(starts[a:b] - starts[a], windows[a:b])]
+        hashes[k : k + len(found)] = found
+        k += len(found)
+    order = np.argsort(hashes)
+    hashes = hashes[order]
+    same = np.flatnonzero(hashes[1:] == hashes[:-1])
+    again = np.zeros(len(order), bool)
+    again[order[same]] = again[order[same + 1]] = True
+    return again
+
+
 def _sorted(table: pa.Table) -> pa.Table:
     """Rows come in another order each time they are read from a shuffle; runs and pieces need one order."""
     return table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
@@ -271,7 +301,7 @@ def covered(own: bytes, ids: np.ndarray, answers: dict[int, bytes], span: int) -
     edge = np.zeros(int(offsets[-1]) + 1, np.int32)
     np.add.at(edge, place, 1)
     np.add.at(edge, place + span, -1)
-    return offsets, np.cumsum(edge[:-1]) > 0
+    return offsets, np.cumsum(edge[:-1], dtype=np.int32) > 0
 
 
 Index = Callable[[np.ndarray, np.ndarray, np.ndarray, int], np.ndarray]
@@ -317,9 +347,18 @@ def _earliest(rule: Rule, index: Index):
         which = np.empty(len(order), np.int64)
         which[order] = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(order))))
         owner = np.minimum.reduceat(ids[order], at)
-        found = index(symbols[_ranges(starts[one], sizes[one])], sizes[one], owner, rule.span)
-        windows = sizes[one] - rule.span + 1
+        symbols, size = symbols[_ranges(starts[one], sizes[one])], sizes[one]
+        starts, windows = np.cumsum(size) - size, size - rule.span + 1
         at = np.cumsum(windows) - windows
+        found = np.repeat(owner, windows)
+        # Only windows of equal hash can be equal: of each piece the part from the first of them to the last is indexed.
+        again = np.flatnonzero(_repeated(symbols, size, rule.span))
+        if len(again):
+            piece = np.searchsorted(at, again, "right") - 1
+            head = np.flatnonzero(np.concatenate(([True], piece[1:] != piece[:-1])))
+            first, count, piece = again[head], again[np.append(head[1:], len(again)) - 1] - again[head] + 1, piece[head]
+            part = count + rule.span - 1
+            found[_ranges(first, count)] = index(symbols[_ranges(starts[piece] + first - at[piece], part)], part, owner[piece], rule.span)
         out, k = [], 0
         for h in hashes:
             mine = which[k : k + len(h)]

@@ -13,7 +13,7 @@ import numpy as np
 #: Alphabets of fewer symbols are scanned symbol by symbol.
 FEW = 2048
 #: From this share of distinct names on, the recursion ends by doubling.
-SETTLED = 0.7
+SETTLED = 0.35
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
