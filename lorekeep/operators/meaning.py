@@ -57,8 +57,18 @@ def _classes(df: DataFrame, c: str, number: str) -> DataFrame:
     return store(df.select(c).distinct().withColumn(number, F.monotonically_increasing_id()))
 
 
+def _meet(many: DataFrame, others: DataFrame, key: str, rows: int = 4096) -> DataFrame:
+    """Equi-join in which the rows of a key come in blocks of about `rows`, each with a copy of the other side's rows of that key, so tasks share a
+    frequent key and what it gives, and a small table that gives many rows is not one task."""
+    blocks = store(many.groupBy(key).agg(F.ceil(F.count("*") / rows).cast("int").alias("_n")))
+    dealt = many.join(blocks, key).withColumn("_block", F.pmod(F.xxhash64(*many.columns), "_n").cast("int")).drop("_n")
+    copies = others.join(blocks, key).withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
+    tasks = int(many.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(tasks, key, "_block").join(copies, [key, "_block"]).drop("_block")
+
+
 def _wu_palmer(targets: DataFrame, base: DataFrame, closure: DataFrame, least: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(word, synset, tc), (base, bc) and (tc, bc, sim): classes of senses and of base words, and what is above `least` between them.
+    """(word, synset, tc), (base, bc) and (tc, bc, sim): classes of senses and of base words, and what is above `least` between them, to three places.
 
     The similarity is twice the depth of a common ancestor over the depths by way of it, the best of all. closure (node, ancestor,
     depth) without a node itself. What lies below the same ancestors at the same depths is one class. An ancestor counts only if it is
@@ -80,7 +90,8 @@ def _wu_palmer(targets: DataFrame, base: DataFrame, closure: DataFrame, least: f
     senses, words = profile(near(a, "a", b, "b"), ["word", "synset"], "a"), profile(near(b, "b", a, "a"), ["base"], "b")
     x, y = _classes(senses, "profile", "tc"), _classes(words, "profile", "bc")
     met = x.select("tc", F.inline("profile")).join(y.select("bc", F.inline("profile")).drop("d"), ["ancestor", "pos"])
-    sims = store(met.groupBy("tc", "bc").agg(F.max(sim(F.col("a"), F.col("b"))).alias("sim")).where(F.col("sim") > least))
+    sims = met.groupBy("tc", "bc").agg(F.max(sim(F.col("a"), F.col("b"))).alias("sim")).where(F.col("sim") > least)
+    sims = store(sims.withColumn("sim", F.round("sim", 3)))
     return senses.join(x, "profile").drop("profile"), words.join(y, "profile").drop("profile"), sims
 
 
@@ -99,7 +110,7 @@ def _overlaps(synsets: DataFrame, words: DataFrame, glosses: DataFrame) -> tuple
     rank = store(told.groupBy("token").agg(F.count("*").alias("f")).orderBy("f", "token").select("token", F.monotonically_increasing_id().alias("r")))
     coded = store(told.join(rank, "token").groupBy("gc", "n").agg(F.array_sort(F.collect_list("r")).alias("rs")).where(F.size("rs") >= 2))
     side = lambda keys, gc, n, rs: coded.join(of.join(keys, "key", "left_semi").select("gc"), "gc", "left_semi").select(F.col("gc").alias(gc), F.col("n").alias(n), F.col("rs").alias(rs), F.explode(F.slice("rs", 1, F.size("rs") - 1)).alias("r"))
-    met = side(synsets, "gc", "n", "rs").join(side(words, "wc", "m", "ws"), "r").withColumn("both", F.array_intersect("rs", "ws"))
+    met = _meet(side(synsets, "gc", "n", "rs"), side(words, "wc", "m", "ws"), "r", 128).withColumn("both", F.array_intersect("rs", "ws"))
     met = met.where((F.get("both", F.lit(0)) == F.col("r")) & (F.size("both") >= 2))
     c = F.size("both")
     v = F.least(F.round(5 * c / (F.col("n") + F.col("m") - c), 3), F.lit(0.5))
@@ -114,7 +125,8 @@ def semantic_matrix(targets: DataFrame, base: DataFrame, antonyms: DataFrame, de
     glosses in common: five times their Jaccard similarity, at most 0.5, above 0.1. targets and base (word, synset, pos, rank; no nulls in word
     and synset); antonyms and derived (synset, other), read as given; glosses (key, tokens) with a synset or a base word as key, several of a key count
     as one. Every rule is an equi-join. Rules 5 and 6 are decided between classes of senses and of base words that have the same
-    ancestors, or the same gloss; their pairs are only listed, neither shuffled nor grouped: a sense takes along the base words that earlier rules gave it.
+    ancestors, or the same gloss; their pairs are only listed, neither shuffled nor grouped, by as many tasks as there are shuffle partitions: a sense
+    takes along the base words that earlier rules gave it.
     """
     t, b = targets.select("word", "synset", "pos"), base.select("word", "synset", "pos", "rank")
     words = b.select(F.col("word").alias("base")).distinct()
@@ -137,9 +149,9 @@ def semantic_matrix(targets: DataFrame, base: DataFrame, antonyms: DataFrame, de
     pair = store(pair.where("tc is not null or gc is not null"))
     words = store(words.join(tax_words, "base", "left").join(gloss.select(F.col("key").alias("base"), F.col("gc").alias("wc")), "base", "left"))
     later = lambda df: df.where((F.col("word") != F.col("base")) & ~F.coalesce(F.array_contains("told", F.col("base")), F.lit(False)))
-    by_tree = later(pair.join(sims.join(words, "bc"), "tc"))
-    by_gloss = later(pair.join(overlaps, "gc").join(words.select("base", "wc", "bc"), "wc").join(sims.select("tc", "bc"), ["tc", "bc"], "left_anti"))
-    return first.unionByName(rule(by_tree, 5, F.round("sim", 3))).unionByName(rule(by_gloss, 6, F.col("v")))
+    by_tree = later(_meet(pair.where("tc is not null"), sims.join(words, "bc").select("tc", "base", "sim"), "tc"))
+    by_gloss = later(_meet(pair.where("gc is not null"), overlaps, "gc").join(words.select("base", "wc", "bc"), "wc").join(sims.select("tc", "bc"), ["tc", "bc"], "left_anti"))
+    return first.unionByName(rule(by_tree, 5, F.col("sim"))).unionByName(rule(by_gloss, 6, F.col("v")))
 
 
 def preserves(before: DataFrame, after: DataFrame, strict: bool = False, floor: float = 0.6) -> DataFrame:
